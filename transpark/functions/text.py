@@ -61,6 +61,18 @@ def join_pieces(col) -> Column:
     return F.trim(F.replace(F.replace(_c(col), F.lit(" "), F.lit("")), F.lit(PIECE_MARK), F.lit(" ")))
 
 
+def fixed_pieces(col, width: int = 3) -> Column:
+    """Stand-in subword encoder: every word gets the boundary marker and is cut
+    into pieces of ``width`` characters (a real encoder plugs in instead)."""
+    return F.array_join(
+        F.transform(
+            words(col),
+            lambda w: F.trim(F.regexp_replace(F.concat(F.lit(PIECE_MARK), w), "(.{%d})" % width, "$1 ")),
+        ),
+        " ",
+    )
+
+
 def split_lines(col) -> Column:
     """Lines the way Spark's text source cuts them (\\n, \\r\\n, \\r)."""
     return F.split(_c(col), r"\r\n|\r|\n")

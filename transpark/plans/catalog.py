@@ -272,3 +272,295 @@ def conversation_bleu(spark, d):
 def conversation_bleu_mean_std(spark, d):
     out = B.bleu_mean_std(_conv_stats(spark, d), 8, ["run"])
     return out.select("run", r6("bleu_mean").alias("bleu_mean"), r6("bleu_std").alias("bleu_std"), "n_batches")
+
+
+# --- A1, J2, J3, P4-P6: vocabulary and ids -------------------------------------
+
+from transpark.operators import vocab as V  # noqa: E402
+
+_COUNTS_SQL = f"""SELECT token, count(*)::BIGINT AS cnt FROM (SELECT unnest({Q.words('text')}) AS token FROM documents) GROUP BY token"""
+_SPECIALS_SQL = "SELECT * FROM (VALUES ('<s>', 1::BIGINT, 0), ('<pad>', 1::BIGINT, 1), ('</s>', 1::BIGINT, 2), ('<unk>', 1::BIGINT, 3)) v(token, cnt, id)"
+
+
+def _doc_tokens(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.words("text").alias("tok"))
+
+
+@register(
+    "build_vocab",
+    f"""SELECT token, cnt, (row_number() OVER (ORDER BY cnt DESC, token) + 3)::INTEGER AS id FROM ({_COUNTS_SQL})
+        UNION ALL {_SPECIALS_SQL}""",
+)
+def build_vocab(spark, d):
+    return V.build_vocab(_doc_tokens(spark, d), "tok")
+
+
+_VOCAB1000_SQL = f"""v AS (SELECT token, (row_number() OVER (ORDER BY cnt DESC, token) + 3)::INTEGER AS id FROM ({_COUNTS_SQL})
+                          QUALIFY row_number() OVER (ORDER BY cnt DESC, token) <= 1000),
+        vm AS (SELECT map_from_entries(list((token, id))) AS m FROM v),
+        e AS (SELECT doc_id, {Q.words('text')} AS w, list_transform({Q.words('text')}, lambda x: coalesce(m[x], 3)) AS ids FROM documents, vm)"""
+
+
+def _encoded(spark, d) -> DataFrame:
+    toks = _doc_tokens(spark, d)
+    vocab = V.build_vocab(toks, "tok", n=1000)
+    return V.encode_ids(toks, "tok", vocab, key=["doc_id"]), vocab
+
+
+def _ids_text(c) -> Column:
+    return F.array_join(F.transform(c, lambda i: i.cast("string")), " ")
+
+
+@register(
+    "encode_ids",
+    f"""WITH {_VOCAB1000_SQL}
+        SELECT doc_id, len(ids)::BIGINT AS n_ids, len(list_filter(ids, lambda i: i = 3))::BIGINT AS n_unk,
+               array_to_string(ids, ' ') AS ids_text FROM e""",
+)
+def encode_ids(spark, d):
+    enc, _ = _encoded(spark, d)
+    return enc.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.size(F.filter("ids", lambda i: i == V.UNK)).cast("long").alias("n_unk"),
+        _ids_text("ids").alias("ids_text"),
+    )
+
+
+@register(
+    "decode_ids",
+    f"""WITH {_VOCAB1000_SQL}
+        SELECT doc_id, array_to_string(list_filter(w, lambda x: m[x] IS NOT NULL), ' ') AS text FROM e, vm""",
+)
+def decode_ids(spark, d):
+    enc, vocab = _encoded(spark, d)
+    return V.decode_ids(enc, "ids", vocab, out="text").select("doc_id", "text")
+
+
+def _fit_sql(x: str, max_len: int, pad: int) -> str:
+    body = f"list_concat({x}[1:{max_len - 1}], [2])"
+    return f"list_concat({body}, list_transform(range({max_len} - len({body})), lambda i: {pad}))"
+
+
+@register(
+    "pack_examples",
+    f"""WITH {_VOCAB1000_SQL}
+        SELECT doc_id, array_to_string({_fit_sql('ids', 128, 1)}, ' ') AS input_ids,
+               least(len(ids) + 1, 128)::BIGINT AS n_attention,
+               array_to_string({_fit_sql('list_reverse(ids)', 128, -100)}, ' ') AS labels FROM e""",
+)
+def pack_examples(spark, d):
+    enc, _ = _encoded(spark, d)
+    packed = V.pack_examples(enc.withColumn("rids", F.reverse("ids")), "ids", "rids", max_len=128)
+    return packed.select(
+        "doc_id",
+        _ids_text("input_ids").alias("input_ids"),
+        F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_attention"),
+        _ids_text("labels").alias("labels"),
+    )
+
+
+@register(
+    "unmask_labels",
+    f"""WITH {_VOCAB1000_SQL}
+        SELECT doc_id, array_to_string({_fit_sql('list_reverse(ids)', 128, 1)}, ' ') AS labels FROM e""",
+)
+def unmask_labels(spark, d):
+    enc, _ = _encoded(spark, d)
+    packed = V.pack_examples(enc.withColumn("rids", F.reverse("ids")), "ids", "rids", max_len=128)
+    return V.unmask_labels(packed, "labels").select("doc_id", _ids_text("labels").alias("labels"))
+
+
+@register(
+    "pad_to_batch_max",
+    f"""WITH {_VOCAB1000_SQL},
+        b AS (SELECT doc_id, len(ids) AS n, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch_id FROM e)
+        SELECT doc_id, batch_id::BIGINT AS batch_id, max(n) OVER (PARTITION BY batch_id)::BIGINT AS batch_len,
+               (max(n) OVER (PARTITION BY batch_id) - n)::BIGINT AS n_pad FROM b""",
+)
+def pad_to_batch_max(spark, d):
+    enc, _ = _encoded(spark, d)
+    enc = dense_index(enc, ["doc_id"], name="idx")
+    b = S.assign_batches(enc, 16)
+    padded = V.pad_to_batch_max(b, "ids", "batch_id", out="padded")
+    return padded.select(
+        "doc_id", "batch_id", "batch_len", F.size(F.filter("padded", lambda i: i == V.PAD)).cast("long").alias("n_pad")
+    )
+
+
+# --- P7, W1, W2 --------------------------------------------------------------------
+
+
+@register(
+    "drop_invalid_size",
+    f"""SELECT conv_id, turn FROM ({_CONV_PAIRS_SQL})
+        WHERE len({Q.words('src')}) BETWEEN 2 AND 200 AND len({Q.words('tgt')}) BETWEEN 2 AND 200""",
+)
+def drop_invalid_size(spark, d):
+    from transpark.operators.text_jobs import drop_invalid_size as drop
+
+    return drop(conversation_pairs(spark, d), ("src", "tgt"), 2, 200).select("conv_id", "turn")
+
+
+@register(
+    "assign_batches",
+    f"""SELECT conv_id, turn, idx, idx // 8 AS batch_id FROM (
+          SELECT conv_id, turn, (row_number() OVER (ORDER BY conv_id, turn) - 1)::BIGINT AS idx FROM ({_CONV_PAIRS_SQL}))""",
+)
+def assign_batches(spark, d):
+    pairs = dense_index(conversation_pairs(spark, d).select("conv_id", "turn"), ["conv_id", "turn"], name="idx")
+    return S.assign_batches(pairs, 8).select("conv_id", "turn", "idx", "batch_id")
+
+
+@register(
+    "token_budget_batches",
+    f"""SELECT doc_id, n_words, bucket, ((row_number() OVER (PARTITION BY bucket ORDER BY n_words, doc_id) - 1)
+               // greatest(1, floor(4096 / ((bucket + 1) * 64)))::BIGINT)::BIGINT AS batch_in_bucket FROM (
+          SELECT doc_id, n_words, ((greatest(n_words, 1) - 1) // 64)::BIGINT AS bucket FROM (
+            SELECT doc_id, len({Q.words('text')})::BIGINT AS n_words FROM documents))""",
+)
+def token_budget_batches(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.size(T.words("text")).cast("long").alias("n_words"))
+    out = S.token_budget_batches(docs, "n_words", 4096, idx="doc_id", bucket_width=64)
+    return out.select("doc_id", "n_words", "bucket", "batch_in_bucket")
+
+
+# --- S5/J4: generation logs -----------------------------------------------------------
+
+from transpark.sources.genlog import parse_generation_log  # noqa: E402
+
+
+def generation_log_lines(spark, d) -> DataFrame:
+    """Log lines derived from documents: S = text, T = reversed words, H = score + text
+    without every 7th word, plus D/P lines that the parser must drop."""
+    docs = table(spark, d, "documents")
+    w = T.words("text")
+    sid = F.col("doc_id").cast("string")
+    score = F.concat(F.lit("-0."), F.lpad((F.col("n_chars") % 997).cast("string"), 3, "0"))
+    hyp = F.array_join(F.filter(w, lambda x, i: i % 7 != 6), " ")
+    lines = F.array(
+        F.concat(F.lit("H-"), sid, F.lit("\t"), score, F.lit("\t"), hyp),
+        F.concat(F.lit("D-"), sid, F.lit("\t"), score, F.lit("\t"), hyp),
+        F.concat(F.lit("T-"), sid, F.lit("\t"), F.array_join(F.reverse(w), " ")),
+        F.concat(F.lit("P-"), sid, F.lit("\t-0.1 -0.2")),
+        F.concat(F.lit("S-"), sid, F.lit("\t"), F.array_join(w, " ")),
+    )
+    return docs.select(F.explode(lines).alias("value"))
+
+
+_LOG_LINES_SQL = f"""SELECT unnest([
+      'H-' || doc_id || chr(9) || sc || chr(9) || hyp,
+      'D-' || doc_id || chr(9) || sc || chr(9) || hyp,
+      'T-' || doc_id || chr(9) || array_to_string(list_reverse(w), ' '),
+      'P-' || doc_id || chr(9) || '-0.1 -0.2',
+      'S-' || doc_id || chr(9) || array_to_string(w, ' ')]) AS value
+    FROM (SELECT doc_id, w, '-0.' || lpad((n_chars % 997)::VARCHAR, 3, '0') AS sc,
+                 array_to_string(list_filter(w, lambda x, i: (i - 1) % 7 <> 6), ' ') AS hyp
+          FROM (SELECT doc_id, n_chars, {Q.words('text')} AS w FROM documents))"""
+
+
+@register(
+    "generation_log",
+    f"""WITH l AS ({_LOG_LINES_SQL}),
+        t AS (SELECT regexp_extract(value, '^([STH])-([0-9]+)\\t(.*)$', 1) AS tag,
+                     regexp_extract(value, '^([STH])-([0-9]+)\\t(.*)$', 2) AS id,
+                     regexp_extract(value, '^([STH])-([0-9]+)\\t(.*)$', 3) AS body FROM l)
+        SELECT id::BIGINT AS id,
+               max(CASE WHEN tag = 'S' THEN body END) AS src,
+               max(CASE WHEN tag = 'T' THEN body END) AS ref,
+               max(CASE WHEN tag = 'H' THEN regexp_extract(body, '^([^\\t]*)\\t(.*)$', 2) END) AS hyp,
+               max(CASE WHEN tag = 'H' THEN regexp_extract(body, '^([^\\t]*)\\t(.*)$', 1)::DOUBLE END) AS score
+        FROM t WHERE tag <> '' GROUP BY id""",
+)
+def generation_log(spark, d):
+    return parse_generation_log(generation_log_lines(spark, d))
+
+
+# --- P8-P13: text jobs -------------------------------------------------------------------
+
+from transpark.functions import rules as RL  # noqa: E402
+from transpark.operators import text_jobs as TJ  # noqa: E402
+
+
+def _sql_rules(x: str, rules) -> str:
+    for pattern, repl in rules:
+        r = repl.replace("$1", "\\1").replace("$2", "\\2").replace("'", "''")
+        x = f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', '{r}', 'g')"
+    return x
+
+
+def _sql_escape(x: str) -> str:
+    for a, b in RL.ESCAPE:
+        x = f"replace({x}, '{a.replace(chr(39), chr(39) * 2)}', '{b}')"
+    return x
+
+
+def _sql_unescape_basic(x: str) -> str:
+    for a, b in reversed(RL.ESCAPE):
+        x = f"replace({x}, '{b}', '{a.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+@register("normalize_docs", f"SELECT doc_id, {_sql_rules('text', RL.NORMALIZE)} AS text FROM documents")
+def normalize_docs(spark, d):
+    return TJ.normalize_corpus(table(spark, d, "documents"), "text").select("doc_id", "text")
+
+
+_TOK_SQL = _sql_escape(_sql_rules("text", RL.TOKENIZE))
+
+
+@register("tokenize_docs", f"SELECT doc_id, {_TOK_SQL} AS text FROM documents")
+def tokenize_docs(spark, d):
+    return TJ.tokenize_corpus(table(spark, d, "documents"), "text").select("doc_id", "text")
+
+
+@register(
+    "detokenize_docs",
+    f"SELECT doc_id, {_sql_rules(_sql_unescape_basic(_TOK_SQL), RL.DETOKENIZE)} AS text FROM documents",
+)
+def detokenize_docs(spark, d):
+    tok = TJ.tokenize_corpus(table(spark, d, "documents"), "text")
+    return TJ.detokenize_corpus(tok, "text").select("doc_id", "text")
+
+
+@register("join_pieces", f"SELECT doc_id, array_to_string({Q.words('text')}, ' ') AS text FROM documents")
+def join_pieces(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", T.fixed_pieces("text", 3).alias("pieces"))
+    return TJ.join_pieces_corpus(docs, "pieces", out="text").select("doc_id", "text")
+
+
+@register("strip_lines", f"SELECT doc_id, line_no, {Q.strip('line')} AS line FROM ({_LINES_SQL})")
+def strip_lines(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(T.split_lines("text")).alias("line_no", "line"))
+    return TJ.strip_lines(docs.withColumn("line_no", F.col("line_no").cast("long")), "line").select("doc_id", "line_no", "line")
+
+
+def _cp_sql(n: str) -> str:
+    return (
+        f"CASE WHEN ({n}) > 0 AND ({n}) <= 1114111 AND NOT (({n}) >= 55296 AND ({n}) <= 57343) "
+        f"THEN chr(({n})::INTEGER) ELSE chr(65533) END"
+    )
+
+
+def _unescape_pages_sql() -> str:
+    names = sorted(T._NAMED)
+    entries = ", ".join(f"'{k}': '{T._NAMED[k].replace(chr(39), chr(39) * 2)}'" for k in names)
+    r = "refs[i]"
+    dec = (
+        f"CASE WHEN {r} IS NULL THEN '' "
+        f"WHEN lower(substr({r}, 2, 2)) = '#x' THEN {_cp_sql(f'(chr(48) || chr(120) || substr({r}, 4, length({r}) - 4))::BIGINT')} "
+        f"WHEN substr({r}, 2, 1) = '#' THEN {_cp_sql(f'substr({r}, 3, length({r}) - 3)::BIGINT')} "
+        f"ELSE coalesce(m[substr({r}, 2, length({r}) - 2)], {r}) END"
+    )
+    return f"""WITH em AS (SELECT MAP {{{entries}}} AS m),
+        p AS (SELECT page_id, html, string_split_regex(html, '{T.ENTITY}') AS parts,
+                     regexp_extract_all(html, '{T.ENTITY}') AS refs FROM pages)
+        SELECT page_id, CASE WHEN instr(html, '&') > 0
+               THEN array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || ({dec})), '')
+               ELSE html END AS text
+        FROM p, em"""
+
+
+@register("unescape_pages", _unescape_pages_sql())
+def unescape_pages(spark, d):
+    return TJ.unescape_corpus(table(spark, d, "pages"), "html", out="text").select("page_id", "text")
