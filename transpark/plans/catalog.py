@@ -564,3 +564,190 @@ def _unescape_pages_sql() -> str:
 @register("unescape_pages", _unescape_pages_sql())
 def unescape_pages(spark, d):
     return TJ.unescape_corpus(table(spark, d, "pages"), "html", out="text").select("page_id", "text")
+
+
+# --- M1-M3, A8: dataset assembly ---------------------------------------------------------
+
+from transpark.operators import assembly as M  # noqa: E402
+
+
+def _synthetic_pairs(spark, d) -> DataFrame:
+    """Back-translation stand-in from documents: the shortened text plays the model output (hyp)."""
+    docs = table(spark, d, "documents").select(
+        F.col("doc_id").alias("idx"),
+        F.col("text").alias("src"),
+        F.array_join(F.filter(T.words("text"), lambda x, i: i % 7 != 6), " ").alias("hyp"),
+    )
+    return M.swap_roles(docs)
+
+
+def _real_pairs(spark, d) -> DataFrame:
+    pairs = conversation_pairs(spark, d)
+    pairs = dense_index(pairs, ["conv_id", "turn"], name="idx")
+    split = F.when(F.col("conv_id") % 10 == 0, "test").when(F.col("conv_id") % 10 == 1, "dev").otherwise("train")
+    return pairs.select("idx", "src", "tgt", split.alias("split"))
+
+
+_SYN_SQL = f"""SELECT doc_id AS idx, array_to_string(list_filter({Q.words('text')}, lambda x, i: (i - 1) % 7 <> 6), ' ') AS src,
+       text AS tgt FROM documents"""
+_REAL_SQL = f"""SELECT (row_number() OVER (ORDER BY conv_id, turn) - 1)::BIGINT AS idx, src, tgt,
+       CASE WHEN conv_id % 10 = 0 THEN 'test' WHEN conv_id % 10 = 1 THEN 'dev' ELSE 'train' END AS split
+    FROM ({_CONV_PAIRS_SQL})"""
+
+
+@register(
+    "mix_corpora",
+    f"""SELECT origin, (row_number() OVER (ORDER BY o, orig_idx) - 1)::BIGINT AS idx, orig_idx, src, tgt FROM (
+          SELECT 'real' AS origin, 0 AS o, idx AS orig_idx, src, tgt FROM ({_REAL_SQL}) WHERE split = 'train'
+          UNION ALL SELECT 'synthetic', 1, idx, src, tgt FROM ({_SYN_SQL}))""",
+)
+def mix_corpora(spark, d):
+    real = _real_pairs(spark, d).filter(F.col("split") == "train").select("idx", "src", "tgt")
+    syn = _synthetic_pairs(spark, d).select("idx", "src", "tgt")
+    out = M.mix_corpora({"real": real, "synthetic": syn})
+    return out.select("origin", "idx", "orig_idx", "src", "tgt")
+
+
+@register(
+    "with_eval_splits",
+    f"""SELECT 'train' AS split, idx, src, tgt FROM ({_SYN_SQL})
+        UNION ALL SELECT split, idx, src, tgt FROM ({_REAL_SQL}) WHERE split <> 'train'""",
+)
+def with_eval_splits(spark, d):
+    syn = _synthetic_pairs(spark, d).select("idx", "src", "tgt")
+    return M.with_eval_splits(syn, _real_pairs(spark, d)).select("split", "idx", "src", "tgt")
+
+
+@register(
+    "dataset_sizes",
+    f"""SELECT dataset, split, count(*)::BIGINT AS rows FROM (
+          SELECT 'bt' AS dataset, 'train' AS split FROM documents
+          UNION ALL SELECT 'bt', split FROM ({_REAL_SQL}) WHERE split <> 'train'
+          UNION ALL SELECT 'base', split FROM ({_REAL_SQL})) GROUP BY ALL""",
+)
+def dataset_sizes(spark, d):
+    real = _real_pairs(spark, d)
+    bt = M.with_eval_splits(_synthetic_pairs(spark, d).select("idx", "src", "tgt"), real).withColumn("dataset", F.lit("bt"))
+    base = real.withColumn("dataset", F.lit("base"))
+    both = bt.select("dataset", "split").unionByName(base.select("dataset", "split"))
+    return M.dataset_sizes(both)
+
+
+# --- A9-A12: results over many runs (events as a metric log) ----------------------------------
+
+from transpark.operators import runs as RN  # noqa: E402
+
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+def _event_scores(spark, d) -> DataFrame:
+    ev = table(spark, d, "events")
+    return ev.groupBy(F.col("user_id").alias("model"), F.col("event_type").alias("column")).agg(
+        r6(F.avg("value")).alias("mean")
+    )
+
+
+_SCORES_SQL = f"SELECT user_id AS model, event_type AS \"column\", {Q.r6('avg(value)')} AS mean FROM events GROUP BY ALL"
+
+
+@register(
+    "compare_runs",
+    "SELECT model, " + ", ".join(f"max(CASE WHEN \"column\" = '{c}' THEN mean END) AS {c}" for c in EVENT_TYPES)
+    + f" FROM ({_SCORES_SQL}) GROUP BY model",
+)
+def compare_runs(spark, d):
+    return RN.compare_runs(_event_scores(spark, d), EVENT_TYPES).select("model", *EVENT_TYPES)
+
+
+@register(
+    "best_per_column",
+    f"""SELECT model, "column", mean, mean = max(mean) OVER (PARTITION BY "column") AS is_best FROM ({_SCORES_SQL})""",
+)
+def best_per_column(spark, d):
+    return RN.best_per_column(_event_scores(spark, d)).select("model", "column", "mean", "is_best")
+
+
+def _metric_log(spark, d) -> DataFrame:
+    ev = table(spark, d, "events").select(F.col("user_id").alias("run"), "ts", "event_id", "value")
+    return dense_index(ev, ["ts", "event_id"], partition_by=["run"], name="step")
+
+
+_LOG_SQL = """SELECT user_id AS run, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::BIGINT AS step, value
+    FROM events"""
+
+
+@register(
+    "best_checkpoint",
+    f"""SELECT run, step AS best_step, value AS best_value FROM (
+          SELECT *, row_number() OVER (PARTITION BY run ORDER BY value DESC, step) AS r FROM ({_LOG_SQL})) WHERE r = 1""",
+)
+def best_checkpoint(spark, d):
+    return RN.best_checkpoint(_metric_log(spark, d), "run", "step", "value")
+
+
+@register(
+    "early_stop_point",
+    f"""WITH l AS ({_LOG_SQL}),
+        a AS (SELECT *, max(value) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM l),
+        b AS (SELECT *, before IS NULL OR value > before AS imp FROM a),
+        c AS (SELECT *, max(CASE WHEN imp THEN step END) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_imp FROM b),
+        s AS (SELECT run, min(CASE WHEN step - last_imp >= 50 THEN step END) AS stop_step FROM c GROUP BY run),
+        k AS (SELECT l.run, l.step, l.value, s.stop_step FROM l JOIN s USING (run) WHERE s.stop_step IS NULL OR l.step <= s.stop_step)
+        SELECT run, stop_step, step AS best_step, value AS best_value FROM (
+          SELECT *, row_number() OVER (PARTITION BY run ORDER BY value DESC, step) AS r FROM k) WHERE r = 1""",
+)
+def early_stop_point(spark, d):
+    return RN.early_stop_point(_metric_log(spark, d), 50, "run", "step", "value").select(
+        "run", "stop_step", "best_step", "best_value"
+    )
+
+
+# --- U1-U3, A7: pluggable batch functions -----------------------------------------------------
+
+from transpark.operators import udf as U  # noqa: E402
+
+
+@register(
+    "translate_corpus",
+    f"SELECT doc_id, array_to_string(list_reverse({Q.words('text')}), ' ') AS hyp FROM documents",
+)
+def translate_corpus(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return U.translate_corpus(docs, U.reverse_words_translator, "text", "hyp", batch_size=32).select("doc_id", "hyp")
+
+
+@register(
+    "teacher_translate",
+    f"SELECT doc_id, array_to_string(list_reverse({Q.words('text')}), ' ') AS hyp FROM documents",
+)
+def teacher_translate(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return U.teacher_translate(docs, U.escaping_reverse_translator, "text", "hyp", batch_size=100).select("doc_id", "hyp")
+
+
+@register(
+    "segment_score_summary",
+    f"""SELECT lang, {Q.r6('avg(sc) * 100.0::DOUBLE')} AS score_mean, {Q.r6('stddev_samp(sc) * 100.0::DOUBLE')} AS score_std,
+               count(*)::BIGINT AS segments FROM (
+          SELECT lang, CASE WHEN len(list_distinct(r)) = 0 THEN 0.0::DOUBLE
+                 ELSE len(list_intersect(list_distinct(h), list_distinct(r))) / len(list_distinct(r)) END AS sc
+          FROM (SELECT lang, {Q.words('hyp')} AS h, {Q.words('ref')} AS r FROM ({_DOC_PAIRS_SQL})))
+        GROUP BY lang""",
+)
+def segment_score_summary(spark, d):
+    pairs = table(spark, d, "documents").select(
+        "lang",
+        F.col("text").alias("src"),
+        F.array_join(F.filter(T.words("text"), lambda w, i: i % 7 != 6), " ").alias("hyp"),
+        F.col("text").alias("ref"),
+    )
+    scored = U.score_segments(pairs, U.overlap_scorer)
+    out = RN.segment_score_summary(scored, "seg_score", ["lang"])
+    return out.select("lang", r6("score_mean").alias("score_mean"), r6("score_std").alias("score_std"), "segments")
+
+
+@register("shuffle_rows")
+def shuffle_rows(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("idx"))
+    keyed = docs.withColumn("_h", F.xxhash64(F.col("idx"), F.lit(42)))
+    return dense_index(keyed, ["_h", "idx"], name="pos").select("idx", "pos")
