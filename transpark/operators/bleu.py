@@ -49,8 +49,8 @@ def segment_stats(
     keys = list(keys or ["idx"])
     spark = df.sparkSession
     n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seg = df.select(*keys, tokenize_13a(hyp).alias("_th"), tokenize_13a(ref).alias("_tr"))
-    seg = seg.repartition(n_part, *keys)
+    seg = df.select(*keys, hyp, ref).repartition(n_part, *keys)
+    seg = seg.select(*keys, tokenize_13a(hyp).alias("_th"), tokenize_13a(ref).alias("_tr"))
     parts = [F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("g"), F.size("_th").alias("h"), F.size("_tr").alias("r")))]
     for n in range(1, ORDER + 1):
         parts.append(_ngram_structs(F.col("_th"), n, True))

@@ -18,9 +18,10 @@ SPECIALS = ("<s>", "<pad>", "</s>", "<unk>")
 BOS, PAD, EOS, UNK = 0, 1, 2, 3
 IGNORE = -100
 
-# Vocabularies up to this many entries are looked up through a map literal
-# inside the row (no join, no shuffle); larger ones go through a join.
-MAP_LIMIT = 20_000
+# Vocabularies up to this many entries may be looked up through a map literal
+# inside the row when no row key is given (a map lookup scans its keys, so
+# this only suits small tables); otherwise lookups go through a hash join.
+MAP_LIMIT = 256
 
 
 def build_vocab(df: DataFrame, tokens: str, threshold: int = 0, n: int | None = None, specials=SPECIALS) -> DataFrame:
@@ -48,24 +49,36 @@ def _map_literal(pairs) -> Column:
     return F.map_from_arrays(F.array(*[F.lit(k) for k, _ in pairs]), F.array(*[F.lit(v) for _, v in pairs]))
 
 
+def _lookup_by_row(df: DataFrame, arr: Column, table: DataFrame, on: str, value: str, default, key: list[str], out: str):
+    """Per-element lookup of ``arr`` in ``table`` keeping element order.
+
+    Rows are hash-partitioned on ``key`` once; elements are exploded, looked
+    up with a (size-checked) broadcast hash join that keeps that partitioning,
+    and gathered back per row without another shuffle. A row's elements are
+    one row's worth of data, so no group outgrows its row.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seg = df.repartition(n, *key)
+    ex = seg.select(*key, F.posexplode(arr).alias("_pos", on))
+    hit = join_small(ex, table.select(on, F.col(value).alias("_val")), [on], "left")
+    val = F.coalesce(F.col("_val"), F.lit(default)) if default is not None else F.col("_val")
+    packed = hit.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_pos", val.alias("_v")))).alias("_p"))
+    packed = packed.select(*key, F.transform("_p", lambda s_: s_["_v"]).alias(out))
+    return seg.join(packed, key, "left")
+
+
 def encode_ids(
     df: DataFrame, tokens: str, vocab: DataFrame, out: str = "ids", key: list[str] | None = None, unk: int = UNK
 ) -> DataFrame:
-    """Tokens -> ids with ``<unk>`` for unknown tokens. ``key`` (unique row key) is needed
-    only for vocabularies above ``MAP_LIMIT``."""
-    rows = _vocab_rows(vocab)
-    if rows is not None:
+    """Tokens -> ids with ``<unk>`` for unknown tokens. ``key`` is a unique row key."""
+    if not key:
+        rows = _vocab_rows(vocab)
+        if rows is None:
+            raise ValueError("a row key is needed to encode with a vocabulary above MAP_LIMIT entries")
         m = _map_literal([(r["token"], r["id"]) for r in rows if r["token"] not in SPECIALS])
         return df.withColumn(out, F.transform(tokens, lambda t: F.coalesce(F.element_at(m, t), F.lit(unk))))
-    if not key:
-        raise ValueError("a row key is needed to encode with a large vocabulary")
-    ex = df.select(*key, F.posexplode(tokens).alias("_pos", "token"))
-    ids = join_small(ex, vocab.select("token", F.col("id").alias("_id")), ["token"], "left")
-    packed = ids.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_id", F.lit(unk)).alias("_id")))).alias("_p")
-    )
-    packed = packed.select(*key, F.transform("_p", lambda s: s["_id"]).alias(out))
-    res = df.join(packed, key, "left")
+    v = vocab.filter(~F.col("token").isin(*SPECIALS))
+    res = _lookup_by_row(df, F.col(tokens), v, "token", "id", unk, key, out)
     return res.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
 
 
@@ -79,17 +92,14 @@ def decode_ids(
         arr = F.filter(arr, lambda i: i >= F.lit(len(SPECIALS)))
     if vocab is None:
         return df.withColumn(out, F.array_join(F.transform(arr, lambda i: i.cast("string")), " "))
-    rows = _vocab_rows(vocab)
-    if rows is not None:
+    if not key:
+        rows = _vocab_rows(vocab)
+        if rows is None:
+            raise ValueError("a row key is needed to decode with a vocabulary above MAP_LIMIT entries")
         m = _map_literal([(r["id"], r["token"]) for r in rows])
         return df.withColumn(out, F.array_join(F.transform(arr, lambda i: F.element_at(m, i)), " "))
-    if not key:
-        raise ValueError("a row key is needed to decode with a large vocabulary")
-    ex = df.select(*key, F.posexplode(arr).alias("_pos", "_id"))
-    tok = join_small(ex, vocab.select(F.col("id").alias("_id"), "token"), ["_id"], "left")
-    packed = tok.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_pos", "token"))).alias("_p"))
-    packed = packed.select(*key, F.array_join(F.transform("_p", lambda s: s["token"]), " ").alias(out))
-    return df.join(packed, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
+    res = _lookup_by_row(df, arr, vocab.select("id", "token"), "id", "token", None, key, "_toks")
+    return res.withColumn(out, F.coalesce(F.array_join("_toks", " "), F.lit(""))).drop("_toks")
 
 
 def _fit(arr: Column, max_len: int, pad: int, eos: int | None) -> Column:

@@ -18,6 +18,7 @@ from transpark.operators import bleu as B
 from transpark.operators import select as S
 from transpark.operators.numbering import dense_index
 from transpark.plans import oracle_sql as Q
+from transpark.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,7 +35,7 @@ def register(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def r6(c) -> Column:
@@ -165,7 +166,14 @@ def _rounded_bleu(df: DataFrame, keys: list[str]) -> DataFrame:
         SELECT lang, {Q.bleu_cols()}, {', '.join(Q.STATS)} FROM s""",
 )
 def corpus_bleu_by_lang(spark, d):
-    return _rounded_bleu(B.corpus_bleu(_doc_stats(spark, d), ["lang"]), ["lang"])
+    docs = table(spark, d, "documents").select(
+        "doc_id",
+        "lang",
+        F.array_join(F.filter(T.words("text"), lambda w, i: i % 7 != 6), " ").alias("hyp"),
+        F.col("text").alias("ref"),
+    )
+    stats = B.segment_stats(docs, keys=["lang", "doc_id"])
+    return _rounded_bleu(B.corpus_bleu(stats, ["lang"]), ["lang"])
 
 
 @register(
@@ -334,7 +342,7 @@ def encode_ids(spark, d):
 )
 def decode_ids(spark, d):
     enc, vocab = _encoded(spark, d)
-    return V.decode_ids(enc, "ids", vocab, out="text").select("doc_id", "text")
+    return V.decode_ids(enc, "ids", vocab, out="text", key=["doc_id"]).select("doc_id", "text")
 
 
 def _fit_sql(x: str, max_len: int, pad: int) -> str:
@@ -751,3 +759,32 @@ def shuffle_rows(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("idx"))
     keyed = docs.withColumn("_h", F.xxhash64(F.col("idx"), F.lit(42)))
     return dense_index(keyed, ["_h", "idx"], name="pos").select("idx", "pos")
+
+
+# --- F2, F4: compositions ---------------------------------------------------------------------
+
+from transpark.plans import workflows as WF  # noqa: E402
+
+
+@register(
+    "back_translate",
+    f"""SELECT 'train' AS split, doc_id AS idx, array_to_string(list_reverse({Q.words('text')}), ' ') AS src, text AS tgt FROM documents
+        UNION ALL SELECT split, idx, src, tgt FROM ({_REAL_SQL}) WHERE split <> 'train'""",
+)
+def back_translate(spark, d):
+    mono = table(spark, d, "documents").select(F.col("doc_id").alias("idx"), "text")
+    out = WF.back_translate(mono, U.reverse_words_translator, base=_real_pairs(spark, d))
+    return out.select("split", "idx", "src", "tgt")
+
+
+@register(
+    "evaluate_runs",
+    f"""{_BATCH_SCORES},
+        c AS (SELECT lang, {Q.r6(Q.bleu_raw())} AS test_bleu FROM (SELECT lang, {Q.sums()} FROM seg GROUP BY lang)),
+        m AS (SELECT lang, {Q.r6('avg(bleu)')} AS test_bleu_b32 FROM b GROUP BY lang)
+        SELECT lang AS model, test_bleu, test_bleu_b32 FROM c JOIN m USING (lang)""",
+)
+def evaluate_runs(spark, d):
+    segs = doc_pairs(spark, d).select(F.col("lang").alias("run"), "idx", F.col("ref").alias("src"), "ref", "hyp")
+    res = WF.evaluate_runs(segs, 32)
+    return res["table"].select("model", r6("test_bleu").alias("test_bleu"), r6("test_bleu_b32").alias("test_bleu_b32"))

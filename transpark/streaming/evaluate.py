@@ -1,0 +1,58 @@
+"""Run evaluation while generation logs arrive (Structured Streaming form of S5 + A2/A3).
+
+Generation-log files land in a folder, one or more per run (the file's parent
+folder names the run). Every micro-batch folds its S/T/H lines, computes BLEU
+sufficient statistics per run and appends them to a Parquet table keyed by
+micro-batch id (an idempotent write: a replayed batch overwrites its own
+partition). Statistics are sums, so the corpus score at any moment is
+``corpus_bleu`` over everything written so far.
+
+A file is read whole inside one micro-batch, so the S, T and H lines of one
+sentence never straddle batches when a log is written as one file.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from transpark.operators import bleu as B
+from transpark.sources.genlog import LINE
+
+
+def _fold(batch: DataFrame) -> DataFrame:
+    tagged = batch.select(
+        F.element_at(F.split(F.col("file"), "/"), -2).alias("run"),
+        F.regexp_extract("value", LINE, 1).alias("tag"),
+        F.regexp_extract("value", LINE, 2).cast("long").alias("id"),
+        F.regexp_extract("value", LINE, 3).alias("body"),
+    ).filter(F.col("tag") != "")
+    return tagged.groupBy("run", "id").agg(
+        F.max(F.when(F.col("tag") == "T", F.col("body"))).alias("ref"),
+        F.max(F.when(F.col("tag") == "H", F.regexp_extract("body", r"^([^\t]*)\t(.*)$", 2))).alias("hyp"),
+    )
+
+
+def start_log_evaluation(spark: SparkSession, log_dir: str, stats_dir: str, checkpoint: str, trigger_once: bool = False):
+    """Start the stream; returns the StreamingQuery."""
+    lines = (
+        spark.readStream.format("text")
+        .option("recursiveFileLookup", "true")
+        .load(log_dir)
+        .withColumn("file", F.col("_metadata.file_path"))
+    )
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        seg = _fold(batch).filter(F.col("hyp").isNotNull() & F.col("ref").isNotNull())
+        stats = B.segment_stats(seg, keys=["run", "id"])
+        sums = stats.groupBy("run").agg(*B.sum_stats()).withColumn("batch_id", F.lit(batch_id))
+        sums.write.mode("overwrite").parquet(f"{stats_dir.rstrip('/')}/batch_id={batch_id}")
+
+    w = lines.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if trigger_once else w
+    return w.start()
+
+
+def current_scores(spark: SparkSession, stats_dir: str) -> DataFrame:
+    """Corpus BLEU per run over all micro-batches written so far."""
+    return B.corpus_bleu(spark.read.parquet(stats_dir), ["run"])
