@@ -40,11 +40,9 @@ def read_lines(spark: SparkSession, path, strict_splitlines: bool = False) -> Da
     )
     if strict_splitlines:
         extra = r"[\x{b}\x{c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
+        # every text line is followed by a newline, so each piece is a line of its own
+        # (a file ending in one of these separators without a final newline gets one extra empty line)
         parts = out.select("file", "idx", F.posexplode(F.split("text", extra, -1)).alias("_k", "text"))
-        # a line ending in a separator gives no extra empty line in splitlines
-        parts = parts.withColumn("_last", F.max("_k").over(Window.partitionBy("file", "idx"))).filter(
-            ~((F.col("_k") == F.col("_last")) & (F.col("_k") > 0) & (F.col("text") == ""))
-        )
         from transpark.operators.numbering import dense_index
 
         out = dense_index(parts.select("file", "idx", "_k", "text"), ["idx", "_k"], partition_by=["file"], name="_new")
