@@ -23,15 +23,14 @@ ORDER = 4
 
 
 def _ngram_structs(tok: Column, n: int, on_hyp: bool) -> Column:
+    h, r = (1, 0) if on_hyp else (0, 1)
+    mk = lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(h).alias("h"), F.lit(r).alias("r"))
+    if n == 1:
+        return F.transform(tok, mk)
     cnt = F.size(tok) - F.lit(n - 1)
     starts = F.when(cnt > 0, F.sequence(F.lit(1), cnt)).otherwise(F.array().cast("array<int>"))
-    h, r = (1, 0) if on_hyp else (0, 1)
-    return F.transform(
-        starts,
-        lambda i: F.struct(
-            F.lit(n).alias("n"), F.array_join(F.slice(tok, i, n), " ").alias("g"), F.lit(h).alias("h"), F.lit(r).alias("r")
-        ),
-    )
+    # tokens never hold blanks, so blank-joined tokens identify the n-gram exactly
+    return F.transform(starts, lambda i: mk(F.concat_ws(" ", *[F.element_at(tok, i + k) for k in range(n)])))
 
 
 def segment_stats(

@@ -1,25 +1,50 @@
 """Parquet tables with enough scan parallelism for per-row text work.
 
-A Parquet file is split at row-group boundaries; a file written as one row
-group is read by one task however large it is. When a scan yields fewer
-partitions than the cluster has cores, the rows are spread round-robin once
-right after the scan (Spark sorts before a round-robin repartition, so a
-retried task gets the same rows). On real inputs with many files or row
-groups this is a no-op.
+A Parquet file is split at row-group boundaries, so a file written as one
+row group is read by one task however large it is. Spreading it with a
+shuffle after the scan does not help much: Catalyst pushes filters (and the
+expressions they use) below the shuffle, back into the single scan task.
+Instead such an input is re-laid once per session as several files under the
+checkpoint folder; scans then run in parallel and predicates still reach the
+Parquet reader. Inputs that already have as many splits as the cluster has
+cores (every real large input) are read as they are.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from transpark.session import checkpoint_dir
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+_RELAID: dict[tuple, str] = {}
+
+
+def _fingerprint(path: str):
+    try:
+        st = os.stat(path)
+        return (st.st_size, st.st_mtime_ns)
+    except OSError:
+        return None
 
 
 def read_table(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
-    return spread(spark.read.parquet(path), min_partitions)
+    df = spark.read.parquet(path)
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    key = (spark.sparkContext.applicationId, path, want, _fingerprint(path))
+    target = _RELAID.get(key)
+    if target is None:
+        target = f"{checkpoint_dir(spark).rstrip('/')}/tp-relaid-{uuid.uuid4().hex}"
+        df.repartition(want).write.parquet(target)
+        _RELAID[key] = target
+    return spark.read.parquet(target)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin spread of an in-flight DataFrame with too few partitions."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
