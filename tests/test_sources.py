@@ -81,6 +81,9 @@ def test_generation_log(spark, tmpdir_path):
     _write(p, lines)
     got = natural_order(read_generation_log(spark, p)).collect()
     assert [r.id for r in got] == [3, 7, 10, 12]
+    _write(os.path.join(tmpdir_path, "gen2.out"), ["S-3\tother", "H-3\t-1.0\tx"])
+    both = read_generation_log(spark, [p, os.path.join(tmpdir_path, "gen2.out")])
+    assert both.count() == 5 and both.filter("id = 3").count() == 2
     assert got[0].src == "src 3" and got[0].ref == "ref 3" and got[0].hyp == "hyp 3" and got[0].score == pytest.approx(-0.3)
 
 

@@ -14,15 +14,18 @@ LINE = r"^([STH])-([0-9]+)\t(.*)$"
 HYP_BODY = r"^([^\t]*)\t(.*)$"
 
 
-def parse_generation_log(df: DataFrame, col: str = "value") -> DataFrame:
-    """``id LONG, src, ref, hyp STRING, score DOUBLE`` ordered by numeric id."""
+def parse_generation_log(df: DataFrame, col: str = "value", keys: list[str] | None = None) -> DataFrame:
+    """``keys..., id LONG, src, ref, hyp STRING, score DOUBLE``; ``keys`` name the log a line
+    came from (ids restart in every log)."""
+    keys = list(keys or [])
     tagged = df.select(
+        *keys,
         F.regexp_extract(col, LINE, 1).alias("tag"),
         F.regexp_extract(col, LINE, 2).alias("id"),
         F.regexp_extract(col, LINE, 3).alias("body"),
     ).filter(F.col("tag") != "")
     tagged = tagged.withColumn("id", F.col("id").cast("long"))
-    folded = tagged.groupBy("id").agg(
+    folded = tagged.groupBy(*keys, "id").agg(
         F.max(F.when(F.col("tag") == "S", F.col("body"))).alias("src"),
         F.max(F.when(F.col("tag") == "T", F.col("body"))).alias("ref"),
         F.max(F.when(F.col("tag") == "H", F.regexp_extract("body", HYP_BODY, 2))).alias("hyp"),
@@ -32,5 +35,7 @@ def parse_generation_log(df: DataFrame, col: str = "value") -> DataFrame:
 
 
 def read_generation_log(spark: SparkSession, path) -> DataFrame:
-    """Read log files and fold them; sort with ``natural_order`` only when exporting."""
-    return parse_generation_log(spark.read.text(path))
+    """Read log files and fold them per file (column ``log``); sort with ``natural_order``
+    only when exporting."""
+    lines = spark.read.text(path).withColumn("log", F.col("_metadata.file_path"))
+    return parse_generation_log(lines, keys=["log"])
