@@ -37,7 +37,9 @@ def dense_index(
     """Add ``name`` = rank of the row in ``order_by`` order (0-based + ``start``).
 
     With ``partition_by`` the numbering restarts for every group. The order key
-    must be total (unique) for the result to be deterministic.
+    must be total (unique) for the result to be deterministic. The input is
+    evaluated twice (range bounds are sampled from it), so an expensive input
+    should be materialized first.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)

@@ -18,6 +18,7 @@ from transpark.operators import bleu as B
 from transpark.operators import select as S
 from transpark.operators.numbering import dense_index
 from transpark.plans import oracle_sql as Q
+from transpark.session import materialize
 from transpark.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,7 +153,16 @@ _DOC_PAIRS_SQL = f"""SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY
 
 
 def _doc_stats(spark, d) -> DataFrame:
-    return B.segment_stats(doc_pairs(spark, d), keys=["lang", "idx"])
+    """Segment statistics keyed by (lang, doc_id), then numbered densely per language.
+    Numbering the narrow statistics rows avoids carrying the text through the numbering."""
+    docs = table(spark, d, "documents").select(
+        "doc_id",
+        "lang",
+        F.array_join(F.filter(T.words("text"), lambda w, i: i % 7 != 6), " ").alias("hyp"),
+        F.col("text").alias("ref"),
+    )
+    stats = materialize(B.segment_stats(docs, keys=["lang", "doc_id"]), "docstats")
+    return dense_index(stats, ["doc_id"], partition_by=["lang"], name="idx")
 
 
 def _rounded_bleu(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -247,12 +257,14 @@ def q_conversation_pairs(spark, d):
     return conversation_pairs(spark, d).select("conv_id", "turn", "src", "tgt")
 
 
-def _conv_stats(spark, d) -> DataFrame:
+def _conv_stats(spark, d, numbered: bool = True) -> DataFrame:
     pairs = conversation_pairs(spark, d).select(
         "conv_id", "turn", F.col("src").alias("hyp"), F.col("tgt").alias("ref"), F.lit("conv").alias("run")
     )
-    pairs = dense_index(pairs, ["conv_id", "turn"], name="idx")
-    return B.segment_stats(pairs, keys=["run", "idx"])
+    stats = B.segment_stats(pairs, keys=["run", "conv_id", "turn"])
+    if not numbered:
+        return stats
+    return dense_index(materialize(stats, "convstats"), ["conv_id", "turn"], partition_by=["run"], name="idx")
 
 
 _CONV_BLEU_PAIRS = f"""SELECT 'conv' AS run, (row_number() OVER (ORDER BY conv_id, turn) - 1)::BIGINT AS idx, src AS hyp, tgt AS ref
@@ -266,7 +278,7 @@ _CONV_BLEU_PAIRS = f"""SELECT 'conv' AS run, (row_number() OVER (ORDER BY conv_i
         SELECT run, {Q.bleu_cols()}, {', '.join(Q.STATS)} FROM s""",
 )
 def conversation_bleu(spark, d):
-    return _rounded_bleu(B.corpus_bleu(_conv_stats(spark, d), ["run"]), ["run"])
+    return _rounded_bleu(B.corpus_bleu(_conv_stats(spark, d, numbered=False), ["run"]), ["run"])
 
 
 @register(
@@ -786,5 +798,35 @@ def back_translate(spark, d):
 )
 def evaluate_runs(spark, d):
     segs = doc_pairs(spark, d).select(F.col("lang").alias("run"), "idx", F.col("ref").alias("src"), "ref", "hyp")
+    # (the run segments arrive numbered, as stored outputs are)
     res = WF.evaluate_runs(segs, 32)
     return res["table"].select("model", r6("test_bleu").alias("test_bleu"), r6("test_bleu_b32").alias("test_bleu_b32"))
+
+
+# --- F1: corpus preparation -----------------------------------------------------------------------
+
+
+def _prep_col_sql(col: str) -> str:
+    return _sql_escape(_sql_rules(_sql_rules(col, RL.NORMALIZE), RL.TOKENIZE))
+
+
+@register(
+    "prepare_corpus",
+    f"""WITH p AS (SELECT (row_number() OVER (ORDER BY conv_id, turn) - 1)::BIGINT AS idx,
+                          {_prep_col_sql('src')} AS src_tok, {_prep_col_sql('tgt')} AS tgt_tok FROM ({_CONV_PAIRS_SQL})),
+        w AS (SELECT idx, src_tok, tgt_tok, {Q.words('src_tok')} AS sw, {Q.words('tgt_tok')} AS tw FROM p),
+        vs AS (SELECT map_from_entries(list((token, id))) AS m FROM (
+                 SELECT token, (row_number() OVER (ORDER BY cnt DESC, token) + 3)::INTEGER AS id FROM (
+                   SELECT token, count(*) AS cnt FROM (SELECT unnest(sw) AS token FROM w) GROUP BY token))),
+        vt AS (SELECT map_from_entries(list((token, id))) AS m FROM (
+                 SELECT token, (row_number() OVER (ORDER BY cnt DESC, token) + 3)::INTEGER AS id FROM (
+                   SELECT token, count(*) AS cnt FROM (SELECT unnest(tw) AS token FROM w) GROUP BY token)))
+        SELECT idx, src_tok, tgt_tok,
+               array_to_string(list_transform(sw, lambda x: vs.m[x]), ' ') AS src_ids,
+               array_to_string(list_transform(tw, lambda x: vt.m[x]), ' ') AS tgt_ids
+        FROM w, vs, vt""",
+)
+def prepare_corpus(spark, d):
+    pairs = dense_index(conversation_pairs(spark, d), ["conv_id", "turn"], name="idx").select("idx", "src", "tgt")
+    out, _ = WF.prepare_corpus(pairs, key=["idx"])
+    return out.select("idx", "src_tok", "tgt_tok", _ids_text("src_ids").alias("src_ids"), _ids_text("tgt_ids").alias("tgt_ids"))

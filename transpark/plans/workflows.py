@@ -43,10 +43,13 @@ def prepare_corpus(
         tok = R.tokenize(R.normalize(c), dash_split, escape)
         out = out.withColumn(f"{c}_tok", tok)
         pieces = piece_encoder(F.col(f"{c}_tok")) if piece_encoder else F.col(f"{c}_tok")
-        out = out.withColumn(f"{c}_pieces", pieces).withColumn("_pt", T.words(f"{c}_pieces"))
+        out = out.withColumn(f"{c}_pieces", pieces).withColumn(f"_pt_{c}", T.words(f"{c}_pieces"))
+    # text layers are computed once; vocabularies and ids read the written table
+    out = materialize(out, "prepared")
+    for c in cols:
         if c not in vocab:
-            vocab[c] = V.build_vocab(out.select("_pt"), "_pt")
-        out = V.encode_ids(out, "_pt", vocab[c], out=f"{c}_ids", key=key).drop("_pt")
+            vocab[c] = V.build_vocab(out.select(f"_pt_{c}"), f"_pt_{c}")
+        out = V.encode_ids(out, f"_pt_{c}", vocab[c], out=f"{c}_ids", key=key).drop(f"_pt_{c}")
     return out, vocab
 
 
