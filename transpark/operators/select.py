@@ -8,9 +8,10 @@ descending, ties in input order (``idx`` ascending), keep the first
 The cut is found without sorting the corpus: a histogram over distinct scores
 gives the cut score and the quota among its ties; then the ``idx`` of the
 quota-th tied row is found by repeated bucket histograms over the idx range
-(each pass divides the range by ``BUCKETS``). Every pass is a partial
-aggregation over a narrow (group, idx, score) table written once; the final
-selection is a plain filter on the original rows.
+(each pass divides the range by ``BUCKETS``). Only when such passes are
+needed are the tied rows written once as a narrow (group, fraction, idx)
+table; every pass is a partial aggregation over it. The final selection is
+a plain filter on the original rows.
 """
 
 from __future__ import annotations
@@ -42,7 +43,6 @@ def fraction_cuts(
     narrow = df.select(*user_by, F.col(idx).alias("_i"), F.col(score).cast("double").alias("_s"))
     if not user_by:
         narrow = narrow.withColumn("_g", F.lit(0))
-    narrow = materialize(narrow, "scores")
     fr = F.array(*[F.struct(F.lit(i).alias("_f"), F.lit(float(f)).alias("_fv")) for i, f in enumerate(fractions)])
 
     hist = narrow.groupBy(*by, "_s").agg(F.count("*").alias("_c"), F.min("_i").alias("_lo"), F.max("_i").alias("_hi"))
@@ -74,12 +74,17 @@ def fraction_cuts(
     cuts = cuts.checkpoint(eager=True)
 
     keys = [*by, "_f"]
+    ties_all = None
     while cuts.filter(F.col("idx_cut").isNull()).limit(1).count() > 0:
         open_ = cuts.filter(F.col("idx_cut").isNull()).withColumn(
             "_b", F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.lit(BUCKETS))).cast("long")
         )
-        ties = join_small(narrow, open_.select(*by, "_f", "s_cut", "_lo", "_hi", "_b"), by)
-        ties = ties.filter(F.col("_s").eqNullSafe(F.col("s_cut")) & F.col("_i").between(F.col("_lo"), F.col("_hi")))
+        if ties_all is None:
+            # only the rows tied at an unresolved cut are needed from here on: write them once
+            t = join_small(narrow, open_.select(*by, "_f", "s_cut"), by)
+            ties_all = materialize(t.filter(F.col("_s").eqNullSafe(F.col("s_cut"))).select(*keys, "_i"), "ties")
+        ties = join_small(ties_all, open_.select(*keys, "_lo", "_hi", "_b"), keys)
+        ties = ties.filter(F.col("_i").between(F.col("_lo"), F.col("_hi")))
         bh = ties.groupBy(*keys, ((F.col("_i") - F.col("_lo")) / F.col("_b")).cast("long").alias("_bk")).agg(
             F.count("*").alias("_bc"), F.min("_i").alias("_blo"), F.max("_i").alias("_bhi")
         )
