@@ -66,3 +66,19 @@ def test_unescape_and_pieces(spark):
     assert pieces == "Hello world"
     fp = spark.createDataFrame([("abcdefg hi",)], "s STRING").select(T.fixed_pieces("s", 3).alias("p")).first().p
     assert fp == "▁ab cde fg ▁hi"
+
+
+def test_rule_tokenizer_and_detokenizer(spark):
+    from transpark.functions import rules as R
+
+    cases = [
+        ("The disk is full. Please free space (about 5-10 MB) now.", "The disk is full . Please free space ( about 5 @-@ 10 MB ) now ."),
+        ("Call window. focus() and the user's name", "Call window. focus ( ) and the user &apos;s name"),
+        ("Made by A. B. Smith Corp.", "Made by A. B. Smith Corp ."),
+        ("A \"quoted\" word, 1,000 items...", "A &quot; quoted &quot; word , 1,000 items ..."),
+    ]
+    df = spark.createDataFrame([(a,) for a, _ in cases], "s STRING")
+    got = [r.t for r in df.select(R.tokenize(R.normalize("s")).alias("t")).collect()]
+    assert got == [b for _, b in cases]
+    back = spark.createDataFrame([("The disk is full . Use %1 ( see &quot; help &quot; ) .",)], "t STRING")
+    assert back.select(R.detokenize("t").alias("d")).first().d == 'The disk is full. Use %1 (see "help").'

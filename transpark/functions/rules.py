@@ -28,31 +28,63 @@ NORMALIZE = [
     (r"^ | $", ""),
 ]
 
-# Tokenisation, in order (before escaping).
+# Tokenisation, in order (before escaping). ``{APOS}`` is
+# replaced by the apostrophe rules of the language.
 TOKENIZE = [
     (WS_RUN, " "),
     (r"^ | $", ""),
-    (r"([^\p{L}\p{N}\s\.'\,\-])", " $1 "),  # split off every other symbol
-    (r"([\p{L}\p{N}])-([\p{L}\p{N}])", "$1 @-@ $2"),  # aggressive hyphen split (twice: runs overlap)
-    (r"([\p{L}\p{N}])-([\p{L}\p{N}])", "$1 @-@ $2"),
-    (r"([^\p{N}]),", "$1 , "),
-    (r",([^\p{N}])", " , $1"),
-    (r"([\p{L}])'([\p{L}])", "$1 '$2"),  # contraction: keep the apostrophe on the second part
-    (r"([^\p{L}])'", "$1 ' "),
-    (r"'([^\p{L}])", " ' $1"),
-    (r"\.([^\p{L}\p{N}]*)$", " .$1"),  # sentence-final period
+    (r"([^\p{L}\p{Nd}\s\.'\,\-])", " $1 "),  # split off every other symbol
+    (r"([\p{L}\p{Nd}])-([\p{L}\p{Nd}])", "$1 @-@ $2"),  # aggressive hyphen split (twice: runs overlap)
+    (r"([\p{L}\p{Nd}])-([\p{L}\p{Nd}])", "$1 @-@ $2"),
+    (r"([^\p{Nd}]),", "$1 , "),
+    (r",([^\p{Nd}])", " , $1"),
+    ("{APOS}", ""),
     (r"(\.\.+)", " $1 "),
     (WS_RUN, " "),
     (r"^ | $", ""),
+    # a word-final period is split off unless the next word starts in lower case,
+    # the word is a single capital (an initial) or holds another period (an acronym)
+    (r"(^| )([^ .]{2,}|[^ .\p{Lu}])\.( [^\p{Ll} ]|$)", "$1$2 .$3"),
+    (r"(^| )([^ .]{2,}|[^ .\p{Lu}])\.( [^\p{Ll} ]|$)", "$1$2 .$3"),
+    (WS_RUN, " "),
+    (r"^ | $", ""),
 ]
 
+# Apostrophe rules for English (in order); other languages split every apostrophe off.
+APOSTROPHE = {
+    "en": [
+        (r"([^\p{L}])'([^\p{L}])", "$1 ' $2"),
+        (r"([^\p{L}\p{Nd}])'([\p{L}])", "$1 ' $2"),
+        (r"([\p{L}])'([^\p{L}])", "$1 ' $2"),
+        (r"([\p{L}])'([\p{L}])", "$1 '$2"),
+        (r"([\p{Nd}])'(s)", "$1 '$2"),
+    ],
+    "other": [(r"'", " ' ")],
+}
+
+
+def tokenize_rules(lang: str = "en", dash_split: bool = True):
+    out = []
+    for pattern, repl in TOKENIZE:
+        if pattern == "{APOS}":
+            out.extend(APOSTROPHE.get(lang, APOSTROPHE["other"]))
+        elif dash_split or "@-@" not in repl:
+            out.append((pattern, repl))
+    return out
+
+
 # XML escaping after tokenisation ('&' first).
 ESCAPE = [("&", "&amp;"), ("|", "&#124;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&apos;"), ('"', "&quot;"), ("[", "&#91;"), ("]", "&#93;")]
 
 # Detokenisation, in order (after un-escaping).
 DETOKENIZE = [
     (r" @-@ ", "-"),
-    (r" ([\.\,\!\?\:\;\%\)\]\}])", "$1"),
+    (r"% ([\p{Nd}])", "%$1"),  # placeholders like %1
+    (r"([\p{Nd}]) %", "$1%"),
+    (r" \( \)", "()"),
+    (r"([\p{L}\p{Nd}]) \+ \+", "$1++"),
+    (r"\" ([^\"]*) \"", "\"$1\""),  # a quoted span hugs its quotes
+    (r" ([\.\,\!\?\:\;\)\]\}])", "$1"),
     (r"([\(\[\{\$]) ", "$1"),
     (r" '([\p{L}])", "'$1"),
     (WS_RUN, " "),
@@ -85,9 +117,8 @@ def normalize(col) -> Column:
     return apply_rules(col, NORMALIZE)
 
 
-def tokenize(col, dash_split: bool = True, xml_escape: bool = True) -> Column:
-    rules = TOKENIZE if dash_split else [r for r in TOKENIZE if "@-@" not in r[1]]
-    c = apply_rules(col, rules)
+def tokenize(col, dash_split: bool = True, xml_escape: bool = True, lang: str = "en") -> Column:
+    c = apply_rules(col, tokenize_rules(lang, dash_split))
     return escape(c) if xml_escape else c
 
 

@@ -69,9 +69,11 @@ def normalize_corpus(df: DataFrame, col: str = "text", out: str | None = None, r
     return _text_job(df, col, R.normalize(col), out, report_by)
 
 
-def tokenize_corpus(df: DataFrame, col: str = "text", out: str | None = None, dash_split=True, escape=True, report_by=None):
+def tokenize_corpus(
+    df: DataFrame, col: str = "text", out: str | None = None, dash_split=True, escape=True, report_by=None, lang: str = "en"
+):
     """Rule tokenisation with optional aggressive hyphen split and XML escaping."""
-    return _text_job(df, col, R.tokenize(col, dash_split, escape), out, report_by)
+    return _text_job(df, col, R.tokenize(col, dash_split, escape, lang), out, report_by)
 
 
 def detokenize_corpus(df: DataFrame, col: str = "text", out: str | None = None, report_by=None):

@@ -8,6 +8,7 @@ operations (``floor(x * 1e6 + 0.5) / 1e6``).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -504,7 +505,7 @@ from transpark.operators import text_jobs as TJ  # noqa: E402
 
 def _sql_rules(x: str, rules) -> str:
     for pattern, repl in rules:
-        r = repl.replace("$1", "\\1").replace("$2", "\\2").replace("'", "''")
+        r = re.sub(r"\$([0-9])", r"\\\1", repl).replace("'", "''")
         x = f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', '{r}', 'g')"
     return x
 
@@ -526,7 +527,7 @@ def normalize_docs(spark, d):
     return TJ.normalize_corpus(table(spark, d, "documents"), "text").select("doc_id", "text")
 
 
-_TOK_SQL = _sql_escape(_sql_rules("text", RL.TOKENIZE))
+_TOK_SQL = _sql_escape(_sql_rules("text", RL.tokenize_rules("en")))
 
 
 @register("tokenize_docs", f"SELECT doc_id, {_TOK_SQL} AS text FROM documents")
@@ -807,7 +808,7 @@ def evaluate_runs(spark, d):
 
 
 def _prep_col_sql(col: str) -> str:
-    return _sql_escape(_sql_rules(_sql_rules(col, RL.NORMALIZE), RL.TOKENIZE))
+    return _sql_escape(_sql_rules(_sql_rules(col, RL.NORMALIZE), RL.tokenize_rules("en")))
 
 
 @register(

@@ -32,6 +32,7 @@ def prepare_corpus(
     piece_encoder: Callable | None = None,
     dash_split: bool = True,
     escape: bool = True,
+    langs: dict[str, str] | None = None,
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """for each text column add ``<col>_tok`` (normalised, tokenised), ``<col>_pieces``
     (from ``piece_encoder``, a Column -> Column function; default: the tokens) and ``<col>_ids``.
@@ -40,7 +41,7 @@ def prepare_corpus(
     vocab = dict(vocab or {})
     out = df
     for c in cols:
-        tok = R.tokenize(R.normalize(c), dash_split, escape)
+        tok = R.tokenize(R.normalize(c), dash_split, escape, (langs or {}).get(c, "en"))
         out = out.withColumn(f"{c}_tok", tok)
         pieces = piece_encoder(F.col(f"{c}_tok")) if piece_encoder else F.col(f"{c}_tok")
         out = out.withColumn(f"{c}_pieces", pieces).withColumn(f"_pt_{c}", T.words(f"{c}_pieces"))
