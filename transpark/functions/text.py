@@ -117,11 +117,12 @@ def unescape(col) -> Column:
         is_dec = (F.substring(body, 1, 1) == "#") & ~is_hex
         hex_num = F.conv(F.substring(body, 3, 16), 16, 10).cast("long")
         dec_num = F.substring(body, 2, 16).cast("long")
-        named = F.element_at(names, body)
+        # the common XML names first; a map lookup scans the whole name table
+        common = F.when(body == "amp", "&").when(body == "lt", "<").when(body == "gt", ">").when(body == "quot", '"')
         return (
             F.when(is_hex, _codepoint_char(hex_num))
             .when(is_dec, _codepoint_char(dec_num))
-            .otherwise(F.coalesce(named, r))
+            .otherwise(F.coalesce(common, F.element_at(names, body), r))
         )
 
     decoded = F.transform(refs, decode_ref)
