@@ -23,6 +23,10 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+SPARK_TYPES = {"bigint": "int64", "int": "int32", "double": "float64", "string": "str", "boolean": "bool"}
+DUCK_TYPES = {"BIGINT": "int64", "INTEGER": "int32", "DOUBLE": "float64", "VARCHAR": "str", "BOOLEAN": "bool"}
+
+
 def _norm(v):
     if v is None:
         return None
@@ -57,6 +61,7 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
         try:
             sdf = qs[name](spark, sf_dir)
             s_cols = sdf.columns
+            s_types = {f.name: SPARK_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
             s_rows = [tuple(r) for r in sdf.collect()]
         except Exception as e:  # noqa: BLE001
             results[name] = f"spark error: {e}"[:400]
@@ -70,12 +75,15 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
         try:
             rel = con.sql(sqls[name])
             d_cols = rel.columns
+            d_types = {c: DUCK_TYPES.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
             d_rows = rel.fetchall()
         except Exception as e:  # noqa: BLE001
             results[name] = f"duckdb error: {e}"[:400]
             print(name, results[name], flush=True)
             continue
         ok_cols = sorted(s_cols) == sorted(d_cols)
+        if ok_cols and s_types != d_types:
+            print(f"  {name}: TYPE DIFF", {c: (s_types[c], d_types[c]) for c in s_types if s_types[c] != d_types.get(c)})
         hs, ks = rows_digest(s_cols, s_rows)
         hd, kd = rows_digest(d_cols, d_rows)
         ok = ok_cols and len(s_rows) == len(d_rows) and hs == hd

@@ -24,12 +24,12 @@ def parse_generation_log(df: DataFrame, col: str = "value", keys: list[str] | No
         F.regexp_extract(col, LINE, 2).alias("id"),
         F.regexp_extract(col, LINE, 3).alias("body"),
     ).filter(F.col("tag") != "")
-    tagged = tagged.withColumn("id", F.col("id").cast("long"))
+    tagged = tagged.withColumn("id", F.col("id").try_cast("long"))
     folded = tagged.groupBy(*keys, "id").agg(
         F.max(F.when(F.col("tag") == "S", F.col("body"))).alias("src"),
         F.max(F.when(F.col("tag") == "T", F.col("body"))).alias("ref"),
         F.max(F.when(F.col("tag") == "H", F.regexp_extract("body", HYP_BODY, 2))).alias("hyp"),
-        F.max(F.when(F.col("tag") == "H", F.regexp_extract("body", HYP_BODY, 1).cast("double"))).alias("score"),
+        F.max(F.when(F.col("tag") == "H", F.regexp_extract("body", HYP_BODY, 1).try_cast("double"))).alias("score"),
     )
     return folded
 
