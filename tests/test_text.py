@@ -82,3 +82,15 @@ def test_rule_tokenizer_and_detokenizer(spark):
     assert got == [b for _, b in cases]
     back = spark.createDataFrame([("The disk is full . Use %1 ( see &quot; help &quot; ) .",)], "t STRING")
     assert back.select(R.detokenize("t").alias("d")).first().d == 'The disk is full. Use %1 (see "help").'
+
+
+def test_unescape_matches_python(spark):
+    cases = [
+        "&amp &ampx; &#65 &#x41; &#0; &#128; &#1; &#xD800; &#99999999; &#0000065; &copy2017 &notit; &notin; &zz; &",
+        "a&lt;b&gt;c &AElig; &#x1F600; &#xfffe; &#13; tail&amp",
+        "no refs at all",
+        "&;&#;&#x;",
+    ]
+    df = spark.createDataFrame([(c,) for c in cases], "s STRING")
+    got = [r.u for r in df.select(T.unescape("s").alias("u")).collect()]
+    assert got == [html.unescape(c) for c in cases]

@@ -79,50 +79,77 @@ def split_lines(col) -> Column:
 
 
 # --- HTML unescape -----------------------------------------------------------
-
-# Named references come from the HTML5 table of Python's standard library;
-# only the ';'-terminated names are used.
-_NAMED = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")}
-ENTITY = r"&(#[0-9]{1,7};|#[xX][0-9a-fA-F]{1,6};|[A-Za-z][A-Za-z0-9]{0,31};)"
-
-
-def _entity_map() -> Column:
-    keys = sorted(_NAMED)
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.lit(_NAMED[k]) for k in keys]))
+# Same result as Python's ``html.unescape``. Its tables (HTML5 names, the
+# remapped numeric references, the dropped code points) are read from
+# Python's standard library at import, not restated here.
+
+_HTML5 = dict(html.entities.html5)
+_LEGACY = {k: v for k, v in _HTML5.items() if not k.endswith(";")}  # names valid without ';'
+_LEGACY_MAX = max(len(k) for k in _LEGACY)
+_REMAPPED = dict(html._invalid_charrefs)  # type: ignore[attr-defined]
+_DROPPED = sorted(html._invalid_codepoints)  # type: ignore[attr-defined]
+ENTITY = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def _str_map(d: dict) -> Column:
+    keys = sorted(d)
+    return F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.lit(d[k]) for k in keys]))
+
+
+def _int_map(d: dict) -> Column:
+    keys = sorted(d)
+    return F.map_from_arrays(F.array(*[F.lit(k).cast("long") for k in keys]), F.array(*[F.lit(d[k]) for k in keys]))
+
+
+def _numeric_char(digits: Column, base: int) -> Column:
+    """A numeric reference body (digits only) -> its text, as html.unescape maps it."""
+    d = F.regexp_replace(digits, "^0+", "")
+    too_big = F.length(d) > F.lit(8 if base == 16 else 8)
+    num = (F.conv(d, 16, 10) if base == 16 else d).try_cast("long")
+    num = F.when(d == "", F.lit(0).cast("long")).otherwise(num)
+    out_of_range = too_big | (num > 0x10FFFF) | ((num >= 0xD800) & (num <= 0xDFFF))
+    char = F.decode(F.unhex(F.lpad(F.hex(num), 8, "0")), "UTF-32")
+    return (
+        F.when(~too_big & F.map_contains_key(_int_map(_REMAPPED), num), F.element_at(_int_map(_REMAPPED), num))
+        .when(out_of_range, F.lit("\ufffd"))
+        .when(num.isin(*_DROPPED), F.lit(""))
+        .otherwise(char)
+    )
 
 
-def _codepoint_char(num: Column) -> Column:
-    # one code point -> string, via its UTF-32BE bytes
-    valid = (num > 0) & (num <= 0x10FFFF) & ~((num >= 0xD800) & (num <= 0xDFFF))
-    raw = F.decode(F.unhex(F.lpad(F.hex(num), 8, "0")), "UTF-32")
-    return F.when(valid, raw).otherwise(F.lit("�"))
+def _named(body: Column) -> Column:
+    """A named reference body (with its ';' if any) -> text; longest legacy prefix otherwise."""
+    full = F.element_at(_str_map(_HTML5), body)
+    common = F.when(body == "amp;", "&").when(body == "lt;", "<").when(body == "gt;", ">").when(body == "quot;", '"')
+    legacy = _str_map(_LEGACY)
+    prefixes = [
+        F.when(
+            F.length(body) - 1 >= x,
+            F.concat(F.element_at(legacy, F.substring(body, 1, x)), F.substring(body, x + 1, 64)),
+        )
+        for x in range(_LEGACY_MAX, 1, -1)
+    ]
+    return F.coalesce(common, full, *prefixes, F.concat(F.lit("&"), body))
 
 
 def unescape(col) -> Column:
-    """HTML character references -> characters, one left-to-right pass.
+    """HTML character references -> characters (``html.unescape``), one left-to-right pass.
 
     Pieces between references come from ``split``; the references themselves
-    from ``regexp_extract_all``; both are zipped back together. Unknown names
-    stay as written.
+    from ``regexp_extract_all``; both are zipped back together.
     """
     c = _c(col)
-    names = _entity_map()
     pieces = F.split(c, ENTITY, -1)
-    refs = F.regexp_extract_all(c, F.lit(ENTITY), 0)
+    refs = F.regexp_extract_all(c, F.lit(ENTITY), 1)
 
-    def decode_ref(r: Column) -> Column:
-        body = F.substring(r, 2, 1_000)  # drop '&'
-        body = F.substring(body, 1, F.length(body) - 1)  # drop ';'
+    def decode_ref(body: Column) -> Column:
+        digits = F.regexp_replace(body, ";$", "")
         is_hex = F.lower(F.substring(body, 1, 2)) == "#x"
         is_dec = (F.substring(body, 1, 1) == "#") & ~is_hex
-        hex_num = F.conv(F.substring(body, 3, 16), 16, 10).cast("long")
-        dec_num = F.substring(body, 2, 16).cast("long")
-        # the common XML names first; a map lookup scans the whole name table
-        common = F.when(body == "amp", "&").when(body == "lt", "<").when(body == "gt", ">").when(body == "quot", '"')
         return (
-            F.when(is_hex, _codepoint_char(hex_num))
-            .when(is_dec, _codepoint_char(dec_num))
-            .otherwise(F.coalesce(common, F.element_at(names, body), r))
+            F.when(is_hex, _numeric_char(F.substring(digits, 3, 1 << 20), 16))
+            .when(is_dec, _numeric_char(F.substring(digits, 2, 1 << 20), 10))
+            .otherwise(_named(body))
         )
 
     decoded = F.transform(refs, decode_ref)

@@ -556,28 +556,46 @@ def strip_lines(spark, d):
     return TJ.strip_lines(docs.withColumn("line_no", F.col("line_no").cast("long")), "line").select("doc_id", "line_no", "line")
 
 
-def _cp_sql(n: str) -> str:
-    return (
-        f"CASE WHEN ({n}) > 0 AND ({n}) <= 1114111 AND NOT (({n}) >= 55296 AND ({n}) <= 57343) "
-        f"THEN chr(({n})::INTEGER) ELSE chr(65533) END"
-    )
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
 
 
 def _unescape_pages_sql() -> str:
-    names = sorted(T._NAMED)
-    entries = ", ".join(f"'{k}': '{T._NAMED[k].replace(chr(39), chr(39) * 2)}'" for k in names)
-    r = "refs[i]"
+    html5 = ", ".join(f"{_sql_str(k)}: {_sql_str(v)}" for k, v in sorted(T._HTML5.items()))
+    legacy = ", ".join(f"{_sql_str(k)}: {_sql_str(v)}" for k, v in sorted(T._LEGACY.items()))
+    remap = ", ".join(f"{k}: {_sql_str(v)}" for k, v in sorted(T._REMAPPED.items()))
+    dropped = ", ".join(str(x) for x in T._DROPPED)
+
+    def num_char(d: str, hexa: bool) -> str:
+        num = f"(CASE WHEN {d} = '' THEN 0 WHEN length({d}) > 8 THEN NULL ELSE " + (
+            f"('0x' || {d})::BIGINT END)" if hexa else f"{d}::BIGINT END)"
+        )
+        return (
+            f"(CASE WHEN length({d}) <= 8 AND rm[{num}] IS NOT NULL THEN rm[{num}] "
+            f"WHEN length({d}) > 8 OR {num} > 1114111 OR ({num} >= 55296 AND {num} <= 57343) THEN chr(65533) "
+            f"WHEN {num} IN ({dropped}) THEN '' ELSE chr({num}::INTEGER) END)"
+        )
+
+    b = "refs[i]"
+    digits = f"regexp_replace({b}, ';$', '')"
+    hex_d = f"regexp_replace(substr({digits}, 3), '^0+', '')"
+    dec_d = f"regexp_replace(substr({digits}, 2), '^0+', '')"
+    prefixes = ", ".join(
+        f"(CASE WHEN length({b}) - 1 >= {x} THEN lm[substr({b}, 1, {x})] || substr({b}, {x + 1}) END)"
+        for x in range(T._LEGACY_MAX, 1, -1)
+    )
     dec = (
-        f"CASE WHEN {r} IS NULL THEN '' "
-        f"WHEN lower(substr({r}, 2, 2)) = '#x' THEN {_cp_sql(f'(chr(48) || chr(120) || substr({r}, 4, length({r}) - 4))::BIGINT')} "
-        f"WHEN substr({r}, 2, 1) = '#' THEN {_cp_sql(f'substr({r}, 3, length({r}) - 3)::BIGINT')} "
-        f"ELSE coalesce(m[substr({r}, 2, length({r}) - 2)], {r}) END"
+        f"CASE WHEN {b} IS NULL THEN '' "
+        f"WHEN lower(substr({b}, 1, 2)) = '#x' THEN {num_char(hex_d, True)} "
+        f"WHEN substr({b}, 1, 1) = '#' THEN {num_char(dec_d, False)} "
+        f"ELSE coalesce(m[{b}], {prefixes}, '&' || {b}) END"
     )
-    return f"""WITH em AS (SELECT MAP {{{entries}}} AS m),
-        p AS (SELECT page_id, html, string_split_regex(html, '{T.ENTITY}') AS parts,
-                     regexp_extract_all(html, '{T.ENTITY}') AS refs FROM pages)
+    ent = T.ENTITY
+    return f"""WITH em AS (SELECT MAP {{{html5}}} AS m, MAP {{{legacy}}} AS lm, MAP {{{remap}}} AS rm),
+        p AS (SELECT page_id, html, string_split_regex(html, '{ent}') AS parts,
+                     regexp_extract_all(html, '{ent}', 1) AS refs FROM pages)
         SELECT page_id, CASE WHEN instr(html, '&') > 0
-               THEN array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || ({dec})), '')
+               THEN array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(({dec}), '')), '')
                ELSE html END AS text
         FROM p, em"""
 
