@@ -849,3 +849,18 @@ def prepare_corpus(spark, d):
     pairs = dense_index(conversation_pairs(spark, d), ["conv_id", "turn"], name="idx").select("idx", "src", "tgt")
     out, _ = WF.prepare_corpus(pairs, key=["idx"])
     return out.select("idx", "src_tok", "tgt_tok", _ids_text("src_ids").alias("src_ids"), _ids_text("tgt_ids").alias("tgt_ids"))
+
+
+@register("iterate_back_translation")
+def iterate_back_translation(spark, d):
+    """two rounds over all documents (both directions) scored on the conversation pairs;
+    the rounds' data are written under the checkpoint folder and returned together."""
+    mono = table(spark, d, "documents").select(F.col("doc_id").alias("idx"), "text")
+    dev = dense_index(conversation_pairs(spark, d), ["conv_id", "turn"], name="idx").select("idx", "src", "tgt")
+    fns = [(U.reverse_words_translator, U.reverse_words_translator)] * 2
+    datasets, scores = WF.iterate_back_translation(mono, mono, fns, dev, rounds=2, stop_eps=-1.0)
+    out = None
+    for r, ds in enumerate(datasets):
+        part = ds.withColumn("round", F.lit(r)).withColumn("dev_bleu", F.lit(float(scores[r])))
+        out = part if out is None else out.unionByName(part)
+    return out.select("round", "direction", "split", "idx", "src", "tgt", "dev_bleu")
