@@ -37,8 +37,10 @@ def test_top_fraction_matches_stable_sort(spark, fraction, monkeypatch):
     assert got == _python_select(rows, fraction)
 
 
-def test_top_fraction_by_group_and_partitioning(spark, monkeypatch):
+@pytest.mark.parametrize("hist_limit", [0, 1_000_000])
+def test_top_fraction_by_group_and_partitioning(spark, monkeypatch, hist_limit):
     monkeypatch.setattr(S, "BUCKETS", 8)
+    monkeypatch.setattr(S, "HIST_IN_ONE_TASK", hist_limit)  # 0: distributed running counts
     rows = _corpus(240, 11)
     data = [(i, s, "g%d" % (i % 3)) for i, s in rows]
     exp = []
@@ -50,6 +52,31 @@ def test_top_fraction_by_group_and_partitioning(spark, monkeypatch):
         assert got == sorted(exp)
 
 
+def test_prefix_sum(spark):
+    from transpark.operators.numbering import prefix_sum
+
+    data = [(k % 4, k, (k * 7) % 11) for k in range(300)]
+    df = spark.createDataFrame(data, "g INT, k INT, w INT").repartition(5)
+    got = {r.k: r.cum for r in prefix_sum(df, [F.desc("k")], "w", partition_by=["g"], num_partitions=6).collect()}
+    for g in range(4):
+        run = 0
+        for _, k, w in sorted((x for x in data if x[0] == g), key=lambda x: -x[1]):
+            run += w
+            assert got[k] == run
+
+
+def test_continuous_scores(spark, monkeypatch):
+    monkeypatch.setattr(S, "HIST_IN_ONE_TASK", 0)
+    import random
+
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice([None, rnd.random(), 0.5, 0.25])) for i in range(500)]
+    df = spark.createDataFrame(rows, "idx LONG, s DOUBLE")
+    got = sorted(r.idx for r in S.top_fraction(df, "s", 0.6).collect())
+    order = sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0.0), x[0]))
+    assert got == sorted(i for i, _ in order[: int(500 * 0.6)])
+
+
 def test_sweep_flags(spark):
     rows = _corpus(120, 3)
     df = spark.createDataFrame(rows, "idx LONG, src STRING")

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transpark.operators.common import join_small
@@ -61,3 +61,34 @@ def dense_index(
     if start:
         out = out.withColumn(name, F.col(name) + F.lit(start))
     return out
+
+
+def prefix_sum(
+    df: DataFrame,
+    order_by: list,
+    weight: str,
+    partition_by: list[str] | None = None,
+    name: str = "cum",
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """Add ``name`` = inclusive running sum of ``weight`` in ``order_by`` order (restarting per
+    ``partition_by`` group), computed without a single-task window: rows are range-partitioned on
+    the full key, each range sums its rows (a window per range), and ranges are offset by the
+    totals of the ranges before them (one row per range)."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    part = list(partition_by or [])
+    keys = _key_cols([*part, *order_by])
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    tagged = ranged.withColumn("_tp_pid", F.spark_partition_id())
+    sums = sorted((r[0], r[1] or 0) for r in tagged.groupBy("_tp_pid").agg(F.sum(weight)).collect())
+    offsets = [0, *accumulate(s for _, s in sums)][:-1]
+    off_df = spark.createDataFrame([(p, int(o)) for (p, _), o in zip(sums, offsets)], "_tp_pid INT, _tp_off LONG")
+    w = Window.partitionBy("_tp_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    out = tagged.withColumn("_tp_run", F.sum(weight).over(w)).join(F.broadcast(off_df), "_tp_pid")
+    out = out.withColumn(name, F.col("_tp_off") + F.col("_tp_run"))
+    if part:
+        starts = out.groupBy(*part).agg(F.min(F.col(name) - F.col(weight)).alias("_tp_start"))
+        out = join_small(out, starts, part).withColumn(name, F.col(name) - F.col("_tp_start")).drop("_tp_start")
+    return out.drop("_tp_pid", "_tp_run", "_tp_off")

@@ -22,10 +22,13 @@ from pyspark.sql import Window
 
 from transpark.functions.text import ttr
 from transpark.operators.common import join_small
-from transpark.operators.numbering import dense_index
+from transpark.operators.numbering import dense_index, prefix_sum
 from transpark.session import materialize
 
 BUCKETS = 4096
+# Distinct-score histograms up to this many rows get their running counts from one
+# window; larger ones use the range-partitioned prefix sum.
+HIST_IN_ONE_TASK = 1_000_000
 
 
 def _frac_name(f: float) -> str:
@@ -46,11 +49,15 @@ def fraction_cuts(
     fr = F.array(*[F.struct(F.lit(i).alias("_f"), F.lit(float(f)).alias("_fv")) for i, f in enumerate(fractions)])
 
     hist = narrow.groupBy(*by, "_s").agg(F.count("*").alias("_c"), F.min("_i").alias("_lo"), F.max("_i").alias("_hi"))
-    w_cum = Window.partitionBy(*by).orderBy(F.col("_s").desc_nulls_last())
-    w_all = Window.partitionBy(*by)
-    hist = hist.withColumn("_cum", F.sum("_c").over(w_cum.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "_n", F.sum("_c").over(w_all)
-    )
+    hist = hist.checkpoint(eager=True)
+    if hist.count() <= HIST_IN_ONE_TASK:
+        w_cum = Window.partitionBy(*by).orderBy(F.col("_s").desc_nulls_last())
+        hist = hist.withColumn("_cum", F.sum("_c").over(w_cum.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        # many distinct scores (a continuous score): running counts without a one-task window
+        hist = prefix_sum(hist, [F.col("_s").desc_nulls_last()], "_c", partition_by=by, name="_cum")
+    totals = hist.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    hist = join_small(hist, totals, by)
     cuts = (
         hist.withColumn("_fr", F.explode(fr))
         .select("*", "_fr._f", "_fr._fv")
