@@ -103,3 +103,13 @@ def test_golden_runs(spark):
         assert (corpus[run].m1, corpus[run].m2, corpus[run].m3, corpus[run].m4) == m
         assert round(b32[run].bleu_mean, 2) == mean
         assert round(b32[run].bleu_std, 1) == std
+
+
+def test_partition_invariance(spark):
+    pairs = _pairs(150, 4)
+    base = spark.createDataFrame([(i, h, r) for i, (h, r) in enumerate(pairs)], "idx LONG, hyp STRING, ref STRING")
+    results = set()
+    for parts in (1, 4, 24):
+        row = B.corpus_bleu(B.segment_stats(base.repartition(parts), num_partitions=parts + 2)).first()
+        results.add(tuple(row))
+    assert len(results) == 1
