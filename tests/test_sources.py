@@ -69,6 +69,8 @@ def test_segments_round_trip(spark, tmpdir_path):
     parts = sorted(os.listdir(f"{out}/hypothesis.hyp/run=r1"))
     text = "".join(open(f"{out}/hypothesis.hyp/run=r1/{p}", encoding="utf-8").read() for p in parts if p.startswith("part-"))
     assert text.splitlines() == [f"r1 h{i}" for i in range(40)]
+    back = read_segments(spark, out, layout="export")
+    assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in segs.collect())
     assert spark.read.parquet(f"{out}/parquet").count() == 80
 
 

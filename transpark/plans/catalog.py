@@ -864,3 +864,74 @@ def iterate_back_translation(spark, d):
         part = ds.withColumn("round", F.lit(r)).withColumn("dev_bleu", F.lit(float(scores[r])))
         out = part if out is None else out.unionByName(part)
     return out.select("round", "direction", "split", "idx", "src", "tgt", "dev_bleu")
+
+
+# --- S1/K3 and K1/S4: text files written from the tables and read back ------------------------------
+
+import uuid  # noqa: E402
+
+from transpark.session import checkpoint_dir  # noqa: E402
+from transpark.sources import sinks as K  # noqa: E402
+from transpark.sources.text_files import read_lines as _read_lines, read_segments as _read_segments  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/tp-{name}-{uuid.uuid4().hex}"
+
+
+@register(
+    "read_lines",
+    f"""SELECT (doc_id % 16)::BIGINT AS bucket,
+               (row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id, line_no) - 1)::BIGINT AS idx, line AS text
+        FROM ({_LINES_SQL})""",
+)
+def read_lines_query(spark, d):
+    """Document lines exported as text files (16 folders by doc_id % 16, lines in (doc_id, line_no)
+    order across the part files), then read back with exact line numbers per folder."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(T.split_lines("text")).alias("line_no", "line"))
+    lines = lines.withColumn("bucket", F.col("doc_id") % 16)
+    out = _scratch(spark, "lines")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (
+        lines.repartitionByRange(n, "bucket", "doc_id", "line_no")
+        .sortWithinPartitions("bucket", "doc_id", "line_no")
+        .select("bucket", F.col("line").alias("value"))
+        .write.partitionBy("bucket")
+        .text(out)
+    )
+    back = _read_lines(spark, f"{out}/bucket=*")
+    bucket = F.regexp_extract("file", r"bucket=([0-9]+)$", 1).cast("long")
+    return back.select(bucket.alias("bucket"), "idx", "text")
+
+
+@register(
+    "segments_round_trip",
+    f"""SELECT lang AS run, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1)::BIGINT AS idx,
+               array_to_string({Q.words('text')}, ' ') AS src, array_to_string({Q.words('text')}, ' ') AS ref,
+               array_to_string(list_filter({Q.words('text')}, lambda x, i: (i - 1) % 7 <> 6), ' ') AS hyp
+        FROM documents""",
+)
+def segments_round_trip(spark, d):
+    """K1 text export of per-language segment triples, read back with S4."""
+    segs = doc_pairs(spark, d).select(
+        F.col("lang").alias("run"), "idx", T.squeeze("ref").alias("src"), T.squeeze("ref").alias("ref"), "hyp"
+    )
+    out = _scratch(spark, "segments")
+    K.write_segments(segs, out, text_export=True)
+    return _read_segments(spark, out, layout="export")
+
+
+from transpark.sources.text_files import read_vocab as _read_vocab  # noqa: E402
+
+
+@register(
+    "read_vocab",
+    f"""SELECT token, cnt, (row_number() OVER (ORDER BY cnt DESC, token) + 3)::INTEGER AS id FROM ({_COUNTS_SQL})
+        UNION ALL {_SPECIALS_SQL}""",
+)
+def read_vocab_query(spark, d):
+    """The document vocabulary written as a ``token count`` file in id order, read back with S6."""
+    vocab = V.build_vocab(_doc_tokens(spark, d), "tok").filter(F.col("id") >= len(V.SPECIALS))
+    out = _scratch(spark, "vocab")
+    K.write_text_column(vocab.withColumn("line", F.concat_ws(" ", "token", F.col("cnt").cast("string"))), "line", out, ["id"])
+    return _read_vocab(spark, out)

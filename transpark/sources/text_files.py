@@ -19,23 +19,30 @@ from transpark.functions.text import split_lines
 from transpark.operators.common import join_small
 
 
-def read_lines(spark: SparkSession, path, strict_splitlines: bool = False) -> DataFrame:
+PART_FILE = r"/part-[0-9]+[^/]*$"
+
+
+def read_lines(spark: SparkSession, path, strict_splitlines: bool = False, parts_as_one: bool = True) -> DataFrame:
     """``file STRING, idx LONG, text STRING`` with ``idx`` = 0-based line number in the file.
 
+    With ``parts_as_one`` the ``part-*`` files of a Spark output folder form one
+    logical file (the folder), numbered on across the parts in name order.
     ``strict_splitlines`` also cuts at the extra separators of Python's
     ``str.splitlines`` (VT, FF, FS, GS, RS, NEL, LS, PS) and renumbers.
     """
     paths = path if isinstance(path, (list, tuple)) else [path]
     raw = spark.read.text(list(paths)).select(
         F.col("value").alias("text"),
-        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("_mid"),
     )
-    blocks = raw.groupBy("file", "block").agg(F.min("_mid").alias("_m0"), F.count("*").alias("_n"))
-    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("file", "block", "_m0", "_off")
-    out = join_small(raw, blocks, ["file", "block"]).select(
+    unit = F.regexp_replace("_path", PART_FILE, "") if parts_as_one else F.col("_path")
+    raw = raw.withColumn("file", unit)
+    blocks = raw.groupBy("file", "_path", "block").agg(F.min("_mid").alias("_m0"), F.count("*").alias("_n"))
+    w = Window.partitionBy("file").orderBy("_path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("file", "_path", "block", "_m0", "_off")
+    out = join_small(raw, blocks, ["file", "_path", "block"]).select(
         "file", (F.col("_off") + F.col("_mid") - F.col("_m0")).alias("idx"), "text"
     )
     if strict_splitlines:
@@ -110,15 +117,27 @@ def _exists(path: str) -> bool:
 KINDS = {"hypothesis.hyp": "hyp", "reference.ref": "ref", "source.src": "src"}
 
 
-def read_segments(spark: SparkSession, root: str, runs: list[str] | None = None) -> DataFrame:
-    """``run, idx, src, ref, hyp`` for every run folder under ``root`` in one scan and one shuffle."""
+def read_segments(spark: SparkSession, root: str, runs: list[str] | None = None, layout: str = "runs") -> DataFrame:
+    """``run, idx, src, ref, hyp`` for every run under ``root`` in one scan and one shuffle.
+
+    ``layout="runs"``: ``root/<run>/{hypothesis.hyp,reference.ref,source.src}`` files;
+    ``layout="export"``: what ``write_segments(..., text_export=True)`` writes,
+    ``root/<kind file>/run=<run>/part-*``."""
     names = runs or ["*"]
-    paths = [f"{root.rstrip('/')}/{r}/{k}" for r in names for k in KINDS]
+    base = root.rstrip("/")
+    if layout == "export":
+        paths = [f"{base}/{k}/run={r}" for r in names for k in KINDS]
+    else:
+        paths = [f"{base}/{r}/{k}" for r in names for k in KINDS]
     lines = read_lines(spark, paths)
     parts = F.split(F.col("file"), "/")
-    lines = lines.withColumn("run", F.element_at(parts, -2)).withColumn(
-        "kind", F.element_at(F.create_map(*[x for k, v in KINDS.items() for x in (F.lit(k), F.lit(v))]), F.element_at(parts, -1))
-    )
+    kinds = F.create_map(*[x for k, v in KINDS.items() for x in (F.lit(k), F.lit(v))])
+    if layout == "export":
+        lines = lines.withColumn("run", F.regexp_replace(F.element_at(parts, -1), "^run=", "")).withColumn(
+            "kind", F.element_at(kinds, F.element_at(parts, -2))
+        )
+    else:
+        lines = lines.withColumn("run", F.element_at(parts, -2)).withColumn("kind", F.element_at(kinds, F.element_at(parts, -1)))
     return (
         lines.groupBy("run", "idx")
         .pivot("kind", ["src", "ref", "hyp"])
