@@ -935,3 +935,28 @@ def read_vocab_query(spark, d):
     out = _scratch(spark, "vocab")
     K.write_text_column(vocab.withColumn("line", F.concat_ws(" ", "token", F.col("cnt").cast("string"))), "line", out, ["id"])
     return _read_vocab(spark, out)
+
+
+from transpark.sources.text_files import read_dataset as _read_dataset  # noqa: E402
+
+
+@register(
+    "read_dataset",
+    f"""SELECT split, (row_number() OVER (PARTITION BY split ORDER BY conv_id, turn) - 1)::BIGINT AS idx,
+               array_to_string({Q.words('src')}, ' ') AS src, array_to_string({Q.words('tgt')}, ' ') AS tgt
+        FROM (SELECT *, CASE WHEN conv_id % 10 = 0 THEN 'test' WHEN conv_id % 10 = 1 THEN 'dev' ELSE 'train' END AS split
+              FROM ({_CONV_PAIRS_SQL}))""",
+)
+def read_dataset_query(spark, d):
+    """Conversation pairs written as ``{split}.user`` / ``{split}.assistant`` line files, read back
+    with S3 (S2 pairs each split's two files by line number)."""
+    pairs = conversation_pairs(spark, d).select(
+        "conv_id", "turn", T.squeeze("src").alias("src"), T.squeeze("tgt").alias("tgt"),
+        F.when(F.col("conv_id") % 10 == 0, "test").when(F.col("conv_id") % 10 == 1, "dev").otherwise("train").alias("split"),
+    )
+    out = _scratch(spark, "dataset")
+    for split in ("train", "dev", "test"):
+        part = pairs.filter(F.col("split") == split)
+        K.write_text_column(part, "src", f"{out}/{split}.user", ["conv_id", "turn"])
+        K.write_text_column(part, "tgt", f"{out}/{split}.assistant", ["conv_id", "turn"])
+    return _read_dataset(spark, out, "user", "assistant").select("split", "idx", "src", "tgt")

@@ -95,7 +95,7 @@ def read_dataset(
 ) -> DataFrame:
     """S3: ``dataset, split, idx, src, tgt`` for ``{split}.{lang}`` files of one folder, read in one scan."""
     stems = sorted({SPLIT_FILES.get(s, s) for s in splits})
-    paths = [p for s in stems for lang in (src, tgt) for p in [f"{directory.rstrip('/')}/{s}.{lang}"] if _exists(p)]
+    paths = [p for s in stems for lang in (src, tgt) for p in [f"{directory.rstrip('/')}/{s}.{lang}"] if _exists(spark, p)]
     if not paths:
         raise FileNotFoundError(f"no {src}/{tgt} split files under {directory}")
     lines = read_lines(spark, paths).withColumn("_base", F.regexp_extract("file", r"([^/]+)$", 1))
@@ -108,10 +108,13 @@ def read_dataset(
     return out.select(F.lit(dataset or os.path.basename(directory.rstrip("/"))).alias("dataset"), "split", "idx", "src", "tgt")
 
 
-def _exists(path: str) -> bool:
-    if "://" not in path:
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Existence through the cluster's Hadoop file system (any scheme), plain glob as a fallback."""
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+    except Exception:  # noqa: BLE001
         return bool(_glob.glob(path))
-    return True
 
 
 KINDS = {"hypothesis.hyp": "hyp", "reference.ref": "ref", "source.src": "src"}
