@@ -1,6 +1,5 @@
 """Plan-shape checks for the properties the operators rely on at scale."""
 
-from pyspark.sql import functions as F
 
 from transpark.operators import bleu as B
 from transpark.operators import select as S

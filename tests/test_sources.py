@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from transpark.sources import sinks
-from transpark.sources.genlog import parse_generation_log, read_generation_log
+from transpark.sources.genlog import read_generation_log
 from transpark.sources.text_files import read_dataset, read_lines, read_parallel, read_segments, read_vocab
 from transpark.operators.select import natural_order
 

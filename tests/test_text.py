@@ -1,7 +1,6 @@
 import html
 import re
 
-from pyspark.sql import functions as F
 
 from transpark.functions import text as T
 from transpark.functions.bleu13a import tokenize_13a

@@ -1,9 +1,6 @@
-import os
 
 import pytest
-import time
 
-from pyspark.sql import functions as F
 
 from transpark.operators import udf as U
 from transpark.plans import workflows as WF

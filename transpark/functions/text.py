@@ -155,11 +155,3 @@ def unescape(col) -> Column:
     decoded = F.transform(refs, decode_ref)
     glued = F.zip_with(pieces, F.concat(decoded, F.array(F.lit(""))), lambda p, d: F.concat(p, F.coalesce(d, F.lit(""))))
     return F.when(F.instr(c, "&") > 0, F.array_join(glued, "")).otherwise(c)
-
-
-def escape_xml(col) -> Column:
-    """The five XML references, '&' first."""
-    c = _c(col)
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c

@@ -13,7 +13,6 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from transpark.functions.text import strip, unescape
@@ -142,6 +141,3 @@ def overlap_scorer():
 
     return fn
 
-
-def null_safe(col: str):
-    return F.coalesce(F.col(col), F.lit(""))

@@ -42,9 +42,3 @@ def read_table(spark: SparkSession, path: str, min_partitions: int | None = None
         df.repartition(want).write.parquet(target)
         _RELAID[key] = target
     return spark.read.parquet(target)
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin spread of an in-flight DataFrame with too few partitions."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
