@@ -26,9 +26,10 @@ def test_build_vocab_order(spark):
     assert top.count() == 6
 
 
-@pytest.mark.parametrize("map_limit", [0, 10_000])
-def test_encode_decode_round_trip(spark, monkeypatch, map_limit):
+@pytest.mark.parametrize("map_limit,broadcast_rows", [(0, 1_000_000), (0, 3), (10_000, 1_000_000)])
+def test_encode_decode_round_trip(spark, monkeypatch, map_limit, broadcast_rows):
     monkeypatch.setattr(V, "MAP_LIMIT", map_limit)
+    monkeypatch.setattr(V, "BROADCAST_ROWS", broadcast_rows)  # 3: hot/cold split lookups
     df = _df(spark)
     vocab = V.build_vocab(df, "tok", n=4)
     known = {r.token: r.id for r in vocab.collect()}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from transpark.operators.common import join_small
+from transpark.operators.common import BROADCAST_ROWS, join_small
 from transpark.operators.numbering import dense_index
 
 # Special symbols in id order, and the label mask value.
@@ -60,7 +60,18 @@ def _lookup_by_row(df: DataFrame, arr: Column, table: DataFrame, on: str, value:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     seg = df.repartition(n, *key)
     ex = seg.select(*key, F.posexplode(arr).alias("_pos", on))
-    hit = join_small(ex, table.select(on, F.col(value).alias("_val")), [on], "left")
+    side = table.select(on, F.col(value).alias("_val"), *(["cnt"] if "cnt" in table.columns else []))
+    side = side.checkpoint(eager=True)
+    if side.count() <= BROADCAST_ROWS or "cnt" not in side.columns:
+        hit = join_small(ex, side.select(on, "_val"), [on], "left")
+    else:
+        # a large table: its most frequent entries (bounded) are broadcast, so hot tokens never
+        # meet in one shuffle partition; only the rare remainder goes through a shuffle join
+        hot = side.orderBy(F.desc("cnt"), F.asc(on)).limit(BROADCAST_ROWS).select(on, "_val").checkpoint(eager=True)
+        first = ex.join(F.broadcast(hot), [on], "left")
+        cold = side.join(hot.select(on), [on], "left_anti").select(on, "_val")
+        rest = first.filter(F.col("_val").isNull()).drop("_val").join(cold, [on], "left")
+        hit = first.filter(F.col("_val").isNotNull()).unionByName(rest)
     val = F.coalesce(F.col("_val"), F.lit(default)) if default is not None else F.col("_val")
     packed = hit.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_pos", val.alias("_v")))).alias("_p"))
     packed = packed.select(*key, F.transform("_p", lambda s_: s_["_v"]).alias(out))
@@ -98,7 +109,8 @@ def decode_ids(
             raise ValueError("a row key is needed to decode with a vocabulary above MAP_LIMIT entries")
         m = _map_literal([(r["id"], r["token"]) for r in rows])
         return df.withColumn(out, F.array_join(F.transform(arr, lambda i: F.element_at(m, i)), " "))
-    res = _lookup_by_row(df, arr, vocab.select("id", "token"), "id", "token", None, key, "_toks")
+    side = vocab.select("id", "token", *(["cnt"] if "cnt" in vocab.columns else []))
+    res = _lookup_by_row(df, arr, side, "id", "token", None, key, "_toks")
     return res.withColumn(out, F.coalesce(F.array_join("_toks", " "), F.lit(""))).drop("_toks")
 
 
