@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from transpark.operators.common import join_small
 
-CHUNK = 4096
+CHUNK = 1 << 16  # windows hold at most CHUNK rows, the carry table rows/CHUNK per run
 
 
 def segment_score_summary(scored: DataFrame, col: str = "seg_score", by=None, scale: float = 100.0) -> DataFrame:
@@ -52,7 +52,7 @@ def early_stop_point(
     """First validation at which ``patience`` validations passed without a strict improvement.
 
     ``step`` must be dense from 0 per run. Runs are cut into chunks of
-    ``chunk`` validations: windows run per (run, chunk), and what comes from
+    ``chunk`` validations (default 65,536): windows run per (run, chunk), and what comes from
     earlier chunks (best so far, last improving step) is carried by a small
     per-chunk table, so a very long run is still spread over many tasks.
     Output: ``run, stop_step`` (NULL if never), ``best_step, best_value`` at that point
