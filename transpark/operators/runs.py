@@ -81,7 +81,7 @@ def early_stop_point(
     stops = rows.groupBy(run).agg(F.min(F.when(F.col("_wait") >= patience, F.col(step))).alias("stop_step"))
     with_stop = join_small(m, stops, [run]).filter(F.col("stop_step").isNull() | (F.col(step) <= F.col("stop_step")))
     best = with_stop.groupBy(run).agg(
-        F.first("stop_step").alias("stop_step"),
+        F.max("stop_step").alias("stop_step"),
         F.max(F.struct(F.col("_v").alias("v"), (-F.col(step)).alias("s"))).alias("_b"),
     )
     return best.select(
