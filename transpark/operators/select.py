@@ -52,12 +52,14 @@ def fraction_cuts(
     hist = hist.checkpoint(eager=True)
     if hist.count() <= HIST_IN_ONE_TASK:
         w_cum = Window.partitionBy(*by).orderBy(F.col("_s").desc_nulls_last())
-        hist = hist.withColumn("_cum", F.sum("_c").over(w_cum.rowsBetween(Window.unboundedPreceding, 0)))
+        hist = hist.withColumn("_cum", F.sum("_c").over(w_cum.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+            "_n", F.sum("_c").over(Window.partitionBy(*by))
+        )
     else:
         # many distinct scores (a continuous score): running counts without a one-task window
         hist = prefix_sum(hist, [F.col("_s").desc_nulls_last()], "_c", partition_by=by, name="_cum")
-    totals = hist.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    hist = join_small(hist, totals, by)
+        totals = hist.groupBy(*by).agg(F.sum("_c").alias("_n"))
+        hist = join_small(hist, totals, by)
     cuts = (
         hist.withColumn("_fr", F.explode(fr))
         .select("*", "_fr._f", "_fr._fv")
