@@ -113,3 +113,19 @@ def test_shuffle_is_partition_independent(spark):
     a = [r.idx for r in S.shuffle_rows(df.repartition(1), 5).collect()]
     b = [r.idx for r in S.shuffle_rows(df.repartition(9), 5).collect()]
     assert a == b and sorted(a) == list(range(100)) and a != list(range(100))
+
+
+def test_hot_group(spark, monkeypatch):
+    """One group holds 90 % of the rows, nearly all tied: results stay exact."""
+    monkeypatch.setattr(S, "BUCKETS", 16)
+    rows = [(i, "a b c" if i % 10 else "a a b", "hot" if i % 10 else f"g{i % 3}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "idx LONG, src STRING, grp STRING").repartition(6)
+    got = sorted(r.idx for r in S.diversity_select(df, 0.25, by=["grp"]).collect())
+    exp = []
+    for g in sorted({r[2] for r in rows}):
+        exp += _python_select([(i, s) for i, s, gg in rows if gg == g], 0.25)
+    assert got == sorted(exp)
+    numbered = {r.idx: r.n for r in dense_index(df, ["idx"], partition_by=["grp"], name="n", num_partitions=8).collect()}
+    for g in sorted({r[2] for r in rows}):
+        members = sorted(i for i, _, gg in rows if gg == g)
+        assert [numbered[i] for i in members] == list(range(len(members)))
