@@ -113,3 +113,9 @@ def test_partition_invariance(spark):
         row = B.corpus_bleu(B.segment_stats(base.repartition(parts), num_partitions=parts + 2)).first()
         results.add(tuple(row))
     assert len(results) == 1
+
+
+def test_key_names_do_not_collide(spark):
+    df = spark.createDataFrame([(0, 1, "a b c d", "a b c d")], "n INT, g INT, hyp STRING, ref STRING")
+    row = B.corpus_bleu(B.segment_stats(df, keys=["n", "g"]), ["n"]).first()
+    assert row.n == 0 and row.bleu == pytest.approx(100.0)

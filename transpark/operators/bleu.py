@@ -24,7 +24,7 @@ ORDER = 4
 
 def _ngram_structs(tok: Column, n: int, on_hyp: bool) -> Column:
     h, r = (1, 0) if on_hyp else (0, 1)
-    mk = lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(h).alias("h"), F.lit(r).alias("r"))
+    mk = lambda g: F.struct(F.lit(n).alias("_n"), g.alias("_g"), F.lit(h).alias("_h"), F.lit(r).alias("_r"))
     if n == 1:
         return F.transform(tok, mk)
     cnt = F.size(tok) - F.lit(n - 1)
@@ -50,16 +50,16 @@ def segment_stats(
     n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     seg = df.select(*keys, hyp, ref).repartition(n_part, *keys)
     seg = seg.select(*keys, tokenize_13a(hyp).alias("_th"), tokenize_13a(ref).alias("_tr"))
-    parts = [F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("g"), F.size("_th").alias("h"), F.size("_tr").alias("r")))]
+    parts = [F.array(F.struct(F.lit(0).alias("_n"), F.lit("").alias("_g"), F.size("_th").alias("_h"), F.size("_tr").alias("_r")))]
     for n in range(1, ORDER + 1):
         parts.append(_ngram_structs(F.col("_th"), n, True))
         parts.append(_ngram_structs(F.col("_tr"), n, False))
-    grams = seg.select(*keys, F.explode(F.concat(*parts)).alias("x")).select(*keys, "x.n", "x.g", "x.h", "x.r")
-    per_gram = grams.groupBy(*keys, "n", "g").agg(F.sum("h").alias("ch"), F.sum("r").alias("cr"))
+    grams = seg.select(*keys, F.explode(F.concat(*parts)).alias("_x")).select(*keys, "_x._n", "_x._g", "_x._h", "_x._r")
+    per_gram = grams.groupBy(*keys, "_n", "_g").agg(F.sum("_h").alias("_ch"), F.sum("_r").alias("_cr"))
     per_n = per_gram.groupBy(*keys).agg(
-        F.sum(F.when(F.col("n") == 0, F.col("ch"))).alias("sys_len"),
-        F.sum(F.when(F.col("n") == 0, F.col("cr"))).alias("ref_len"),
-        *[F.sum(F.when(F.col("n") == n, F.least("ch", "cr")).otherwise(0)).alias(f"m{n}") for n in range(1, ORDER + 1)],
+        F.sum(F.when(F.col("_n") == 0, F.col("_ch"))).alias("sys_len"),
+        F.sum(F.when(F.col("_n") == 0, F.col("_cr"))).alias("ref_len"),
+        *[F.sum(F.when(F.col("_n") == n, F.least("_ch", "_cr")).otherwise(0)).alias(f"m{n}") for n in range(1, ORDER + 1)],
     )
     return per_n.select(
         *keys,
