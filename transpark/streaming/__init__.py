@@ -1,0 +1 @@
+"""Structured Streaming form of S5 + A2/A3: evaluate generation logs while they arrive."""
