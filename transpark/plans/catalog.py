@@ -960,3 +960,22 @@ def read_dataset_query(spark, d):
         K.write_text_column(part, "src", f"{out}/{split}.user", ["conv_id", "turn"])
         K.write_text_column(part, "tgt", f"{out}/{split}.assistant", ["conv_id", "turn"])
     return _read_dataset(spark, out, "user", "assistant").select("split", "idx", "src", "tgt")
+
+
+@register(
+    "append_run_log",
+    f"""WITH {Q.segment_stats(_DOC_PAIRS_SQL, ['lang', 'idx'])},
+        s AS (SELECT lang, {Q.sums()} FROM seg GROUP BY lang),
+        b AS (SELECT lang AS run, 'bleu' AS metric, {Q.r6(Q.bleu_raw())} AS value FROM s)
+        SELECT * FROM b UNION ALL SELECT * FROM b""",
+)
+def append_run_log(spark, d):
+    """K2: per-language corpus BLEU appended twice (two evaluation runs) to a CSV metrics log
+    with headers, read back with a fixed schema."""
+    scores = corpus_bleu_by_lang(spark, d).select(
+        F.col("lang").alias("run"), F.lit("bleu").alias("metric"), F.col("bleu").alias("value")
+    )
+    log = _scratch(spark, "runlog")
+    for _ in range(2):
+        K.append_run_log(scores, log, fmt="csv")
+    return spark.read.option("header", True).schema("run STRING, metric STRING, value DOUBLE").csv(log)
