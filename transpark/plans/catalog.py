@@ -979,3 +979,19 @@ def append_run_log(spark, d):
     for _ in range(2):
         K.append_run_log(scores, log, fmt="csv")
     return spark.read.option("header", True).schema("run STRING, metric STRING, value DOUBLE").csv(log)
+
+
+_GENLOG_SQL = ORACLE["generation_log"]
+
+
+@register(
+    "natural_order_export",
+    f"""SELECT (row_number() OVER (ORDER BY id) - 1)::BIGINT AS idx, hyp AS text FROM ({_GENLOG_SQL})""",
+)
+def natural_order_export(spark, d):
+    """T3 + ordered text export: hypotheses of the folded log written in numeric id order
+    (a distributed range sort, no single-task sort) and read back with line numbers."""
+    folded = parse_generation_log(generation_log_lines(spark, d))
+    out = _scratch(spark, "hyp-export")
+    K.write_text_column(folded, "hyp", out, [F.col("id").cast("long")])
+    return _read_lines(spark, out).select("idx", "text")
