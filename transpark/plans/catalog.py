@@ -995,3 +995,14 @@ def natural_order_export(spark, d):
     out = _scratch(spark, "hyp-export")
     K.write_text_column(folded, "hyp", out, [F.col("id").cast("long")])
     return _read_lines(spark, out).select("idx", "text")
+
+
+@register("write_dataset", ORACLE["with_eval_splits"])
+def write_dataset_query(spark, d):
+    """K3: the assembled dataset (synthetic train + base dev/test) written partitioned by split
+    and read back."""
+    syn = _synthetic_pairs(spark, d).select("idx", "src", "tgt")
+    ds = M.with_eval_splits(syn, _real_pairs(spark, d)).select("split", "idx", "src", "tgt")
+    out = _scratch(spark, "dataset-parquet")
+    K.write_dataset(ds, out)
+    return spark.read.parquet(out).select("split", "idx", "src", "tgt")
