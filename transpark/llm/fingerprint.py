@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transpark.llm.common import mix64, small_batches
@@ -146,14 +147,24 @@ def likeness(left: list[np.ndarray], right: list[np.ndarray], cells: int = CELLS
     return np.where(union == 0, 1.0, both / np.maximum(union, 1))
 
 
+def _above(value: Column, bounds: list[int]) -> Column:
+    """How many of the descending bounds lie above the value: a tree of comparisons (null: null)."""
+    if not bounds:
+        return F.when(value.isNotNull(), F.lit(0))
+    step = math.isqrt(len(bounds)) + 1
+    count = lambda of: F.aggregate(of, F.lit(0), lambda n, b: n + (value < b).cast("int"))
+    tops = F.array(*[F.lit(b).cast("long") for b in bounds[step - 1 :: step]])
+    parts = F.array(*[F.array(*[F.lit(b).cast("long") for b in bounds[i : i + step]]) for i in range(0, len(bounds) + 1, step)])
+    whole = count(tops)
+    return whole * step + count(F.element_at(parts, whole + 1))
+
+
 def _bucketed(docs: DataFrame, buckets: int) -> tuple[DataFrame, int]:
     """Documents with ``_bucket`` (ascending as ids descend) and ``_border`` (1: a copy of the row that
     follows the bucket's last one)."""
     probs = [i / buckets for i in range(1, buckets)]
     bounds = sorted({int(x) for x in (docs.stat.approxQuantile("doc_id", probs, 0.25 / buckets) if probs else [])}, reverse=True)
-    array = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>") if bounds else F.expr("array()").cast("array<bigint>")
-    below = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(array, lambda b: F.col("doc_id") < b)))
-    out = docs.withColumn("_bucket", below.cast("int")).withColumn("_border", F.lit(0))
+    out = docs.withColumn("_bucket", F.coalesce(_above(F.col("doc_id"), bounds), F.lit(len(bounds) + 1))).withColumn("_border", F.lit(0))
     firsts = sorted((r[0], r[1]) for r in out.groupBy("_bucket").agg(F.max("doc_id")).collect())  # a row per bucket
     if not firsts:
         return out, 0
