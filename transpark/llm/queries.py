@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from transpark.llm.fingerprint import op3_document_fingerprints
+from transpark.llm.quality import op7_quality_classifier
+from transpark.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op5_toxicity": op5_toxicity,
+    "op7_quality_classifier": op7_quality_classifier,
 }
 
 ORACLE: dict[str, str] = {}
