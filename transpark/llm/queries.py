@@ -10,11 +10,13 @@ from transpark.llm.byte_bpe import op2_byte_bpe
 from transpark.llm.fingerprint import op3_document_fingerprints
 from transpark.llm.packing import op10_best_fit_packing
 from transpark.llm.quality import op7_quality_classifier
+from transpark.llm.secret_scan import op4_secret_scan
 from transpark.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_secret_scan": op4_secret_scan,
     "op5_toxicity": op5_toxicity,
     "op7_quality_classifier": op7_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
