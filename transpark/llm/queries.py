@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from transpark.llm.byte_bpe import op2_byte_bpe
 from transpark.llm.fingerprint import op3_document_fingerprints
 from transpark.llm.line_dedup import op9_line_dedup
+from transpark.llm.ngram_join import op1_ngram_jaccard_join
 from transpark.llm.packing import op10_best_fit_packing
 from transpark.llm.quality import op7_quality_classifier
 from transpark.llm.secret_scan import op4_secret_scan
@@ -16,6 +17,7 @@ from transpark.llm.toxicity import op5_toxicity
 from transpark.llm.vector_dedup import op6_vector_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_secret_scan": op4_secret_scan,
