@@ -18,11 +18,10 @@ Rows without doc_id come last in the order of occurrences.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,9 +140,10 @@ def _repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """Add ``n_lines``, ``n_removed`` (lines) and ``deduped`` (the text without repetitions; null stays null)
-    to documents (``doc_id, text, ...``)."""
+    to documents (``doc_id, text, ...``); columns of these names are replaced. An empty table gives an empty one."""
     spark = docs.sparkSession
     small_batches(spark)
+    docs = docs.drop("n_lines", "n_removed", "deduped", "_id", "_th", "_gone")
     scratch = Scratch(spark, "lines")
     no_id = 2**63 - 1
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(no_id))).withColumn("_th", F.xxhash64("text"))

@@ -195,7 +195,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Data
     ``capacity``). An empty table gives an empty result; repeated rows are pieces of their own."""
     spark = parts.sparkSession
     scratch = Scratch(spark, "packing")
-    parts = scratch.write(parts, "pieces")
+    parts = scratch.write(parts.drop("sequence_id", "offset", "_rank"), "pieces")
     counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # a row per length
     where = places(bin_completion(counts, capacity, nodes), capacity)
     below, total = {}, 0
