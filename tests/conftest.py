@@ -13,6 +13,7 @@ def spark():
     from transpark.session import local_session
 
     s = local_session("*", shuffle_partitions=8, app="transpark-tests")
+    s.sparkContext.environment["PYTHONPATH"] = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     yield s
     s.stop()
 

@@ -30,8 +30,12 @@ def test_lookup_uses_broadcast_and_one_shuffle(spark):
     vocab = V.build_vocab(df, "tok")
     plan = _plan(V.encode_ids(df, "tok", vocab, key=["idx"]))
     assert "BroadcastHashJoin" in plan
-    # rows and their token arrays are each hash-partitioned on the row key once; the explode,
-    # the broadcast lookup and the per-row gather run without another exchange
-    assert plan.count("Exchange hashpartitioning") == 2
-    gather = plan[plan.index("ObjectHashAggregate") : plan.index("Generate")]
-    assert "Exchange" not in gather
+    # ids are collected per row before the one exchange on the row key
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_sizes_read_neither_text_nor_numbers(spark):
+    from transpark.plans import catalog
+
+    plan = _plan(catalog.QUERIES["dataset_sizes"](spark, "/root/testdata/sf0.001"))
+    assert "text" not in plan.replace("input_file", "") and "Sort " not in plan

@@ -37,10 +37,8 @@ def test_top_fraction_matches_stable_sort(spark, fraction, monkeypatch):
     assert got == _python_select(rows, fraction)
 
 
-@pytest.mark.parametrize("hist_limit", [0, 1_000_000])
-def test_top_fraction_by_group_and_partitioning(spark, monkeypatch, hist_limit):
+def test_top_fraction_by_group_and_partitioning(spark, monkeypatch):
     monkeypatch.setattr(S, "BUCKETS", 8)
-    monkeypatch.setattr(S, "HIST_IN_ONE_TASK", hist_limit)  # 0: distributed running counts
     rows = _corpus(240, 11)
     data = [(i, s, "g%d" % (i % 3)) for i, s in rows]
     exp = []
@@ -65,10 +63,7 @@ def test_prefix_sum(spark):
             assert got[k] == run
 
 
-def test_continuous_scores(spark, monkeypatch):
-    monkeypatch.setattr(S, "HIST_IN_ONE_TASK", 0)
-    import random
-
+def test_continuous_scores(spark):
     rnd = random.Random(9)
     rows = [(i, rnd.choice([None, rnd.random(), 0.5, 0.25])) for i in range(500)]
     df = spark.createDataFrame(rows, "idx LONG, s DOUBLE")
@@ -85,6 +80,33 @@ def test_sweep_flags(spark):
         assert sorted(r.idx for r in out if r[name]) == _python_select(rows, f)
 
 
+def test_repeated_line_numbers_and_close_fractions(spark):
+    """Splits that number their lines anew: an error without the split, right per split."""
+    rows = [(i, f"a b{i} " + "a " * (i % 3), s) for s in ("dev", "test", "train") for i in range(10)]
+    df = spark.createDataFrame(rows, "idx LONG, src STRING, split STRING")
+    with pytest.raises(ValueError, match="repeats"):
+        S.diversity_select(df, 0.35)
+    got = S.diversity_select(df, 0.35, by=["split"]).collect()
+    assert sorted((r.split, r.idx) for r in got) == [(s, i) for s in ("dev", "test", "train") for i in _python_select([(i, t) for i, t, z in rows if z == s], 0.35)]
+    one = df.filter("split = 'dev'")
+    names = S.diversity_sweep(one, [0.3333331, 0.3333334]).columns
+    assert len(set(names)) == len(names) == 6
+    with pytest.raises(ValueError, match="share"):
+        S.diversity_sweep(one, [0.5, 0.5])
+
+
+def test_mixing(spark):
+    from transpark.operators.assembly import mix_corpora
+
+    parts = {n: spark.createDataFrame([(i, f"{n}{i}") for i in range(k)], "idx LONG, src STRING").repartition(3) for n, k in (("a", 20), ("b", 7), ("c", 0))}
+    want = [(f"a{i}", i) for i in range(20)] + [(f"b{i}", 20 + i) for i in range(7)]
+    for dense in (False, True):
+        out = mix_corpora(parts, dense=dense)
+        assert sorted(((r.src, r.idx) for r in out.collect()), key=lambda x: x[1]) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan  # offsets alone
+
+
 def test_dense_index_and_groups(spark):
     data = [(k % 5, (k * 7919) % 1000, k) for k in range(500)]
     df = spark.createDataFrame(data, "g INT, v INT, k INT").repartition(7)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from transpark.sources import sinks
 from transpark.sources.genlog import read_generation_log
 from transpark.sources.text_files import read_dataset, read_lines, read_parallel, read_segments, read_vocab
+from transpark.sources.tables import read_table
 from transpark.operators.select import natural_order
 
 
@@ -23,11 +24,14 @@ def test_read_lines_many_splits(spark, tmpdir_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
     try:
         df = read_lines(spark, p)
-        assert df.rdd.getNumPartitions() > 10
+        assert df.select("idx").distinct().count() == 5000
         got = {r.idx: r.text for r in df.collect()}
+        # built under one split size, run under another
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        later = {r.idx: r.text for r in df.collect()}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    assert got == dict(enumerate(lines))
+    assert got == later == dict(enumerate(lines))
 
 
 def test_read_lines_strict_splitlines(spark, tmpdir_path):
@@ -49,9 +53,13 @@ def test_parallel_and_dataset(spark, tmpdir_path):
     assert sorted((r.split, r.idx, r.src) for r in ds.collect()) == [("dev", 0, "vier"), ("test", 0, "eins"), ("test", 1, "zwei"), ("test", 2, "drei")]
     _write(f"{d}/short.de", ["a", "b"])
     _write(f"{d}/short.en", ["a"])
-    assert read_parallel(spark, f"{d}/short", "de", "en").count() == 1
+    assert read_parallel(spark, f"{d}/short", "de", "en", strict=False).count() == 1
     with pytest.raises(ValueError):
-        read_parallel(spark, f"{d}/short", "de", "en", strict=True)
+        read_parallel(spark, f"{d}/short", "de", "en")
+    _write(f"{d}/dev.de", ["vier", "zu viel"])
+    with pytest.raises(ValueError):
+        read_dataset(spark, d, "de", "en", splits=("dev", "test"))
+    assert read_dataset(spark, d, "de", "en", splits=("dev", "test"), strict=False).count() == 4
 
 
 def test_segments_round_trip(spark, tmpdir_path):
@@ -66,12 +74,61 @@ def test_segments_round_trip(spark, tmpdir_path):
     assert (row.src, row.ref, row.hyp) == ("r2 s17", "r2 r17", "r2 h17")
     out = os.path.join(tmpdir_path, "out")
     sinks.write_segments(segs, out, text_export=True)
-    parts = sorted(os.listdir(f"{out}/hypothesis.hyp/run=r1"))
-    text = "".join(open(f"{out}/hypothesis.hyp/run=r1/{p}", encoding="utf-8").read() for p in parts if p.startswith("part-"))
+    folder = f"{out}/text/kind=hypothesis.hyp/run=r1"
+    parts = sorted(os.listdir(folder))
+    text = "".join(open(f"{folder}/{p}", encoding="utf-8").read() for p in parts if p.startswith("part-"))
     assert text.splitlines() == [f"r1 h{i}" for i in range(40)]
     back = read_segments(spark, out, layout="export")
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in segs.collect())
     assert spark.read.parquet(f"{out}/parquet").count() == 80
+    broken = segs.withColumn("hyp", F.when(F.col("idx") == 3, "a\r\nb\nc").otherwise(F.when(F.col("idx") != 5, F.col("hyp"))))
+    sinks.write_segments(broken, f"{out}2", text_export=True)
+    rows = {r.idx: r.hyp for r in read_segments(spark, f"{out}2", layout="export").filter("run = 'r1'").collect()}
+    assert len(rows) == 40 and rows[3] == "a b c" and rows[5] == "" and rows[6] == "r1 h6"
+    _write(f"{root}/r2/hypothesis.hyp", ["too", "short"])
+    with pytest.raises(ValueError):
+        read_segments(spark, root)
+    assert read_segments(spark, root, strict=False).filter("run = 'r2' and hyp is null").count() == 38
+
+
+def test_segments_are_evaluated_once(spark, tmpdir_path):
+    """Writing Parquet and text calls a function of the input once per row."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            calls.add(len(pdf))
+            yield pdf
+
+    segs = spark.createDataFrame([("r", i, f"s{i}", f"r{i}", f"h{i}") for i in range(100)], "run STRING, idx LONG, src STRING, ref STRING, hyp STRING")
+    sinks.write_segments(segs.mapInPandas(count, segs.schema), os.path.join(tmpdir_path, "once"), text_export=True)
+    assert calls.value == 100
+
+
+def test_dataset_export(spark, tmpdir_path):
+    rows = [(s, i, f"{s} {i}", f"{s.upper()} {i}\nx") for s in ("train", "dev", "test") for i in range(30)]
+    base = spark.createDataFrame(rows, "split STRING, idx LONG, src STRING, tgt STRING")
+    new = spark.createDataFrame([("train", i, f"new {i}", f"NEW {i}") for i in range(7)], base.schema)
+    sinks.export_dataset(new, tmpdir_path, "de", "en", base=base)
+    got = read_dataset(spark, tmpdir_path, "de", "en").groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in got} == {"train": 7, "dev": 30, "test": 30}
+    r = read_dataset(spark, tmpdir_path, "de", "en").filter("split = 'dev' and idx = 11").first()
+    assert (r.src, r.tgt) == ("dev 11", "DEV 11 x")
+
+
+def test_tables_are_read_as_they_are_now(spark, tmpdir_path):
+    """A table that is overwritten is read anew, also by URI."""
+    path = os.path.join(tmpdir_path, "t.parquet")
+    for n in (10, 20):
+        spark.range(n).coalesce(1).write.mode("overwrite").parquet(path)
+        assert read_table(spark, f"file:{path}").count() == read_table(spark, path).count() == n
+
+
+def test_release(spark):
+    from transpark.session import materialize, release
+
+    df = materialize(spark.range(5), "x")
+    assert df.count() == 5 and release(spark) >= 1 and release(spark) == 0
 
 
 def test_generation_log(spark, tmpdir_path):
@@ -89,6 +146,17 @@ def test_generation_log(spark, tmpdir_path):
     assert got[0].src == "src 3" and got[0].ref == "ref 3" and got[0].hyp == "hyp 3" and got[0].score == pytest.approx(-0.3)
 
 
+def test_generation_log_keeps_every_line(spark, tmpdir_path):
+    """Characters that engines take for line ends, several hypotheses, missing parts."""
+    p = os.path.join(tmpdir_path, "odd.out")
+    _write(p, ["S-1\tfoo\x85bar\u2028baz", "T-1\tref\u2029x", "H-1\t-0.9\tzzz worst", "H-1\t-0.1\taaa best", "H-1\tnan?\tbad score", "H-2\t-1\tonly"])
+    rows = {r.id: r for r in read_generation_log(spark, p, n_best=True).collect()}
+    assert (rows[1].src, rows[1].ref) == ("foo\x85bar\u2028baz", "ref\u2029x")
+    assert (rows[1].hyp, rows[1].score) == ("aaa best", -0.1)
+    assert [h.hyp for h in rows[1].hyps] == ["aaa best", "zzz worst", "bad score"]
+    assert (rows[2].src, rows[2].hyp) == (None, "only")
+
+
 def test_read_vocab_and_sinks(spark, tmpdir_path):
     p = os.path.join(tmpdir_path, "dict.en.txt")
     _write(p, ["the 10", "a b 5", "x 1"])

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from transpark.functions.text import words
+from transpark.operators import common
 from transpark.operators import vocab as V
 
 TEXTS = ["the cat sat on the mat", "the dog", "a cat and a dog", "", "zebra"]
@@ -26,22 +27,39 @@ def test_build_vocab_order(spark):
     assert top.count() == 6
 
 
-@pytest.mark.parametrize("map_limit,broadcast_rows", [(0, 1_000_000), (0, 3), (10_000, 1_000_000)])
-def test_encode_decode_round_trip(spark, monkeypatch, map_limit, broadcast_rows):
-    monkeypatch.setattr(V, "MAP_LIMIT", map_limit)
-    monkeypatch.setattr(V, "BROADCAST_ROWS", broadcast_rows)  # 3: hot/cold split lookups
-    df = _df(spark)
+@pytest.mark.parametrize("broadcast_bytes,hot", [(32 << 20, 65_536), (0, 2)])
+def test_encode_decode_round_trip(spark, monkeypatch, broadcast_bytes, hot):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast_bytes)  # 0: frequent entries broadcast, the rest joined
+    monkeypatch.setattr(V, "HOT_ENTRIES", hot)
+    df = _df(spark).unionByName(spark.createDataFrame([(9, None)], "idx LONG, text STRING").withColumn("tok", F.array().cast("array<string>")))
     vocab = V.build_vocab(df, "tok", n=4)
     known = {r.token: r.id for r in vocab.collect()}
-    key = ["idx"] if map_limit == 0 else None
-    enc = V.encode_ids(df, "tok", vocab, key=key)
-    dec = V.decode_ids(enc, "ids", vocab, out="back", key=key)
-    for r in dec.collect():
-        toks = TEXTS[r.idx].split()
+    enc = V.encode_ids(df, "tok", vocab, ["idx"])
+    assert enc.columns == ["idx", "text", "tok", "ids"]
+    dec = V.decode_ids(enc, "ids", vocab, ["idx"], out="back").collect()
+    assert len(dec) == len(TEXTS) + 1
+    for r in dec:
+        toks = (r.text or "").split()
         assert r.ids == [known.get(t, V.UNK) for t in toks]
         assert r.back == " ".join(t for t in toks if t in known)
     plain = V.decode_ids(enc, "ids", None, out="s").filter("idx = 1").first().s
     assert plain == " ".join(str(known.get(t, 3)) for t in "the dog".split() if known.get(t, 3) >= 4)
+    with pytest.raises(ValueError):
+        V.decode_ids(enc, "ids", vocab)
+
+
+def test_lookup_plan(spark):
+    """One exchange on the row key, no sort-merge join, no top-k."""
+    vocab = V.build_vocab(_df(spark), "tok")
+    plan = V.encode_ids(_df(spark), "tok", vocab, ["idx"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan and "TakeOrdered" not in plan
+
+
+def test_decode_labels(spark):
+    df = _df(spark)
+    vocab = V.build_vocab(df, "tok")
+    packed = V.pack_examples(V.encode_ids(df, "tok", vocab, ["idx"]), "ids", "ids", max_len=4).select("idx", "labels")
+    assert {r.idx: r.text for r in V.decode_labels(packed, vocab, ["idx"]).collect()} == {i: " ".join(t.split()[:3]) for i, t in enumerate(TEXTS)}
 
 
 def test_pack_pad_unmask(spark):

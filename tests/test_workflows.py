@@ -4,7 +4,6 @@ import pytest
 
 from transpark.operators import udf as U
 from transpark.plans import workflows as WF
-from transpark.streaming import evaluate as SE
 
 
 def _base(spark):
@@ -25,12 +24,22 @@ def test_back_translate(spark):
 
 
 def test_iterate_and_evaluate(spark):
-    mono = spark.createDataFrame([(i, f"a{i} b{i}") for i in range(20)], "idx LONG, text STRING")
-    dev = spark.createDataFrame([(i, f"x y z w {i}", f"x y z w {i}") for i in range(40)], "idx LONG, src STRING, tgt STRING")
-    ident = lambda: (lambda texts: list(texts))
-    datasets, scores = WF.iterate_back_translation(mono, mono, [(ident, ident)] * 3, dev, rounds=3, stop_eps=0.5)
-    assert len(scores) == 2 and scores[0] == pytest.approx(100.0), scores  # no gain after round 2: stop
-    assert datasets[0].count() == 40
+    mono = spark.createDataFrame([(i, f"a{i} b c d e f{i} g") for i in range(20)], "idx LONG, text STRING")
+    dev = spark.createDataFrame([(i, f"x y z w v u {i}", f"x y z w v u {i}") for i in range(40)], "idx LONG, src STRING, tgt STRING")
+    seen = []
+
+    def first_words(r, previous):
+        """Round r's model keeps as many words as the data of the round before had in a row, and one more."""
+        n = 4 if previous is None else 1 + max(len(x.src.split()) for x in previous.filter("direction = 'bt'").collect())
+        seen.append((r, previous is None, n))
+        make = lambda: (lambda texts: [" ".join(t.split()[:n]) for t in texts])
+        return make, make
+
+    datasets, scores = WF.iterate_back_translation(mono, mono, first_words, dev, rounds=9, stop_eps=0.5)
+    assert seen == [(0, True, 4), (1, False, 5), (2, False, 6), (3, False, 7), (4, False, 8)]
+    assert not datasets[0].exceptAll(datasets[1]).isEmpty() and datasets[0].count() == 40
+    assert len(scores) == len(datasets) == 5 and scores[-1] == pytest.approx(100.0)  # rows have seven words: no gain any more
+    assert all(b - a >= 0.5 for a, b in zip(scores[:-2], scores[1:-1]))
     segs = spark.createDataFrame(
         [(r, i, "s", f"a b c {i}", f"a b c {i}" if r == "good" else "a b") for r in ("good", "bad") for i in range(64)],
         "run STRING, idx LONG, src STRING, ref STRING, hyp STRING",
@@ -42,6 +51,38 @@ def test_iterate_and_evaluate(spark):
     assert best == {"test_bleu": "good", "test_bleu_b32": "good"}
 
 
+@pytest.mark.parametrize("fraction", [None, 0.5])
+@pytest.mark.parametrize("mix", [False, True])
+def test_the_model_sees_every_row_once(spark, fraction, mix):
+    calls = spark.sparkContext.accumulator(0)
+    loads = spark.sparkContext.accumulator(0)
+
+    def make():
+        loads.add(1)
+
+        def fn(texts):
+            calls.add(len(texts))
+            return [t.upper() for t in texts]
+
+        return fn
+
+    mono = spark.createDataFrame([(i, f"w{i} v{i % 7} v{i % 3}") for i in range(60)], "idx LONG, text STRING").repartition(12)
+    out = WF.back_translate(mono, make, base=_base(spark), select_fraction=fraction, mix_with_base=mix)
+    assert out.count() > 0 and out.filter("split = 'train'").count() == (30 if fraction else 60) + (2 if mix else 0)
+    assert calls.value == 60 and loads.value <= spark.sparkContext.defaultParallelism
+
+
+def test_evaluation_with_a_scorer_and_a_log(spark, tmp_path):
+    segs = spark.createDataFrame(
+        [(r, i, "s", f"a b c {i}", f"a b c {i}" if r == "good" else None) for r in ("good", "bad") for i in range(40)],
+        "run STRING, idx LONG, src STRING, ref STRING, hyp STRING",
+    )
+    res = WF.evaluate_runs(segs, 32, make_scorer=U.overlap_scorer, log_path=str(tmp_path / "log"))
+    log = {(r.model, r.metric): r.mean for r in spark.read.parquet(str(tmp_path / "log")).collect()}
+    assert log["good", "score"] == pytest.approx(100.0) and log["bad", "score"] == 0.0 and len(log) == 6
+    assert {r.run: r.ref_len for r in res["corpus"].collect()} == {"good": 160, "bad": 160}  # null hypotheses count
+
+
 def test_prepare_corpus(spark):
     df = spark.createDataFrame([(0, "Hello, world — it's “fine”.", "Hallo Welt."), (1, "A-B test", "A-B Test")], "idx LONG, src STRING, tgt STRING")
     out, vocab = WF.prepare_corpus(df)
@@ -49,16 +90,3 @@ def test_prepare_corpus(spark):
     assert r.src_tok == "A @-@ B test"
     assert len(r.src_ids) == 4 and all(i >= 4 for i in r.src_ids)
     assert set(vocab) == {"src", "tgt"}
-
-
-def test_streaming_log_evaluation(spark, tmp_path):
-    logs = tmp_path / "logs" / "runA"
-    logs.mkdir(parents=True)
-    lines = []
-    for i in range(5):
-        lines += [f"S-{i}\tsrc", f"T-{i}\tthe cat sat {i}", f"H-{i}\t-0.1\tthe cat sat {i}"]
-    (logs / "gen.txt").write_text("\n".join(lines) + "\n", encoding="utf-8")
-    q = SE.start_log_evaluation(spark, str(tmp_path / "logs"), str(tmp_path / "stats"), str(tmp_path / "ck"), trigger_once=True)
-    q.awaitTermination(120)
-    row = SE.current_scores(spark, str(tmp_path / "stats")).first()
-    assert row.run == "runA" and row.bleu == pytest.approx(100.0) and row.sys_len == 20

@@ -4,5 +4,4 @@ functions/  column expressions (words, TTR, 13a tokens, rule tables, HTML unesca
 sources/    text corpora, stored run outputs, generation logs, vocabularies; sinks
 operators/  selection, numbering, BLEU, vocabulary/ids, text jobs, assembly, run metrics, UDF jobs
 plans/      compositions (workflows) and the registered driver queries with their SQL twins
-streaming/  BLEU statistics of generation logs as they arrive
 """

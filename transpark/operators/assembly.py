@@ -9,16 +9,24 @@ from pyspark.sql import functions as F
 from transpark.operators.numbering import dense_index
 
 
-def mix_corpora(parts: dict[str, DataFrame], idx: str = "idx", new_idx: str = "idx") -> DataFrame:
+def mix_corpora(parts: dict[str, DataFrame], idx: str = "idx", new_idx: str = "idx", dense: bool = False) -> DataFrame:
     """M1: bag union of several pair sets with an ``origin`` column and a new dense index
-    in (part order, old index) order. All parts must share column names."""
-    names = list(parts)
-    union = None
-    for order, name in enumerate(names):
-        p = parts[name].withColumn("origin", F.lit(name)).withColumn("_o", F.lit(order)).withColumnRenamed(idx, "_old")
+    in (part order, old index) order. All parts must share column names.
+
+    With ``dense`` every part's ``idx`` is already 0..n-1, and the new index is an offset per
+    part (no shuffle); otherwise only keys are numbered and joined back to the rows, so that
+    text never goes through the range sort. ``idx`` must be unique in a part."""
+    union, numbered, before = None, None, 0
+    for order, (name, part) in enumerate(parts.items()):
+        p = part.withColumn("origin", F.lit(name)).withColumn("_o", F.lit(order)).withColumnRenamed(idx, "_old")
+        if dense:
+            p = p.withColumn("_new", F.col("_old") + F.lit(before))
+            before += part.count()
         union = p if union is None else union.unionByName(p)
-    out = dense_index(union, ["_o", "_old"], name="_new")
-    return out.drop("_o").withColumnRenamed("_old", "orig_idx").withColumnRenamed("_new", new_idx)
+    if not dense:
+        numbered = dense_index(union.select("_o", "_old"), ["_o", "_old"], name="_new")
+        union = union.join(numbered, ["_o", "_old"])
+    return union.drop("_o").withColumnRenamed("_old", "orig_idx").withColumnRenamed("_new", new_idx)
 
 
 def swap_roles(df: DataFrame, hyp: str = "hyp", src: str = "src") -> DataFrame:

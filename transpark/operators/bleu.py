@@ -42,13 +42,14 @@ def segment_stats(
 ) -> DataFrame:
     """A2: per segment ``keys..., sys_len, ref_len, m1..m4, t1..t4``.
 
-    ``keys`` must identify a segment (e.g. ``["run", "idx"]``). Empty
-    hypotheses still count their reference length.
+    ``keys`` must identify a segment (e.g. ``["run", "idx"]``). Empty and
+    null hypotheses still count their reference length.
     """
     keys = list(keys or ["idx"])
     spark = df.sparkSession
     n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seg = df.select(*keys, hyp, ref).repartition(n_part, *keys)
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in dict.fromkeys((hyp, ref))]
+    seg = df.select(*keys, *text).repartition(n_part, *keys)
     seg = seg.select(*keys, tokenize_13a(hyp).alias("_th"), tokenize_13a(ref).alias("_tr"))
     parts = [F.array(F.struct(F.lit(0).alias("_n"), F.lit("").alias("_g"), F.size("_th").alias("_h"), F.size("_tr").alias("_r")))]
     for n in range(1, ORDER + 1):

@@ -4,20 +4,20 @@
 task, and a window partitioned by a hot key does the same for that key. Here
 rows are range-partitioned on the full sort key (a hot key is split across
 many ranges because the rest of the key differs), sorted inside each range,
-written once under the checkpoint folder, and numbered as
-``offset(partition) + position in partition``. The offsets table has one row
-per partition, which is bounded by the partition count, not by the data.
+written once as Parquet with range and position under the checkpoint folder,
+and numbered as ``offset(range) + position in range``. The offsets table has
+one row per range, which is bounded by the partition count, not by the data.
+Columns that are not selected afterwards are not read back; callers number
+narrow rows where they can.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transpark.operators.common import join_small
-from transpark.session import checkpoint_dir
+from transpark.session import materialize
 
 _MID_SHIFT = 33  # monotonically_increasing_id = partition index << 33 | row position
 
@@ -26,6 +26,21 @@ def _key_cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def _ranged(df: DataFrame, keys: list[Column], n: int) -> DataFrame:
+    """Rows in key order with ``_tp_pid`` (range) and ``_tp_pos`` (position in it), written once."""
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    pid = F.spark_partition_id()
+    pos = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), _MID_SHIFT)
+    return materialize(ranged.select("*", pid.alias("_tp_pid"), pos.alias("_tp_pos")), "ranged")
+
+
+def _offsets(ranged: DataFrame, weight: Column) -> DataFrame:
+    """``_tp_pid, _tp_off``: the sum of ``weight`` in the ranges before (one row per range)."""
+    before = Window.orderBy("_tp_pid").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_tp_pid").agg(F.sum(weight).cast("long").alias("_tp_sum"))
+    return sums.select("_tp_pid", F.coalesce(F.sum("_tp_sum").over(before), F.lit(0)).alias("_tp_off"))
+
+
 def dense_index(
     df: DataFrame,
     order_by: list,
@@ -41,19 +56,11 @@ def dense_index(
     evaluated twice (range bounds are sampled from it), so an expensive input
     should be materialized first.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
     part = list(partition_by or [])
     keys = _key_cols([*part, *order_by])
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
-    tagged = ranged.withColumn("_tp_pid", F.spark_partition_id()).withColumn(
-        "_tp_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), _MID_SHIFT)
-    )
-    counts = sorted((r[0], r[1]) for r in tagged.groupBy("_tp_pid").count().collect())
-    offsets = [0, *accumulate(c for _, c in counts)][:-1]
-    off_df = spark.createDataFrame([(p, o) for (p, _), o in zip(counts, offsets)], "_tp_pid INT, _tp_off LONG")
-    out = tagged.join(F.broadcast(off_df), "_tp_pid").withColumn(name, F.col("_tp_off") + F.col("_tp_pos"))
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = _ranged(df, keys, n)
+    out = join_small(ranged, _offsets(ranged, F.lit(1)), "_tp_pid").withColumn(name, F.col("_tp_off") + F.col("_tp_pos"))
     if part:
         firsts = out.groupBy(*part).agg(F.min(name).alias("_tp_first"))
         out = join_small(out, firsts, part).withColumn(name, F.col(name) - F.col("_tp_first")).drop("_tp_first")
@@ -75,20 +82,14 @@ def prefix_sum(
     ``partition_by`` group), computed without a single-task window: rows are range-partitioned on
     the full key, each range sums its rows (a window per range), and ranges are offset by the
     totals of the ranges before them (one row per range)."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
     part = list(partition_by or [])
     keys = _key_cols([*part, *order_by])
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
-    tagged = ranged.withColumn("_tp_pid", F.spark_partition_id())
-    sums = sorted((r[0], r[1] or 0) for r in tagged.groupBy("_tp_pid").agg(F.sum(weight)).collect())
-    offsets = [0, *accumulate(s for _, s in sums)][:-1]
-    off_df = spark.createDataFrame([(p, int(o)) for (p, _), o in zip(sums, offsets)], "_tp_pid INT, _tp_off LONG")
-    w = Window.partitionBy("_tp_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    out = tagged.withColumn("_tp_run", F.sum(weight).over(w)).join(F.broadcast(off_df), "_tp_pid")
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = _ranged(df, keys, n)
+    w = Window.partitionBy("_tp_pid").orderBy("_tp_pos").rowsBetween(Window.unboundedPreceding, 0)
+    out = join_small(ranged, _offsets(ranged, F.col(weight)), "_tp_pid").withColumn("_tp_run", F.sum(weight).over(w))
     out = out.withColumn(name, F.col("_tp_off") + F.col("_tp_run"))
     if part:
         starts = out.groupBy(*part).agg(F.min(F.col(name) - F.col(weight)).alias("_tp_start"))
         out = join_small(out, starts, part).withColumn(name, F.col(name) - F.col("_tp_start")).drop("_tp_start")
-    return out.drop("_tp_pid", "_tp_run", "_tp_off")
+    return out.drop("_tp_pid", "_tp_pos", "_tp_run", "_tp_off")

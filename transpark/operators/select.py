@@ -8,10 +8,11 @@ descending, ties in input order (``idx`` ascending), keep the first
 The cut is found without sorting the corpus: a histogram over distinct scores
 gives the cut score and the quota among its ties; then the ``idx`` of the
 quota-th tied row is found by repeated bucket histograms over the idx range
-(each pass divides the range by ``BUCKETS``). Only when such passes are
-needed are the tied rows written once as a narrow (group, fraction, idx)
-table; every pass is a partial aggregation over it. The final selection is
-a plain filter on the original rows.
+(each pass divides the range by ``BUCKETS``). The scores are computed once, into
+a narrow (group, idx, score) table that all of this reads; the final selection
+is a plain filter on the original rows. ``idx`` must be unique within a group
+(for a corpus whose splits number their lines anew: ``by=["split"]``); repeated
+ones that would change the number of rows kept raise an error.
 """
 
 from __future__ import annotations
@@ -26,13 +27,18 @@ from transpark.operators.numbering import dense_index, prefix_sum
 from transpark.session import materialize
 
 BUCKETS = 4096
-# Distinct-score histograms up to this many rows get their running counts from one
-# window; larger ones use the range-partitioned prefix sum.
-HIST_IN_ONE_TASK = 1_000_000
 
 
 def _frac_name(f: float) -> str:
-    return "sel_" + ("%g" % (f * 100)).replace(".", "_")
+    short = "%g" % (f * 100)
+    return "sel_" + (short if abs(float(short) - f * 100) < 1e-9 else repr(f * 100)).replace(".", "_")
+
+
+def _frac_names(fractions: list[float]) -> list[str]:
+    names = [_frac_name(f) for f in fractions]
+    if len(set(names)) < len(names):
+        raise ValueError(f"fractions share a column name: {names}")
+    return names
 
 
 def fraction_cuts(
@@ -48,18 +54,11 @@ def fraction_cuts(
         narrow = narrow.withColumn("_g", F.lit(0))
     fr = F.array(*[F.struct(F.lit(i).alias("_f"), F.lit(float(f)).alias("_fv")) for i, f in enumerate(fractions)])
 
+    narrow = materialize(narrow, "scores")
     hist = narrow.groupBy(*by, "_s").agg(F.count("*").alias("_c"), F.min("_i").alias("_lo"), F.max("_i").alias("_hi"))
-    hist = hist.checkpoint(eager=True)
-    if hist.count() <= HIST_IN_ONE_TASK:
-        w_cum = Window.partitionBy(*by).orderBy(F.col("_s").desc_nulls_last())
-        hist = hist.withColumn("_cum", F.sum("_c").over(w_cum.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-            "_n", F.sum("_c").over(Window.partitionBy(*by))
-        )
-    else:
-        # many distinct scores (a continuous score): running counts without a one-task window
-        hist = prefix_sum(hist, [F.col("_s").desc_nulls_last()], "_c", partition_by=by, name="_cum")
-        totals = hist.groupBy(*by).agg(F.sum("_c").alias("_n"))
-        hist = join_small(hist, totals, by)
+    # running counts without a one-task window, however many distinct scores there are
+    hist = prefix_sum(hist, [F.col("_s").desc_nulls_last()], "_c", partition_by=by, name="_cum")
+    hist = join_small(hist, hist.groupBy(*by).agg(F.sum("_c").alias("_n")), by)
     cuts = (
         hist.withColumn("_fr", F.explode(fr))
         .select("*", "_fr._f", "_fr._fv")
@@ -80,7 +79,7 @@ def fraction_cuts(
     )
     # quota covers all ties: the cut idx is the largest tied idx
     cuts = cuts.withColumn("idx_cut", F.when(F.col("_q") == F.col("_c"), F.col("_hi")).when(F.col("_q") == 1, F.col("_lo")))
-    cuts = cuts.checkpoint(eager=True)
+    cuts = materialize(cuts, "cuts")
 
     keys = [*by, "_f"]
     ties_all = None
@@ -126,7 +125,12 @@ def fraction_cuts(
             )
             .drop("_nq", "_bc", "_blo", "_bhi")
         )
-        cuts = nxt.checkpoint(eager=True)
+        cuts = materialize(nxt, "cuts")
+    kept = join_small(narrow, cuts.select(*keys, "s_cut", "cut_null", "idx_cut"), by)
+    kept = kept.filter(_selected(F.col("_s"), F.col("_i"), F.col("s_cut"), F.col("cut_null"), F.col("idx_cut")))
+    wrong = cuts.select(*keys, "_k").join(kept.groupBy(*keys).agg(F.count("*").alias("_kept")), keys, "left")
+    if not wrong.filter(~F.col("_k").eqNullSafe(F.col("_kept"))).isEmpty():
+        raise ValueError(f"{idx!r} repeats within a group: name what makes it unique in by=[...]")
     return cuts.select(*user_by, "_f", "_k", "s_cut", "cut_null", "idx_cut")
 
 
@@ -141,8 +145,8 @@ def top_fraction_flags(
 ) -> DataFrame:
     """Add one boolean column per fraction (``sel_50`` for 0.5) marking the selected rows."""
     by = list(by or [])
+    names = _frac_names(fractions)
     cuts = fraction_cuts(df, score, fractions, idx, by)
-    names = [_frac_name(f) for f in fractions]
     if not by:
         got = {r["_f"]: r for r in cuts.collect()}  # at most len(fractions) rows
         out = df
@@ -203,8 +207,9 @@ def natural_order(df: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def shuffle_rows(df: DataFrame, seed: int, idx: str = "idx") -> DataFrame:
-    """T4: seeded shuffle that does not depend on partitioning (``rand(seed)`` does)."""
-    return df.orderBy(F.xxhash64(F.col(idx), F.lit(seed)), F.col(idx))
+    """T4: seeded shuffle that does not depend on partitioning (``rand(seed)`` does): rows in order of
+    a digest of seed and ``idx``."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(idx).cast("string"))), F.col(idx))
 
 
 def assign_batches(df: DataFrame, batch_size: int, idx: str = "idx", name: str = "batch_id") -> DataFrame:

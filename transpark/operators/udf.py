@@ -1,15 +1,17 @@
 """Pluggable batch functions (U1-U3): translation, teacher translation and
 learned segment scores run as ``mapInPandas`` jobs over Arrow batches.
 
-The user passes ``make_fn()``, called once per task (it loads a model or
-opens a client), returning ``fn(list[str]) -> list[str]`` (or a scorer). Every
+The user passes ``make_fn()``, called once per Python worker (it loads a model
+or opens a client), returning ``fn(list[str]) -> list[str]`` (or a scorer). Every
 input row comes out exactly once with its key; the output count is checked
-per batch. No network client or model ships with this package.
+per batch. An Arrow batch holds at most ``ARROW_ROWS`` rows, whatever the
+length of the texts. No network client or model ships with this package.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -17,6 +19,24 @@ from pyspark.sql import types as T
 
 from transpark.functions.text import strip, unescape
 
+ARROW_ROWS = 1000
+_LOADED: dict[str, object] = {}  # of this worker: what make_fn() returned, by the name its caller gave it
+
+
+def _loaded(name: str, make_fn: Callable):
+    # imported by name: a function sent to a worker would carry a copy of the table otherwise
+    from transpark.operators import udf
+
+    if name not in udf._LOADED:
+        udf._LOADED[name] = make_fn()
+    return udf._LOADED[name]
+
+
+def _bounded_batches(df: DataFrame) -> None:
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key, None) in (None, "10000"):
+        conf.set(key, str(ARROW_ROWS))
+
 
 def _chunks(values: list, size: int):
     for i in range(0, len(values), size):
@@ -46,9 +66,11 @@ def translate_corpus(
 ) -> DataFrame:
     """``out_col`` = fn(``src_col``) in batches of ``batch_size`` rows; all other columns kept."""
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType(), True)])
+    name = uuid.uuid4().hex
+    _bounded_batches(df)
 
     def run(batches):
-        fn = make_fn()
+        fn = _loaded(name, make_fn)
         for pdf in batches:
             texts = ["" if t is None else t for t in pdf[src_col].tolist()]
             outs: list[str] = []
@@ -91,9 +113,11 @@ def score_segments(
 ) -> DataFrame:
     """Learned segment score of (source, hypothesis, reference)."""
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.DoubleType(), True)])
+    name = uuid.uuid4().hex
+    _bounded_batches(df)
 
     def run(batches):
-        scorer = make_scorer()
+        scorer = _loaded(name, make_scorer)
         for pdf in batches:
             cols = [["" if t is None else t for t in pdf[c].tolist()] for c in (src, hyp, ref)]
             outs: list[float] = []

@@ -10,18 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from transpark.operators.common import BROADCAST_ROWS, join_small
+from transpark.operators import common
 from transpark.operators.numbering import dense_index
+from transpark.session import materialize
 
 # Special symbols in id order, and the label mask value.
 SPECIALS = ("<s>", "<pad>", "</s>", "<unk>")
 BOS, PAD, EOS, UNK = 0, 1, 2, 3
 IGNORE = -100
 
-# Vocabularies up to this many entries may be looked up through a map literal
-# inside the row when no row key is given (a map lookup scans its keys, so
-# this only suits small tables); otherwise lookups go through a hash join.
-MAP_LIMIT = 256
+# Of a vocabulary too large to broadcast, the first entries (ids follow frequency) are still
+# broadcast, as far as their tokens have at most HOT_TOKEN_BYTES, so their size is bounded.
+HOT_ENTRIES = 65_536
+HOT_TOKEN_BYTES = 256
 
 
 def build_vocab(df: DataFrame, tokens: str, threshold: int = 0, n: int | None = None, specials=SPECIALS) -> DataFrame:
@@ -38,80 +39,59 @@ def build_vocab(df: DataFrame, tokens: str, threshold: int = 0, n: int | None =
     return spec.unionByName(body)
 
 
-def _vocab_rows(vocab: DataFrame):
-    small = vocab.select("token", "id")
-    if small.limit(MAP_LIMIT + 1).count() > MAP_LIMIT:
-        return None
-    return small.collect()  # bounded by MAP_LIMIT
+def _lookup_by_row(df: DataFrame, arr: Column, vocab: DataFrame, on: str, value: str, default, key: list[str], out: str):
+    """Per-element lookup of ``arr`` in ``vocab`` (``token, id``) keeping element order.
 
-
-def _map_literal(pairs) -> Column:
-    return F.map_from_arrays(F.array(*[F.lit(k) for k, _ in pairs]), F.array(*[F.lit(v) for _, v in pairs]))
-
-
-def _lookup_by_row(df: DataFrame, arr: Column, table: DataFrame, on: str, value: str, default, key: list[str], out: str):
-    """Per-element lookup of ``arr`` in ``table`` keeping element order.
-
-    Rows are hash-partitioned on ``key`` once; elements are exploded, looked
-    up with a (size-checked) broadcast hash join that keeps that partitioning,
-    and gathered back per row without another shuffle. A row's elements are
-    one row's worth of data, so no group outgrows its row.
+    Elements are exploded, looked up in the broadcast vocabulary and collected per row before one
+    exchange on ``key``; the other columns of a row travel with its first element only. A row's elements
+    are one row's worth of data, so no group outgrows its row. A vocabulary above the broadcast limit is
+    split by id: the frequent entries are broadcast, and only elements not found there are
+    shuffle-joined with the rest, so frequent tokens never meet in one partition.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seg = df.repartition(n, *key)
-    ex = seg.select(*key, F.posexplode(arr).alias("_pos", on))
-    side = table.select(on, F.col(value).alias("_val"), *(["cnt"] if "cnt" in table.columns else []))
-    side = side.checkpoint(eager=True)
-    if side.count() <= BROADCAST_ROWS or "cnt" not in side.columns:
-        hit = join_small(ex, side.select(on, "_val"), [on], "left")
+    rest = [c for c in df.columns if c not in key and c != out]
+    ex = df.select(*key, F.struct(F.lit(0).alias("_tp"), *rest).alias("_row"), F.posexplode_outer(arr).alias("_pos", on))
+    ex = ex.withColumn("_row", F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_row")))
+    side = materialize(vocab.select("token", "id"), "vocab")
+    look = lambda v: v.select(on, F.col(value).alias("_val"))
+    if common.table_bytes(side) <= common.BROADCAST_BYTES:
+        hit = ex.join(F.broadcast(look(side)), on, "left")
     else:
-        # a large table: its most frequent entries (bounded) are broadcast, so hot tokens never
-        # meet in one shuffle partition; only the rare remainder goes through a shuffle join
-        hot = side.orderBy(F.desc("cnt"), F.asc(on)).limit(BROADCAST_ROWS).select(on, "_val").checkpoint(eager=True)
-        first = ex.join(F.broadcast(hot), [on], "left")
-        cold = side.join(hot.select(on), [on], "left_anti").select(on, "_val")
-        rest = first.filter(F.col("_val").isNull()).drop("_val").join(cold, [on], "left")
-        hit = first.filter(F.col("_val").isNotNull()).unionByName(rest)
+        hot = (F.col("id") < len(SPECIALS) + HOT_ENTRIES) & (F.octet_length("token") <= HOT_TOKEN_BYTES)
+        first = ex.join(F.broadcast(look(side.filter(hot))), on, "left")
+        found = F.col("_val").isNotNull() | F.col(on).isNull()
+        rare = first.filter(~found).drop("_val").join(look(side.filter(~hot)), on, "left")
+        hit = first.filter(found).unionByName(rare)
     val = F.coalesce(F.col("_val"), F.lit(default)) if default is not None else F.col("_val")
-    packed = hit.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_pos", val.alias("_v")))).alias("_p"))
-    packed = packed.select(*key, F.transform("_p", lambda s_: s_["_v"]).alias(out))
-    return seg.join(packed, key, "left")
+    item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", val.alias("_v")))
+    packed = hit.groupBy(*key).agg(F.first("_row", ignorenulls=True).alias("_row"), F.array_sort(F.collect_list(item)).alias("_p"))
+    return packed.select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest], F.transform("_p", lambda s_: s_["_v"]).alias(out))
 
 
-def encode_ids(
-    df: DataFrame, tokens: str, vocab: DataFrame, out: str = "ids", key: list[str] | None = None, unk: int = UNK
-) -> DataFrame:
+def encode_ids(df: DataFrame, tokens: str, vocab: DataFrame, key: list[str], out: str = "ids", unk: int = UNK) -> DataFrame:
     """Tokens -> ids with ``<unk>`` for unknown tokens. ``key`` is a unique row key."""
-    if not key:
-        rows = _vocab_rows(vocab)
-        if rows is None:
-            raise ValueError("a row key is needed to encode with a vocabulary above MAP_LIMIT entries")
-        m = _map_literal([(r["token"], r["id"]) for r in rows if r["token"] not in SPECIALS])
-        return df.withColumn(out, F.transform(tokens, lambda t: F.coalesce(F.element_at(m, t), F.lit(unk))))
     v = vocab.filter(~F.col("token").isin(*SPECIALS))
-    res = _lookup_by_row(df, F.col(tokens), v, "token", "id", unk, key, out)
-    return res.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
+    return _lookup_by_row(df, F.col(tokens), v, "token", "id", unk, key, out)
 
 
 def decode_ids(
-    df: DataFrame, ids: str, vocab: DataFrame | None = None, out: str = "text", skip_special: bool = True,
-    key: list[str] | None = None,
+    df: DataFrame, ids: str, vocab: DataFrame | None = None, key: list[str] | None = None, out: str = "text", skip_special: bool = True
 ) -> DataFrame:
-    """Ids -> text. Without a vocabulary the ids themselves are joined by blanks."""
+    """Ids -> text. Without a vocabulary the ids themselves are joined by blanks; with one,
+    ``key`` is a unique row key."""
     arr = F.col(ids)
     if skip_special:
         arr = F.filter(arr, lambda i: i >= F.lit(len(SPECIALS)))
     if vocab is None:
         return df.withColumn(out, F.array_join(F.transform(arr, lambda i: i.cast("string")), " "))
     if not key:
-        rows = _vocab_rows(vocab)
-        if rows is None:
-            raise ValueError("a row key is needed to decode with a vocabulary above MAP_LIMIT entries")
-        m = _map_literal([(r["id"], r["token"]) for r in rows])
-        return df.withColumn(out, F.array_join(F.transform(arr, lambda i: F.element_at(m, i)), " "))
-    side = vocab.select("id", "token", *(["cnt"] if "cnt" in vocab.columns else []))
-    res = _lookup_by_row(df, arr, side, "id", "token", None, key, "_toks")
-    return res.withColumn(out, F.coalesce(F.array_join("_toks", " "), F.lit(""))).drop("_toks")
+        raise ValueError("a unique row key is needed to decode with a vocabulary")
+    res = _lookup_by_row(df, arr, vocab, "id", "token", None, key, "_toks")
+    return res.withColumn(out, F.array_join("_toks", " ")).drop("_toks")
+
+
+def decode_labels(packed: DataFrame, vocab: DataFrame, key: list[str], col: str = "labels", out: str = "text") -> DataFrame:
+    """P6 + J3: the text that truncated, padded and masked label ids stand for."""
+    return decode_ids(unmask_labels(packed, col), col, vocab, key, out)
 
 
 def _fit(arr: Column, max_len: int, pad: int, eos: int | None) -> Column:

@@ -134,6 +134,27 @@ def diversity_select_lines(spark, d):
     return sel.select("doc_id", "line_no", "ttr")
 
 
+_SPLIT_LINES_SQL = f"""SELECT *, CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'dev' ELSE 'train' END AS split
+    FROM ({_LINES_SQL})"""
+
+
+@register(
+    "diversity_select_splits",
+    f"""WITH n AS (SELECT split, (row_number() OVER (PARTITION BY split ORDER BY doc_id, line_no) - 1)::BIGINT AS idx,
+                          {Q.words('line')} AS w FROM ({_SPLIT_LINES_SQL}))
+        SELECT split, idx, ttr FROM (
+          SELECT *, row_number() OVER (PARTITION BY split ORDER BY ttr DESC NULLS LAST, idx) AS rn,
+                 count(*) OVER (PARTITION BY split) AS n FROM (SELECT split, idx, {Q.ttr_of('w')} AS ttr FROM n))
+        WHERE rn <= trunc(n * 0.35::DOUBLE)""",
+)
+def diversity_select_splits(spark, d):
+    """T1 over a dataset whose splits each number their lines from 0."""
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(T.split_lines("text")).alias("line_no", "src"))
+    split = F.when(F.col("doc_id") % 10 == 0, "test").when(F.col("doc_id") % 10 == 1, "dev").otherwise("train")
+    lines = dense_index(docs.withColumn("split", split), ["doc_id", "line_no"], partition_by=["split"], name="idx")
+    return S.diversity_select(lines, 0.35, by=["split"]).select("split", "idx", "ttr")
+
+
 # --- A2-A6, A13: BLEU over document pairs -------------------------------------
 
 
@@ -316,16 +337,16 @@ def build_vocab(spark, d):
     return V.build_vocab(_doc_tokens(spark, d), "tok")
 
 
-_VOCAB1000_SQL = f"""v AS (SELECT token, (row_number() OVER (ORDER BY cnt DESC, token) + 3)::INTEGER AS id FROM ({_COUNTS_SQL})
-                          QUALIFY row_number() OVER (ORDER BY cnt DESC, token) <= 1000),
-        vm AS (SELECT map_from_entries(list((token, id))) AS m FROM v),
-        e AS (SELECT doc_id, {Q.words('text')} AS w, list_transform({Q.words('text')}, lambda x: coalesce(m[x], 3)) AS ids FROM documents, vm)"""
+_VOCAB_SQL = f"""v AS (SELECT token, (row_number() OVER (ORDER BY cnt DESC, token) + 3)::INTEGER AS id FROM ({_COUNTS_SQL})),
+        t AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {Q.words('text')} AS w FROM documents)),
+        i AS (SELECT doc_id, list(coalesce(v.id, 3) ORDER BY pos) AS ids FROM t LEFT JOIN v USING (token) GROUP BY doc_id),
+        e AS (SELECT doc_id, {Q.words('text')} AS w, coalesce(i.ids, []::INTEGER[]) AS ids FROM documents LEFT JOIN i USING (doc_id))"""
 
 
 def _encoded(spark, d) -> DataFrame:
     toks = _doc_tokens(spark, d)
-    vocab = V.build_vocab(toks, "tok", n=1000)
-    return V.encode_ids(toks, "tok", vocab, key=["doc_id"]), vocab
+    vocab = V.build_vocab(toks, "tok")
+    return V.encode_ids(toks, "tok", vocab, ["doc_id"]), vocab
 
 
 def _ids_text(c) -> Column:
@@ -334,7 +355,7 @@ def _ids_text(c) -> Column:
 
 @register(
     "encode_ids",
-    f"""WITH {_VOCAB1000_SQL}
+    f"""WITH {_VOCAB_SQL}
         SELECT doc_id, len(ids)::BIGINT AS n_ids, len(list_filter(ids, lambda i: i = 3))::BIGINT AS n_unk,
                array_to_string(ids, ' ') AS ids_text FROM e""",
 )
@@ -350,12 +371,12 @@ def encode_ids(spark, d):
 
 @register(
     "decode_ids",
-    f"""WITH {_VOCAB1000_SQL}
-        SELECT doc_id, array_to_string(list_filter(w, lambda x: m[x] IS NOT NULL), ' ') AS text FROM e, vm""",
+    f"""WITH {_VOCAB_SQL}
+        SELECT doc_id, array_to_string(w, ' ') AS text FROM e""",
 )
 def decode_ids(spark, d):
     enc, vocab = _encoded(spark, d)
-    return V.decode_ids(enc, "ids", vocab, out="text", key=["doc_id"]).select("doc_id", "text")
+    return V.decode_ids(enc, "ids", vocab, ["doc_id"], out="text").select("doc_id", "text")
 
 
 def _fit_sql(x: str, max_len: int, pad: int) -> str:
@@ -365,7 +386,7 @@ def _fit_sql(x: str, max_len: int, pad: int) -> str:
 
 @register(
     "pack_examples",
-    f"""WITH {_VOCAB1000_SQL}
+    f"""WITH {_VOCAB_SQL}
         SELECT doc_id, array_to_string({_fit_sql('ids', 128, 1)}, ' ') AS input_ids,
                least(len(ids) + 1, 128)::BIGINT AS n_attention,
                array_to_string({_fit_sql('list_reverse(ids)', 128, -100)}, ' ') AS labels FROM e""",
@@ -383,7 +404,7 @@ def pack_examples(spark, d):
 
 @register(
     "unmask_labels",
-    f"""WITH {_VOCAB1000_SQL}
+    f"""WITH {_VOCAB_SQL}
         SELECT doc_id, array_to_string({_fit_sql('list_reverse(ids)', 128, 1)}, ' ') AS labels FROM e""",
 )
 def unmask_labels(spark, d):
@@ -392,9 +413,20 @@ def unmask_labels(spark, d):
     return V.unmask_labels(packed, "labels").select("doc_id", _ids_text("labels").alias("labels"))
 
 
+@register(
+    "decode_labels",
+    f"""SELECT doc_id, array_to_string(list_reverse({Q.words('text')})[1:127], ' ') AS text FROM documents""",
+)
+def decode_labels(spark, d):
+    """P4 -> P6 -> J3: the text of label ids that were cut to 128 places, padded and masked."""
+    enc, vocab = _encoded(spark, d)
+    packed = V.pack_examples(enc.withColumn("rids", F.reverse("ids")), "ids", "rids", max_len=128)
+    return V.decode_labels(packed.select("doc_id", "labels"), vocab, ["doc_id"]).select("doc_id", "text")
+
+
 @register(
     "pad_to_batch_max",
-    f"""WITH {_VOCAB1000_SQL},
+    f"""WITH {_VOCAB_SQL},
         b AS (SELECT doc_id, len(ids) AS n, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch_id FROM e)
         SELECT doc_id, batch_id::BIGINT AS batch_id, max(n) OVER (PARTITION BY batch_id)::BIGINT AS batch_len,
                (max(n) OVER (PARTITION BY batch_id) - n)::BIGINT AS n_pad FROM b""",
@@ -448,7 +480,15 @@ def token_budget_batches(spark, d):
 
 # --- S5/J4: generation logs -----------------------------------------------------------
 
-from transpark.sources.genlog import parse_generation_log  # noqa: E402
+import uuid  # noqa: E402
+
+from transpark.session import checkpoint_dir  # noqa: E402
+from transpark.sources.genlog import parse_generation_log, read_generation_log  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/tp-{name}-{uuid.uuid4().hex}"
+
 
 
 def generation_log_lines(spark, d) -> DataFrame:
@@ -497,6 +537,34 @@ def generation_log(spark, d):
     return parse_generation_log(generation_log_lines(spark, d))
 
 
+_ODD = "\u0085\u2028"  # characters that some readers take for line ends
+
+
+@register(
+    "generation_log_files",
+    f"""SELECT split, doc_id AS id, array_to_string(w, chr(133) || chr(8232)) AS src, array_to_string(list_reverse(w), ' ') AS ref,
+               CASE WHEN doc_id % 2 = 0 THEN 'second' ELSE array_to_string(w, ' ') END AS hyp, -0.25::DOUBLE AS score, 2::BIGINT AS n_hyps
+        FROM (SELECT doc_id, doc_id % 3 AS split, {Q.words('text')} AS w FROM documents)""",
+)
+def generation_log_files(spark, d):
+    """S5 from files: three logs with two hypotheses for every id, texts with U+0085 and U+2028 in them."""
+    docs = table(spark, d, "documents")
+    w, sid = T.words("text"), F.col("doc_id").cast("string")
+    plain = F.array_join(w, " ")
+    first, second = F.when(F.col("doc_id") % 2 == 0, "-0.5").otherwise("-0.25"), F.when(F.col("doc_id") % 2 == 0, "-0.25").otherwise("-0.5")
+    lines = F.array(
+        F.concat(F.lit("H-"), sid, F.lit("\t"), first, F.lit("\t"), plain),
+        F.concat(F.lit("H-"), sid, F.lit("\t"), second, F.lit("\tsecond")),
+        F.concat(F.lit("T-"), sid, F.lit("\t"), F.array_join(F.reverse(w), " ")),
+        F.concat(F.lit("S-"), sid, F.lit("\t"), F.array_join(w, _ODD)),
+    )
+    out = _scratch(spark, "genlog")
+    docs.select((F.col("doc_id") % 3).alias("log"), F.explode(lines).alias("value")).write.partitionBy("log").text(out)
+    got = read_generation_log(spark, f"{out}/log=*", n_best=True)
+    split = F.regexp_extract("log", "log=([0-9]+)", 1).cast("long")
+    return got.select(split.alias("split"), "id", "src", "ref", "hyp", "score", F.size("hyps").cast("long").alias("n_hyps"))
+
+
 # --- P8-P13: text jobs -------------------------------------------------------------------
 
 from transpark.functions import rules as RL  # noqa: E402
@@ -622,7 +690,8 @@ def _synthetic_pairs(spark, d) -> DataFrame:
 
 def _real_pairs(spark, d) -> DataFrame:
     pairs = conversation_pairs(spark, d)
-    pairs = dense_index(pairs, ["conv_id", "turn"], name="idx")
+    keys = dense_index(pairs.select("conv_id", "turn"), ["conv_id", "turn"], name="idx")
+    pairs = pairs.join(keys, ["conv_id", "turn"])
     split = F.when(F.col("conv_id") % 10 == 0, "test").when(F.col("conv_id") % 10 == 1, "dev").otherwise("train")
     return pairs.select("idx", "src", "tgt", split.alias("split"))
 
@@ -665,11 +734,11 @@ def with_eval_splits(spark, d):
           UNION ALL SELECT 'base', split FROM ({_REAL_SQL})) GROUP BY ALL""",
 )
 def dataset_sizes(spark, d):
-    real = _real_pairs(spark, d)
-    bt = M.with_eval_splits(_synthetic_pairs(spark, d).select("idx", "src", "tgt"), real).withColumn("dataset", F.lit("bt"))
-    base = real.withColumn("dataset", F.lit("base"))
-    both = bt.select("dataset", "split").unionByName(base.select("dataset", "split"))
-    return M.dataset_sizes(both)
+    # only what is counted is read: neither text nor line numbers
+    split = F.when(F.col("conv_id") % 10 == 0, "test").when(F.col("conv_id") % 10 == 1, "dev").otherwise("train")
+    real = conversation_pairs(spark, d).select(split.alias("split"))
+    bt = M.with_eval_splits(table(spark, d, "documents").select(F.lit("train").alias("split")), real)
+    return M.dataset_sizes(bt.withColumn("dataset", F.lit("bt")).unionByName(real.withColumn("dataset", F.lit("base"))))
 
 
 # --- A9-A12: results over many runs (events as a metric log) ----------------------------------
@@ -785,11 +854,16 @@ def segment_score_summary(spark, d):
     return out.select("lang", r6("score_mean").alias("score_mean"), r6("score_std").alias("score_std"), "segments")
 
 
-@register("shuffle_rows")
+@register(
+    "shuffle_rows",
+    """SELECT (row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1)::BIGINT AS pos, doc_id AS idx FROM documents""",
+)
 def shuffle_rows(spark, d):
+    """T4: the shuffled ids exported in order and read back with their line numbers."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("idx"))
-    keyed = docs.withColumn("_h", F.xxhash64(F.col("idx"), F.lit(42)))
-    return dense_index(keyed, ["_h", "idx"], name="pos").select("idx", "pos")
+    out = _scratch(spark, "shuffled")
+    S.shuffle_rows(docs, 42).select(F.col("idx").cast("string").alias("value")).write.text(out)
+    return _read_lines(spark, out).select(F.col("idx").alias("pos"), F.col("text").cast("long").alias("idx"))
 
 
 # --- F2, F4: compositions ---------------------------------------------------------------------
@@ -808,6 +882,24 @@ def back_translate(spark, d):
     return out.select("split", "idx", "src", "tgt")
 
 
+@register(
+    "back_translate_mixed",
+    f"""WITH syn AS (SELECT doc_id AS orig_idx, array_to_string(list_reverse({Q.words('text')}), ' ') AS src, text AS tgt,
+                            {Q.ttr_of(f"list_reverse({Q.words('text')})")} AS ttr FROM documents),
+        top AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY ttr DESC NULLS LAST, orig_idx) AS rn, count(*) OVER () AS n FROM syn)
+                WHERE rn <= trunc(n * 0.4::DOUBLE)),
+        mix AS (SELECT 'real' AS origin, 0 AS o, idx AS orig_idx, src, tgt FROM ({_REAL_SQL}) WHERE split = 'train'
+                UNION ALL SELECT 'synthetic', 1, orig_idx, src, tgt FROM top)
+        SELECT 'train' AS split, origin, (row_number() OVER (ORDER BY o, orig_idx) - 1)::BIGINT AS idx, src, tgt FROM mix
+        UNION ALL SELECT split, NULL, idx, src, tgt FROM ({_REAL_SQL}) WHERE split <> 'train'""",
+)
+def back_translate_mixed(spark, d):
+    """F2 with selection of the most diverse pairs and the base training pairs mixed in."""
+    mono = table(spark, d, "documents").select(F.col("doc_id").alias("idx"), "text")
+    out = WF.back_translate(mono, U.reverse_words_translator, base=_real_pairs(spark, d), select_fraction=0.4, mix_with_base=True)
+    return out.select("split", "origin", "idx", "src", "tgt")
+
+
 @register(
     "evaluate_runs",
     f"""{_BATCH_SCORES},
@@ -822,6 +914,27 @@ def evaluate_runs(spark, d):
     return res["table"].select("model", r6("test_bleu").alias("test_bleu"), r6("test_bleu_b32").alias("test_bleu_b32"))
 
 
+@register(
+    "evaluate_runs_files",
+    f"""{_BATCH_SCORES},
+        c AS (SELECT lang, {Q.bleu_raw()} AS v, NULL::DOUBLE AS sd FROM (SELECT lang, {Q.sums()} FROM seg GROUP BY lang)),
+        m AS (SELECT lang, avg(bleu) AS v, stddev_samp(bleu) AS sd FROM b GROUP BY lang),
+        gs AS (SELECT lang, avg(sc) * 100.0::DOUBLE AS v, stddev_samp(sc) * 100.0::DOUBLE AS sd FROM (
+                SELECT lang, CASE WHEN len(r) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(h, r)) / len(r) END AS sc FROM (
+                  SELECT lang, list_distinct({Q.words('hyp')}) AS h, list_distinct({Q.words('ref')}) AS r FROM ({_DOC_PAIRS_SQL}))) GROUP BY lang),
+        l AS (SELECT lang, 'bleu' AS metric, v, sd FROM c UNION ALL SELECT lang, 'bleu_b32', v, sd FROM m UNION ALL SELECT lang, 'score', v, sd FROM gs)
+        SELECT lang AS model, metric, {Q.r6('v')} AS mean, {Q.r6('sd')} AS stdev, v = max(v) OVER (PARTITION BY metric) AS is_best FROM l""",
+)
+def evaluate_runs_files(spark, d):
+    """F4 as a whole: stored text files (K1, S4) -> BLEU and learned score per run -> run log (K2) and best flags."""
+    segs = doc_pairs(spark, d).select(F.col("lang").alias("run"), "idx", T.squeeze("ref").alias("src"), T.squeeze("ref").alias("ref"), "hyp")
+    out, log = _scratch(spark, "runs"), _scratch(spark, "evallog")
+    K.write_segments(segs, out, text_export=True)
+    res = WF.evaluate_runs(_read_segments(spark, out, layout="export"), 32, make_scorer=U.overlap_scorer, log_path=log)
+    flags = res["best"].select("model", "metric", "is_best")
+    return spark.read.parquet(log).join(flags, ["model", "metric"]).select("model", "metric", r6("mean").alias("mean"), r6("stdev").alias("stdev"), "is_best")
+
+
 # --- F1: corpus preparation -----------------------------------------------------------------------
 
 
@@ -851,34 +964,68 @@ def prepare_corpus(spark, d):
     return out.select("idx", "src_tok", "tgt_tok", _ids_text("src_ids").alias("src_ids"), _ids_text("tgt_ids").alias("tgt_ids"))
 
 
-@register("iterate_back_translation")
+def _drop_every(k: int):
+    """A toy model with one fitted parameter: it leaves out every k-th word."""
+
+    def make():
+        return lambda texts: [" ".join(w for i, w in enumerate(t.split()) if i % k != k - 1) for t in texts]
+
+    return make
+
+
+def _bt_round_sql(r: int, k: str) -> str:
+    kept = lambda c: f"array_to_string(list_filter({Q.words(c)}, lambda x, i: (i - 1) % {k} <> {k} - 1), ' ')"
+    return f"""d{r} AS MATERIALIZED (SELECT doc_id AS idx, {kept('text')} AS short, text AS full_text FROM documents, k{r}),
+        p{r} AS MATERIALIZED (SELECT 'conv' AS run, idx, {kept('src')} AS hyp, tgt AS ref
+                 FROM (SELECT (row_number() OVER (ORDER BY conv_id, turn) - 1)::BIGINT AS idx, src, tgt FROM ({_CONV_PAIRS_SQL})), k{r})"""
+
+
+def _bt_bleu_sql(r: int) -> str:
+    return f"""SELECT {Q.r6('avg(bleu)')} AS dev_bleu FROM (
+        WITH {Q.segment_stats(f'SELECT * FROM p{r}', ['run', 'idx'])},
+        s AS (SELECT (idx // 32)::BIGINT AS batch_id, {Q.sums()} FROM seg GROUP BY ALL)
+        SELECT {Q.bleu_raw()} AS bleu FROM s)"""
+
+
+@register(
+    "iterate_back_translation",
+    f"""WITH k0 AS (SELECT 2 AS k), {_bt_round_sql(0, 'k')},
+        k1 AS (SELECT 3 + sum(len({Q.words('short')}) + len({Q.words('full_text')})) % 7 AS k FROM d0), {_bt_round_sql(1, 'k')},
+        k2 AS (SELECT 3 + sum(len({Q.words('short')}) + len({Q.words('full_text')})) % 7 AS k FROM d1), {_bt_round_sql(2, 'k')},
+        b0 AS ({_bt_bleu_sql(0)}), b1 AS ({_bt_bleu_sql(1)}), b2 AS ({_bt_bleu_sql(2)})
+        """
+    + " UNION ALL ".join(
+        f"""SELECT {r} AS "round", 'bt' AS direction, 'train' AS split, idx, short AS src, full_text AS tgt, dev_bleu FROM d{r}, b{r}
+            UNION ALL SELECT {r}, 'ft', 'train', idx, full_text, short, dev_bleu FROM d{r}, b{r}"""
+        for r in range(3)
+    ),
+)
 def iterate_back_translation(spark, d):
-    """two rounds over all documents (both directions) scored on the conversation pairs;
-    the rounds' data are written under the checkpoint folder and returned together."""
+    """three rounds over all documents (both directions) scored on the conversation pairs; the model of a
+    round is fitted on the data of the round before (its number of words)."""
     mono = table(spark, d, "documents").select(F.col("doc_id").alias("idx"), "text")
-    dev = dense_index(conversation_pairs(spark, d), ["conv_id", "turn"], name="idx").select("idx", "src", "tgt")
-    fns = [(U.reverse_words_translator, U.reverse_words_translator)] * 2
-    datasets, scores = WF.iterate_back_translation(mono, mono, fns, dev, rounds=2, stop_eps=-1.0)
+    pairs = conversation_pairs(spark, d)
+    dev = pairs.join(dense_index(pairs.select("conv_id", "turn"), ["conv_id", "turn"], name="idx"), ["conv_id", "turn"])
+
+    def fit(r, previous):
+        n = 0 if previous is None else previous.filter("direction = 'bt'").agg(F.sum(F.size(T.words("src")) + F.size(T.words("tgt")))).first()[0]
+        model = _drop_every(2 if previous is None else 3 + n % 7)
+        return model, model
+
+    datasets, scores = WF.iterate_back_translation(mono, mono, fit, dev.select("idx", "src", "tgt"), rounds=3, stop_eps=None)
     out = None
     for r, ds in enumerate(datasets):
-        part = ds.withColumn("round", F.lit(r)).withColumn("dev_bleu", F.lit(float(scores[r])))
+        part = ds.withColumn("round", F.lit(r)).withColumn("dev_bleu", r6(F.lit(float(scores[r]))))
         out = part if out is None else out.unionByName(part)
     return out.select("round", "direction", "split", "idx", "src", "tgt", "dev_bleu")
 
 
 # --- S1/K3 and K1/S4: text files written from the tables and read back ------------------------------
 
-import uuid  # noqa: E402
-
-from transpark.session import checkpoint_dir  # noqa: E402
 from transpark.sources import sinks as K  # noqa: E402
 from transpark.sources.text_files import read_lines as _read_lines, read_segments as _read_segments  # noqa: E402
 
 
-def _scratch(spark, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/tp-{name}-{uuid.uuid4().hex}"
-
-
 @register(
     "read_lines",
     f"""SELECT (doc_id % 16)::BIGINT AS bucket,
@@ -948,20 +1095,35 @@ from transpark.sources.text_files import read_dataset as _read_dataset  # noqa:
               FROM ({_CONV_PAIRS_SQL}))""",
 )
 def read_dataset_query(spark, d):
-    """Conversation pairs written as ``{split}.user`` / ``{split}.assistant`` line files, read back
-    with S3 (S2 pairs each split's two files by line number)."""
-    pairs = conversation_pairs(spark, d).select(
-        "conv_id", "turn", T.squeeze("src").alias("src"), T.squeeze("tgt").alias("tgt"),
-        F.when(F.col("conv_id") % 10 == 0, "test").when(F.col("conv_id") % 10 == 1, "dev").otherwise("train").alias("split"),
-    )
+    """Conversation pairs written as ``{split}.user`` / ``{split}.assistant`` line files (K3 text form), the
+    evaluation splits copied from a base dataset, read back with S3."""
+    split = F.when(F.col("conv_id") % 10 == 0, "test").when(F.col("conv_id") % 10 == 1, "dev").otherwise("train")
+    pairs = conversation_pairs(spark, d).withColumn("split", split)
+    keys = dense_index(pairs.select("split", "conv_id", "turn"), ["conv_id", "turn"], partition_by=["split"], name="idx")
+    pairs = pairs.drop("split").join(keys, ["conv_id", "turn"])
+    pairs = pairs.select("split", "idx", T.squeeze("src").alias("src"), T.squeeze("tgt").alias("tgt"))
     out = _scratch(spark, "dataset")
-    for split in ("train", "dev", "test"):
-        part = pairs.filter(F.col("split") == split)
-        K.write_text_column(part, "src", f"{out}/{split}.user", ["conv_id", "turn"])
-        K.write_text_column(part, "tgt", f"{out}/{split}.assistant", ["conv_id", "turn"])
+    K.export_dataset(pairs.filter("split = 'train'"), out, "user", "assistant", base=pairs)
     return _read_dataset(spark, out, "user", "assistant").select("split", "idx", "src", "tgt")
 
 
+from transpark.sources.text_files import read_parallel as _read_parallel  # noqa: E402
+
+
+@register(
+    "read_parallel_strict",
+    f"""SELECT (row_number() OVER (ORDER BY conv_id, turn) - 1)::BIGINT AS idx,
+               array_to_string({Q.words('src')}, ' ') AS src, array_to_string({Q.words('tgt')}, ' ') AS tgt FROM ({_CONV_PAIRS_SQL})""",
+)
+def read_parallel_strict(spark, d):
+    """S2 + J1: both sides of the conversation pairs written as line files and aligned by line number."""
+    pairs = conversation_pairs(spark, d).select("conv_id", "turn", T.squeeze("src").alias("src"), T.squeeze("tgt").alias("tgt"))
+    out = _scratch(spark, "parallel")
+    K.write_text_column(pairs, "src", f"{out}/pairs.user", ["conv_id", "turn"])
+    K.write_text_column(pairs, "tgt", f"{out}/pairs.assistant", ["conv_id", "turn"])
+    return _read_parallel(spark, f"{out}/pairs", "user", "assistant").select("idx", "src", "tgt")
+
+
 @register(
     "append_run_log",
     f"""WITH {Q.segment_stats(_DOC_PAIRS_SQL, ['lang', 'idx'])},
@@ -993,7 +1155,7 @@ def natural_order_export(spark, d):
     (a distributed range sort, no single-task sort) and read back with line numbers."""
     folded = parse_generation_log(generation_log_lines(spark, d))
     out = _scratch(spark, "hyp-export")
-    K.write_text_column(folded, "hyp", out, [F.col("id").cast("long")])
+    S.natural_order(folded).select(K.one_line("hyp").alias("value")).write.text(out)
     return _read_lines(spark, out).select("idx", "text")
 
 

@@ -22,6 +22,7 @@ from transpark.operators import select as S
 from transpark.operators import udf as U
 from transpark.operators import vocab as V
 from transpark.session import materialize
+from transpark.sources.sinks import append_run_log
 
 
 def prepare_corpus(
@@ -50,7 +51,7 @@ def prepare_corpus(
     for c in cols:
         if c not in vocab:
             vocab[c] = V.build_vocab(out.select(f"_pt_{c}"), f"_pt_{c}")
-        out = V.encode_ids(out, f"_pt_{c}", vocab[c], out=f"{c}_ids", key=key).drop(f"_pt_{c}")
+        out = V.encode_ids(out, f"_pt_{c}", vocab[c], key, out=f"{c}_ids").drop(f"_pt_{c}")
     return out, vocab
 
 
@@ -65,8 +66,9 @@ def back_translate(
     mix_with_base: bool = False,
 ) -> DataFrame:
     """target-side monolingual text -> (hyp as src, text as tgt) training pairs; optionally
-    keep the most diverse fraction, mix with the base training pairs, and add the base dev/test."""
-    hyp = U.translate_corpus(mono.select(idx, text_col), make_fn, text_col, "hyp", batch_size)
+    keep the most diverse fraction, mix with the base training pairs, and add the base dev/test.
+    The translations are written once, so the function sees every row once whatever follows."""
+    hyp = materialize(U.translate_corpus(mono.select(idx, text_col), make_fn, text_col, "hyp", batch_size), "translated")
     pairs = M.swap_roles(hyp.withColumnRenamed(text_col, "src"), hyp="hyp", src="src")
     if select_fraction is not None:
         pairs = S.diversity_select(pairs, select_fraction, "src", idx).drop("ttr")
@@ -83,22 +85,21 @@ def back_translate(
 def iterate_back_translation(
     mono_src: DataFrame,
     mono_tgt: DataFrame,
-    make_fns: list[tuple[Callable, Callable]],
+    make_fns: Callable[[int, DataFrame | None], tuple[Callable, Callable]],
     dev: DataFrame,
     rounds: int,
-    stop_eps: float = 0.0,
+    stop_eps: float | None = 0.0,
     batch_size: int = 32,
     bleu_batch: int = 32,
 ):
-    """round r uses ``make_fns[r] = (forward, backward)`` (models trained between rounds are
-    outside Spark). Each round back-translates both monolingual sides, writes the round's data
-    under the checkpoint folder (lineage cut) and scores the forward function on ``dev``
-    (``idx, src, tgt``) with mean batch BLEU; stops when the gain is below ``stop_eps``.
-    Returns (list of round datasets, list of dev scores)."""
+    """round r uses ``make_fns(r, previous) = (forward, backward)``, where ``previous`` is the data of
+    round r-1 (None at first): what trains or fits models on it goes there. Each round back-translates
+    both monolingual sides, writes the round's data under the checkpoint folder (lineage cut) and
+    scores the forward function on ``dev`` (``idx, src, tgt``) with mean batch BLEU; it stops when the
+    gain is below ``stop_eps`` (None: never). Returns (list of round datasets, list of dev scores)."""
     datasets, scores = [], []
-    prev = None
     for r in range(rounds):
-        fwd, bwd = make_fns[r]
+        fwd, bwd = make_fns(r, datasets[-1] if datasets else None)
         a = back_translate(mono_tgt, bwd, text_col="text", batch_size=batch_size)  # tgt text -> synthetic src
         b = back_translate(mono_src, fwd, text_col="text", batch_size=batch_size)  # src text -> synthetic tgt
         b = b.select("idx", F.col("tgt").alias("src"), F.col("src").alias("tgt"), "split")
@@ -108,32 +109,39 @@ def iterate_back_translation(
         datasets.append(data)
         hyp = U.translate_corpus(dev.select("idx", "src", "tgt"), fwd, "src", "hyp", batch_size)
         stats = B.segment_stats(hyp.select("idx", "hyp", F.col("tgt").alias("ref")), keys=["idx"])
-        score = B.bleu_mean(stats, bleu_batch).collect()[0]["bleu_mean"]  # one row
-        scores.append(score)
-        if prev is not None and score - prev < stop_eps:
+        scores.append(B.bleu_mean(stats, bleu_batch).collect()[0]["bleu_mean"])  # one row
+        if stop_eps is not None and r and scores[-1] - scores[-2] < stop_eps:
             break
-        prev = score
     return datasets, scores
 
 
-def evaluate_runs(segments: DataFrame, batch_size: int = 32, testset_of=None) -> dict[str, DataFrame]:
+def evaluate_runs(
+    segments: DataFrame, batch_size: int = 32, testset_of=None, make_scorer=None, log_path: str | None = None
+) -> dict[str, DataFrame]:
     """``run, idx, src, ref, hyp`` of many runs -> segment statistics once -> corpus BLEU and
-    batch mean/stdev per run -> long scores -> model x (test set, metric) table with best flags.
-    ``testset_of`` maps a run name Column to (model, testset) Columns; default: model = run, testset = 'test'."""
+    batch mean/stdev per run, with ``make_scorer`` also mean/stdev of the segment score -> long scores
+    -> model x (test set, metric) table with best flags; with ``log_path`` the scores are appended to
+    that run log. ``testset_of`` maps a run name Column to (model, testset) Columns; default: model =
+    run, testset = 'test'."""
     stats = B.segment_stats(segments, keys=["run", "idx"])
     stats = materialize(stats, "segstats")
     corpus = B.corpus_bleu(stats, ["run"])
     batch = B.bleu_mean_std(stats, batch_size, ["run"])
     model, testset = testset_of(F.col("run")) if testset_of else (F.col("run"), F.lit("test"))
-    long = (
-        corpus.select("run", F.lit("bleu").alias("metric"), F.col("bleu").alias("mean"), F.lit(None).cast("double").alias("stdev"))
-        .unionByName(
-            batch.select("run", F.lit(f"bleu_b{batch_size}").alias("metric"), F.col("bleu_mean").alias("mean"), F.col("bleu_std").alias("stdev"))
-        )
-        .select(model.alias("model"), testset.alias("testset"), "metric", "mean", "stdev")
-        .withColumn("column", F.concat_ws("_", "testset", "metric"))
+    row = lambda name, mean, std: ["run", F.lit(name).alias("metric"), mean.alias("mean"), std.cast("double").alias("stdev")]
+    long = corpus.select(*row("bleu", F.col("bleu"), F.lit(None))).unionByName(
+        batch.select(*row(f"bleu_b{batch_size}", F.col("bleu_mean"), F.col("bleu_std")))
     )
+    out = {"stats": stats, "corpus": corpus, "batch": batch}
+    if make_scorer:
+        scored = U.score_segments(segments, make_scorer).select("run", "seg_score")
+        out["learned"] = RN.segment_score_summary(scored, by=["run"])
+        long = long.unionByName(out["learned"].select(*row("score", F.col("score_mean"), F.col("score_std"))))
+    long = long.select(model.alias("model"), testset.alias("testset"), "metric", "mean", "stdev")
+    long = materialize(long.withColumn("column", F.concat_ws("_", "testset", "metric")), "scores")
+    if log_path:
+        append_run_log(long.drop("column"), log_path)
     columns = sorted(r[0] for r in long.select("column").distinct().collect())  # test sets x metrics: small
     table = RN.compare_runs(long, columns, model="model", column="column", value="mean")
     flags = RN.best_per_column(long, column="column", value="mean")
-    return {"stats": stats, "corpus": corpus, "batch": batch, "scores": long, "table": table, "best": flags}
+    return out | {"scores": long, "table": table, "best": flags}

@@ -24,6 +24,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TRANSPARK_DRIVER_MEMORY", "16g"))
@@ -49,10 +50,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_WRITTEN: list[str] = []  # intermediate tables of this process, for release()
+
+
 def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back (lineage cut, columnar re-reads)."""
     spark = df.sparkSession
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tp-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    _WRITTEN.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far; for use once the results that read them are stored."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in _WRITTEN]
+    _WRITTEN.clear()
+    return sum(bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)) for p in paths)

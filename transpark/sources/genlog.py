@@ -10,13 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LINE = r"^([STH])-([0-9]+)\t(.*)$"
-HYP_BODY = r"^([^\t]*)\t(.*)$"
+# (?s): a line may hold characters that a regex engine takes for line ends (U+0085, U+2028, ...)
+LINE = r"(?s)^([STH])-([0-9]+)\t(.*)$"
+HYP_BODY = r"(?s)^([^\t]*)\t(.*)$"
 
 
-def parse_generation_log(df: DataFrame, col: str = "value", keys: list[str] | None = None) -> DataFrame:
+def parse_generation_log(
+    df: DataFrame, col: str = "value", keys: list[str] | None = None, n_best: bool = False
+) -> DataFrame:
     """``keys..., id LONG, src, ref, hyp STRING, score DOUBLE``; ``keys`` name the log a line
-    came from (ids restart in every log)."""
+    came from (ids restart in every log). Of several hypotheses of an id, ``hyp`` and ``score``
+    are those of the best-scored line (ties: the last text in order); ``n_best`` adds all of them,
+    best first, as ``hyps ARRAY<STRUCT<score, hyp>>``."""
     keys = list(keys or [])
     tagged = df.select(
         *keys,
@@ -25,17 +30,20 @@ def parse_generation_log(df: DataFrame, col: str = "value", keys: list[str] | No
         F.regexp_extract(col, LINE, 3).alias("body"),
     ).filter(F.col("tag") != "")
     tagged = tagged.withColumn("id", F.col("id").try_cast("long"))
+    score, text = F.regexp_extract("body", HYP_BODY, 1).try_cast("double"), F.regexp_extract("body", HYP_BODY, 2)
+    line = F.when(F.col("tag") == "H", F.struct(score.alias("score"), text.alias("hyp")))
+    more = [F.sort_array(F.collect_list(line), asc=False).alias("hyps")] if n_best else []
     folded = tagged.groupBy(*keys, "id").agg(
         F.max(F.when(F.col("tag") == "S", F.col("body"))).alias("src"),
         F.max(F.when(F.col("tag") == "T", F.col("body"))).alias("ref"),
-        F.max(F.when(F.col("tag") == "H", F.regexp_extract("body", HYP_BODY, 2))).alias("hyp"),
-        F.max(F.when(F.col("tag") == "H", F.regexp_extract("body", HYP_BODY, 1).try_cast("double"))).alias("score"),
+        F.max(line).alias("_best"),
+        *more,
     )
-    return folded
+    return folded.select(*keys, "id", "src", "ref", "_best.hyp", "_best.score", *(["hyps"] if n_best else []))
 
 
-def read_generation_log(spark: SparkSession, path) -> DataFrame:
-    """Read log files and fold them per file (column ``log``); sort with ``natural_order``
-    only when exporting."""
-    lines = spark.read.text(path).withColumn("log", F.col("_metadata.file_path"))
-    return parse_generation_log(lines, keys=["log"])
+def read_generation_log(spark: SparkSession, path, n_best: bool = False) -> DataFrame:
+    """Read log files and fold them per log (column ``log``: the file, or the folder whose
+    ``part-*`` files Spark wrote); sort with ``natural_order`` only when exporting."""
+    log = F.regexp_replace(F.col("_metadata.file_path"), r"/part-[0-9]+[^/]*$", "")
+    return parse_generation_log(spark.read.text(path).withColumn("log", log), keys=["log"], n_best=n_best)

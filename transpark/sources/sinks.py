@@ -4,22 +4,34 @@ files read in name order give the lines in order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from transpark.session import materialize
+
 SEGMENT_FILES = {"hyp": "hypothesis.hyp", "ref": "reference.ref", "src": "source.src"}
 
 
+def one_line(c) -> Column:
+    """A text cell as one line of a text file: null as empty, line ends as blanks."""
+    return F.regexp_replace(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), r"\r\n|\r|\n", " ")
+
+
 def write_segments(df: DataFrame, path: str, text_export: bool = False, mode: str = "overwrite") -> None:
-    """K1: ``run, idx, src, ref, hyp`` -> Parquet partitioned by run; optional aligned text files per run."""
-    df.select("run", "idx", "src", "ref", "hyp").write.mode(mode).partitionBy("run").parquet(f"{path}/parquet")
+    """K1: ``run, idx, src, ref, hyp`` -> Parquet partitioned by run (``path/parquet``); optional
+    aligned text files ``path/text/kind=<kind file>/run=<run>/part-*``, exported in one pass from what
+    was written, so that the input is evaluated once."""
+    columns = ["run", "idx", "src", "ref", "hyp"]
+    df.select(*columns).write.mode(mode).partitionBy("run").parquet(f"{path}/parquet")
     if text_export:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ordered = df.repartitionByRange(n, "run", "idx").sortWithinPartitions("run", "idx")
-        for col, name in SEGMENT_FILES.items():
-            ordered.select("run", F.coalesce(F.col(col), F.lit("")).alias("value")).write.mode(mode).partitionBy(
-                "run"
-            ).text(f"{path}/{name}")
+        spark = df.sparkSession
+        stored = spark.read.schema(df.select("idx", "src", "ref", "hyp", "run").schema).parquet(f"{path}/parquet")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        kinds = F.array(*[F.struct(F.lit(name).alias("kind"), one_line(c).alias("value")) for c, name in SEGMENT_FILES.items()])
+        ordered = stored.repartitionByRange(n, "run", "idx").select("run", "idx", F.inline(kinds))
+        ordered.sortWithinPartitions("kind", "run", "idx").select("kind", "run", "value").write.mode(mode).partitionBy(
+            "kind", "run"
+        ).text(f"{path}/text")
 
 
 def append_run_log(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -39,6 +51,19 @@ def write_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_text_column(df: DataFrame, col: str, path: str, order_by: list[str], mode: str = "overwrite") -> None:
     """One text file set with one line per row, in ``order_by`` order across part files."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by).select(
-        F.coalesce(F.col(col), F.lit("")).alias("value")
-    ).write.mode(mode).text(path)
+    df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by).select(one_line(col).alias("value")).write.mode(
+        mode
+    ).text(path)
+
+
+def export_dataset(df: DataFrame, path: str, src_lang: str, tgt_lang: str, base: DataFrame | None = None) -> None:
+    """K3 text form: ``split, idx, src, tgt`` -> ``path/{split}.{lang}``, line-aligned in ``idx`` order
+    (each a folder of part files that ``read_dataset`` reads as one). With ``base`` the non-training
+    splits of that dataset are copied along."""
+    rows = df.select("split", "idx", "src", "tgt")
+    if base is not None:
+        rows = rows.filter(F.col("split") == "train").unionByName(base.filter(F.col("split") != "train").select(*rows.columns))
+    rows = materialize(rows, "export")
+    for split in sorted(r[0] for r in rows.select("split").distinct().collect()):  # a few names
+        for col, lang in (("src", src_lang), ("tgt", tgt_lang)):
+            write_text_column(rows.filter(F.col("split") == split), col, f"{path.rstrip('/')}/{split}.{lang}", ["idx"])

@@ -1,23 +1,22 @@
 """Line-aligned text corpora as DataFrames with exact line numbers.
 
 A line's identity is its number in its file. Spark's text source gives no
-line number, so lines are numbered per file split: the position inside the
-split comes from ``monotonically_increasing_id`` taken right on the scan, and
-the offset of each split from a small table of per-split counts (one row per
-split, not per line). No global sort and no window over the corpus.
+line number, so lines are numbered per file split: one scan writes every line
+with its split and position under the checkpoint folder, and the offset of
+each split comes from the counts of that written table (one row per split).
+Offsets and lines so always stem from the same split layout, whatever the
+settings are when the result is used. No global sort and no window over lines.
 """
 
 from __future__ import annotations
 
-import glob as _glob
 import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from transpark.functions.text import split_lines
 from transpark.operators.common import join_small
-
+from transpark.session import materialize
 
 PART_FILE = r"/part-[0-9]+[^/]*$"
 
@@ -38,7 +37,7 @@ def read_lines(spark: SparkSession, path, strict_splitlines: bool = False, parts
         F.monotonically_increasing_id().alias("_mid"),
     )
     unit = F.regexp_replace("_path", PART_FILE, "") if parts_as_one else F.col("_path")
-    raw = raw.withColumn("file", unit)
+    raw = materialize(raw.withColumn("file", unit), "lines")
     blocks = raw.groupBy("file", "_path", "block").agg(F.min("_mid").alias("_m0"), F.count("*").alias("_n"))
     w = Window.partitionBy("file").orderBy("_path", "block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("file", "_path", "block", "_m0", "_off")
@@ -61,11 +60,11 @@ def _suffix_path(stem: str, lang: str) -> str:
     return f"{stem}.{lang}"
 
 
-def read_parallel(spark: SparkSession, stem: str, src: str, tgt: str, strict: bool = False) -> DataFrame:
+def read_parallel(spark: SparkSession, stem: str, src: str, tgt: str, strict: bool = True) -> DataFrame:
     """S2 + J1: ``idx, src, tgt`` from ``stem.src`` and ``stem.tgt``, aligned by line number.
 
-    ``strict=False`` keeps the pairs both files have (zip); ``strict=True``
-    raises when the files differ in length.
+    ``strict=True`` raises when the files differ in length; ``strict=False``
+    keeps the pairs both files have (zip).
     """
     lines = read_lines(spark, [_suffix_path(stem, src), _suffix_path(stem, tgt)])
     lines = lines.withColumn("lang", F.regexp_extract("file", r"\.([^./]+)$", 1))
@@ -74,26 +73,35 @@ def read_parallel(spark: SparkSession, stem: str, src: str, tgt: str, strict: bo
     return align(a, b, ["idx"], strict=strict)
 
 
-def align(left: DataFrame, right: DataFrame, on: list[str], strict: bool = False) -> DataFrame:
-    """Positional zip of two line sets on their line keys."""
+def align(left: DataFrame, right: DataFrame, on: list[str], strict: bool = True) -> DataFrame:
+    """Positional zip of two line sets on their line keys (null-safe text: a null cell is a cell).
+
+    ``strict`` joins once, writes the result, and raises if a line has no partner."""
     if not strict:
         return left.join(right, on, "inner")
-    both = left.join(right, on, "full_outer")
-    lcols = [c for c in left.columns if c not in on]
-    rcols = [c for c in right.columns if c not in on]
-    missing = both.filter(F.col(lcols[0]).isNull() | F.col(rcols[0]).isNull()) if lcols and rcols else None
-    if missing is not None and missing.limit(1).count() > 0:
-        raise ValueError("aligned inputs differ in length")
-    return both
+    both = left.withColumn("_tp_l", F.lit(True)).join(right.withColumn("_tp_r", F.lit(True)), on, "full_outer")
+    both = materialize(both, "aligned")
+    alone = both.agg(F.count(F.when(F.col("_tp_r").isNull(), 1)), F.count(F.when(F.col("_tp_l").isNull(), 1))).first()
+    if alone[0] or alone[1]:
+        raise ValueError(f"aligned inputs differ in length: {alone[0]} lines only left, {alone[1]} only right")
+    return both.drop("_tp_l", "_tp_r")
 
 
 SPLIT_FILES = {"train": "train", "dev": "dev", "val": "dev", "valid": "dev", "test": "test"}
 
 
 def read_dataset(
-    spark: SparkSession, directory: str, src: str, tgt: str, splits=("train", "dev", "test"), dataset: str | None = None
+    spark: SparkSession,
+    directory: str,
+    src: str,
+    tgt: str,
+    splits=("train", "dev", "test"),
+    dataset: str | None = None,
+    strict: bool = True,
 ) -> DataFrame:
-    """S3: ``dataset, split, idx, src, tgt`` for ``{split}.{lang}`` files of one folder, read in one scan."""
+    """S3: ``dataset, split, idx, src, tgt`` for ``{split}.{lang}`` files of one folder, read in one scan.
+
+    ``strict=True`` raises when the two languages of a split differ in length."""
     stems = sorted({SPLIT_FILES.get(s, s) for s in splits})
     paths = [p for s in stems for lang in (src, tgt) for p in [f"{directory.rstrip('/')}/{s}.{lang}"] if _exists(spark, p)]
     if not paths:
@@ -104,43 +112,48 @@ def read_dataset(
     )
     a = lines.filter(F.col("lang") == src).select("split", "idx", F.col("text").alias("src"))
     b = lines.filter(F.col("lang") == tgt).select("split", "idx", F.col("text").alias("tgt"))
-    out = a.join(b, ["split", "idx"])
+    out = align(a, b, ["split", "idx"], strict=strict)
     return out.select(F.lit(dataset or os.path.basename(directory.rstrip("/"))).alias("dataset"), "split", "idx", "src", "tgt")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    """Existence through the cluster's Hadoop file system (any scheme), plain glob as a fallback."""
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
-    except Exception:  # noqa: BLE001
-        return bool(_glob.glob(path))
+    """Existence through the cluster's Hadoop file system (any scheme)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
 KINDS = {"hypothesis.hyp": "hyp", "reference.ref": "ref", "source.src": "src"}
 
 
-def read_segments(spark: SparkSession, root: str, runs: list[str] | None = None, layout: str = "runs") -> DataFrame:
+def read_segments(
+    spark: SparkSession, root: str, runs: list[str] | None = None, layout: str = "runs", strict: bool = True
+) -> DataFrame:
     """``run, idx, src, ref, hyp`` for every run under ``root`` in one scan and one shuffle.
 
     ``layout="runs"``: ``root/<run>/{hypothesis.hyp,reference.ref,source.src}`` files;
     ``layout="export"``: what ``write_segments(..., text_export=True)`` writes,
-    ``root/<kind file>/run=<run>/part-*``."""
+    ``root/text/kind=<kind file>/run=<run>/part-*``. ``strict=True`` raises when the files of
+    a run differ in length; ``strict=False`` leaves the missing cells null."""
     names = runs or ["*"]
     base = root.rstrip("/")
     if layout == "export":
-        paths = [f"{base}/{k}/run={r}" for r in names for k in KINDS]
+        paths = [f"{base}/text/kind={k}/run={r}" for r in names for k in KINDS]
     else:
         paths = [f"{base}/{r}/{k}" for r in names for k in KINDS]
     lines = read_lines(spark, paths)
     parts = F.split(F.col("file"), "/")
     kinds = F.create_map(*[x for k, v in KINDS.items() for x in (F.lit(k), F.lit(v))])
-    if layout == "export":
-        lines = lines.withColumn("run", F.regexp_replace(F.element_at(parts, -1), "^run=", "")).withColumn(
-            "kind", F.element_at(kinds, F.element_at(parts, -2))
-        )
-    else:
-        lines = lines.withColumn("run", F.element_at(parts, -2)).withColumn("kind", F.element_at(kinds, F.element_at(parts, -1)))
+    run, kind = (F.element_at(parts, -1), F.element_at(parts, -2)) if layout == "export" else (F.element_at(parts, -2), F.element_at(parts, -1))
+    lines = lines.withColumn("run", F.regexp_replace(run, "^run=", "")).withColumn(
+        "kind", F.element_at(kinds, F.regexp_replace(kind, "^kind=", ""))
+    )
+    if strict:
+        # line numbers are dense, so lengths are compared by counts (one row per file)
+        sizes = lines.groupBy("run", "kind").agg(F.count("*").alias("n")).groupBy("run")
+        uneven = sizes.agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("k"))
+        bad = uneven.filter((F.col("lo") != F.col("hi")) | (F.col("k") < len(KINDS))).limit(5).collect()
+        if bad:
+            raise ValueError(f"the files of a run differ in length or are missing: {[r['run'] for r in bad]}")
     return (
         lines.groupBy("run", "idx")
         .pivot("kind", ["src", "ref", "hyp"])
@@ -159,8 +172,3 @@ def read_vocab(spark: SparkSession, path: str, specials=("<s>", "<pad>", "</s>",
     )
     spec = spark.createDataFrame([(s, 1, i) for i, s in enumerate(specials)], "token STRING, cnt LONG, id INT")
     return spec.unionByName(body)
-
-
-def lines_of(df: DataFrame, col: str = "text") -> DataFrame:
-    """Lines of a text column as rows ``line_no, line`` (Spark's line separators)."""
-    return df.select("*", F.posexplode(split_lines(col)).alias("line_no", "line"))
