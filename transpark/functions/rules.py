@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from transpark.functions.text import WS_RUN, _c
 
-# Punctuation normalisation, in order.
+# Rules of this package: punctuation normalisation, in order.
 NORMALIZE = [
     (r"\r", ""),
     (r"[\x{0}-\x{8}\x{e}-\x{1f}\x{7f}]", ""),  # control characters
@@ -28,7 +28,7 @@ NORMALIZE = [
     (r"^ | $", ""),
 ]
 
-# Tokenisation, in order (before escaping). ``{APOS}`` is
+# Rules of this package: tokenisation, in order (before escaping). ``{APOS}`` is
 # replaced by the apostrophe rules of the language.
 TOKENIZE = [
     (WS_RUN, " "),
@@ -50,7 +50,7 @@ TOKENIZE = [
     (r"^ | $", ""),
 ]
 
-# Apostrophe rules for English (in order); other languages split every apostrophe off.
+# Rules of this package: apostrophe rules for English (in order); other languages split every apostrophe off.
 APOSTROPHE = {
     "en": [
         (r"([^\p{L}])'([^\p{L}])", "$1 ' $2"),
@@ -73,10 +73,10 @@ def tokenize_rules(lang: str = "en", dash_split: bool = True):
     return out
 
 
-# XML escaping after tokenisation ('&' first).
+# XML escaping after tokenisation ('&' first).
 ESCAPE = [("&", "&amp;"), ("|", "&#124;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&apos;"), ('"', "&quot;"), ("[", "&#91;"), ("]", "&#93;")]
 
-# Detokenisation, in order (after un-escaping).
+# Rules of this package: detokenisation, in order (after un-escaping).
 DETOKENIZE = [
     (r" @-@ ", "-"),
     (r"% ([\p{Nd}])", "%$1"),  # placeholders like %1

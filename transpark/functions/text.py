@@ -28,14 +28,6 @@ def words(col) -> Column:
     return F.filter(F.split(_c(col), WS_RUN), lambda w: w != F.lit(""))
 
 
-def n_words(col) -> Column:
-    return F.size(words(col))
-
-
-def n_unique(col) -> Column:
-    return F.size(F.array_distinct(words(col)))
-
-
 def ttr(col) -> Column:
     """Type-token ratio, case-sensitive; NULL for a blank line (the reference divides by zero there)."""
     w = words(col)
@@ -96,6 +88,14 @@ def _str_map(d: dict) -> Column:
     return F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.lit(d[k]) for k in keys]))
 
 
+def _by_first(d: dict) -> Column:
+    """A map of maps, by first character: a lookup scans the names that begin alike, not all of them."""
+    firsts = sorted({k[0] for k in d})
+    return F.map_from_arrays(
+        F.array(*[F.lit(c) for c in firsts]), F.array(*[_str_map({k: v for k, v in d.items() if k[0] == c}) for c in firsts])
+    )
+
+
 def _int_map(d: dict) -> Column:
     keys = sorted(d)
     return F.map_from_arrays(F.array(*[F.lit(k).cast("long") for k in keys]), F.array(*[F.lit(d[k]) for k in keys]))
@@ -119,13 +119,14 @@ def _numeric_char(digits: Column, base: int) -> Column:
 
 def _named(body: Column) -> Column:
     """A named reference body (with its ';' if any) -> text; longest legacy prefix otherwise."""
-    full = F.element_at(_str_map(_HTML5), body)
+    first = F.substring(body, 1, 1)
+    full = F.element_at(F.element_at(_by_first(_HTML5), first), body)
     common = F.when(body == "amp;", "&").when(body == "lt;", "<").when(body == "gt;", ">").when(body == "quot;", '"')
-    legacy = _str_map(_LEGACY)
+    legacy = F.element_at(_by_first(_LEGACY), first)
     prefixes = [
         F.when(
             F.length(body) - 1 >= x,
-            F.concat(F.element_at(legacy, F.substring(body, 1, x)), F.substring(body, x + 1, 64)),
+            F.concat(F.element_at(legacy, F.substring(body, 1, x)), F.substring(body, F.lit(x + 1), F.length(body))),
         )
         for x in range(_LEGACY_MAX, 1, -1)
     ]
@@ -147,8 +148,8 @@ def unescape(col) -> Column:
         is_hex = F.lower(F.substring(body, 1, 2)) == "#x"
         is_dec = (F.substring(body, 1, 1) == "#") & ~is_hex
         return (
-            F.when(is_hex, _numeric_char(F.substring(digits, 3, 1 << 20), 16))
-            .when(is_dec, _numeric_char(F.substring(digits, 2, 1 << 20), 10))
+            F.when(is_hex, _numeric_char(F.substring(digits, F.lit(3), F.length(digits)), 16))
+            .when(is_dec, _numeric_char(F.substring(digits, F.lit(2), F.length(digits)), 10))
             .otherwise(_named(body))
         )
 

@@ -51,11 +51,14 @@ def segment_stats(
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in dict.fromkeys((hyp, ref))]
     seg = df.select(*keys, *text).repartition(n_part, *keys)
     seg = seg.select(*keys, tokenize_13a(hyp).alias("_th"), tokenize_13a(ref).alias("_tr"))
-    parts = [F.array(F.struct(F.lit(0).alias("_n"), F.lit("").alias("_g"), F.size("_th").alias("_h"), F.size("_tr").alias("_r")))]
+    # one (order, side) list at a time: a first explode multiplies the row by tags, a second one its n-grams
+    sizes = F.array(F.struct(F.lit(0).alias("_n"), F.lit("").alias("_g"), F.size("_th").alias("_h"), F.size("_tr").alias("_r")))
+    lists = F.when(F.col("_tag") == 0, sizes)
     for n in range(1, ORDER + 1):
-        parts.append(_ngram_structs(F.col("_th"), n, True))
-        parts.append(_ngram_structs(F.col("_tr"), n, False))
-    grams = seg.select(*keys, F.explode(F.concat(*parts)).alias("_x")).select(*keys, "_x._n", "_x._g", "_x._h", "_x._r")
+        lists = lists.when(F.col("_tag") == n, _ngram_structs(F.col("_th"), n, True))
+        lists = lists.when(F.col("_tag") == -n, _ngram_structs(F.col("_tr"), n, False))
+    tagged = seg.select("*", F.explode(F.sequence(F.lit(-ORDER), F.lit(ORDER))).alias("_tag"))
+    grams = tagged.select(*keys, F.explode(lists).alias("_x")).select(*keys, "_x._n", "_x._g", "_x._h", "_x._r")
     per_gram = grams.groupBy(*keys, "_n", "_g").agg(F.sum("_h").alias("_ch"), F.sum("_r").alias("_cr"))
     per_n = per_gram.groupBy(*keys).agg(
         F.sum(F.when(F.col("_n") == 0, F.col("_ch"))).alias("sys_len"),

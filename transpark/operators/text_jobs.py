@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from transpark.functions import rules as R
 from transpark.functions import text as T
+from transpark.session import materialize
 
 
 def add_words(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -39,29 +40,31 @@ def drop_invalid_size(
     for c in cols:
         n = F.size(T.words(c))
         ok = ok & n.between(min_len, max_len)
-    flagged = df.withColumn("_ok", ok)
-    kept = flagged.filter("_ok").drop("_ok")
     if not report:
-        return kept
+        return df.filter(ok)
+    # rows and report come from one pass: the flagged rows are written once
+    flagged = materialize(df.withColumn("_ok", ok), "sized")
     rep = flagged.agg(F.count("*").alias("rows"), F.sum(F.when(~F.col("_ok"), 1).otherwise(0)).cast("long").alias("dropped"))
-    return kept, rep
+    return flagged.filter("_ok").drop("_ok"), rep
 
 
 def _text_job(df: DataFrame, col: str, expr, out: str | None, report_by: list[str] | None):
+    """The column ``out`` (default: ``col`` itself); with ``report_by`` also rows, changed rows and tokens
+    per group, from one pass that writes the result."""
     target = out or col
-    res = df.withColumn(target, expr)
     if report_by is None:
-        return res
-    rep = (
-        df.withColumn("_new", expr)
-        .groupBy(*report_by)
-        .agg(
-            F.count("*").alias("rows"),
-            F.sum(F.when(~F.col(col).eqNullSafe(F.col("_new")), 1).otherwise(0)).cast("long").alias("changed"),
-            F.sum(F.size(T.words("_new"))).cast("long").alias("tokens"),
-        )
+        return df.withColumn(target, expr)
+    flagged = df.withColumn("_new", expr)
+    flagged = flagged.withColumn("_changed", ~F.col(col).eqNullSafe(F.col("_new"))).withColumn("_tokens", F.size(T.words("_new")))
+    rest = [c for c in df.columns if c != target]
+    keys = [F.col(c).alias(f"_by{i}") for i, c in enumerate(report_by)]
+    flagged = materialize(flagged.select(*rest, *keys, F.col("_new").alias(target), "_changed", "_tokens"), "job")
+    rep = flagged.groupBy(*[F.col(f"_by{i}").alias(c) for i, c in enumerate(report_by)]).agg(
+        F.count("*").alias("rows"),
+        F.sum(F.col("_changed").cast("int")).cast("long").alias("changed"),
+        F.sum("_tokens").cast("long").alias("tokens"),
     )
-    return res, rep
+    return flagged.select(*rest, target), rep
 
 
 def normalize_corpus(df: DataFrame, col: str = "text", out: str | None = None, report_by=None):
