@@ -13,7 +13,7 @@ def brute(rows):
     for doc_id, text in sorted({(d, t) for d, t in rows if t}, key=lambda r: (r[0] is None, r[0] or 0)):
         out = []
         for i, chunk in enumerate(chunks(text)):
-            if not removable(chunk) or first.setdefault(canonical(chunk), (doc_id, text, i)) == (doc_id, text, i):
+            if not removable(chunk, canonical(chunk)) or first.setdefault(canonical(chunk), (doc_id, text, i)) == (doc_id, text, i):
                 out += chunk
         kept[doc_id, text] = b"".join(out).decode()
     return sorted((str(d), kept.get((d, t), t) or "") for d, t in rows)

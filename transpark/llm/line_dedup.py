@@ -34,76 +34,76 @@ LONG_LINE = 40  # words of a physical line that stands in chunks of its own
 WRAP = 40  # words after which a sentence is cut further
 SALT_ROWS = 4096  # occurrences of a chunk compared in one task
 
-_LINE = re.compile(rb"[^.!?\n]+[.!?]*[^\S\n]*\n?|[.!?]+[^\S\n]*\n?|\n")
+_LINE = re.compile(rb"[^.!?]+[.!?]*\s*|[.!?]+\s*")
+_PHYSICAL = re.compile(rb"[^\n]*\n|[^\n]+")
 _WORD = re.compile(rb"\S+\s*|\s+")
 
 
-def _lines(data: bytes) -> list[bytes]:
-    """Lines whose concatenation is the text; white space belongs to the line before it."""
+def _wrapped(line: bytes) -> list[bytes]:
+    """A very long line, cut after words that their hash selects."""
     out: list[bytes] = []
-    for line in _LINE.findall(data):
-        if line.count(b" ") > WRAP:
-            run: list[bytes] = []
-            for word in _WORD.findall(line):
-                run.append(word)
-                if xxhash.xxh3_64_intdigest(word.strip()) % (WRAP // 2) == 0:
-                    out.append(b"".join(run))
-                    run = []
-            if run:
-                out.append(b"".join(run))
-        elif out and line.isspace():
-            out[-1] += line
-        else:
-            out.append(line)
-    return out
+    run: list[bytes] = []
+    for word in _WORD.findall(line):
+        run.append(word)
+        if xxhash.xxh3_64_intdigest(word.strip()) % (WRAP // 2) == 0:
+            out.append(b"".join(run))
+            run = []
+    return [*out, b"".join(run)] if run else out
 
 
 def chunks(text: str) -> list[list[bytes]]:
-    """The chunks of a text, each a list of lines; all lines together are the text."""
-    lines = _lines(text.encode("utf-8", "surrogatepass"))
-    # words of the physical line to which each line belongs
-    size = [line.count(b" ") + 1 for line in lines]
-    whole, run = [0] * len(lines), []
-    for i, line in enumerate(lines):
-        run.append(i)
-        if line.endswith(b"\n") or i + 1 == len(lines):
-            total = sum(size[j] for j in run)
-            for j in run:
-                whole[j] = total
-            run = []
-    hashes = [xxhash.xxh3_64_intdigest(line.strip()) for line in lines]
+    """The chunks of a text, each a list of lines; all lines together are the text. White space belongs to
+    the line before it."""
     out: list[list[bytes]] = []
     now: list[bytes] = []
-    joins = False  # whether a single line left over may join the chunk before it
-    for i, line in enumerate(lines):
-        now.append(line)
-        ends_line = line.endswith(b"\n")
-        hard = i + 1 == len(lines) or (ends_line and max(whole[i], whole[i + 1]) >= LONG_LINE)
-        soft = len(now) >= 2 and (hashes[i - 1] * 3 + hashes[i]) % 2**64 * 0x9E3779B97F4A7C15 % 2**64 >> 32 < 2**32 // AVERAGE
-        if hard or soft or len(now) >= MOST_LINES:
-            if hard and joins and len(now) == 1:
+    before = 0  # hash of the line before
+    after_long = False
+    open_ = False  # whether a single line left over at a hard boundary may join the chunk before it
+    for physical in _PHYSICAL.findall(text.encode("utf-8", "surrogatepass")):
+        if physical.isspace() and (now or out):
+            (now or out[-1])[-1] += physical
+            continue
+        long = physical.count(b" ") + 1 >= LONG_LINE
+        if (long or after_long) and now:
+            if open_ and len(now) == 1:
                 out[-1].extend(now)
             else:
                 out.append(now)
-            now, joins = [], not hard
+            now = []
+        if long or after_long:
+            open_ = False
+        after_long = long
+        for line in _LINE.findall(physical):
+            for part in (line,) if len(line) <= 2 * WRAP or line.count(b" ") <= WRAP else _wrapped(line):
+                now.append(part)
+                h = xxhash.xxh3_64_intdigest(part.strip())
+                if len(now) >= 2 and ((before * 3 + h) % AVERAGE == 0 or len(now) >= MOST_LINES):
+                    out.append(now)
+                    now, open_ = [], True
+                before = h
+    if now:
+        if open_ and len(now) == 1:
+            out[-1].extend(now)
+        else:
+            out.append(now)
     return out
 
 
 def canonical(chunk: list[bytes]) -> bytes:
     """The bytes that repetitions have in common: the lines without the white space around them."""
-    return b"\n".join(line.strip() for line in chunk)
+    return b"\n".join([line.strip() for line in chunk])
 
 
-def removable(chunk: list[bytes]) -> bool:
-    return len(chunk) >= 2 and sum(line.count(b" ") + 1 for line in chunk) >= LEAST_WORDS
+def removable(chunk: list[bytes], body: bytes) -> bool:
+    return len(chunk) >= 2 and body.count(b" ") + len(chunk) >= LEAST_WORDS
 
 
 def _occurrences(batch: pa.RecordBatch, with_bytes: bool) -> dict:
     out: dict[str, list] = {"doc_id": [], "th": [], "pos": [], "h": [], **({"body": []} if with_bytes else {})}
     for doc_id, th, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "th", "text"))):
         for i, chunk in enumerate(chunks(text)):
-            if removable(chunk):
-                body = canonical(chunk)
+            body = canonical(chunk)
+            if removable(chunk, body):
                 for k, v in zip(out, (doc_id, th, i, xxhash.xxh3_64_intdigest(body) - 2**63, body)):
                     out[k].append(v)
     return {k: pa.array(v, {"pos": pa.int32(), "body": pa.binary()}.get(k, pa.int64())) for k, v in out.items()}
@@ -139,33 +139,32 @@ def _repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """Add ``n_lines``, ``n_removed`` (lines) and ``deduped`` (the text without repetitions; null stays null)
+    """Add ``n_removed`` (lines) and ``deduped`` (the text without repetitions; null stays null)
     to documents (``doc_id, text, ...``); columns of these names are replaced. An empty table gives an empty one."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop("n_lines", "n_removed", "deduped", "_id", "_th", "_gone")
+    docs = docs.drop("n_removed", "deduped", "_id", "_th", "_gone")
     scratch = Scratch(spark, "lines")
     no_id = 2**63 - 1
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(no_id))).withColumn("_th", F.xxhash64("text"))
     texts = keyed.where("text <> ''").select(F.col("_id").alias("doc_id"), F.col("_th").alias("th"), "text")
     gone = _repeats(texts, scratch).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_gone"))
     joined = keyed.join(gone, ["_id", "_th"], "left").drop("_id", "_th")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_removed long, deduped string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_removed long, deduped string"
 
     def rebuild(batch: pa.RecordBatch) -> dict:
-        n_lines, n_removed, deduped = [], [], []
+        n_removed, deduped = [], []
         for text, gone_ in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist()):
-            parts = chunks(text or "")
             lost = set(gone_ or ())
-            n_lines.append(sum(map(len, parts)))
+            parts = chunks(text) if lost else []
             n_removed.append(sum(len(parts[i]) for i in lost))
             deduped.append(text if not lost else b"".join(b"".join(c) for i, c in enumerate(parts) if i not in lost).decode("utf-8", "surrogatepass"))
         keep = {c: batch.column(c) for c in batch.schema.names if c != "_gone"}
-        return keep | {"n_lines": n_lines, "n_removed": n_removed, "deduped": pa.array(deduped, pa.string())}
+        return keep | {"n_removed": n_removed, "deduped": pa.array(deduped, pa.string())}
 
     return map_batches(joined, rebuild, schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", F.col("deduped").alias("text"), "n_lines", "n_removed")
+    return dedup_lines(docs).select("doc_id", F.col("deduped").alias("text"), "n_removed")
