@@ -5,7 +5,6 @@ import pytest
 from helpers import documents, edge_docs, no_docs
 
 from transpark.llm import ngram_join as nj
-from transpark.llm.common import WordHashes
 
 
 def exact_sets(rows):
@@ -82,14 +81,13 @@ def test_near_copies_in_large_groups_and_in_split_blocks(spark, monkeypatch, hot
 
 def test_trees_lose_nothing():
     rng = np.random.default_rng(5)
-    memo = WordHashes()
     texts = [t for _, t in near_copies(20, 12, words=200, edits=6)]
     texts += [" ".join(f"r{x}" for x in rng.integers(0, 10**6, rng.integers(5, 400))) for _ in range(200)]
-    sets = [nj.shingles(t, memo) for t in texts]
+    sets = [nj.shingles(t) for t in texts]
     n = np.array([len(s) for s in sets])
     rows = {"sid": np.arange(len(sets)), "n": n, "small": np.ones(len(sets), bool), "comp": np.arange(len(sets)), "side": np.zeros(len(sets), np.int64)}
     block = nj.Block(rows, [nj.point(s) for s in sets])
-    got = {(min(a, b), max(a, b)) for i, j in block.joined(False) for a, b in zip(i.tolist(), j.tolist())}
+    got = {(min(a, b), max(a, b)) for i, j, _ in block.joined(False) for a, b in zip(i.tolist(), j.tolist())}
     links = {(a, b) for a in range(len(sets)) for b in range(a) if 7 * len(np.intersect1d(sets[a], sets[b])) >= 3 * (n[a] + n[b])}
     assert {(b, a) for a, b in links} <= got and len(got) < 0.2 * len(sets) ** 2 / 2
 

@@ -5,7 +5,6 @@ import zlib
 import numpy as np
 from helpers import EDGE, edge_docs, no_docs
 
-from transpark.llm.common import WordHashes
 from transpark.llm.quality import FEATURES, Forest, fit_forest, fit_quality, score_quality, statistics
 from transpark.llm.queries import QUERIES
 from transpark.llm.toxicity import Lexicon, fit_lexicon, fold, hits, score_toxicity
@@ -54,9 +53,8 @@ def test_forest_is_its_trees():
 
 
 def test_statistics():
-    memo = WordHashes()
-    assert statistics("", memo) == statistics(" \n", memo) == [0.0] * len(FEATURES)
-    got = dict(zip(FEATURES, statistics("Ab ab ab.\nAb ab ab.", memo)))
+    assert statistics("") == statistics(" \n") == [0.0] * len(FEATURES)
+    got = dict(zip(FEATURES, statistics("Ab ab ab.\nAb ab ab.")))
     assert got["repeated_lines"] == 0.5 and got["finished_lines"] == 1 and got["top_word"] == 1 / 3 and got["word_after_itself"] == 0
 
 
@@ -86,7 +84,7 @@ def test_disguised_words_are_learnt(spark):
     rows, labels = [], []
     for i in range(600):
         toxic = i % 3 == 0
-        rows.append((i, f"{filler(30)} {'you blockhead and rascal' if toxic else 'the little rascal plant'} {filler(20)}"))
+        rows.append((i, f"{filler(int(10 ** rng.uniform(1, 3.3)))} {'you blockhead and rascal' if toxic else 'the little rascal plant'} {filler(20)}"))
         labels.append((i, int(toxic)))
     lexicon = fit_lexicon(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     probe = [(1, f"{filler(20)} bl0ckhe4d and r@scal"), (2, f"{filler(20)} the little rascal plant"), (3, filler(30)), (4, f"{filler(2000)} бlосkhead and rascal".replace("б", "b"))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -68,17 +69,8 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to a bounded number of entries."""
-
-    def __init__(self, limit: int = 300_000):
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.limit:
-            self[word] = h
-        return h
+#: PySpark gives all its workers one PYTHONHASHSEED; then bytes have one (64-bit SipHash) hash everywhere.
+_word_hash = hash if os.environ.get("PYTHONHASHSEED", "").isdigit() else xxhash.xxh3_64_intdigest
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -96,8 +88,10 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_hashes(tokens: list[bytes], memo: WordHashes) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, tokens), np.uint64, len(tokens))
+def word_hashes(tokens: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, the same in all workers of a session."""
+    kind = np.int64 if _word_hash is hash else np.uint64
+    return np.fromiter(map(_word_hash, tokens), kind, len(tokens)).view(np.uint64)
 
 
 def as_long(x: np.ndarray) -> np.ndarray:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transpark.llm.common import Scratch, WordHashes, fold_of, mix64, table, word_hashes, words
+from transpark.llm.common import Scratch, fold_of, mix64, table, word_hashes, words
 
 ORDER = 2
 FOLDS, HELD_OUT = 7, 2
@@ -83,13 +83,13 @@ def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
 class Grams:
     """The tokens of a block's texts, one after the other, with their n-grams and contexts by level."""
 
-    def __init__(self, texts: list[str], memo: WordHashes, order: int):
+    def __init__(self, texts: list[str], order: int):
         split = [words(t or "") for t in texts]
         self.sizes = np.array([len(s) + 1 for s in split], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         h = np.full(int(self.sizes.sum()), _END, np.uint64)
         for start, s in zip(self.starts.tolist(), split):
-            h[start : start + len(s)] = word_hashes(s, memo)
+            h[start : start + len(s)] = word_hashes(s)
         self.grams, self.contexts = [h], [None]
         for k in range(1, order):
             context = np.concatenate([[_BEGIN], self.grams[-1][:-1]]) if len(h) else h
@@ -106,7 +106,7 @@ class Grams:
 
 def _requests(parts: int, order: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = Grams(pdf["text"].tolist(), WordHashes(), order)
+        g = Grams(pdf["text"].tolist(), order)
         train = np.repeat(pdf["train"].to_numpy(bool), g.sizes)
         out = {"part": [], "level": [], "block": [], "keys": [], "counts": []}
         for k in range(order):
@@ -201,7 +201,7 @@ def _shares(model: Model, parts: int, order: int):
         if not len(left):
             return pd.DataFrame(out)
         block = left["block"].iat[0]
-        g = Grams(left["text"].tolist(), WordHashes(), order)
+        g = Grams(left["text"].tolist(), order)
         lower, count = None, None
         for k, (answer, place, c) in enumerate(_counts(g, right, order)):
             if k:
@@ -249,7 +249,7 @@ def _scores(model: Model, order: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({c: [] for c in ("doc_id", "train", "n_tokens", "n_known", "base_score", "score")})
-        g = Grams(left["text"].tolist(), WordHashes(), order)
+        g = Grams(left["text"].tolist(), order)
         p, count, first = None, None, None
         for k, (_, _, c) in enumerate(_counts(g, right, order)):
             if k == 0:

@@ -6,21 +6,22 @@ are one class, and classes link when 7 * overlap >= 3 * (size + size), that is J
 **Points.** The shingles of a set are hashed into groups (the leading bits of the hash), and the counts of
 the groups are its point. Sum over groups of the smaller count bounds the overlap of two sets, and the
 same sum over the upper corners of two boxes bounds it for all points inside. A set of n shingles has
-about n/4 groups (a power of two); linked sets are at most one power apart, and the finer point is folded.
+2n to 4n groups (a power of two); linked sets are at most one power apart, and the finer point is folded.
+Boxes hold points folded eightfold, pairs of points are compared unfolded, where the bound is close.
 
 **Blocks.** An R-tree over all points would compare everything with everything, as unrelated texts lie
 equally far apart. So points are first dealt to blocks that lose no link: by one global order of shingles,
 rare ones first, linked sets share one within the first n - ceil(6n/7) + 1 of the smaller and the first
 n - ceil(3n/4) + 1 of the larger set. The order comes from a count sketch of fixed size; whatever its
 errors are, it is one order, so they cost time only. Blocks with the same members are one block. Shingles
-that the sketch shows as frequent skip the grouping by shingle and are split into chunks, which meet
-each other pairwise.
+that the sketch shows as frequent skip the grouping by shingle; large blocks are split into chunks, which
+meet each other pairwise.
 
 **Rounds.** Components are wanted, so a pair that is already connected needs no comparison: boxes that
-hold one component alone are skipped. Round 1 links every point to a smaller one in a random leaf; round
-2 joins the R-trees and proposes the best pair for two components in a block; round 3 proposes every
-pair of points of different components that the bound lets through. Proposals are verified with the
-whole sets, which are taken from the texts again.
+hold one component alone are skipped. Round 1 proposes for every point the best smaller one in a random
+leaf, round 2 a spanning forest of each block's R-tree join, best pairs first, round 3 every pair of points
+of different components that the bound lets through. Proposals are verified with the whole sets, which
+are taken from the texts again; the next round starts from the components of what was verified.
 
 Without words or text a set is empty, links with nothing, and the document is its own component. Rows
 without doc_id take part, but never name a component; such a row alone has a null component.
@@ -38,13 +39,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transpark.llm.common import Scratch, WordHashes, as_long, mix64, small_batches, table, texts, word_hashes, words
+from transpark.llm.common import Scratch, as_long, mix64, small_batches, table, texts, word_hashes, words
 from transpark.llm.components import connected_components
 
 GRAM = 5
 SLOTS = 20  # bits of the count sketch: 2^20 counters, 1 MB where it is used
 HOT = 8192  # occurrences over the sketch's median from which a shingle's block is split
-CHUNK = 4096  # members of one side of a block
+CHUNK = 4096  # members of one side of a block, and
+CHUNK_SHINGLES = 1 << 22  # their shingles
+FOLD = 3  # powers of two between the groups of points and of boxes
+CACHE = 64 << 20  # bytes of unpacked points that a block keeps
 LEAF = 32
 FAN = 8
 BUCKET_ROWS = 500_000  # shingles of one task that looks for shared ones
@@ -52,9 +56,9 @@ FLUSH_ROWS = 2_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def shingles(text: str, memo: WordHashes, gram: int = GRAM) -> np.ndarray:
+def shingles(text: str, gram: int = GRAM) -> np.ndarray:
     """Sorted distinct hashes of the shingles; fewer than ``gram`` words are one shingle."""
-    w = word_hashes(words(text), memo)
+    w = word_hashes(words(text))
     if not len(w):
         return w
     if len(w) < gram:
@@ -72,23 +76,24 @@ def set_id(s: np.ndarray) -> int:
 
 def level(n):
     """log2 of the groups of a set with n shingles."""
-    return np.clip(np.log2(np.maximum(n, 1)).astype(np.int64) - 2, 3, 12)
+    return np.maximum(np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), 2) + 1
 
 
 def point(s: np.ndarray) -> bytes:
+    """The counts of the groups, compressed (most are 0 or 1)."""
     bits = int(level(np.array([len(s)]))[0])
-    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 65535).astype(np.uint16).tobytes()
+    return zlib.compress(np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 65535).astype(np.uint16).tobytes(), 1)
 
 
 # --- pass 1: sets, points, sketch ------------------------------------------------------------------
 
 
-def _distinct_sets(it: Iterator[pa.RecordBatch], memo: WordHashes):
+def _distinct_sets(it: Iterator[pa.RecordBatch]):
     """(doc_id, text position, set, whether it is the task's first one like it) of every row."""
     seen: set[int] = set()
     for batch in it:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
-            s = shingles(text, memo)
+            s = shingles(text)
             sid = set_id(s) if len(s) else None
             new = sid is not None and sid not in seen
             if new:
@@ -100,7 +105,7 @@ def _profile(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SLOTS, np.int64)
     schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("point", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
     rows: list[tuple] = []
-    for doc_id, s, sid, new in _distinct_sets(it, WordHashes()):
+    for doc_id, s, sid, new in _distinct_sets(it):
         if new:
             np.add.at(counts, (s >> np.uint64(64 - SLOTS)).astype(np.int64), 1)
         rows.append((doc_id, sid, len(s), point(s) if new else None, None, None))
@@ -169,7 +174,7 @@ def _leading(ranks: np.ndarray, hot: np.ndarray, buckets: int):
             parts = zip(np.split(t, first[1:]), np.split(s, first[1:]))
             return pa.RecordBatch.from_pydict({"bucket": pa.array(keys, pa.int64()), "blob": pa.array([_pack(a, b) for a, b in parts], pa.binary())})
 
-        for _, s, sid, new in _distinct_sets(it, WordHashes()):
+        for _, s, sid, new in _distinct_sets(it):
             if not new:
                 continue
             small, large = prefix_lengths(len(s))
@@ -283,19 +288,28 @@ def tree_join(a: Tree, b: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class Block:
-    """The points of one block (or of two of its chunks), by level of resolution."""
+    """The points of one block (or of two of its chunks)."""
 
     def __init__(self, rows: dict[str, np.ndarray], points: list[bytes]):
         self.sid, self.n, self.small, self.comp, self.side = (rows[k] for k in ("sid", "n", "small", "comp", "side"))
         self.level = level(self.n)
-        self.raw = points
+        self.raw, self.unpacked, self.room = points, {}, CACHE
+
+    def counts(self, k: int) -> np.ndarray:
+        got = self.unpacked.get(k)
+        if got is None:
+            got = np.frombuffer(zlib.decompress(self.raw[k]), np.uint16)
+            if self.room > got.nbytes:
+                self.unpacked[k] = got
+                self.room -= got.nbytes
+        return got
 
     def matrix(self, index: np.ndarray, bits: int) -> np.ndarray:
-        """Counts of the points ``index`` (all of level ``bits`` or one more) in 2^bits groups."""
-        if not len(index):
-            return np.zeros((0, 1 << bits), np.uint16)
-        x = np.frombuffer(b"".join(self.raw[k] for k in index), np.uint16).reshape(len(index), -1)
-        return x if x.shape[1] == 1 << bits else x.reshape(len(index), 1 << bits, -1).sum(2, dtype=np.uint16)
+        """Counts of the points ``index`` in 2^bits groups."""
+        out = np.empty((len(index), 1 << bits), np.uint16)
+        for row, k in enumerate(index.tolist()):
+            out[row] = self.counts(k).reshape(1 << bits, -1).sum(1, dtype=np.uint16)
+        return out
 
     def score(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Upper bound of the Jaccard similarity of pairs, 0 where it rules a link out."""
@@ -304,15 +318,12 @@ class Block:
         sizes = (4 * self.n[i] >= 3 * self.n[j]) & (4 * self.n[j] >= 3 * self.n[i]) & (hi - lo <= 1)
         for bits in np.unique(lo[sizes]):
             at = np.flatnonzero(sizes & (lo == bits))
-            used, back = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
-            x = np.zeros((len(used), 1 << bits), np.uint16)
-            for d in (0, 1):
-                sel = self.level[used] == bits + d
-                x[sel] = self.matrix(used[sel], bits)
-            for k in range(0, len(at), 4096):
-                part = at[k : k + 4096]
-                left, right = back[k : k + len(part)], back[len(at) + k : len(at) + k + len(part)]
-                most = np.minimum(x[left], x[right]).sum(1, dtype=np.int64)
+            step = max(16, (1 << 21) >> int(bits))  # bounds the memory of a step
+            for k in range(0, len(at), step):
+                part = at[k : k + step]
+                used, back = np.unique(np.concatenate([i[part], j[part]]), return_inverse=True)
+                x = self.matrix(used, int(bits))
+                most = np.minimum(x[back[: len(part)]], x[back[len(part) :]]).sum(1, dtype=np.int64)
                 total = self.n[i[part]] + self.n[j[part]]
                 out[part] = np.where(7 * most >= 3 * total, most / np.maximum(total - most, 1), 0)
         return out
@@ -322,8 +333,8 @@ class Block:
         smaller = np.where(self.n[i] < self.n[j], self.small[i], np.where(self.n[i] > self.n[j], self.small[j], self.small[i] | self.small[j]))
         return smaller & (self.comp[i] != self.comp[j])
 
-    def joined(self, two: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of the R-tree join; across the sides only if there are two."""
+    def joined(self, two: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of the R-tree join and their bounds; across the sides only if there are two."""
         for bits in np.unique(self.level):
             for d in (0, 1):
                 fine = np.flatnonzero(self.level == bits + d)
@@ -335,15 +346,18 @@ class Block:
                     right = fine if q is None else fine[self.side[fine] == q]
                     if not len(left) or not len(right):
                         continue
-                    a = Tree(self.matrix(left, bits), self.n[left], self.comp[left], left)
-                    b = a if p is None and not d else Tree(self.matrix(right, bits), self.n[right], self.comp[right], right)
+                    box = max(2, int(bits) - FOLD)
+                    a = Tree(self.matrix(left, box), self.n[left], self.comp[left], left)
+                    b = a if p is None and not d else Tree(self.matrix(right, box), self.n[right], self.comp[right], right)
                     for i, j in tree_join(a, b):
                         ok = self.allowed(i, j)
-                        yield i[ok], j[ok]
+                        score = self.score(i[ok], j[ok])
+                        yield i[ok][score > 0], j[ok][score > 0], score[score > 0]
 
 
 def _by_leaf(block: Block, g: int) -> tuple[np.ndarray, np.ndarray]:
-    """Round 1: every point and the one with the least set id in its (random) leaf that the bound allows."""
+    """Round 1: every point and the one with the highest bound among those with smaller set ids in its
+    (random) leaf."""
     order = np.argsort(mix64(block.sid.view(np.uint64) ^ np.uint64(g % 2**64)))
     left, right = [], []
     for k in range(0, len(order), LEAF):
@@ -353,28 +367,42 @@ def _by_leaf(block: Block, g: int) -> tuple[np.ndarray, np.ndarray]:
         i, j = leaf[u], leaf[v]
         ok = block.allowed(i, j)
         i, j = i[ok], j[ok]
-        ok = block.score(i, j) > 0
-        i, j = i[ok], j[ok]  # j has the larger set id; pairs are in order of the smaller one
-        _, first = np.unique(j, return_index=True)
-        left.append(i[first])
-        right.append(j[first])
+        score = block.score(i, j)
+        i, j, score = i[score > 0], j[score > 0], score[score > 0]
+        best = np.lexsort((i, -score, j))  # j has the larger set id
+        best = best[np.unique(j[best], return_index=True)[1]]
+        left.append(i[best])
+        right.append(j[best])
     return np.concatenate(left), np.concatenate(right)
 
 
-def _best(block: Block, two: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Round 2: the pair with the highest bound for any two components."""
-    best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for i, j in block.joined(two):
-        score = block.score(i, j)
-        lo, hi = np.minimum(block.comp[i], block.comp[j]), np.maximum(block.comp[i], block.comp[j])
+def _spanning(block: Block, two: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Round 2: a forest of pairs that the bound lets through, from one component to another."""
+    comps, label = np.unique(block.comp, return_inverse=True)
+    root = np.arange(len(comps))
+    pairs = []
+    for i, j, score in block.joined(two):
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        a, b = root[label[i]], root[label[j]]
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
         order = np.lexsort((-score, hi, lo))
-        first = order[np.concatenate([[True], (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])])] if len(order) else order
-        for k in first.tolist():
-            key, value = (int(lo[k]), int(hi[k])), (float(score[k]), int(i[k]), int(j[k]))
-            if value > best.get(key, (0.0, 0, 0)):
-                best[key] = value
-    pairs = np.array([(i, j) for _, i, j in best.values()], np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+        order = order[lo[order] != hi[order]]
+        if not len(order):
+            continue
+        first = np.concatenate([[True], (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])])
+        order = order[first]  # the best pair of any two components
+        for k in order[np.argsort(-score[order], kind="stable")].tolist():
+            x, y = int(lo[k]), int(hi[k])
+            while root[x] != x:
+                x = int(root[x])
+            while root[y] != y:
+                y = int(root[y])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                pairs.append((i[k], j[k]))
+    out = np.array(pairs, np.int64).reshape(-1, 2)
+    return out[:, 0], out[:, 1]
 
 
 def _proposals(round_: int):
@@ -387,9 +415,9 @@ def _proposals(round_: int):
         if round_ == 1:
             found = [_by_leaf(block, g)]
         elif round_ == 2:
-            found = [_best(block, two)]
+            found = [_spanning(block, two)]
         else:
-            found = block.joined(two)
+            found = ((i, j) for i, j, _ in block.joined(two))
         for i, j in found:
             if len(i):
                 a, b = block.sid[i], block.sid[j]
@@ -420,13 +448,13 @@ def _proposals(round_: int):
 # --- verification ----------------------------------------------------------------------------------
 
 
-def _filter(sids: DataFrame) -> np.ndarray:
+def _filter(ids: DataFrame) -> np.ndarray:
     """A bitmap of fixed size (2^SLOTS bits) of the hashed ids; it only spares rows that nothing asks for."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << SLOTS, bool)
         for batch in it:
-            bits[(mix64(batch.column("sid").to_numpy().view(np.uint64)) >> np.uint64(64 - SLOTS)).astype(np.int64)] = True
+            bits[_slot(batch.column("doc_id"))] = True
         if bits.any():
             yield pa.RecordBatch.from_pydict({"bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
 
@@ -434,22 +462,32 @@ def _filter(sids: DataFrame) -> np.ndarray:
         total = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(b), np.uint8) for b in pdf["bits"]])
         return pd.DataFrame({"bits": [zlib.compress(total.tobytes(), 1)]})
 
-    parts = sids.mapInArrow(run, "bits binary").withColumn("k", F.pmod(F.xxhash64("bits"), F.lit(32)))
+    parts = ids.mapInArrow(run, "bits binary").withColumn("k", F.pmod(F.xxhash64("bits"), F.lit(32)))
     out = np.zeros(1 << SLOTS - 3, np.uint8)
     for r in parts.groupBy("k").applyInPandas(either, "bits binary").collect():  # at most 32 rows of a fixed size
         out |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return np.unpackbits(out).astype(bool)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose sets link. Each set is read from its text, once per task, where needed."""
-    wanted = _filter(pairs.select(F.explode(F.array("a", "b")).alias("sid")))
+def _slot(ids: pa.Array) -> np.ndarray:
+    return (mix64(ids.to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose sets link. A set is read again from the text of one document that has it."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    wanted = _filter(classes.join(asked, "sid").where("doc_id is not null").select("doc_id"))
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def needed() -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                ids = batch.column("doc_id")
+                yield batch.filter(pa.array(wanted[_slot(ids.fill_null(0))] | ids.is_null().to_numpy(zero_copy_only=False)))
+
         rows: list[tuple] = []
         size = 0
-        for _, s, sid, new in _distinct_sets(it, WordHashes()):
-            if new and wanted[int(mix64(np.array([sid], np.int64).view(np.uint64))[0] >> np.uint64(64 - SLOTS))]:
+        for _, s, sid, new in _distinct_sets(needed()):
+            if new:
                 rows.append((sid, s.tobytes()))
                 size += 8 * len(s)
             if size > 1 << 24:
@@ -466,7 +504,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(7 * len(np.intersect1d(x, y, assume_unique=True)) >= 3 * (len(x) + len(y)))
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
 
-    found = docs.mapInArrow(sets, "sid long, s binary").dropDuplicates(["sid"])
+    found = docs.mapInArrow(sets, "sid long, s binary").join(asked, "sid", "left_semi").dropDuplicates(["sid"])
     left = pairs.join(found.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(found.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
@@ -482,7 +520,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 
     profile = scratch.write(docs.mapInArrow(_profile, "doc_id long, sid long, n long, point binary, block int, counts binary"), "profile")
     sets = profile.where("block is null")
-    classes = scratch.write(sets.where("point is not null").groupBy("sid").agg(F.min("n").alias("n"), F.min("point").alias("point")), "classes")
+    classes = scratch.write(sets.where("point is not null").groupBy("sid").agg(F.min("n").alias("n"), F.min("point").alias("point"), F.min("doc_id").alias("doc_id")), "classes")
     counts = _sketch(profile)
     ranks = np.minimum(np.round(8 * np.log2(counts + 1.0)), 255).astype(np.uint8)
     hot = counts > np.median(counts) + HOT
@@ -492,26 +530,27 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     shared = blobs.groupBy("bucket").applyInPandas(_shared, "g long, sid long, small boolean")
     members = scratch.write(shared.groupBy("g", "sid").agg(F.max("small").alias("small")), "members")
 
-    component = classes.select("sid", F.col("sid").alias("comp"))
+    component = classes.select("sid", "n", F.col("sid").alias("comp"))
     forest = None
     for round_ in (1, 2, 3):
         rows = members.join(component, "sid")
-        several = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("g", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
+        chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int")
+        several = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), chunks.alias("chunks")).where("lo <> hi").select("g", "chunks")
         rows = rows.join(several, "g").withColumn("chunk", F.pmod(F.xxhash64("sid", "g"), F.col("chunks")).cast("int"))
         others = F.array("chunk") if round_ == 1 else F.sequence(F.lit(0), F.col("chunks") - 1)
         rows = rows.withColumn("other", F.explode(others)).select("g", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "sid", "small", "comp")
-        rows = rows.join(classes, "sid").repartition(partitions, "g", "i", "j").sortWithinPartitions("g", "i", "j", "sid")
+        rows = rows.join(classes.select("sid", "n", "point"), "sid").repartition(partitions, "g", "i", "j").sortWithinPartitions("g", "i", "j", "sid")
         pairs = rows.select("g", "i", "j", "chunk", "sid", "small", "comp", "n", "point").mapInArrow(_proposals(round_), "a long, b long")
         if round_ == 1:
             pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # one smaller neighbour each
         pairs = scratch.write(pairs.distinct(), f"pairs{round_}")
-        links = _verified(docs, pairs)
+        links = _verified(docs, classes, pairs)
         links = scratch.write(links if forest is None else links.union(forest), f"links{round_}")
         labels = scratch.write(connected_components(links, scratch), f"labels{round_}")
         forest = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b")
-        component = classes.select("sid").join(labels.withColumnRenamed("id", "sid"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("comp"))
+        component = classes.select("sid", "n").join(labels.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "n", F.coalesce("component", "sid").alias("comp"))
 
-    named = sets.select("doc_id", "sid", "n").join(component, "sid", "left")
+    named = sets.select("doc_id", "sid", "n").join(component.select("sid", "comp"), "sid", "left")
     names = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("name"))
     out = named.join(names, "comp", "left")
     own = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("name"))

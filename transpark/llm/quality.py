@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transpark.llm.common import WordHashes, fold_of, map_batches, table, texts, word_hashes
+from transpark.llm.common import fold_of, map_batches, table, texts, word_hashes
 
 SAMPLE_ROWS = 20_000  # labelled rows to fit on, in expectation
 FOLDS, HELD_OUT = 3, 1  # rows with crc32(doc_id as text) % 3 = 1 are never learnt from
@@ -47,7 +47,7 @@ FEATURES = [
 ]
 
 
-def statistics(text: str, memo: WordHashes) -> list[float]:
+def statistics(text: str) -> list[float]:
     """The features of one text, in the order of ``FEATURES``."""
     data = text.encode("utf-8", "surrogatepass")
     tokens = data.split()
@@ -58,7 +58,7 @@ def statistics(text: str, memo: WordHashes) -> list[float]:
     shares = np.bincount(_CLASS_OF, counts, len(_CLASSES) + 1)[:-1] / n
     p = counts[counts > 0] / n
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    h = word_hashes(tokens, memo)
+    h = word_hashes(tokens)
     w = len(tokens)
     _, times = np.unique(h, return_counts=True)
     pairs = len(np.unique(h[1:] * np.uint64(3) + h[:-1])) if w > 1 else 1
@@ -147,15 +147,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
 
 
-def _features(batch: pa.RecordBatch, memo: WordHashes) -> np.ndarray:
-    return np.array([statistics(t, memo) for t in texts(batch)], float).reshape(-1, len(FEATURES))
+def _features(batch: pa.RecordBatch) -> np.ndarray:
+    return np.array([statistics(t) for t in texts(batch)], float).reshape(-1, len(FEATURES))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Forest:
     """Fit the trees on the bounded sample; only its features (some 30 doubles a row) come to the driver."""
-    memo = WordHashes()
     sample = labelled_sample(docs, labels, label, rows)
-    got = map_batches(sample, lambda b: {"label": b.column("label"), "x": list(_features(b, memo))}, "label int, x array<double>").toPandas()
+    got = map_batches(sample, lambda b: {"label": b.column("label"), "x": list(_features(b))}, "label int, x array<double>").toPandas()
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
     order = np.lexsort([*x.T, got["label"].to_numpy()])  # the same sums whatever order rows came in
     return fit_forest(x[order], got["label"].to_numpy(float)[order])
@@ -163,11 +162,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows
 
 def score_quality(docs: DataFrame, model: Forest, columns: list[str] | None = None) -> DataFrame:
     """``doc_id`` (or ``columns``) and ``score`` of every document."""
-    memo = WordHashes()
     columns = columns or ["doc_id"]
     keep = docs.select(*columns, *([] if "text" in columns else ["text"]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + ", score double"
-    return map_batches(keep, lambda b: {c: b.column(c) for c in columns} | {"score": model.predict(_features(b, memo))}, schema)
+    return map_batches(keep, lambda b: {c: b.column(c) for c in columns} | {"score": model.predict(_features(b))}, schema)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
