@@ -75,6 +75,23 @@ def check(spark, rows, tmp):
         assert r.spans == named(sorted(b + added(text, b))), text[:80]
 
 
+def test_sql_twin_on_planted_keys(spark, tmp_path):
+    """The DuckDB twin agrees where the battery adds spans (the driver's small tables have none)."""
+    import duckdb
+
+    from transpark.llm.twins import SECRET_SCAN
+
+    rng = random.Random(9)
+    keys = ["".join(rng.choice(ss._ALPHABETS[k]) for _ in range(n)) for k in (16, 32, 62, 64) for n in (20, 24, 33, 48, 64)]
+    rows = [*enumerate(HARD), *((100 + i, f"see {k} é and {k[::-1]}x9 or token={k}") for i, k in enumerate(keys))]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT doc_id, n_assign, n_access, n_hex, base_sha256, spans FROM ({SECRET_SCAN}) ORDER BY doc_id").fetchall()
+    got = sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in op4_secret_scan(spark, str(tmp_path)).collect())
+    assert got == want and sum("random" in r[5] for r in got) > 5
+
+
 def test_hard_texts(spark, tmp_path):
     check(spark, list(enumerate(HARD)), tmp_path)
 

@@ -15,6 +15,7 @@ from transpark.llm.packing import op10_best_fit_packing
 from transpark.llm.quality import op7_quality_classifier
 from transpark.llm.secret_scan import op4_secret_scan
 from transpark.llm.toxicity import op5_toxicity
+from transpark.llm.twins import ORACLE
 from transpark.llm.vector_dedup import op6_vector_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
