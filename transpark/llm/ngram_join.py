@@ -18,10 +18,11 @@ that the sketch shows as frequent skip the grouping by shingle; large blocks are
 meet each other pairwise.
 
 **Rounds.** Components are wanted, so a pair that is already connected needs no comparison: boxes that
-hold one component alone are skipped. Round 1 proposes for every point the best smaller one in a random
-leaf, round 2 a spanning forest of each block's R-tree join, best pairs first, round 3 every pair of points
-of different components that the bound lets through. Proposals are verified with the whole sets, which
-are taken from the texts again; the next round starts from the components of what was verified.
+hold one component alone are skipped. Round 1 proposes, in blocks of more than a leaf, for every point the
+best smaller one in a random leaf; round 2 a spanning forest of each block's R-tree join, best pairs first;
+round 3 every pair of points of different components that the bound lets through, in the blocks where
+round 2 found any (in the others no pair is left to look at). Proposals are verified with the whole sets,
+taken from the texts again; the next round starts from the components of what was verified.
 
 Without words or text a set is empty, links with nothing, and the document is its own component. Rows
 without doc_id take part, but never name a component; such a row alone has a null component.
@@ -421,7 +422,7 @@ def _proposals(round_: int):
         for i, j in found:
             if len(i):
                 a, b = block.sid[i], block.sid[j]
-                yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                yield pa.RecordBatch.from_pydict({"g": pa.array(np.full(len(a), g), pa.int64()), "a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ("sid", "n", "small", "comp", "chunk")
@@ -535,16 +536,19 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     for round_ in (1, 2, 3):
         rows = members.join(component, "sid")
         chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int")
-        several = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), chunks.alias("chunks")).where("lo <> hi").select("g", "chunks")
+        several = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), chunks.alias("chunks"))
+        several = several.where((F.col("lo") != F.col("hi")) & (F.col("m") > (LEAF if round_ == 1 else 1))).select("g", "chunks")
+        if round_ == 3:
+            several = several.join(pairs.select("g").distinct(), "g", "left_semi")
         rows = rows.join(several, "g").withColumn("chunk", F.pmod(F.xxhash64("sid", "g"), F.col("chunks")).cast("int"))
         others = F.array("chunk") if round_ == 1 else F.sequence(F.lit(0), F.col("chunks") - 1)
         rows = rows.withColumn("other", F.explode(others)).select("g", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "sid", "small", "comp")
         rows = rows.join(classes.select("sid", "n", "point"), "sid").repartition(partitions, "g", "i", "j").sortWithinPartitions("g", "i", "j", "sid")
-        pairs = rows.select("g", "i", "j", "chunk", "sid", "small", "comp", "n", "point").mapInArrow(_proposals(round_), "a long, b long")
+        pairs = rows.select("g", "i", "j", "chunk", "sid", "small", "comp", "n", "point").mapInArrow(_proposals(round_), "g long, a long, b long")
         if round_ == 1:
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # one smaller neighbour each
-        pairs = scratch.write(pairs.distinct(), f"pairs{round_}")
-        links = _verified(docs, classes, pairs)
+            pairs = pairs.groupBy("b").agg(F.min("a").alias("a"))  # one smaller neighbour each
+        pairs = scratch.write(pairs, f"pairs{round_}")
+        links = _verified(docs, classes, pairs.select("a", "b").distinct())
         links = scratch.write(links if forest is None else links.union(forest), f"links{round_}")
         labels = scratch.write(connected_components(links, scratch), f"labels{round_}")
         forest = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b")
