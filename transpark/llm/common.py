@@ -64,9 +64,11 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for df in frames:
-            jvm = self.spark._jvm
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.discard(df._scratch)
+
+    def discard(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: PySpark gives all its workers one PYTHONHASHSEED; then bytes have one (64-bit SipHash) hash everywhere.

@@ -300,8 +300,10 @@ def katz_scores(docs: DataFrame, training: Column, order: int = ORDER, block_byt
         told = told.unionByName(weights.withColumn("kind", F.lit(1)))
         schema = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
         scores = scratch.write(grouped.cogroup(told.groupBy("block")).applyInPandas(_scores(model, order), schema), "scores")
+        scratch.drop(answers, weights)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        scratch.discard(f"{scratch.base}/blocks")
     return scores.select("doc_id", "train", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
