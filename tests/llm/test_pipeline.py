@@ -57,3 +57,23 @@ def test_registered():
     found = entry.queries()
     assert "pipeline" in found and [sum(k.startswith(f"op{n}_") for k in found) for n in range(1, 11)] == [1] * 10
     assert [name for name, _ in cp.STAGES] == ["quality classifier", "line dedup", "n-gram Jaccard join", "secret scan", "best-fit packing"]
+
+
+def test_extra_columns_do_not_disturb(spark):
+    """Documents with columns named like those the operators make (repeated here for the general interfaces)."""
+    from helpers import EDGE, edge_docs
+
+    from transpark.llm.line_dedup import dedup_lines
+    from transpark.llm.packing import pack, pieces
+    from transpark.llm.quality import Forest, score_quality
+
+    docs = edge_docs(spark).withColumn("deduped", F.lit(1)).withColumn("n_removed", F.lit("y")).withColumn("sequence_id", F.lit("z"))
+    out = dedup_lines(docs)
+    assert out.columns.count("deduped") == out.columns.count("n_removed") == 1 and out.count() == len(EDGE)
+    parts = pieces(docs).withColumn("offset", F.lit(7)).withColumn("sequence_id", F.lit("s"))
+    packed = pack(parts)
+    assert dict(packed.dtypes)["offset"] == dict(packed.dtypes)["sequence_id"] == "bigint"
+    import numpy as np
+
+    flat = Forest(0.0, np.zeros((0, 1), np.int64), np.zeros((0, 1)), np.zeros((0, 2)))
+    assert score_quality(docs, flat).columns == ["doc_id", "score"]
