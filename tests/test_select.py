@@ -95,6 +95,19 @@ def test_repeated_line_numbers_and_close_fractions(spark):
         S.diversity_sweep(one, [0.5, 0.5])
 
 
+def test_number_by_key(spark):
+    from transpark.operators.numbering import number_by_key
+
+    rows = [(i % 3, None if i == 4 else i, f"t{i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "g INT, k INT, t STRING").repartition(4)
+    got = {r.t: r.n for r in number_by_key(df, ["k"], ["g"], "n").collect()}
+    for g in range(3):
+        members = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0))
+        assert [got[t] for _, _, t in members] == list(range(len(members)))
+    with pytest.raises(ValueError):
+        number_by_key(df.union(df), ["k"], ["g"], "n")
+
+
 def test_mixing(spark):
     from transpark.operators.assembly import mix_corpora
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transpark.operators.numbering import dense_index
+from transpark.operators.numbering import number_by_key
 
 
 def mix_corpora(parts: dict[str, DataFrame], idx: str = "idx", new_idx: str = "idx", dense: bool = False) -> DataFrame:
@@ -15,8 +15,8 @@ def mix_corpora(parts: dict[str, DataFrame], idx: str = "idx", new_idx: str = "i
 
     With ``dense`` every part's ``idx`` is already 0..n-1, and the new index is an offset per
     part (no shuffle); otherwise only keys are numbered and joined back to the rows, so that
-    text never goes through the range sort. ``idx`` must be unique in a part."""
-    union, numbered, before = None, None, 0
+    text never goes through the range sort. A repeated ``idx`` in a part raises an error."""
+    union, before = None, 0
     for order, (name, part) in enumerate(parts.items()):
         p = part.withColumn("origin", F.lit(name)).withColumn("_o", F.lit(order)).withColumnRenamed(idx, "_old")
         if dense:
@@ -24,8 +24,7 @@ def mix_corpora(parts: dict[str, DataFrame], idx: str = "idx", new_idx: str = "i
             before += part.count()
         union = p if union is None else union.unionByName(p)
     if not dense:
-        numbered = dense_index(union.select("_o", "_old"), ["_o", "_old"], name="_new")
-        union = union.join(numbered, ["_o", "_old"])
+        union = number_by_key(union, ["_o", "_old"], name="_new")
     return union.drop("_o").withColumnRenamed("_old", "orig_idx").withColumnRenamed("_new", new_idx)
 
 

@@ -70,6 +70,22 @@ def dense_index(
     return out
 
 
+def number_by_key(df: DataFrame, keys: list[str], partition_by: list[str] | None = None, name: str = "idx") -> DataFrame:
+    """Like ``dense_index`` in order of ``keys`` (which are unique within a group), but only the keys go
+    through the range sort; the numbers are joined back to the rows. Null keys are keys like others;
+    repeated ones raise an error."""
+    part = list(partition_by or [])
+    every = [*part, *keys]
+    numbered = dense_index(df.select(*every), keys, partition_by=part, name=name)
+    numbered = numbered.select(*[F.col(c).alias(f"_tp_k{i}") for i, c in enumerate(every)], name)
+    if not numbered.groupBy(*[f"_tp_k{i}" for i in range(len(every))]).count().filter("count > 1").isEmpty():
+        raise ValueError(f"{every} do not identify a row")
+    same = F.lit(True)
+    for i, c in enumerate(every):
+        same = same & F.col(c).eqNullSafe(F.col(f"_tp_k{i}"))
+    return df.join(numbered, same).drop(*[f"_tp_k{i}" for i in range(len(every))])
+
+
 def prefix_sum(
     df: DataFrame,
     order_by: list,

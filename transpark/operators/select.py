@@ -23,7 +23,7 @@ from pyspark.sql import Window
 
 from transpark.functions.text import ttr
 from transpark.operators.common import join_small
-from transpark.operators.numbering import dense_index, prefix_sum
+from transpark.operators.numbering import number_by_key, prefix_sum
 from transpark.session import materialize
 
 BUCKETS = 4096
@@ -231,11 +231,11 @@ def token_budget_batches(
     ordered by (length, idx) and cut into runs of ``floor(max_tokens / bucket upper
     length)`` rows (at least one row per batch). The rank inside a bucket is a
     dense index over (bucket, length, idx), so a bucket holding most of the
-    corpus is still spread over many tasks.
+    corpus is still spread over many tasks; only these columns are sorted.
     """
     by = list(by or [])
     b = df.withColumn("bucket", (F.greatest(F.col(length_col), F.lit(1)) - 1).cast("long") / F.lit(bucket_width))
     b = b.withColumn("bucket", F.floor("bucket").cast("long"))
-    ranked = dense_index(b, [length_col, idx], partition_by=[*by, "bucket"], name="_rank")
+    ranked = number_by_key(b, [length_col, idx], partition_by=[*by, "bucket"], name="_rank")
     cap = F.greatest(F.lit(1), F.floor(F.lit(max_tokens) / ((F.col("bucket") + 1) * F.lit(bucket_width)))).cast("long")
     return ranked.withColumn("batch_in_bucket", F.floor(F.col("_rank") / cap).cast("long")).drop("_rank")

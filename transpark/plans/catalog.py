@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from transpark.functions import text as T
 from transpark.operators import bleu as B
 from transpark.operators import select as S
-from transpark.operators.numbering import dense_index
+from transpark.operators.numbering import dense_index, number_by_key
 from transpark.plans import oracle_sql as Q
 from transpark.session import materialize
 from transpark.sources.tables import read_table
@@ -690,8 +690,7 @@ def _synthetic_pairs(spark, d) -> DataFrame:
 
 def _real_pairs(spark, d) -> DataFrame:
     pairs = conversation_pairs(spark, d)
-    keys = dense_index(pairs.select("conv_id", "turn"), ["conv_id", "turn"], name="idx")
-    pairs = pairs.join(keys, ["conv_id", "turn"])
+    pairs = number_by_key(pairs, ["conv_id", "turn"])
     split = F.when(F.col("conv_id") % 10 == 0, "test").when(F.col("conv_id") % 10 == 1, "dev").otherwise("train")
     return pairs.select("idx", "src", "tgt", split.alias("split"))
 
@@ -959,7 +958,7 @@ def _prep_col_sql(col: str) -> str:
         FROM w, vs, vt""",
 )
 def prepare_corpus(spark, d):
-    pairs = dense_index(conversation_pairs(spark, d), ["conv_id", "turn"], name="idx").select("idx", "src", "tgt")
+    pairs = number_by_key(conversation_pairs(spark, d), ["conv_id", "turn"]).select("idx", "src", "tgt")
     out, _ = WF.prepare_corpus(pairs, key=["idx"])
     return out.select("idx", "src_tok", "tgt_tok", _ids_text("src_ids").alias("src_ids"), _ids_text("tgt_ids").alias("tgt_ids"))
 
@@ -1005,7 +1004,7 @@ def iterate_back_translation(spark, d):
     round is fitted on the data of the round before (its number of words)."""
     mono = table(spark, d, "documents").select(F.col("doc_id").alias("idx"), "text")
     pairs = conversation_pairs(spark, d)
-    dev = pairs.join(dense_index(pairs.select("conv_id", "turn"), ["conv_id", "turn"], name="idx"), ["conv_id", "turn"])
+    dev = number_by_key(pairs, ["conv_id", "turn"])
 
     def fit(r, previous):
         n = 0 if previous is None else previous.filter("direction = 'bt'").agg(F.sum(F.size(T.words("src")) + F.size(T.words("tgt")))).first()[0]
@@ -1099,8 +1098,7 @@ def read_dataset_query(spark, d):
     evaluation splits copied from a base dataset, read back with S3."""
     split = F.when(F.col("conv_id") % 10 == 0, "test").when(F.col("conv_id") % 10 == 1, "dev").otherwise("train")
     pairs = conversation_pairs(spark, d).withColumn("split", split)
-    keys = dense_index(pairs.select("split", "conv_id", "turn"), ["conv_id", "turn"], partition_by=["split"], name="idx")
-    pairs = pairs.drop("split").join(keys, ["conv_id", "turn"])
+    pairs = number_by_key(pairs, ["conv_id", "turn"], partition_by=["split"])
     pairs = pairs.select("split", "idx", T.squeeze("src").alias("src"), T.squeeze("tgt").alias("tgt"))
     out = _scratch(spark, "dataset")
     K.export_dataset(pairs.filter("split = 'train'"), out, "user", "assistant", base=pairs)
