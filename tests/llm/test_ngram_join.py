@@ -79,6 +79,16 @@ def test_near_copies_in_large_groups_and_in_split_blocks(spark, monkeypatch, hot
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
 
 
+def test_points():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 600, 5000):
+        s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * 2)
+        for t in (s, np.unique(s >> np.uint64(12))):  # spread out, and crowded in one group
+            bits = int(nj.level(np.array([len(t)]))[0])
+            want = np.bincount((t >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            assert np.array_equal(nj.unpacked(nj.point(t), 1 << bits), want)
+
+
 def test_trees_lose_nothing():
     rng = np.random.default_rng(5)
     texts = [t for _, t in near_copies(20, 12, words=200, edits=6)]

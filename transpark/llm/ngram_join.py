@@ -63,7 +63,7 @@ def shingles(text: str, gram: int = GRAM) -> np.ndarray:
     if not len(w):
         return w
     if len(w) < gram:
-        return mix64(np.array([int((w * _ODD[: len(w)]).sum()) + len(w)], np.uint64))
+        return mix64((w * _ODD[: len(w)]).sum(keepdims=True) + np.uint64(len(w)))
     total = np.zeros(len(w) - gram + 1, np.uint64)
     for k in range(gram):
         total += w[k : len(w) - gram + 1 + k] * _ODD[k % len(_ODD)]
@@ -81,9 +81,19 @@ def level(n):
 
 
 def point(s: np.ndarray) -> bytes:
-    """The counts of the groups, compressed (most are 0 or 1)."""
+    """The counts of the groups, compressed: as four-bit numbers if they are below 16, else in two bytes."""
     bits = int(level(np.array([len(s)]))[0])
-    return zlib.compress(np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 65535).astype(np.uint16).tobytes(), 1)
+    counts = np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 65535).astype(np.uint16)
+    if counts.max(initial=0) < 16:
+        counts = (counts[0::2] | counts[1::2] << 4).astype(np.uint8)
+    return zlib.compress(counts.tobytes(), 1)
+
+
+def unpacked(packed: bytes, groups: int) -> np.ndarray:
+    data = np.frombuffer(zlib.decompress(packed), np.uint8)
+    if len(data) == 2 * groups:
+        return data.view(np.uint16)
+    return np.stack([data & 15, data >> 4], 1).ravel().astype(np.uint16)
 
 
 # --- pass 1: sets, points, sketch ------------------------------------------------------------------
@@ -110,7 +120,7 @@ def _profile(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if new:
             np.add.at(counts, (s >> np.uint64(64 - SLOTS)).astype(np.int64), 1)
         rows.append((doc_id, sid, len(s), point(s) if new else None, None, None))
-        if len(rows) == 5000:
+        if len(rows) == 1000:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
             rows = []
     step = 1 << SLOTS - 4
@@ -299,7 +309,7 @@ class Block:
     def counts(self, k: int) -> np.ndarray:
         got = self.unpacked.get(k)
         if got is None:
-            got = np.frombuffer(zlib.decompress(self.raw[k]), np.uint16)
+            got = unpacked(self.raw[k], 1 << int(self.level[k]))
             if self.room > got.nbytes:
                 self.unpacked[k] = got
                 self.room -= got.nbytes
@@ -532,7 +542,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     members = scratch.write(shared.groupBy("g", "sid").agg(F.max("small").alias("small")), "members")
 
     component = classes.select("sid", "n", F.col("sid").alias("comp"))
-    forest = None
+    forest, labels, used = None, None, [members]
     for round_ in (1, 2, 3):
         rows = members.join(component, "sid")
         chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int")
@@ -550,10 +560,12 @@ def ngram_components(docs: DataFrame) -> DataFrame:
         pairs = scratch.write(pairs, f"pairs{round_}")
         links = _verified(docs, classes, pairs.select("a", "b").distinct())
         links = scratch.write(links if forest is None else links.union(forest), f"links{round_}")
+        used += [pairs, links] if labels is None else [pairs, links, labels]
         labels = scratch.write(connected_components(links, scratch), f"labels{round_}")
         forest = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b")
         component = classes.select("sid", "n").join(labels.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "n", F.coalesce("component", "sid").alias("comp"))
 
+    scratch.drop(*used)
     named = sets.select("doc_id", "sid", "n").join(component.select("sid", "comp"), "sid", "left")
     names = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("name"))
     out = named.join(names, "comp", "left")
