@@ -31,6 +31,7 @@ CELLS = 24  # cells of the published fingerprint and of the first attempt
 HASHES = 3
 LONG_PIECE = 200  # bytes from which a paragraph is cut further, after words chosen by their hash
 CUT_EVERY = 8
+RANGES = 65_536  # id ranges at most: their bounds are part of the plan; larger tables have larger ranges
 
 _PIECE = re.compile(rb"[^.!?,;:|\n]+[.!?,;:|\n]*|[.!?,;:|\n]+")
 _U = np.uint64
@@ -188,7 +189,7 @@ def with_next(docs: DataFrame, fn, schema: str, partitions: int | None = None) -
     spark = docs.sparkSession
     small_batches(spark)
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows, _ = _bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), 4 * partitions)
+    rows, _ = _bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), min(4 * partitions, RANGES))
     rows = rows.repartition(partitions, "_bucket").sortWithinPartitions("_bucket", "_border", F.col("doc_id").desc_nulls_last(), "text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
