@@ -37,7 +37,7 @@ from transpark.llm.common import Scratch, fold_of, mix64, table, word_hashes, wo
 ORDER = 2
 FOLDS, HELD_OUT = 7, 2
 TOP = 5  # counts that Good-Turing discounts
-BLOCK_BYTES = 8 << 20  # of an input split
+BLOCK_BYTES = 4 << 20  # of an input split
 PARTITIONS = 4096  # of the count tables at most; larger inputs have larger partitions
 BUCKETS = 50_000  # of the block table at most
 _END = np.uint64(0xE7037ED1A0B428DB)
