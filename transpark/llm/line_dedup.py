@@ -11,6 +11,12 @@ removed after its bytes have been compared with the first one's.
 The narrow chunk hashes are counted with map-side combine; only then do the bytes of chunks move, and
 frequent chunks are salted, with a copy of the first occurrence for every salt.
 
+A passage seldom begins and ends at chunk boundaries. With ``passages`` the unit is therefore every run of
+lines that is just long enough: the shortest one of at least two lines and ``LEAST_WORDS`` words from each
+line on, the shortest one up to each line, and each line of ``LONG_LINE`` words or more. A line goes if it
+lies in a run that occurred before (not overlapping its first occurrence), so that a repeated passage goes
+from its first to its last line, wherever it stands.
+
 Null and empty texts have no lines and stay. Rows with the same doc_id and text count as one document.
 Rows without doc_id come last in the order of occurrences.
 """
@@ -19,11 +25,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from transpark.llm.common import Scratch, map_batches, small_batches, table
 
@@ -33,6 +43,8 @@ LEAST_WORDS = 12  # of a chunk that may be removed
 LONG_LINE = 40  # words of a physical line that stands in chunks of its own
 WRAP = 40  # words after which a sentence is cut further
 SALT_ROWS = 4096  # occurrences of a chunk compared in one task
+FILTER_BITS = 28  # of the bitmap of repeated runs' hashes (32 MB)
+FILTER_BLOCK = 20  # bits of it that one task fills
 
 _LINE = re.compile(rb"[^.!?]+[.!?]*\s*|[.!?]+\s*")
 _PHYSICAL = re.compile(rb"[^\n]*\n|[^\n]+")
@@ -98,6 +110,89 @@ def removable(chunk: list[bytes], body: bytes) -> bool:
     return len(chunk) >= 2 and body.count(b" ") + len(chunk) >= LEAST_WORDS
 
 
+def lines(text: str) -> list[bytes]:
+    """The lines of a text, which together are the text. White space belongs to the line before it."""
+    out: list[bytes] = []
+    for physical in _PHYSICAL.findall(text.encode("utf-8", "surrogatepass")):
+        if physical.isspace() and out:
+            out[-1] += physical
+            continue
+        for line in _LINE.findall(physical):
+            out.extend((line,) if len(line) <= 2 * WRAP or line.count(b" ") <= WRAP else _wrapped(line))
+    return out
+
+
+def runs(parts: list[bytes]) -> list[tuple[int, int]]:
+    """(first line, line after the last) of the runs that count as passages."""
+    n = len(parts)
+    words = [p.count(b" ") + 1 for p in parts]
+    total = [0, *accumulate(words)]
+    out = [(i, i + 1) for i, w in enumerate(words) if w >= LONG_LINE]
+    j = 0
+    for i in range(n - 1):
+        j = max(j, i + 2)
+        while j <= n and total[j] - total[i] < LEAST_WORDS:
+            j += 1
+        if j > n:
+            break
+        out.append((i, j))
+    i, from_start = n, set(out)
+    for j in range(n, 1, -1):
+        i = min(i, j - 2)
+        while i >= 0 and total[j] - total[i] < LEAST_WORDS:
+            i -= 1
+        if i < 0:
+            break
+        if (i, j) not in from_start:
+            out.append((i, j))
+    return out
+
+
+def _run_hashes(batch: pa.RecordBatch, bits: np.ndarray | None = None) -> dict:
+    """Hashes of all runs; with ``bits`` the runs whose hashes they hold, with their places."""
+    out: dict[str, list] = {"doc_id": [], "th": [], "pos": [], "n_lines": [], "h": []}
+    for doc_id, th, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "th", "text"))):
+        parts = [p.strip() for p in lines(text)]
+        found = runs(parts)
+        hashes = [xxhash.xxh3_64_intdigest(b"\n".join(parts[i:j])) - 2**63 for i, j in found]
+        if bits is None:
+            out["h"] += hashes
+            continue
+        for (i, j), h in zip(found, hashes):
+            if bits[(h & (1 << FILTER_BITS) - 1) >> 3] >> (h & 7) & 1:
+                for k, v in zip(out, (doc_id, th, i, j - i, h)):
+                    out[k].append(v)
+    return {k: pa.array(v, {"pos": pa.int32(), "n_lines": pa.int32()}.get(k, pa.int64())) for k, v in out.items() if bits is not None or k == "h"}
+
+
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of the low bits of all ``h``: a fixed size, whatever their number."""
+    at = F.col("h").bitwiseAND((1 << FILTER_BITS) - 1)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << FILTER_BLOCK, np.uint8)
+        bits[pdf["bit"].to_numpy()] = 1
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    blocks = hashes.select(F.shiftright(at, FILTER_BLOCK).cast("int").alias("block"), at.bitwiseAND((1 << FILTER_BLOCK) - 1).cast("int").alias("bit")).distinct()
+    out = bytearray(1 << FILTER_BITS - 3)
+    size = 1 << FILTER_BLOCK - 3
+    for r in blocks.groupBy("block").applyInPandas(run, "block int, bits binary").collect():
+        out[r["block"] * size : (r["block"] + 1) * size] = r["bits"]
+    return np.frombuffer(bytes(out), np.uint8)
+
+
+def _run_bodies(batch: pa.RecordBatch) -> dict:
+    out: dict[str, list] = {"doc_id": [], "th": [], "pos": [], "n_lines": [], "h": [], "n": [], "is_first": [], "body": []}
+    for doc_id, th, text, wanted in zip(*(batch.column(k).to_pylist() for k in ("_id", "_th", "text", "_wanted"))):
+        parts = [p.strip() for p in lines(text)]
+        for w in wanted:
+            body = b"\n".join(parts[w["pos"] : w["pos"] + w["n_lines"]])
+            for k, v in zip(out, (doc_id, th, w["pos"], w["n_lines"], w["h"], w["n"], w["is_first"], body)):
+                out[k].append(v)
+    return {k: pa.array(v, {"pos": pa.int32(), "n_lines": pa.int32(), "is_first": pa.int32(), "body": pa.binary()}.get(k, pa.int64())) for k, v in out.items()}
+
+
 def _occurrences(batch: pa.RecordBatch, with_bytes: bool) -> dict:
     out: dict[str, list] = {"doc_id": [], "th": [], "pos": [], "h": [], **({"body": []} if with_bytes else {})}
     for doc_id, th, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "th", "text"))):
@@ -117,11 +212,34 @@ def _repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     first = scratch.write(first.where("first <> last").select("h", "n", "first"), "first")
     bodies = map_batches(docs, lambda b: _occurrences(b, True), "doc_id long, th long, pos int, h long, body binary")
     found = bodies.join(first, "h").withColumn("is_first", (place == F.col("first")).cast("int"))
+    return _compared(found, "pos").select("doc_id", "th", "pos")
+
+
+def _repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``doc_id, th, wanted`` (runs as ``pos, n_lines, h, n, is_first``) of the documents with repeated runs:
+    bare hashes are counted first, places move for runs alone that pass the bitmap of repeated hashes."""
+    hashes = map_batches(docs, _run_hashes, "h long")
+    repeated = scratch.write(hashes.groupBy("h").count().where("count > 1").select("h"), "repeated")
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(repeated))
+    schema = "doc_id long, th long, pos int, n_lines int, h long"
+    narrow = scratch.write(map_batches(docs, lambda b: _run_hashes(b, bits.value), schema), "runs")
+    place = F.struct("doc_id", "th", "pos")
+    first = narrow.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
+    first = first.where("first <> last").select("h", "n", "first")
+    found = narrow.join(first, "h").withColumn("is_first", (place == F.col("first")).cast("int"))
+    overlaps = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("pos") < F.col("first.pos") + F.col("n_lines"))
+    found = found.where((F.col("is_first") == 1) | ~overlaps)
+    return found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "n_lines", "h", "n", "is_first")).alias("wanted"))
+
+
+def _compared(found: DataFrame, *columns: str, equal: bool = True) -> DataFrame:
+    """``doc_id, th`` and ``columns`` (ints) of the later occurrences ``h, n, is_first, body`` whose bytes are
+    those of the first one, or are not."""
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
     # the first occurrence goes to every salt of its chunk, each other one to a salt by its document
     own = F.when(F.col("is_first") == 1, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "th", "pos"), salts).cast("int")))
-    dealt = found.select("h", F.explode(own).alias("salt"), "doc_id", "th", "pos", "body", "is_first")
-    dealt = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "salt")
+    dealt = found.select("h", F.explode(own).alias("salt"), "doc_id", "th", *columns, "body", "is_first")
+    dealt = dealt.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "salt")
     dealt = dealt.sortWithinPartitions("h", "salt", F.desc("is_first"))
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,26 +250,57 @@ def _repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
             for h, salt, is_first, other in rows:
                 if is_first:
                     key, body = (h, salt), other
-                same.append(not is_first and key == (h, salt) and body == other)
-            yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in ("doc_id", "th", "pos")}).filter(pa.array(same, pa.bool_()))
+                same.append(not is_first and (key == (h, salt) and body == other) == equal)
+            yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in ("doc_id", "th", *columns)}).filter(pa.array(same, pa.bool_()))
+
+    return dealt.mapInArrow(compare, ", ".join(["doc_id long, th long", *(f"{c} int" for c in columns)]))
 
-    return dealt.mapInArrow(compare, "doc_id long, th long, pos int")
 
+def _with_result(schema: StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", n_removed long, deduped string"
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """Add ``n_removed`` (lines) and ``deduped`` (the text without repetitions; null stays null)
-    to documents (``doc_id, text, ...``); columns of these names are replaced. An empty table gives an empty one."""
+
+def _without_runs(keyed: DataFrame, wanted: DataFrame, scratch: Scratch, schema: StructType) -> DataFrame:
+    """Documents without the lines of their repeated runs. Texts move once, to their runs; runs of one hash
+    and different bytes, hardly ever any, are what is joined afterwards."""
+    wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("wanted").alias("_wanted"))
+    joined = scratch.write(keyed.join(wanted, ["_id", "_th"], "left"), "joined")
+    bodies = map_batches(joined.where("_wanted is not null").select("_id", "_th", "text", "_wanted"), _run_bodies, "doc_id long, th long, pos int, n_lines int, h long, n long, is_first int, body binary")
+    other = scratch.write(_compared(bodies, "pos", "n_lines", equal=False), "other")
+    other = other.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("pos", "n_lines")).alias("_other"))
+    joined = joined.join(F.broadcast(other), ["_id", "_th"], "left").drop("_id", "_th")
+
+    def rebuild(batch: pa.RecordBatch) -> dict:
+        n_removed, deduped = [], []
+        for text, runs_, other_ in zip(*(batch.column(k).to_pylist() for k in ("text", "_wanted", "_other"))):
+            stay = {(o["pos"], o["n_lines"]) for o in other_ or ()}
+            lost: set[int] = set()
+            for r in runs_ or ():
+                if not r["is_first"] and (r["pos"], r["n_lines"]) not in stay:
+                    lost.update(range(r["pos"], r["pos"] + r["n_lines"]))
+            n_removed.append(len(lost))
+            deduped.append(text if not lost else b"".join([p for i, p in enumerate(lines(text)) if i not in lost]).decode("utf-8", "surrogatepass"))
+        keep = {c: batch.column(c) for c in batch.schema.names if c not in ("_wanted", "_other")}
+        return keep | {"n_removed": n_removed, "deduped": pa.array(deduped, pa.string())}
+
+    return map_batches(joined, rebuild, _with_result(schema))
+
+
+def dedup_lines(docs: DataFrame, passages: bool = False) -> DataFrame:
+    """Add ``n_removed`` (lines) and ``deduped`` (the text without repeated chunks, or with ``passages``
+    without repeated runs of lines; null stays null) to documents (``doc_id, text, ...``); columns of these
+    names are replaced. An empty table gives an empty one."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop("n_removed", "deduped", "_id", "_th", "_gone")
+    docs = docs.drop("n_removed", "deduped", "_id", "_th", "_gone", "_wanted", "_other")
     scratch = Scratch(spark, "lines")
     no_id = 2**63 - 1
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(no_id))).withColumn("_th", F.xxhash64("text"))
     texts = keyed.where("text <> ''").select(F.col("_id").alias("doc_id"), F.col("_th").alias("th"), "text")
+    if passages:
+        return _without_runs(keyed, _repeated_runs(texts, scratch), scratch, docs.schema)
     gone = _repeats(texts, scratch).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_gone"))
     joined = keyed.join(gone, ["_id", "_th"], "left").drop("_id", "_th")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_removed long, deduped string"
-
     def rebuild(batch: pa.RecordBatch) -> dict:
         n_removed, deduped = [], []
         for text, gone_ in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist()):
@@ -162,9 +311,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         keep = {c: batch.column(c) for c in batch.schema.names if c != "_gone"}
         return keep | {"n_removed": n_removed, "deduped": pa.array(deduped, pa.string())}
 
-    return map_batches(joined, rebuild, schema)
+    return map_batches(joined, rebuild, _with_result(docs.schema))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", F.col("deduped").alias("text"), "n_removed")
+    return dedup_lines(docs, passages=True).select("doc_id", F.col("deduped").alias("text"), "n_removed")
