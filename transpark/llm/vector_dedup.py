@@ -5,6 +5,10 @@ signs, and compares each vector with the ``WINDOW`` next ones; pairs whose cosin
 are linked, and the links of all passes are united to components. Neighbours on either side of a task's
 border meet in other passes, whose borders lie elsewhere.
 
+How many passes bring a pair together depends on how dense its surroundings are. So passes are repeated in
+turns of ``PASSES``, with new hyperplanes, until a turn joins no more than ``1 - RECALL`` of what all turns
+after the first have joined (in a table without dense groups the second turn joins nothing and is the last).
+
 Bit-identical vectors are first folded to one with a count, so that copies don't fill windows, and a task
 passes on a spanning forest of the links it verified. Afterwards every component is compared in full,
 in blocks of ``BLOCK`` vectors, to count the links of each vector: within a component no link is missed.
@@ -27,7 +31,8 @@ from transpark.llm.common import Scratch, table
 from transpark.llm.components import connected_components, forest
 
 THRESHOLD = 0.95
-PASSES = 24
+PASSES = 24  # of a turn
+RECALL = 0.999
 BITS = 63
 WINDOW = 64
 BLOCK = 2048
@@ -40,8 +45,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _signed(vectors: DataFrame, passes: int, bits: int) -> DataFrame:
-    """``pass, order, id, embedding``: the concatenated signs of every pass as one long."""
+def _signed(vectors: DataFrame, passes: range, bits: int) -> DataFrame:
+    """``pass, size, order, id, embedding``: the concatenated signs of every pass as one long."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -51,7 +56,7 @@ def _signed(vectors: DataFrame, passes: int, bits: int) -> DataFrame:
             for size, rows in by_size.items():
                 part = batch.take(pa.array(rows))
                 x = _matrix(part.column("embedding"))
-                for p in range(passes):
+                for p in passes:
                     planes = np.random.default_rng([SEED, p, size]).standard_normal((size, bits))
                     order = ((x @ planes) > 0) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
                     yield pa.RecordBatch.from_pydict({"pass": pa.array(np.full(len(rows), p), pa.int32()), "size": pa.array(np.full(len(rows), size), pa.int32()), "order": order, "id": part.column("id"), "embedding": part.column("embedding")})
@@ -114,9 +119,20 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, pas
     sound = F.coalesce(sound, F.lit(False))
     classes = scratch.write(rows.where(sound).groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = _signed(classes, passes, bits).repartitionByRange(n, "pass", "size", "order", "id").sortWithinPartitions("pass", "size", "order", "id")
-    edges = scratch.write(sorted_.mapInArrow(_windows(threshold, window), "a long, b long").distinct(), "edges")
-    component = scratch.write(connected_components(edges, scratch), "components")
+    component, joined, late, turn = None, 0, 0, 0
+    while True:
+        sorted_ = _signed(classes, range(turn * passes, (turn + 1) * passes), bits).repartitionByRange(n, "pass", "size", "order", "id").sortWithinPartitions("pass", "size", "order", "id")
+        edges = sorted_.mapInArrow(_windows(threshold, window), "a long, b long").distinct()
+        if component is not None:
+            edges = edges.union(component.select("id", "component"))
+        edges = scratch.write(edges, "edges")
+        before, component = component, scratch.write(connected_components(edges, scratch), "components")
+        scratch.drop(edges, *([] if before is None else [before]))
+        new = component.where("id <> component").count() - joined
+        joined, late = joined + new, late + (new if turn else 0)
+        if turn and new <= (1 - RECALL) * late:
+            break
+        turn += 1
     # full comparison inside components, block against block
     members = classes.join(component, "id").select("id", "copies", "embedding", "component")
     sizes = component.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
