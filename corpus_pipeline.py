@@ -16,13 +16,14 @@ that stand for a group.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transpark.llm.common import Scratch, table
 from transpark.llm.line_dedup import dedup_lines
 from transpark.llm.ngram_join import ngram_components
-from transpark.llm.packing import pack, pieces
+from transpark.llm.packing import JSON, added_tokens, pack, pieces
 from transpark.llm.quality import fit_quality, score_quality
 from transpark.llm.secret_scan import redact
 
@@ -56,7 +57,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(pieces(docs))
+    return pack(pieces(docs, added=added_tokens(public_tokenizers.path(JSON))))
 
 
 STAGES = [

@@ -16,11 +16,14 @@ Pieces of one length are interchangeable: numbered densely in the order (length,
 finds its sequence and place in the table of repeated fillings by a binary search.
 
 The ids are those of the ``tokenizers`` file of the same vocabulary; they are taken from its rank file,
-whose encoder gives the same ids several times faster (tests hold both against each other).
+whose encoder gives the same ids several times faster (tests hold both against each other). With ``added``
+the strings of that file's added tokens become their ids, as its own call has it; without, they are ordinary
+text.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from functools import cache
 
@@ -38,6 +41,7 @@ from transpark.operators.numbering import dense_index
 CAPACITY = 1024
 END = 2
 RANKS = "byte_bpe_50k.tiktoken"
+JSON = "byte_bpe_50k.json"  # the same vocabulary with its added tokens
 NODES = 5_000
 BRANCHES = 8  # fillings tried in a node, fullest first
 
@@ -45,19 +49,30 @@ Plan = list[tuple[tuple[int, ...], int]]  # (lengths in a sequence, times)
 
 
 @cache
-def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """The added tokens of a ``tokenizers`` file, by content. Those that match by context raise."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in tokens):
+        raise ValueError(f"added tokens of {path} that are not plain strings")
+    return tuple((t["content"], t["id"]) for t in tokens)
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+@cache
+def _encoding(path: str, pattern: str, added: tuple[tuple[str, int], ...]) -> tiktoken.Encoding:
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens=dict(added))
+
+
+def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document's pieces (null text: ``end`` alone)."""
     path = ranks_path or public_tokenizers.path(RANKS)
+    allowed = {content for content, _ in added}
 
     def run(batch: pa.RecordBatch) -> dict:
-        enc = _encoding(path, pattern)
+        enc = _encoding(path, pattern, added)
         out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
-            ids = np.append(enc.encode_to_numpy(text, disallowed_special=()), end).astype("<u4")
+            ids = np.append(enc.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()), end).astype("<u4")
             cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
             for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 for k, v in zip(out, (doc_id, i, a, b - a, zlib.crc32(ids[a:b].tobytes()))):
@@ -221,4 +236,4 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Data
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(pieces(table(spark, sf_dir, "documents")))
+    return pack(pieces(table(spark, sf_dir, "documents"), added=added_tokens(public_tokenizers.path(JSON))))
