@@ -5,13 +5,13 @@ return the columns of ``documents``:
 
 1. quality classifier: documents that the boosted trees, fitted on the labelled documents, reject go;
 2. line dedup: repeated multi-line chunks go from texts, and a document that consists of them goes;
-3. n-gram Jaccard join: the document with the smallest id of each group of near duplicates stays, and of
+3. n-gram Jaccard join: one row of each group of near duplicates stays, that with the smallest id, and of
    rows with the same id and text one;
 4. secret scan: secrets are replaced by a mark;
 5. best-fit packing: the pieces of all texts with their places in sequences.
 
-Null and empty texts pass the stages as far as their scores allow; rows without doc_id are never the ones
-that stand for a group.
+Null and empty texts pass the stages as far as their scores allow; a row without doc_id stands for a group
+only if no row of the group has one.
 """
 
 from __future__ import annotations
@@ -44,12 +44,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    group = ngram_components(docs)
-    first = group.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    # rows without an id cannot be told apart by it, so all of them stay
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+    # rows are linked by a number of their own, so that repeated and missing ids are told apart
+    rows = Scratch(spark, "rows").write(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+    group = ngram_components(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = rows.select("_row", "doc_id").join(group, "_row").groupBy("component_id").agg(F.min(place)["_row"].alias("_row"))
+    kept = rows.join(first.select("_row"), "_row", "left_semi").select(*COLUMNS)
+    # texts without shingles are in no group; of those with the same id one stays
+    named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(kept.where("doc_id is null"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
