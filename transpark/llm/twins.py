@@ -95,4 +95,36 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
   sha256(coalesce(based, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN x USING (doc_id)"""
 
-ORACLE = {"op1_ngram_jaccard_join": NGRAM_JOIN, "op4_secret_scan": SECRET_SCAN, "op6_vector_near_dedup": VECTOR_DEDUP}
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _word_list(text: str) -> str:
+    """The list of words of a text, A-Z in lower case."""
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}')"
+
+
+IMPORTANCE = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_word_list("text")} AS w FROM documents),
+f AS (SELECT r, unnest(w) AS w FROM d),
+b AS (SELECT unnest({_word_list("text")}) AS w FROM benchmark),
+shifted AS (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c FROM range(256) t(i))),
+v AS (
+  SELECT w, xor(list_reduce([4294967295::BIGINT] || list_transform(range(0, length(hex(encode(w))) // 2), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT),
+    lambda c, x: xor(tab[xor(c, x) % 256 + 1], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM (SELECT w FROM f UNION SELECT w FROM b), shifted),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN v USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN v USING (w) GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000))))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket)),
+x AS (SELECT r, count(*)::BIGINT AS n_features, sum(gain)::BIGINT AS weight FROM f JOIN v USING (w) JOIN g USING (bucket) GROUP BY r),
+y AS (
+  SELECT doc_id, r, len(w) AS n, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise
+  FROM d LEFT JOIN x USING (r)),
+z AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY weight + noise DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY n >= 20) AS every FROM y)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN n >= 20 AND place <= 10 * every // 100 THEN place END AS rank FROM z"""
+
+ORACLE = {"op1_ngram_jaccard_join": NGRAM_JOIN, "op4_secret_scan": SECRET_SCAN, "op6_vector_near_dedup": VECTOR_DEDUP, "op13_importance_resampling": IMPORTANCE}
