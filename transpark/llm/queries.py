@@ -10,6 +10,7 @@ from transpark.llm.byte_bpe import op2_byte_bpe
 from transpark.llm.fingerprint import op3_document_fingerprints
 from transpark.llm.importance import op13_importance_resampling
 from transpark.llm.katz_lm import op8_katz_lm
+from transpark.llm.lexical_search import op12_ranked_search
 from transpark.llm.line_dedup import op9_line_dedup
 from transpark.llm.ngram_join import op1_ngram_jaccard_join
 from transpark.llm.packing import op10_best_fit_packing
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz_lm": op8_katz_lm,
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_ranked_search": op12_ranked_search,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
