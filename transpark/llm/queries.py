@@ -15,6 +15,7 @@ from transpark.llm.line_dedup import op9_line_dedup
 from transpark.llm.ngram_join import op1_ngram_jaccard_join
 from transpark.llm.packing import op10_best_fit_packing
 from transpark.llm.quality import op7_quality_classifier
+from transpark.llm.robust_rules import op11_robust_quality_rules
 from transpark.llm.secret_scan import op4_secret_scan
 from transpark.llm.toxicity import op5_toxicity
 from transpark.llm.twins import ORACLE
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz_lm": op8_katz_lm,
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_robust_quality_rules": op11_robust_quality_rules,
     "op12_ranked_search": op12_ranked_search,
     "op13_importance_resampling": op13_importance_resampling,
 }
