@@ -77,6 +77,18 @@ def test_corpus_and_batch_bleu_against_python(spark):
     assert v.val_bleu == pytest.approx(sum(keep) / len(keep)) and v.n_batches == len(keep)
 
 
+def test_many_repeats_and_long_segments(spark):
+    """Counts far apart on both sides, runs of one token, and segments of thousands of tokens."""
+    rnd = random.Random(11)
+    few = ["a", "b", "a.", ",", "1-2", "é"]
+    pairs = [("a " * 500, "a " * 321), ("a " * 3, "a " * 900), ("x " + "a b " * 40, "a b " * 55 + "x"), ("", ""), ("a", ""), (".", "a.b.c.")]
+    pairs += [(" ".join(rnd.choice(few) for _ in range(n)), " ".join(rnd.choice(few) for _ in range(m))) for n, m in ((1, 5000), (5000, 5000), (37, 41), (4, 3))]
+    df = spark.createDataFrame([(i, h, r) for i, (h, r) in enumerate(pairs)], "idx LONG, hyp STRING, ref STRING")
+    for row, pair in zip(B.segment_stats(df).orderBy("idx").collect(), pairs):
+        m, t, h, r = _stats([pair])
+        assert [row.m1, row.m2, row.m3, row.m4] == m and [row.t1, row.t2, row.t3, row.t4] == t and (row.sys_len, row.ref_len) == (h, r)
+
+
 def test_all_empty_batch_scores_zero(spark):
     df = spark.createDataFrame([(0, "", "a b c"), (1, "", "d e")], "idx LONG, hyp STRING, ref STRING")
     row = B.corpus_bleu(B.segment_stats(df)).first()
@@ -120,7 +132,7 @@ def test_partition_invariance(spark):
     base = spark.createDataFrame([(i, h, r) for i, (h, r) in enumerate(pairs)], "idx LONG, hyp STRING, ref STRING")
     results = set()
     for parts in (1, 4, 24):
-        row = B.corpus_bleu(B.segment_stats(base.repartition(parts), num_partitions=parts + 2)).first()
+        row = B.corpus_bleu(B.segment_stats(base.repartition(parts))).first()
         results.add(tuple(row))
     assert len(results) == 1
 

@@ -1,8 +1,12 @@
-"""The '13a' BLEU tokenisation (mteval-v13a) as one chain of built-in expressions.
+"""The '13a' BLEU tokenisation (mteval-v13a) as built-in expressions.
 
 Public definition (Post 2018): right-strip, drop ``<skipped>``, join ``-\\n``,
 newline -> blank, unescape four references, pad with blanks, then four regex
 rules, then split on whitespace.
+
+The first rule sets every symbol apart. The other three concern periods, commas
+and hyphens; none of their matches reaches over white space, so they are applied
+to the words that hold such a character, padded with blanks, and not to the text.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from transpark.functions.text import _c, rstrip, words
+from transpark.functions.text import WS, _c, rstrip, words
 
 # The 13a rules, in order (pattern, replacement).
 RULES_13A = [
@@ -19,19 +23,29 @@ RULES_13A = [
     (r"([\.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),
 ]
+# The symbols of the first rule but for the blank, which words never hold.
+SYMBOL = r"[\{-\~\[-\`\!-\&\(-\+\:-\@\/]"
 # References undone before the rules, in this order.
 UNESCAPE_13A = [("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
 
 
+def _cut(word: Column) -> Column:
+    """The tokens of a word without symbols."""
+    s = F.concat(F.lit(" "), word, F.lit(" "))
+    for pattern, repl in RULES_13A[1:]:
+        s = F.regexp_replace(s, pattern, repl)
+    touched = F.contains(word, F.lit(".")) | F.contains(word, F.lit(",")) | F.contains(word, F.lit("-"))
+    return F.when(touched, F.split(F.trim(s), " +")).otherwise(F.array(word))
+
+
 def tokenize_13a(col) -> Column:
     """Tokens of one segment, as an array of strings."""
-    s = rstrip(_c(col))
+    s = _c(col)
+    s = F.when(F.right(s, F.lit(1)).rlike(WS), rstrip(s)).otherwise(s)
     s = F.replace(s, F.lit("<skipped>"), F.lit(""))
     s = F.replace(s, F.lit("-\n"), F.lit(""))
     s = F.replace(s, F.lit("\n"), F.lit(" "))
     for a, b in UNESCAPE_13A:
         s = F.replace(s, F.lit(a), F.lit(b))
-    s = F.concat(F.lit(" "), s, F.lit(" "))
-    for pattern, repl in RULES_13A:
-        s = F.regexp_replace(s, pattern, repl)
-    return words(s)
+    s = F.regexp_replace(s, SYMBOL, " $0 ")
+    return F.flatten(F.transform(words(s), _cut))

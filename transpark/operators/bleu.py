@@ -4,12 +4,13 @@ Public definition: Papineni et al. (2002) with the sacreBLEU defaults
 (Post 2018): 13a tokens, case-sensitive, one reference, 4-grams,
 exponential smoothing of zero match counts, brevity penalty exp(1 - r/h).
 
-Plan: the segment rows are hash-partitioned once on their key; n-grams of
-both sides are generated per row, exploded and counted with a group-by that
-includes the segment key, so the clipped-match aggregation reuses that
-partitioning and never shuffles the (much larger) exploded n-grams. A
-segment is one row's worth of text, so no group can outgrow its row.
-Everything above the segment level adds up plain sums.
+Plan: a segment is one row, and its statistics come from array functions on
+that row: the n-grams of both sides as 64-bit hashes (an n-gram's hash is made
+of the hash of its first n-1 tokens and of its last token), a set intersection,
+and a merge of what occurs more than once. No row is multiplied and nothing is
+shuffled below the sums of groups; the memory of a row is a few arrays of eight
+bytes a token. Two different n-grams would have to share 64 bits within one
+segment to be taken for one.
 """
 
 from __future__ import annotations
@@ -22,55 +23,56 @@ from transpark.functions.bleu13a import tokenize_13a
 ORDER = 4
 
 
-def _ngram_structs(tok: Column, n: int, on_hyp: bool) -> Column:
-    h, r = (1, 0) if on_hyp else (0, 1)
-    mk = lambda g: F.struct(F.lit(n).alias("_n"), g.alias("_g"), F.lit(h).alias("_h"), F.lit(r).alias("_r"))
-    if n == 1:
-        return F.transform(tok, mk)
-    cnt = F.size(tok) - F.lit(n - 1)
-    starts = F.when(cnt > 0, F.sequence(F.lit(1), cnt)).otherwise(F.array().cast("array<int>"))
-    # tokens never hold blanks, so blank-joined tokens identify the n-gram exactly
-    return F.transform(starts, lambda i: mk(F.concat_ws(" ", *[F.element_at(tok, i + k) for k in range(n)])))
+def _longer(shorter: Column, tokens: Column, n: int) -> Column:
+    """The hashes of all n-grams from those of the (n-1)-grams and of the tokens."""
+    starts = F.slice(shorter, F.lit(1), F.greatest(F.size(shorter) - 1, F.lit(0)))
+    return F.transform(starts, lambda x, i: F.xxhash64(x, F.get(tokens, i + (n - 1))))
 
 
-def segment_stats(
-    df: DataFrame,
-    hyp: str = "hyp",
-    ref: str = "ref",
-    keys: list[str] | None = None,
-    num_partitions: int | None = None,
-) -> DataFrame:
-    """A2: per segment ``keys..., sys_len, ref_len, m1..m4, t1..t4``.
+def _repeats(ordered: Column) -> Column:
+    """What is left of a sorted array without one copy of each element, still sorted."""
+    return F.filter(ordered, lambda x, i: x == F.get(ordered, i - 1))
+
+
+def _clipped(hyp: Column, ref: Column) -> Column:
+    """The sum over distinct elements of the smaller of their two numbers, by a merge: elements are
+    sorted with their side in the lowest bit, and one pass pairs those of both sides."""
+    own, side = F.lit(-2).cast("long"), F.lit(1).cast("long")
+    both = F.sort_array(F.concat(F.transform(hyp, lambda x: x.bitwiseAND(own)), F.transform(ref, lambda x: x.bitwiseOR(side))))
+
+    def step(acc: Column, x: Column) -> Column:
+        same, is_ref = x.bitwiseAND(own) == acc["x"], x.bitwiseAND(side) == 1
+        hit = is_ref & same & (acc["left"] > 0)
+        left = F.when(hit, acc["left"] - 1).when(is_ref, F.lit(0)).when(same, acc["left"] + 1).otherwise(F.lit(1))
+        return F.struct(x.bitwiseAND(own).alias("x"), left.alias("left"), (acc["m"] + F.when(hit, F.lit(1)).otherwise(F.lit(0))).alias("m"))
 
-    ``keys`` must identify a segment (e.g. ``["run", "idx"]``). Empty and
-    null hypotheses still count their reference length.
+    start = F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).alias("left"), F.lit(0).alias("m"))
+    merged = F.aggregate(both, start, step, lambda acc: acc["m"])
+    return F.when((F.size(hyp) > 0) & (F.size(ref) > 0), merged).otherwise(F.lit(0))
+
+
+def segment_stats(df: DataFrame, hyp: str = "hyp", ref: str = "ref", keys: list[str] | None = None) -> DataFrame:
+    """A2: per segment ``keys..., sys_len, ref_len, m1..m4, t1..t4``, one row for each row of ``df``.
+
+    ``keys`` are carried along (e.g. ``["run", "idx"]``). Empty and null hypotheses
+    still count their reference length.
     """
     keys = list(keys or ["idx"])
-    spark = df.sparkSession
-    n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in dict.fromkeys((hyp, ref))]
-    seg = df.select(*keys, *text).repartition(n_part, *keys)
-    seg = seg.select(*keys, tokenize_13a(hyp).alias("_th"), tokenize_13a(ref).alias("_tr"))
-    # one (order, side) list at a time: a first explode multiplies the row by tags, a second one its n-grams
-    sizes = F.array(F.struct(F.lit(0).alias("_n"), F.lit("").alias("_g"), F.size("_th").alias("_h"), F.size("_tr").alias("_r")))
-    lists = F.when(F.col("_tag") == 0, sizes)
-    for n in range(1, ORDER + 1):
-        lists = lists.when(F.col("_tag") == n, _ngram_structs(F.col("_th"), n, True))
-        lists = lists.when(F.col("_tag") == -n, _ngram_structs(F.col("_tr"), n, False))
-    tagged = seg.select("*", F.explode(F.sequence(F.lit(-ORDER), F.lit(ORDER))).alias("_tag"))
-    grams = tagged.select(*keys, F.explode(lists).alias("_x")).select(*keys, "_x._n", "_x._g", "_x._h", "_x._r")
-    per_gram = grams.groupBy(*keys, "_n", "_g").agg(F.sum("_h").alias("_ch"), F.sum("_r").alias("_cr"))
-    per_n = per_gram.groupBy(*keys).agg(
-        F.sum(F.when(F.col("_n") == 0, F.col("_ch"))).alias("sys_len"),
-        F.sum(F.when(F.col("_n") == 0, F.col("_cr"))).alias("ref_len"),
-        *[F.sum(F.when(F.col("_n") == n, F.least("_ch", "_cr")).otherwise(0)).alias(f"m{n}") for n in range(1, ORDER + 1)],
-    )
-    return per_n.select(
+    tokens = {"_h": tokenize_13a(F.coalesce(F.col(hyp).cast("string"), F.lit(""))), "_r": tokenize_13a(F.coalesce(F.col(ref).cast("string"), F.lit("")))}
+    seg = df.select(*keys, *[F.transform(t, lambda x: F.xxhash64(x)).alias(f"{s}1") for s, t in tokens.items()])
+    for n in range(2, ORDER + 1):
+        seg = seg.select("*", *[_longer(F.col(f"{s}{n - 1}"), F.col(f"{s}1"), n).alias(f"{s}{n}") for s in tokens])
+    # matched once: the distinct n-grams of both sides; matched again: the same of what is left of both
+    sizes = [F.size(f"{s}1").alias(f"{s}_len") for s in tokens]
+    once = [F.size(F.array_intersect(f"_h{n}", f"_r{n}")).alias(f"_once{n}") for n in range(1, ORDER + 1)]
+    seg = seg.select(*keys, *sizes, *once, *[F.sort_array(f"{s}{n}").alias(f"{s}{n}") for s in tokens for n in range(1, ORDER + 1)])
+    seg = seg.select(*keys, *[f"{s}_len" for s in tokens], *[f"_once{n}" for n in range(1, ORDER + 1)], *[_repeats(F.col(f"{s}{n}")).alias(f"{s}{n}") for s in tokens for n in range(1, ORDER + 1)])
+    return seg.select(
         *keys,
-        F.col("sys_len").cast("long").alias("sys_len"),
-        F.col("ref_len").cast("long").alias("ref_len"),
-        *[F.col(f"m{n}").cast("long").alias(f"m{n}") for n in range(1, ORDER + 1)],
-        *[F.greatest(F.col("sys_len") - F.lit(n - 1), F.lit(0)).cast("long").alias(f"t{n}") for n in range(1, ORDER + 1)],
+        F.col("_h_len").cast("long").alias("sys_len"),
+        F.col("_r_len").cast("long").alias("ref_len"),
+        *[(F.col(f"_once{n}") + _clipped(F.col(f"_h{n}"), F.col(f"_r{n}"))).cast("long").alias(f"m{n}") for n in range(1, ORDER + 1)],
+        *[F.greatest(F.col("_h_len") - F.lit(n - 1), F.lit(0)).cast("long").alias(f"t{n}") for n in range(1, ORDER + 1)],
     )
 
 
