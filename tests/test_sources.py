@@ -41,6 +41,89 @@ def test_read_lines_strict_splitlines(spark, tmpdir_path):
     assert got == "a b\nc\nd\x0ce\x0c\n".splitlines()
 
 
+@pytest.mark.parametrize("text", ["a\x0c", "a\x0c\n", "a\x0c\x0c", "", "\x0c", "a\u2028b\u2029", "a\n\x1cb\r\nc\x85", "x\x0b\n\ny", "a\r\x1d\r", "\n\n"])
+def test_splitlines_of_any_end(spark, tmpdir_path, text):
+    """The separators of ``str.splitlines``, also right before the end of a file with and without a newline."""
+    p, q = (os.path.join(tmpdir_path, n) for n in ("one.txt", "two words.txt"))
+    for name, content in ((p, text), (q, "z\x0c" + text)):
+        with open(name, "w", encoding="utf-8", newline="") as f:
+            f.write(content)
+    rows = read_lines(spark, [p, q], strict_splitlines=True).collect()
+    for name, content in (("one.txt", text), ("words.txt", "z\x0c" + text)):
+        got = sorted((r.idx, r.text) for r in rows if r.file.endswith(name))
+        assert got == list(enumerate(content.splitlines()))
+
+
+def test_strict_lines_over_many_splits_are_not_sorted(spark, tmpdir_path):
+    text = "".join(f"line {i}\x0cand\u2028{i}\n" for i in range(3000)) + "end\x0c"
+    p = os.path.join(tmpdir_path, "strict.txt")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = read_lines(spark, p, strict_splitlines=True)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert [r.text for r in sorted(df.collect(), key=lambda r: r.idx)] == text.splitlines()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert "rangepartitioning" not in plan and "Window" not in plan.split("Scan parquet")[0]
+
+
+def test_parallel_files_are_written_once(spark, tmpdir_path):
+    """One copy of the text in all; the pairs come from a plain join of it."""
+    from transpark import session
+
+    d = os.path.join(tmpdir_path, "once")
+    _write(f"{d}/train.de", [f"Zeile {i}" for i in range(500)])
+    _write(f"{d}/train.en", [f"line {i}" for i in range(500)])
+    before = len(session._WRITTEN)
+    df = read_dataset(spark, d, "de", "en", splits=("train",))
+    assert df.count() == 500
+    with_text = [p for p in session._WRITTEN[before:] if "text" in spark.read.parquet(p).columns or "src" in spark.read.parquet(p).columns]
+    assert len(with_text) == 1
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" not in plan
+    _write(f"{d}/dev.de", ["a"])
+    _write(f"{d}/dev.en", [])
+    open(f"{d}/dev.en", "w").close()
+    with pytest.raises(ValueError):
+        read_dataset(spark, d, "de", "en", splits=("dev",))
+
+
+def test_align_needs_a_partner_for_every_key(spark):
+    from transpark.sources.text_files import align
+
+    a = spark.createDataFrame([(0, "a"), (1, None), (2, "c")], "idx LONG, src STRING")
+    b = spark.createDataFrame([(0, "x"), (1, "y"), (3, "z")], "idx LONG, tgt STRING")
+    with pytest.raises(ValueError):
+        align(a, b, ["idx"])
+    assert align(a, b, ["idx"], strict=False).count() == 2
+    c = b.withColumn("idx", F.least("idx", F.lit(2)))
+    assert sorted(tuple(r) for r in align(a, c, ["idx"]).collect()) == [(0, "a", "x"), (1, None, "y"), (2, "c", "z")]
+
+
+def test_exports_are_plain_files(spark, tmpdir_path):
+    """Names with special characters, replaced files, and nothing under a final name when a run is cut off."""
+    rows = [("bt 1/x=%é".replace("/", "_"), i, f"s{i}", f"r{i}", f"h{i}") for i in range(50)]
+    segs = spark.createDataFrame(rows, "run STRING, idx LONG, src STRING, ref STRING, hyp STRING")
+    out = os.path.join(tmpdir_path, "exp")
+    for _ in range(2):
+        sinks.write_segments(segs, out, text_export=True)
+    with open(f"{out}/bt 1_x=%é/reference.ref", encoding="utf-8") as f:
+        assert f.read().splitlines() == [f"r{i}" for i in range(50)]
+    folder, target = os.path.join(tmpdir_path, "parts"), os.path.join(tmpdir_path, "whole.txt")
+    segs.select("src").write.text(folder)
+    original = sinks.COPY_BUFFER
+    sinks.COPY_BUFFER = -1  # the copy fails in its middle
+    try:
+        with pytest.raises(Exception):
+            sinks.join_parts(spark, folder, target)
+    finally:
+        sinks.COPY_BUFFER = original
+    assert not os.path.exists(target)
+
+
 def test_parallel_and_dataset(spark, tmpdir_path):
     d = os.path.join(tmpdir_path, "ds")
     _write(f"{d}/test.de", ["eins", "zwei", "drei"])
@@ -74,16 +157,21 @@ def test_segments_round_trip(spark, tmpdir_path):
     assert (row.src, row.ref, row.hyp) == ("r2 s17", "r2 r17", "r2 h17")
     out = os.path.join(tmpdir_path, "out")
     sinks.write_segments(segs, out, text_export=True)
+    with open(f"{out}/r1/hypothesis.hyp", encoding="utf-8") as f:
+        assert f.read() == "".join(f"r1 h{i}\n" for i in range(40))
+    assert sorted(os.listdir(out)) == ["parquet", "r1", "r2"]
+    assert sorted(tuple(r) for r in read_segments(spark, out).collect()) == sorted(tuple(r) for r in segs.collect())
+    sinks.write_segments(segs, out, text_export="parts")
     folder = f"{out}/text/kind=hypothesis.hyp/run=r1"
     parts = sorted(os.listdir(folder))
     text = "".join(open(f"{folder}/{p}", encoding="utf-8").read() for p in parts if p.startswith("part-"))
     assert text.splitlines() == [f"r1 h{i}" for i in range(40)]
-    back = read_segments(spark, out, layout="export")
+    back = read_segments(spark, out, layout="parts")
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in segs.collect())
     assert spark.read.parquet(f"{out}/parquet").count() == 80
     broken = segs.withColumn("hyp", F.when(F.col("idx") == 3, "a\r\nb\nc").otherwise(F.when(F.col("idx") != 5, F.col("hyp"))))
     sinks.write_segments(broken, f"{out}2", text_export=True)
-    rows = {r.idx: r.hyp for r in read_segments(spark, f"{out}2", layout="export").filter("run = 'r1'").collect()}
+    rows = {r.idx: r.hyp for r in read_segments(spark, f"{out}2").filter("run = 'r1'").collect()}
     assert len(rows) == 40 and rows[3] == "a b c" and rows[5] == "" and rows[6] == "r1 h6"
     _write(f"{root}/r2/hypothesis.hyp", ["too", "short"])
     with pytest.raises(ValueError):
@@ -110,6 +198,9 @@ def test_dataset_export(spark, tmpdir_path):
     base = spark.createDataFrame(rows, "split STRING, idx LONG, src STRING, tgt STRING")
     new = spark.createDataFrame([("train", i, f"new {i}", f"NEW {i}") for i in range(7)], base.schema)
     sinks.export_dataset(new, tmpdir_path, "de", "en", base=base)
+    with open(os.path.join(tmpdir_path, "train.en"), encoding="utf-8") as f:
+        assert f.read().splitlines() == [f"NEW {i}" for i in range(7)]
+    assert sorted(n for n in os.listdir(tmpdir_path) if not n.startswith(".")) == sorted(f"{s}.{lang}" for s in ("train", "dev", "test") for lang in ("de", "en"))
     got = read_dataset(spark, tmpdir_path, "de", "en").groupBy("split").count().collect()
     assert {r.split: r["count"] for r in got} == {"train": 7, "dev": 30, "test": 30}
     r = read_dataset(spark, tmpdir_path, "de", "en").filter("split = 'dev' and idx = 11").first()

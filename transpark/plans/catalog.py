@@ -929,7 +929,7 @@ def evaluate_runs_files(spark, d):
     segs = doc_pairs(spark, d).select(F.col("lang").alias("run"), "idx", T.squeeze("ref").alias("src"), T.squeeze("ref").alias("ref"), "hyp")
     out, log = _scratch(spark, "runs"), _scratch(spark, "evallog")
     K.write_segments(segs, out, text_export=True)
-    res = WF.evaluate_runs(_read_segments(spark, out, layout="export"), 32, make_scorer=U.overlap_scorer, log_path=log)
+    res = WF.evaluate_runs(_read_segments(spark, out), 32, make_scorer=U.overlap_scorer, log_path=log)
     flags = res["best"].select("model", "metric", "is_best")
     return spark.read.parquet(log).join(flags, ["model", "metric"]).select("model", "metric", r6("mean").alias("mean"), r6("stdev").alias("stdev"), "is_best")
 
@@ -1064,7 +1064,7 @@ def segments_round_trip(spark, d):
     )
     out = _scratch(spark, "segments")
     K.write_segments(segs, out, text_export=True)
-    return _read_segments(spark, out, layout="export")
+    return _read_segments(spark, out)
 
 
 from transpark.sources.text_files import read_vocab as _read_vocab  # noqa: E402
@@ -1079,7 +1079,7 @@ def read_vocab_query(spark, d):
     """The document vocabulary written as a ``token count`` file in id order, read back with S6."""
     vocab = V.build_vocab(_doc_tokens(spark, d), "tok").filter(F.col("id") >= len(V.SPECIALS))
     out = _scratch(spark, "vocab")
-    K.write_text_column(vocab.withColumn("line", F.concat_ws(" ", "token", F.col("cnt").cast("string"))), "line", out, ["id"])
+    K.write_text_column(vocab.withColumn("line", F.concat_ws(" ", "token", F.col("cnt").cast("string"))), "line", out, ["id"], one_file=True)
     return _read_vocab(spark, out)
 
 
@@ -1117,7 +1117,7 @@ def read_parallel_strict(spark, d):
     """S2 + J1: both sides of the conversation pairs written as line files and aligned by line number."""
     pairs = conversation_pairs(spark, d).select("conv_id", "turn", T.squeeze("src").alias("src"), T.squeeze("tgt").alias("tgt"))
     out = _scratch(spark, "parallel")
-    K.write_text_column(pairs, "src", f"{out}/pairs.user", ["conv_id", "turn"])
+    K.write_text_column(pairs, "src", f"{out}/pairs.user", ["conv_id", "turn"], one_file=True)
     K.write_text_column(pairs, "tgt", f"{out}/pairs.assistant", ["conv_id", "turn"])
     return _read_parallel(spark, f"{out}/pairs", "user", "assistant").select("idx", "src", "tgt")
 

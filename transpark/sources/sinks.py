@@ -1,14 +1,20 @@
-"""Sinks (K1-K3). Parquet is the default; text export keeps line order by
-range-partitioning on the line key and sorting inside each part, so the part
-files read in name order give the lines in order."""
+"""Sinks (K1-K3). Parquet is the default. Text exports keep line order by range-partitioning on the line
+key and sorting inside each part; the parts, in name order, then become one plain file: joined by the file
+system itself where it can (``concat``, no byte moves), copied one after the other through a fixed buffer
+otherwise. The file gets its name by a rename at the end, so that an export that is cut off leaves none."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transpark.session import materialize
 
+COPY_BUFFER = 4 << 20
+
 SEGMENT_FILES = {"hyp": "hypothesis.hyp", "ref": "reference.ref", "src": "source.src"}
 
 
@@ -17,21 +23,74 @@ def one_line(c) -> Column:
     return F.regexp_replace(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), r"\r\n|\r|\n", " ")
 
 
-def write_segments(df: DataFrame, path: str, text_export: bool = False, mode: str = "overwrite") -> None:
-    """K1: ``run, idx, src, ref, hyp`` -> Parquet partitioned by run (``path/parquet``); optional
-    aligned text files ``path/text/kind=<kind file>/run=<run>/part-*``, exported in one pass from what
-    was written, so that the input is evaluated once."""
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, sorted."""
+    p, fs = _path(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def join_parts(spark: SparkSession, folder: str, target: str) -> None:
+    """One plain file ``target`` of the ``part-*`` files of ``folder`` in name order, replacing what is there."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    parts = [_path(spark, f"{folder}/{n}")[0] for n in _children(spark, folder) if n.startswith("part-")]
+    goal, fs = _path(spark, target)
+    fs.mkdirs(goal.getParent())
+    made = jvm.org.apache.hadoop.fs.Path(goal.getParent(), f".{goal.getName()}.{uuid.uuid4().hex}")
+    if len(parts) > 1 and fs.hasPathCapability(goal, "fs.capability.paths.concat"):
+        fs.rename(parts[0], made)
+        rest = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(parts) - 1)
+        for i, p in enumerate(parts[1:]):
+            rest[i] = p
+        fs.concat(made, rest)
+    else:
+        out = fs.create(made, True)
+        for p in parts:
+            part = fs.open(p)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, COPY_BUFFER, False)
+            part.close()
+        out.close()
+    if fs.exists(goal):
+        fs.delete(goal, True)
+    if not fs.rename(made, goal):
+        raise OSError(f"{made} could not be renamed to {goal}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
+def write_segments(df: DataFrame, path: str, text_export: bool | str = False, mode: str = "overwrite") -> None:
+    """K1: ``run, idx, src, ref, hyp`` -> Parquet partitioned by run (``path/parquet``). With ``text_export``
+    also the aligned text files ``path/<run>/{source.src,reference.ref,hypothesis.hyp}``, from one pass over
+    what was written, so that the input is evaluated once; ``"parts"`` leaves them as folders of part
+    files, ``path/text/kind=<kind file>/run=<run>/part-*``, which tasks read in parallel."""
     columns = ["run", "idx", "src", "ref", "hyp"]
     df.select(*columns).write.mode(mode).partitionBy("run").parquet(f"{path}/parquet")
-    if text_export:
-        spark = df.sparkSession
-        stored = spark.read.schema(df.select("idx", "src", "ref", "hyp", "run").schema).parquet(f"{path}/parquet")
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        kinds = F.array(*[F.struct(F.lit(name).alias("kind"), one_line(c).alias("value")) for c, name in SEGMENT_FILES.items()])
-        ordered = stored.repartitionByRange(n, "run", "idx").select("run", "idx", F.inline(kinds))
-        ordered.sortWithinPartitions("kind", "run", "idx").select("kind", "run", "value").write.mode(mode).partitionBy(
-            "kind", "run"
-        ).text(f"{path}/text")
+    if not text_export:
+        return
+    spark = df.sparkSession
+    stored = spark.read.schema(df.select("idx", "src", "ref", "hyp", "run").schema).parquet(f"{path}/parquet")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kinds = F.array(*[F.struct(F.lit(name).alias("kind"), one_line(c).alias("value")) for c, name in SEGMENT_FILES.items()])
+    ordered = stored.repartitionByRange(n, "run", "idx").select("run", "idx", F.inline(kinds))
+    ordered = ordered.sortWithinPartitions("kind", "run", "idx").select("kind", "run", "value")
+    out = f"{path}/text" if text_export == "parts" else f"{path}/_text-{uuid.uuid4().hex}"
+    ordered.write.mode(mode).partitionBy("kind", "run").text(out)
+    if text_export == "parts":
+        return
+    for kind in SEGMENT_FILES.values():
+        for folder in _children(spark, f"{out}/kind={kind}"):
+            run = unquote(folder.removeprefix("run="))
+            if run == "parquet":
+                raise ValueError("a run named 'parquet' has no folder of its own")
+            join_parts(spark, f"{out}/kind={kind}/{folder}", f"{path}/{run}/{kind}")
+    _delete(spark, out)
 
 
 def append_run_log(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -48,22 +107,35 @@ def write_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).partitionBy("split").parquet(path)
 
 
-def write_text_column(df: DataFrame, col: str, path: str, order_by: list[str], mode: str = "overwrite") -> None:
-    """One text file set with one line per row, in ``order_by`` order across part files."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by).select(one_line(col).alias("value")).write.mode(
-        mode
-    ).text(path)
+def write_text_column(df: DataFrame, col: str, path: str, order_by: list[str], mode: str = "overwrite", one_file: bool = False) -> None:
+    """One line per row in ``order_by`` order: a folder of part files, or with ``one_file`` the plain file ``path``."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = f"{path}.parts-{uuid.uuid4().hex}" if one_file else path
+    ordered = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
+    ordered.select(one_line(col).alias("value")).write.mode(mode).text(out)
+    if one_file:
+        join_parts(spark, out, path)
+        _delete(spark, out)
 
 
 def export_dataset(df: DataFrame, path: str, src_lang: str, tgt_lang: str, base: DataFrame | None = None) -> None:
-    """K3 text form: ``split, idx, src, tgt`` -> ``path/{split}.{lang}``, line-aligned in ``idx`` order
-    (each a folder of part files that ``read_dataset`` reads as one). With ``base`` the non-training
-    splits of that dataset are copied along."""
+    """K3 text form: ``split, idx, src, tgt`` -> the plain files ``path/{split}.{lang}``, line-aligned in ``idx``
+    order, from one range-partitioned pass. With ``base`` the non-training splits of that dataset are copied
+    along."""
+    spark = df.sparkSession
     rows = df.select("split", "idx", "src", "tgt")
     if base is not None:
         rows = rows.filter(F.col("split") == "train").unionByName(base.filter(F.col("split") != "train").select(*rows.columns))
-    rows = materialize(rows, "export")
-    for split in sorted(r[0] for r in rows.select("split").distinct().collect()):  # a few names
-        for col, lang in (("src", src_lang), ("tgt", tgt_lang)):
-            write_text_column(rows.filter(F.col("split") == split), col, f"{path.rstrip('/')}/{split}.{lang}", ["idx"])
+    rows = materialize(rows, "export")  # range bounds are sampled from it
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sides = F.array(*[F.struct(F.lit(lang).alias("lang"), one_line(c).alias("value")) for c, lang in (("src", src_lang), ("tgt", tgt_lang))])
+    ordered = rows.repartitionByRange(n, "split", "idx").select("split", "idx", F.inline(sides))
+    out = f"{path.rstrip('/')}/_text-{uuid.uuid4().hex}"
+    ordered.sortWithinPartitions("split", "lang", "idx").select("split", "lang", "value").write.partitionBy("split", "lang").text(out)
+    for split in _children(spark, out):
+        if split.startswith("split="):
+            for lang in _children(spark, f"{out}/{split}"):
+                name = f"{unquote(split.removeprefix('split='))}.{unquote(lang.removeprefix('lang='))}"
+                join_parts(spark, f"{out}/{split}/{lang}", f"{path.rstrip('/')}/{name}")
+    _delete(spark, out)

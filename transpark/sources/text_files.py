@@ -21,39 +21,63 @@ from transpark.session import materialize
 PART_FILE = r"/part-[0-9]+[^/]*$"
 
 
+# What ``str.splitlines`` takes for line ends beside those of text files.
+EXTRA_SEPARATOR = r"[\x{b}\x{c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
+
+
 def read_lines(spark: SparkSession, path, strict_splitlines: bool = False, parts_as_one: bool = True) -> DataFrame:
     """``file STRING, idx LONG, text STRING`` with ``idx`` = 0-based line number in the file.
 
     With ``parts_as_one`` the ``part-*`` files of a Spark output folder form one
     logical file (the folder), numbered on across the parts in name order.
-    ``strict_splitlines`` also cuts at the extra separators of Python's
-    ``str.splitlines`` (VT, FF, FS, GS, RS, NEL, LS, PS) and renumbers.
+    ``strict_splitlines`` gives the lines of Python's ``str.splitlines``, which also cuts at
+    VT, FF, FS, GS, RS, NEL, LS and PS: lines are cut before they are numbered, so that no text is sorted.
     """
     paths = path if isinstance(path, (list, tuple)) else [path]
-    raw = spark.read.text(list(paths)).select(
-        F.col("value").alias("text"),
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("_mid"),
-    )
+    meta = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("block")]
+    raw = spark.read.text(list(paths))
+    if strict_splitlines:
+        raw = raw.select(F.explode(F.split("value", EXTRA_SEPARATOR, -1)).alias("text"), *meta)
+    else:
+        raw = raw.select(F.col("value").alias("text"), *meta)
+    # numbers grow along a scan task, also across the pieces of a line
+    raw = raw.select("*", F.monotonically_increasing_id().alias("_mid"))
     unit = F.regexp_replace("_path", PART_FILE, "") if parts_as_one else F.col("_path")
     raw = materialize(raw.withColumn("file", unit), "lines")
     blocks = raw.groupBy("file", "_path", "block").agg(F.min("_mid").alias("_m0"), F.count("*").alias("_n"))
+    if strict_splitlines:
+        raw, blocks = _without_open_ends(spark, raw, blocks)
     w = Window.partitionBy("file").orderBy("_path", "block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("file", "_path", "block", "_m0", "_off")
-    out = join_small(raw, blocks, ["file", "_path", "block"]).select(
+    return join_small(raw, blocks, ["file", "_path", "block"]).select(
         "file", (F.col("_off") + F.col("_mid") - F.col("_m0")).alias("idx"), "text"
     )
-    if strict_splitlines:
-        extra = r"[\x{b}\x{c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
-        # every text line is followed by a newline, so each piece is a line of its own
-        # (a file ending in one of these separators without a final newline gets one extra empty line)
-        parts = out.select("file", "idx", F.posexplode(F.split("text", extra, -1)).alias("_k", "text"))
-        from transpark.operators.numbering import dense_index
 
-        out = dense_index(parts.select("file", "idx", "_k", "text"), ["idx", "_k"], partition_by=["file"], name="_new")
-        out = out.select("file", F.col("_new").alias("idx"), "text")
-    return out
+
+def _without_open_ends(spark: SparkSession, raw: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines and block counts without the empty piece after a separator that ends its file: it is a line
+    only if a newline follows. One row for each such file is looked at; files without one cost nothing."""
+    last = raw.groupBy("_path").agg(F.max_by(F.struct("block", "_mid", "text"), F.struct("block", "_mid")).alias("last"))
+    open_ = [r for r in last.where("last.text = ''").select("_path", "last.block", "last._mid").collect() if not _ends_line(spark, r["_path"])]
+    if not open_:
+        return raw, blocks
+    gone = spark.createDataFrame([(r["_path"], r["block"], r["_mid"]) for r in open_], "_path string, block long, _mid long")
+    raw = join_small(raw, gone, ["_path", "block", "_mid"], "left_anti")
+    less = gone.select("_path", "block", F.lit(1).alias("_less"))
+    blocks = blocks.join(F.broadcast(less), ["_path", "block"], "left").withColumn("_n", F.col("_n") - F.coalesce("_less", F.lit(0)))
+    return raw, blocks.where("_n > 0").drop("_less")
+
+
+def _ends_line(spark: SparkSession, path: str) -> bool:
+    """Whether the last byte of a (plain) file is a line end."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(path))
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = fs.open(p)
+    try:
+        stream.seek(fs.getFileStatus(p).getLen() - 1)
+        return stream.read() in (10, 13)
+    finally:
+        stream.close()
 
 
 def _suffix_path(stem: str, lang: str) -> str:
@@ -68,23 +92,34 @@ def read_parallel(spark: SparkSession, stem: str, src: str, tgt: str, strict: bo
     """
     lines = read_lines(spark, [_suffix_path(stem, src), _suffix_path(stem, tgt)])
     lines = lines.withColumn("lang", F.regexp_extract("file", r"\.([^./]+)$", 1))
-    a = lines.filter(F.col("lang") == src).select("idx", F.col("text").alias("src"))
-    b = lines.filter(F.col("lang") == tgt).select("idx", F.col("text").alias("tgt"))
-    return align(a, b, ["idx"], strict=strict)
+    return _paired(lines, src, tgt, [], strict)
+
+
+def _paired(lines: DataFrame, src: str, tgt: str, by: list[str], strict: bool) -> DataFrame:
+    """``by..., idx, src, tgt`` of stored ``by..., lang, idx, text``. Line numbers are dense, so lengths are
+    compared by counts (one row per file), and the text moves once, to its partner, without another copy."""
+    if strict:
+        n = lambda lang: F.count(F.when(F.col("lang") == lang, 1))
+        sizes = lines.groupBy(*by).agg(n(src).alias("left"), n(tgt).alias("right"))
+        if bad := sizes.where("left <> right").limit(5).collect():
+            raise ValueError(f"aligned files differ in length: {[tuple(r) for r in bad]}")
+    a = lines.filter(F.col("lang") == src).select(*by, "idx", F.col("text").alias("src"))
+    b = lines.filter(F.col("lang") == tgt).select(*by, "idx", F.col("text").alias("tgt"))
+    return a.join(b, [*by, "idx"], "inner")
 
 
 def align(left: DataFrame, right: DataFrame, on: list[str], strict: bool = True) -> DataFrame:
     """Positional zip of two line sets on their line keys (null-safe text: a null cell is a cell).
 
-    ``strict`` joins once, writes the result, and raises if a line has no partner."""
-    if not strict:
-        return left.join(right, on, "inner")
-    both = left.withColumn("_tp_l", F.lit(True)).join(right.withColumn("_tp_r", F.lit(True)), on, "full_outer")
-    both = materialize(both, "aligned")
-    alone = both.agg(F.count(F.when(F.col("_tp_r").isNull(), 1)), F.count(F.when(F.col("_tp_l").isNull(), 1))).first()
-    if alone[0] or alone[1]:
-        raise ValueError(f"aligned inputs differ in length: {alone[0]} lines only left, {alone[1]} only right")
-    return both.drop("_tp_l", "_tp_r")
+    ``strict`` raises if a line has no partner: the keys of both sides are counted against each other first,
+    so inputs should be stored ones; texts are joined once and not written again."""
+    if strict:
+        keys = left.select(*on, F.lit(1).alias("_tp_l"), F.lit(0).alias("_tp_r")).unionByName(right.select(*on, F.lit(0).alias("_tp_l"), F.lit(1).alias("_tp_r")))
+        sides = keys.groupBy(*on).agg(F.max("_tp_l").alias("_tp_l"), F.max("_tp_r").alias("_tp_r"))
+        alone = sides.agg(F.count(F.when(F.col("_tp_r") == 0, 1)), F.count(F.when(F.col("_tp_l") == 0, 1))).first()
+        if alone[0] or alone[1]:
+            raise ValueError(f"aligned inputs differ in length: {alone[0]} lines only left, {alone[1]} only right")
+    return left.join(right, on, "inner")
 
 
 SPLIT_FILES = {"train": "train", "dev": "dev", "val": "dev", "valid": "dev", "test": "test"}
@@ -110,9 +145,7 @@ def read_dataset(
     lines = lines.withColumn("split", F.regexp_extract("_base", r"^([^.]+)\.", 1)).withColumn(
         "lang", F.regexp_extract("_base", r"\.([^.]+)$", 1)
     )
-    a = lines.filter(F.col("lang") == src).select("split", "idx", F.col("text").alias("src"))
-    b = lines.filter(F.col("lang") == tgt).select("split", "idx", F.col("text").alias("tgt"))
-    out = align(a, b, ["split", "idx"], strict=strict)
+    out = _paired(lines, src, tgt, ["split"], strict)
     return out.select(F.lit(dataset or os.path.basename(directory.rstrip("/"))).alias("dataset"), "split", "idx", "src", "tgt")
 
 
@@ -131,19 +164,19 @@ def read_segments(
     """``run, idx, src, ref, hyp`` for every run under ``root`` in one scan and one shuffle.
 
     ``layout="runs"``: ``root/<run>/{hypothesis.hyp,reference.ref,source.src}`` files;
-    ``layout="export"``: what ``write_segments(..., text_export=True)`` writes,
+    ``layout="parts"``: what ``write_segments(..., text_export="parts")`` writes,
     ``root/text/kind=<kind file>/run=<run>/part-*``. ``strict=True`` raises when the files of
     a run differ in length; ``strict=False`` leaves the missing cells null."""
     names = runs or ["*"]
     base = root.rstrip("/")
-    if layout == "export":
+    if layout == "parts":
         paths = [f"{base}/text/kind={k}/run={r}" for r in names for k in KINDS]
     else:
         paths = [f"{base}/{r}/{k}" for r in names for k in KINDS]
     lines = read_lines(spark, paths)
     parts = F.split(F.col("file"), "/")
     kinds = F.create_map(*[x for k, v in KINDS.items() for x in (F.lit(k), F.lit(v))])
-    run, kind = (F.element_at(parts, -1), F.element_at(parts, -2)) if layout == "export" else (F.element_at(parts, -2), F.element_at(parts, -1))
+    run, kind = (F.element_at(parts, -1), F.element_at(parts, -2)) if layout == "parts" else (F.element_at(parts, -2), F.element_at(parts, -1))
     lines = lines.withColumn("run", F.regexp_replace(run, "^run=", "")).withColumn(
         "kind", F.element_at(kinds, F.regexp_replace(kind, "^kind=", ""))
     )
