@@ -110,7 +110,7 @@ def golden_table():
     return out
 
 
-@pytest.mark.skipif(not GOLDEN_RUNS or not os.path.isdir(GOLDEN_RUNS), reason="set TRANSPARK_GOLDEN_RUNS to a folder of run outputs")
+@pytest.mark.skipif(not GOLDEN_RUNS or not os.path.isdir(GOLDEN_RUNS), reason="no folder of stored runs")
 def test_golden_runs(spark):
     golden = golden_table()
     assert len(golden) == 17

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from transpark.functions.text import WS_RUN, _c
 
-# Rules of this package: punctuation normalisation, in order.
+# Rules of this package: punctuation normalisation, in order, but for the order of quotes and punctuation.
 NORMALIZE = [
     (r"\r", ""),
-    (r"[\x{0}-\x{8}\x{e}-\x{1f}\x{7f}]", ""),  # control characters
+    (r"[\x{0}-\x{8}\x{e}-\x{1f}\x{7f}-\x{84}\x{86}-\x{9f}]", ""),  # control characters
     (r"[„“”«»]", '"'),
     (r"[‘’‚´`]", "'"),
     (r"–", "-"),
@@ -28,8 +28,65 @@ NORMALIZE = [
     (r"^ | $", ""),
 ]
 
-# Rules of this package: tokenisation, in order (before escaping). ``{APOS}`` is
-# replaced by the apostrophe rules of the language.
+# Rules of this package: English puts commas and periods before a closing quote, other languages after it
+# (periods only where a text goes on, since those at its end belong to the sentence).
+QUOTE_ORDER = {
+    "en": [(r"\"([,.]+)", "$1\"")],
+    "other": [(r",\"", "\","), (r"([.]+)\"( *[^< ])", "\"$1$2")],
+}
+
+
+def normalize_rules(lang: str | None = "en"):
+    """The rules for a language; None leaves quotes and punctuation in their order."""
+    return NORMALIZE if lang is None else [*NORMALIZE, *QUOTE_ORDER.get(lang, QUOTE_ORDER["other"])]
+
+
+# Abbreviations whose period never ends a sentence, and those whose period does not before
+# a number (``No. 5``), by language. Single letters count as well (see below).
+ABBREVIATIONS = {
+    "en": (
+        "Adm Asst Bldg Brig Capt Cmdr Col Cpl Dr Ens Gen Gov Hon Hosp Insp Lt Maj Messrs Mr Mrs Ms Mt Op Ph Pres Prof Pvt "
+        "Rep Rev Rt Sen Sgt Sr St Supt e.g i.e v vs",
+        "Art Fig No Nr Sec Vol fig p pp",
+    ),
+    "de": (
+        "Abb Abk Abs Abt Anm Apr Art Aufl Aug Bd Best Bsp Ca Dez Dipl Dr Feb Fr Hr Hrn Ing Inh Jan Jh Jhdt Kap Mag Mio Mrd Nov "
+        "Okt Prof Sept St Str Tel Verf Vgl abzgl allg bspw bzgl bzw ca dgl entspr etc evtl exkl geb gem ggf ggfs inkl insb jew "
+        "max min mind mtl od oä sog tel u.a usw uvm vgl zB zzgl",
+        "Nr S Seite",
+    ),
+}
+#: Ordinal numbers are written with a period in German.
+ORDINAL = {"de": r"[1-9][0-9]?"}
+LETTER = {"en": r"\p{Lu}", "de": r"[\p{Lu}\p{Ll}]", "other": r"\p{Lu}"}
+#: Stands for a period that belongs to its word while the others are split off (a private-use character).
+KEPT = "\ue000"
+
+
+def _any(words: str) -> str:
+    return "|".join(w.replace(".", r"\.") for w in words.split())
+
+
+def period_rules(lang: str):
+    """The rules that split a word's last period off. First the periods that stay are marked: of abbreviations,
+    of single letters, of words that hold a letter and another period (acronyms, addresses), and those before
+    a word in lower case. A mark inside a word does no harm."""
+    always, numeric = ABBREVIATIONS.get(lang, ("", ""))
+    stay = "|".join(filter(None, [_any(always), ORDINAL.get(lang, ""), LETTER.get(lang, LETTER["other"])]))
+    return [
+        (rf"(^|[^\p{{L}}\p{{Nd}}.,\-])({stay})\.", f"$1$2{KEPT}"),
+        *([(rf"(^|[^\p{{L}}\p{{Nd}}.,\-])({_any(numeric)})\.( ?[\p{{Nd}}])", f"$1$2{KEPT}$3")] if numeric else []),
+        (rf"([^ ]*\p{{L}}[^ ]*[.{KEPT}][^ ]*)\.", f"$1{KEPT}"),
+        (rf"([^ ]*[.{KEPT}][^ ]*\p{{L}}[^ ]*)\.", f"$1{KEPT}"),
+        (r"([^ .])\.( \p{Ll})", f"$1{KEPT}$2"),  # twice: words of one letter overlap
+        (r"([^ .])\.( \p{Ll})", f"$1{KEPT}$2"),
+        (r"([^ .])\.( |$)", "$1 .$2"),
+        (KEPT, "."),
+    ]
+
+
+# Rules of this package: tokenisation, in order (before escaping). ``{APOS}`` and
+# ``{PERIOD}`` are replaced by the rules of the language.
 TOKENIZE = [
     (WS_RUN, " "),
     (r"^ | $", ""),
@@ -42,12 +99,7 @@ TOKENIZE = [
     (r"(\.\.+)", " $1 "),
     (WS_RUN, " "),
     (r"^ | $", ""),
-    # a word-final period is split off unless the next word starts in lower case,
-    # the word is a single capital (an initial) or holds another period (an acronym)
-    (r"(^| )([^ .]{2,}|[^ .\p{Lu}])\.( [^\p{Ll} ]|$)", "$1$2 .$3"),
-    (r"(^| )([^ .]{2,}|[^ .\p{Lu}])\.( [^\p{Ll} ]|$)", "$1$2 .$3"),
-    (WS_RUN, " "),
-    (r"^ | $", ""),
+    ("{PERIOD}", ""),
 ]
 
 # Rules of this package: apostrophe rules for English (in order); other languages split every apostrophe off.
@@ -68,6 +120,8 @@ def tokenize_rules(lang: str = "en", dash_split: bool = True):
     for pattern, repl in TOKENIZE:
         if pattern == "{APOS}":
             out.extend(APOSTROPHE.get(lang, APOSTROPHE["other"]))
+        elif pattern == "{PERIOD}":
+            out.extend(period_rules(lang))
         elif dash_split or "@-@" not in repl:
             out.append((pattern, repl))
     return out
@@ -76,20 +130,37 @@ def tokenize_rules(lang: str = "en", dash_split: bool = True):
 # XML escaping after tokenisation ('&' first).
 ESCAPE = [("&", "&amp;"), ("|", "&#124;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&apos;"), ('"', "&quot;"), ("[", "&#91;"), ("]", "&#93;")]
 
-# Rules of this package: detokenisation, in order (after un-escaping).
+#: Stands for a single quote on its own (a private-use character).
+QUOTE = "\ue001"
+# Rules of this package: detokenisation, in order (after un-escaping and before quoted spans).
 DETOKENIZE = [
     (r" @-@ ", "-"),
     (r"% ([\p{Nd}])", "%$1"),  # placeholders like %1
     (r"([\p{Nd}]) %", "$1%"),
     (r" \( \)", "()"),
     (r"([\p{L}\p{Nd}]) \+ \+", "$1++"),
-    (r"\" ([^\"]*) \"", "\"$1\""),  # a quoted span hugs its quotes
+    (r" ([/_@+\\]) ", "$1"),  # paths, names, addresses and keys are written in one
+    (r"(//|^/) ([\p{L}])", "$1$2"),
+    (r"(^|[^\p{Nd} ] )([%~]) ([\p{L}])", "$1$2$3"),
     (r" ([\.\,\!\?\:\;\)\]\}])", "$1"),
     (r"([\(\[\{\$]) ", "$1"),
     (r" '([\p{L}])", "'$1"),
+    (r"(^| )'( |$)", f"$1{QUOTE}$2"),  # an apostrophe on its own is a quote (twice: blanks overlap)
+    (r"(^| )'( |$)", f"$1{QUOTE}$2"),
     (WS_RUN, " "),
     (r"^ | $", ""),
 ]
+#: Marks of detokenisation and what they become: quotes, of which every other one opens a span.
+QUOTES = [('"', '"'), (QUOTE, "'")]
+
+
+def quoted(col) -> Column:
+    """Text whose quoted spans hug their quotes: a quote opens a span if the last one before it closed one, so
+    the spans are every other piece between quotes. A span that is never closed hugs its opening quote."""
+    c = _c(col)
+    for mark, quote in QUOTES:
+        c = F.array_join(F.transform(F.split(c, mark), lambda piece, i: F.when(i % 2 == 1, F.trim(piece)).otherwise(piece)), quote)
+    return c
 
 
 def apply_rules(col, rules) -> Column:
@@ -113,8 +184,8 @@ def unescape_basic(col) -> Column:
     return c
 
 
-def normalize(col) -> Column:
-    return apply_rules(col, NORMALIZE)
+def normalize(col, lang: str | None = "en") -> Column:
+    return apply_rules(col, normalize_rules(lang))
 
 
 def tokenize(col, dash_split: bool = True, xml_escape: bool = True, lang: str = "en") -> Column:
@@ -123,4 +194,4 @@ def tokenize(col, dash_split: bool = True, xml_escape: bool = True, lang: str =
 
 
 def detokenize(col) -> Column:
-    return apply_rules(unescape_basic(col), DETOKENIZE)
+    return quoted(apply_rules(unescape_basic(col), DETOKENIZE))

@@ -67,9 +67,10 @@ def _text_job(df: DataFrame, col: str, expr, out: str | None, report_by: list[st
     return flagged.select(*rest, target), rep
 
 
-def normalize_corpus(df: DataFrame, col: str = "text", out: str | None = None, report_by=None):
-    """Punctuation normalisation and control-character removal."""
-    return _text_job(df, col, R.normalize(col), out, report_by)
+def normalize_corpus(df: DataFrame, col: str = "text", out: str | None = None, report_by=None, lang: str | None = "en"):
+    """Punctuation normalisation and control-character removal; quotes and punctuation in the order of
+    ``lang`` (None: as they are)."""
+    return _text_job(df, col, R.normalize(col, lang), out, report_by)
 
 
 def tokenize_corpus(

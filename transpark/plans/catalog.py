@@ -590,7 +590,13 @@ def _sql_unescape_basic(x: str) -> str:
     return x
 
 
-@register("normalize_docs", f"SELECT doc_id, {_sql_rules('text', RL.NORMALIZE)} AS text FROM documents")
+def _sql_quoted(x: str) -> str:
+    for mark, quote in (('"', '"'), (RL.QUOTE, "''")):
+        x = f"array_to_string(list_transform(string_split({x}, '{mark}'), lambda p, i: CASE WHEN i % 2 = 0 THEN trim(p) ELSE p END), '{quote}')"
+    return x
+
+
+@register("normalize_docs", f"SELECT doc_id, {_sql_rules('text', RL.normalize_rules('en'))} AS text FROM documents")
 def normalize_docs(spark, d):
     return TJ.normalize_corpus(table(spark, d, "documents"), "text").select("doc_id", "text")
 
@@ -605,7 +611,7 @@ def tokenize_docs(spark, d):
 
 @register(
     "detokenize_docs",
-    f"SELECT doc_id, {_sql_rules(_sql_unescape_basic(_TOK_SQL), RL.DETOKENIZE)} AS text FROM documents",
+    f"SELECT doc_id, {_sql_quoted(_sql_rules(_sql_unescape_basic(_TOK_SQL), RL.DETOKENIZE))} AS text FROM documents",
 )
 def detokenize_docs(spark, d):
     tok = TJ.tokenize_corpus(table(spark, d, "documents"), "text")
@@ -938,7 +944,7 @@ def evaluate_runs_files(spark, d):
 
 
 def _prep_col_sql(col: str) -> str:
-    return _sql_escape(_sql_rules(_sql_rules(col, RL.NORMALIZE), RL.tokenize_rules("en")))
+    return _sql_escape(_sql_rules(_sql_rules(col, RL.normalize_rules('en')), RL.tokenize_rules("en")))
 
 
 @register(

@@ -42,7 +42,8 @@ def prepare_corpus(
     vocab = dict(vocab or {})
     out = df
     for c in cols:
-        tok = R.tokenize(R.normalize(c), dash_split, escape, (langs or {}).get(c, "en"))
+        lang = (langs or {}).get(c, "en")
+        tok = R.tokenize(R.normalize(c, lang), dash_split, escape, lang)
         out = out.withColumn(f"{c}_tok", tok)
         pieces = piece_encoder(F.col(f"{c}_tok")) if piece_encoder else F.col(f"{c}_tok")
         out = out.withColumn(f"{c}_pieces", pieces).withColumn(f"_pt_{c}", T.words(f"{c}_pieces"))
