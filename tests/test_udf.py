@@ -43,3 +43,60 @@ def test_scores(spark):
     assert vals == [0.0, pytest.approx(2 / 3)]
     summ = segment_score_summary(scored).first()
     assert summ.score_mean == pytest.approx(100 * (2 / 3) / 2) and summ.segments == 2
+
+
+def test_workers_keep_few_models(spark, tmp_path):
+    """Twenty functions over the same workers: never more models than allowed, replaced ones are closed, and
+    a function that comes again at once is not loaded again."""
+    log = str(tmp_path / "log")
+    df = spark.createDataFrame([(i, f"w{i}") for i in range(40)], "idx LONG, src STRING").repartition(2)
+
+    def maker(k):
+        def make():
+            import os
+
+            from transpark.operators import udf
+
+            class Model:
+                def __call__(self, texts):
+                    with open(f"{log}-{os.getpid()}", "a") as f:
+                        f.write(f"held {len(udf._LOADED)}\n")
+                    return [f"{k} {t}" for t in texts]
+
+                def close(self):
+                    with open(f"{log}-{os.getpid()}", "a") as f:
+                        f.write(f"closed {k}\n")
+
+            with open(f"{log}-{os.getpid()}", "a") as f:
+                f.write(f"loaded {k}\n")
+            return Model()
+
+        return make
+
+    for k in range(20):
+        for _ in range(2):
+            assert {r.hyp.split()[0] for r in U.translate_corpus(df, maker(k)).collect()} == {str(k)}
+    closed = 0
+    for path in tmp_path.iterdir():
+        lines = path.read_text().splitlines()
+        assert all(int(x.split()[1]) <= U.MODELS for x in lines if x.startswith("held"))
+        names = [x for x in lines if x.startswith("loaded")]
+        assert len(names) == len(set(names))
+        closed += sum(x.startswith("closed") for x in lines)
+        assert len(names) - sum(x.startswith("closed") for x in lines) <= U.MODELS
+    assert closed > 0
+
+
+def test_identity_of_functions():
+    def maker(k):
+        return lambda: lambda texts: [k] * len(texts)
+
+    assert U.identity(maker(1)) == U.identity(maker(1)) != U.identity(maker(2))
+    assert U.identity(U.reverse_words_translator) != U.identity(U.overlap_scorer)
+
+
+def test_session_settings_stay(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    df = spark.createDataFrame([(0, "a b")], "idx LONG, src STRING")
+    assert U.translate_corpus(df, U.reverse_words_translator).first().hyp == "b a" and spark.conf.get(key) == before

@@ -2,40 +2,53 @@
 learned segment scores run as ``mapInPandas`` jobs over Arrow batches.
 
 The user passes ``make_fn()``, called once per Python worker (it loads a model
-or opens a client), returning ``fn(list[str]) -> list[str]`` (or a scorer). Every
-input row comes out exactly once with its key; the output count is checked
-per batch. An Arrow batch holds at most ``ARROW_ROWS`` rows, whatever the
-length of the texts. No network client or model ships with this package.
+or opens a client), returning ``fn(list[str]) -> list[str]`` (or a scorer). A worker
+keeps the ``MODELS`` functions it used last, known by what ``make_fn`` is: calls
+with the same function share one load, whatever the number of jobs, and a function that makes room
+for another has its ``close()`` called if it has one. Every input row comes out
+exactly once with its key; the output count is checked per batch. Spark bounds an
+Arrow batch in rows and in bytes (``spark.sql.execution.arrow.maxRecordsPerBatch``,
+``maxBytesPerBatch``). No network client or model ships with this package.
 """
 
 from __future__ import annotations
 
+import hashlib
 import time
-import uuid
+from collections import OrderedDict
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from transpark.functions.text import strip, unescape
 
-ARROW_ROWS = 1000
-_LOADED: dict[str, object] = {}  # of this worker: what make_fn() returned, by the name its caller gave it
+MODELS = 2  # a forward and a backward one
+_LOADED: OrderedDict[str, object] = OrderedDict()  # of this worker: what make_fn() returned, last used last
 
 
-def _loaded(name: str, make_fn: Callable):
-    # imported by name: a function sent to a worker would carry a copy of the table otherwise
-    from transpark.operators import udf
+def identity(make_fn: Callable) -> str:
+    """What a function is: its name where workers import it, otherwise its code and what it refers to."""
+    return hashlib.sha256(cloudpickle.dumps(make_fn)).hexdigest()
 
-    if name not in udf._LOADED:
-        udf._LOADED[name] = make_fn()
-    return udf._LOADED[name]
 
+def loaded(name: str, make_fn: Callable, models: int = MODELS):
+    """What ``make_fn()`` returns, from this worker's cache of the ``models`` last used ones."""
+    # imported by name: a function sent to a worker would carry a copy of the table otherwise
+    from transpark.operators import udf
 
-def _bounded_batches(df: DataFrame) -> None:
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key, None) in (None, "10000"):
-        conf.set(key, str(ARROW_ROWS))
+    cache = udf._LOADED
+    if name in cache:
+        cache.move_to_end(name)
+        return cache[name]
+    while len(cache) >= max(models, 1):  # before the new one is loaded, so that there are never more
+        _, old = cache.popitem(last=False)
+        if callable(close := getattr(old, "close", None)):
+            close()
+        del old
+    cache[name] = made = make_fn()
+    return made
 
 
 def _chunks(values: list, size: int):
@@ -66,11 +79,10 @@ def translate_corpus(
 ) -> DataFrame:
     """``out_col`` = fn(``src_col``) in batches of ``batch_size`` rows; all other columns kept."""
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType(), True)])
-    name = uuid.uuid4().hex
-    _bounded_batches(df)
+    name, models = identity(make_fn), MODELS
 
     def run(batches):
-        fn = _loaded(name, make_fn)
+        fn = loaded(name, make_fn, models)
         for pdf in batches:
             texts = ["" if t is None else t for t in pdf[src_col].tolist()]
             outs: list[str] = []
@@ -113,11 +125,10 @@ def score_segments(
 ) -> DataFrame:
     """Learned segment score of (source, hypothesis, reference)."""
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.DoubleType(), True)])
-    name = uuid.uuid4().hex
-    _bounded_batches(df)
+    name, models = identity(make_scorer), MODELS
 
     def run(batches):
-        scorer = _loaded(name, make_scorer)
+        scorer = loaded(name, make_scorer, models)
         for pdf in batches:
             cols = [["" if t is None else t for t in pdf[c].tolist()] for c in (src, hyp, ref)]
             outs: list[float] = []
