@@ -52,3 +52,28 @@ def test_early_stop_and_best_checkpoint(spark):
         assert best[run] == (vals.index(m), m)
     low = {r.run: r.best_value for r in RN.best_checkpoint(df, mode="min").collect()}
     assert all(low[k] == min(v) for k, v in runs.items())
+
+
+def test_validations_lie_apart(spark):
+    """Steps 0, 1000, 2000, ...: patience counts validations."""
+    values = [0.1, 0.3, 0.2, 0.25, 0.31, 0.3, 0.3, 0.9]
+    df = spark.createDataFrame([("r", 1000 * i * i, v) for i, v in enumerate(values)], "run STRING, step LONG, value DOUBLE")
+    for chunk in (2, 100):
+        assert [tuple(r) for r in RN.early_stop_point(df, 2, chunk=chunk).collect()] == [("r", 9000, 1000, 0.3)]
+        assert [tuple(r) for r in RN.early_stop_point(df, 3, chunk=chunk).collect()] == [("r", None, 49000, 0.9)]
+        assert [tuple(r) for r in RN.early_stop_point(df, 2, mode="min", chunk=chunk).collect()] == [("r", 4000, 0, 0.1)]
+
+
+def test_best_checkpoints(spark):
+    rnd = random.Random(9)
+    rows = [(r, s, rnd.choice([None, 1.0, 2.0, 3.0, 4.0])) for r in ("a", "b", None) for s in range(300)] + [("few", 1, 0.5), ("none", 1, None)]
+    df = spark.createDataFrame(rows, "run STRING, step LONG, value DOUBLE").repartition(5)
+    for mode, sign in (("max", -1), ("min", 1)):
+        got = {}
+        for r in RN.best_checkpoints(df, 3, mode=mode, salts=4).collect():
+            got.setdefault(r.run, {})[r["rank"]] = (r.step, r.value)
+        want = {}
+        for run in ("a", "b", None, "few"):
+            best = sorted(((sign * v, s, v) for x, s, v in rows if x == run and v is not None))[:3]
+            want[run] = {i + 1: (s, v) for i, (_, s, v) in enumerate(best)}
+        assert got == want

@@ -164,3 +164,46 @@ def test_hot_group(spark, monkeypatch):
     for g in sorted({r[2] for r in rows}):
         members = sorted(i for i, _, gg in rows if gg == g)
         assert [numbered[i] for i in members] == list(range(len(members)))
+
+
+def _filled(rows, budget):
+    """Greedy filling row by row."""
+    out, batch, held = {}, 0, 0
+    for idx, n in sorted(rows, key=lambda r: (max(r[1] or 1, 1), r[0])):
+        n = max(n or 1, 1)
+        if (held + 1) * n > budget:
+            batch, held = batch + 1, 0
+        out[idx], held = batch, held + 1
+    return out
+
+
+def test_token_budget_is_filled_exactly(spark):
+    rnd = random.Random(2)
+    groups = {
+        "a": [(i, rnd.randint(0, 60)) for i in range(700)],
+        "hot": [(i, 7) for i in range(2000)] + [(5000, 64), (5001, 64), (5002, None)],
+        None: [(3, 64), (1, 1)],
+        "b": [(0, 1)],
+    }
+    df = spark.createDataFrame([(g, i, n, "x") for g, rows in groups.items() for i, n in rows], "grp STRING, idx LONG, n LONG, k0 STRING").repartition(5)
+    got = S.fill_token_budget(df, "n", 64, by=["grp"]).collect()
+    assert got[0].asDict().keys() == {"grp", "idx", "n", "k0", "batch_id"}
+    for g, rows in groups.items():
+        assert {r.idx: r.batch_id for r in got if r.grp == g} == _filled(rows, 64)
+    sizes = {}
+    for r in got:
+        sizes.setdefault((r.grp, r.batch_id), []).append(max(r.n or 1, 1))
+    assert all(len(x) * max(x) <= 64 for x in sizes.values())
+    only = df.where("grp = 'a'").drop("grp", "k0")
+    wide = S.token_budget_batches(only, "n", 64, bucket_width=16).select("bucket", "batch_in_bucket").distinct().count()
+    assert S.fill_token_budget(only, "n", 64).select("batch_id").distinct().count() < wide
+
+
+def test_rows_over_the_budget_are_refused_or_reported(spark):
+    df = spark.createDataFrame([(0, 5), (1, 100), (2, 5)], "idx LONG, n LONG")
+    for fn in (S.fill_token_budget, S.token_budget_batches):
+        with pytest.raises(ValueError, match="1 rows are longer than 64"):
+            fn(df, "n", 64)
+    assert {r.idx: r.batch_id for r in S.fill_token_budget(df, "n", 64, over="null").collect()} == {0: 0, 1: None, 2: 0}
+    assert S.token_budget_batches(df, "n", 64, over="single").count() == 3
+    assert S.fill_token_budget(df.limit(0), "n", 64).collect() == []

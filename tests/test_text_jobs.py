@@ -16,3 +16,18 @@ def test_reports_and_filters(spark):
     scored = TJ.score_diversity(TJ.add_word_counts(TJ.add_words(pairs, "src"), "src"), "src")
     r = scored.filter("tgt = 'c'").first()
     assert r.src_words == ["a", "b"] and r.src_n_words == 2 and r.src_n_unique == 2 and r.ttr == 1.0
+
+
+def test_word_counter(spark):
+    from collections import Counter
+
+    from transpark.operators import text_jobs as J
+
+    texts = ["a b a", "", None, "  ", "x", "b a　b\tA b", "w " * 5000 + "v"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k INT, text STRING")
+    rows = J.add_word_counter(df, "text").orderBy("k").collect()
+    assert [r.text_counter for r in rows] == [None if t is None else dict(Counter(t.split())) for t in texts]
+    got = {(r.k, r.word): r.n for r in J.word_counts(df, "text", ["k"]).collect()}
+    assert got == {(k, w): n for k, t in enumerate(texts) for w, n in Counter((t or "").split()).items()}
+    plan = J.add_word_counter(df, "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan

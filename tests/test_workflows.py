@@ -1,3 +1,4 @@
+import os
 
 import pytest
 
@@ -100,3 +101,48 @@ def test_prepare_corpus(spark):
     assert r.src_tok == "A @-@ B test"
     assert len(r.src_ids) == 4 and all(i >= 4 for i in r.src_ids)
     assert set(vocab) == {"src", "tgt"}
+
+
+def test_a_loop_goes_on_where_it_stopped(spark, tmp_path):
+    """Stopped after round 1: a second start calls no function for rounds 0 and 1, and writes an unfinished round anew."""
+    mono = spark.createDataFrame([(i, f"w{i} x y z") for i in range(20)], "idx LONG, text STRING")
+    dev = spark.createDataFrame([(i, f"a b c d e{i}", f"e{i} d c b a") for i in range(8)], "idx LONG, src STRING, tgt STRING")
+    log, asked = tmp_path / "calls", []
+    log.mkdir()
+
+    def calls():
+        return sum(int(n) for f in log.iterdir() for n in f.read_text().split())
+
+    def make_fns(stop_at):
+        def fns(r, previous):
+            asked.append((r, None if previous is None else previous.count()))
+            if r == stop_at:
+                raise RuntimeError("driver lost")
+
+            def make():
+                def fn(texts):
+                    with open(f"{log}/{os.getpid()}", "a") as f:
+                        f.write(f"{len(texts)}\n")
+                    return [" ".join([str(r), *reversed(t.split())]) for t in texts]
+
+                return fn
+
+            return make, make
+
+        return fns
+
+    path = str(tmp_path / "loop")
+    whole, scores = WF.iterate_back_translation(mono, mono, make_fns(None), dev, 3, stop_eps=None)
+    with pytest.raises(RuntimeError):
+        WF.iterate_back_translation(mono, mono, make_fns(2), dev, 3, stop_eps=None, path=path)
+    spark.range(1).write.parquet(f"{path}/round2")  # data without a manifest: not finished
+    before, asked[:] = calls(), []
+    again, found = WF.iterate_back_translation(mono, mono, make_fns(None), dev, 3, stop_eps=None, path=path)
+    assert asked == [(2, 40)] and calls() - before == 48 and found == scores
+    for a, b in zip(whole, again):
+        assert sorted(map(tuple, a.select(*b.columns).collect())) == sorted(map(tuple, b.collect()))
+    before = calls()
+    WF.iterate_back_translation(mono, mono, make_fns(0), dev, 3, stop_eps=None, path=path)
+    assert calls() == before
+    with pytest.raises(ValueError):
+        WF.iterate_back_translation(mono, mono, make_fns(0), dev, 3, batch_size=7, stop_eps=None, path=path)

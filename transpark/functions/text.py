@@ -28,6 +28,21 @@ def words(col) -> Column:
     return F.filter(F.split(_c(col), WS_RUN), lambda w: w != F.lit(""))
 
 
+def word_counter(col) -> Column:
+    """The number of every distinct word, as ``map<word, count>`` in order of words: the sorted words, cut
+    where a new word begins. Null text has no map."""
+    ordered = F.sort_array(words(col))
+
+    def counted(s: Column) -> Column:
+        every = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(every, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        numbers = F.transform(starts, lambda a, j: (F.coalesce(F.get(starts, j + 1), F.size(s)) - a).cast("long"))
+        return F.map_from_arrays(F.transform(starts, lambda i: F.get(s, i)), numbers)
+
+    # by way of an array of one element, so that the sorted words are made once
+    return F.when(_c(col).isNotNull(), F.get(F.transform(F.array(ordered), counted), F.lit(0)))
+
+
 def ttr(col) -> Column:
     """Type-token ratio, case-sensitive; NULL for a blank line (the reference divides by zero there)."""
     w = words(col)

@@ -34,6 +34,16 @@ def _ranged(df: DataFrame, keys: list[Column], n: int) -> DataFrame:
     return materialize(ranged.select("*", pid.alias("_tp_pid"), pos.alias("_tp_pos")), "ranged")
 
 
+def _join_groups(df: DataFrame, of_groups: DataFrame, part: list[str]) -> DataFrame:
+    """Rows with what is known of their group; a null group is a group like others."""
+    same = F.lit(True)
+    for i, c in enumerate(part):
+        same = same & F.col(c).eqNullSafe(F.col(f"_tp_g{i}"))
+    names = [F.col(c).alias(f"_tp_g{i}") for i, c in enumerate(part)]
+    of_groups = of_groups.select(*names, *[c for c in of_groups.columns if c not in part])
+    return join_small(df, of_groups, same).drop(*[f"_tp_g{i}" for i in range(len(part))])
+
+
 def _offsets(ranged: DataFrame, weight: Column) -> DataFrame:
     """``_tp_pid, _tp_off``: the sum of ``weight`` in the ranges before (one row per range)."""
     before = Window.orderBy("_tp_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -63,7 +73,7 @@ def dense_index(
     out = join_small(ranged, _offsets(ranged, F.lit(1)), "_tp_pid").withColumn(name, F.col("_tp_off") + F.col("_tp_pos"))
     if part:
         firsts = out.groupBy(*part).agg(F.min(name).alias("_tp_first"))
-        out = join_small(out, firsts, part).withColumn(name, F.col(name) - F.col("_tp_first")).drop("_tp_first")
+        out = _join_groups(out, firsts, part).withColumn(name, F.col(name) - F.col("_tp_first")).drop("_tp_first")
     out = out.drop("_tp_pid", "_tp_pos", "_tp_off")
     if start:
         out = out.withColumn(name, F.col(name) + F.lit(start))
@@ -107,5 +117,5 @@ def prefix_sum(
     out = out.withColumn(name, F.col("_tp_off") + F.col("_tp_run"))
     if part:
         starts = out.groupBy(*part).agg(F.min(F.col(name) - F.col(weight)).alias("_tp_start"))
-        out = join_small(out, starts, part).withColumn(name, F.col(name) - F.col("_tp_start")).drop("_tp_start")
+        out = _join_groups(out, starts, part).withColumn(name, F.col(name) - F.col("_tp_start")).drop("_tp_start")
     return out.drop("_tp_pid", "_tp_pos", "_tp_run", "_tp_off")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transpark.operators.common import join_small
+from transpark.operators.numbering import dense_index
 
 CHUNK = 1 << 16  # windows hold at most CHUNK rows, the carry table rows/CHUNK per run
 
@@ -46,22 +47,42 @@ def best_checkpoint(metrics: DataFrame, run="run", step="step", value="value", m
     return metrics.groupBy(run).agg(best.alias("_b")).select(run, F.col("_b.s").alias("best_step"), F.col("_b.v").alias("best_value"))
 
 
+def best_checkpoints(
+    metrics: DataFrame, k: int, run="run", step="step", value="value", mode: str = "max", salts: int = 64
+) -> DataFrame:
+    """``run, rank, step, value`` of the ``k`` best steps of every run, ties to earlier steps; null values
+    are no candidates. Steps are dealt into ``salts`` parts of their run, of which the k best remain, so that the last
+    choice sees at most ``k * salts`` rows of a run; Spark keeps k rows before either shuffle."""
+    order = [(F.desc if mode == "max" else F.asc)("_v"), F.asc("_s")]
+    m = metrics.where(F.col(value).isNotNull()).select(F.col(run).alias("_r"), F.col(step).alias("_s"), F.col(value).alias("_v"))
+    m = m.withColumn("_salt", F.pmod(F.xxhash64("_s"), F.lit(salts)))
+    part = m.withColumn("rank", F.row_number().over(Window.partitionBy("_r", "_salt").orderBy(*order))).where(F.col("rank") <= k)
+    best = part.withColumn("rank", F.row_number().over(Window.partitionBy("_r").orderBy(*order))).where(F.col("rank") <= k)
+    return best.select(F.col("_r").alias(run), "rank", F.col("_s").alias(step), F.col("_v").alias(value))
+
+
 def early_stop_point(
     metrics: DataFrame, patience: int, run="run", step="step", value="value", mode: str = "max", chunk: int = CHUNK
 ) -> DataFrame:
     """First validation at which ``patience`` validations passed without a strict improvement.
 
-    ``step`` must be dense from 0 per run. Runs are cut into chunks of
-    ``chunk`` validations (default 65,536): windows run per (run, chunk), and what comes from
-    earlier chunks (best so far, last improving step) is carried by a small
+    Validations are counted per run in order of ``step``, whatever the distance between steps. Runs are cut
+    into chunks of ``chunk`` validations (default 65,536): windows run per (run, chunk), and what comes from
+    earlier chunks (best so far, last improving validation) is carried by a small
     per-chunk table, so a very long run is still spread over many tasks.
     Output: ``run, stop_step`` (NULL if never), ``best_step, best_value`` at that point
-    (or at the end of the run).
+    (or at the end of the run). A step given twice counts twice, in order of value.
     """
     sign = 1.0 if mode == "max" else -1.0
-    m = metrics.select(run, step, (F.col(value) * F.lit(sign)).alias("_v")).withColumn(
-        "_c", F.floor(F.col(step) / F.lit(chunk)).cast("long")
-    )
+    m = metrics.select(F.col(run).alias("_r"), F.col(step).alias("_step"), (F.col(value) * F.lit(sign)).alias("_v"))
+    m = dense_index(m, ["_step", "_v"], partition_by=["_r"], name="_n").withColumn("_c", F.floor(F.col("_n") / F.lit(chunk)).cast("long"))
+    out = _stop_of_validations(m, patience)
+    return out.select(F.col("_r").alias(run), "stop_step", "best_step", (F.col("best_value") * F.lit(sign)).alias("best_value"))
+
+
+def _stop_of_validations(m: DataFrame, patience: int) -> DataFrame:
+    """``_r, stop_step, best_step, best_value`` of ``_r, _n`` (validation), ``_c`` (chunk), ``_step, _v``."""
+    run, step = "_r", "_n"
     chunks = m.groupBy(run, "_c").agg(F.max("_v").alias("_cmax"))
     wc = Window.partitionBy(run).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("_prev", F.max("_cmax").over(wc))
@@ -80,10 +101,8 @@ def early_stop_point(
     rows = rows.withColumn("_last", F.coalesce("_last_in", "_carry")).withColumn("_wait", F.col(step) - F.col("_last"))
     stops = rows.groupBy(run).agg(F.min(F.when(F.col("_wait") >= patience, F.col(step))).alias("stop_step"))
     with_stop = join_small(m, stops, [run]).filter(F.col("stop_step").isNull() | (F.col(step) <= F.col("stop_step")))
-    best = with_stop.groupBy(run).agg(
-        F.max("stop_step").alias("stop_step"),
-        F.max(F.struct(F.col("_v").alias("v"), (-F.col(step)).alias("s"))).alias("_b"),
-    )
-    return best.select(
-        run, "stop_step", (-F.col("_b.s")).alias("best_step"), (F.col("_b.v") * F.lit(sign)).alias("best_value")
+    return with_stop.groupBy(run).agg(
+        F.max(F.when(F.col(step) == F.col("stop_step"), F.col("_step"))).alias("stop_step"),
+        F.max_by("_step", F.struct(F.col("_v"), -F.col(step))).alias("best_step"),
+        F.max("_v").alias("best_value"),
     )

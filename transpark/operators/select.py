@@ -17,6 +17,7 @@ ones that would change the number of rows kept raise an error.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -224,8 +225,12 @@ def token_budget_batches(
     idx: str = "idx",
     bucket_width: int = 16,
     by: list[str] | None = None,
+    over: str = "raise",
 ) -> DataFrame:
-    """Batches of similar length holding at most ``max_tokens`` padded tokens.
+    """W2 in fixed buckets: batches of similar length holding at most ``max_tokens`` padded tokens.
+
+    A row longer than ``max_tokens`` fits no batch: it raises an error, or with ``over="single"`` it is a
+    batch of its own, over the budget. ``fill_token_budget`` makes fewer batches.
 
     Rows fall into length buckets of ``bucket_width``; inside a bucket they are
     ordered by (length, idx) and cut into runs of ``floor(max_tokens / bucket upper
@@ -234,8 +239,60 @@ def token_budget_batches(
     corpus is still spread over many tasks; only these columns are sorted.
     """
     by = list(by or [])
+    if over == "raise":
+        _refuse_long(df, length_col, max_tokens)
     b = df.withColumn("bucket", (F.greatest(F.col(length_col), F.lit(1)) - 1).cast("long") / F.lit(bucket_width))
     b = b.withColumn("bucket", F.floor("bucket").cast("long"))
     ranked = number_by_key(b, [length_col, idx], partition_by=[*by, "bucket"], name="_rank")
     cap = F.greatest(F.lit(1), F.floor(F.lit(max_tokens) / ((F.col("bucket") + 1) * F.lit(bucket_width)))).cast("long")
     return ranked.withColumn("batch_in_bucket", F.floor(F.col("_rank") / cap).cast("long")).drop("_rank")
+
+
+def _refuse_long(df: DataFrame, length_col: str, max_tokens: int) -> None:
+    long = df.where(F.col(length_col) > max_tokens).agg(F.count("*"), F.max(length_col)).first()
+    if long[0]:
+        raise ValueError(f"{long[0]} rows are longer than {max_tokens} tokens, up to {long[1]}")
+
+
+def fill_token_budget(
+    df: DataFrame, length_col: str, max_tokens: int, idx: str = "idx", by: list[str] | None = None, name: str = "batch_id", over: str = "raise"
+) -> DataFrame:
+    """Batches filled one after the other in order of (length, ``idx``): a row joins the open batch as long as
+    rows times longest row stay within ``max_tokens``, and opens the next one otherwise. ``name`` counts the
+    batches of a group (``by``) from 0.
+
+    Rows of one length are alike, so the filling is worked out on the counts of lengths, at most ``max_tokens``
+    numbers for a group however many rows it has; a row finds its batch from its place among the rows of its length,
+    which are numbered without gathering them. Null lengths and those below 1 count as 1. Rows longer than
+    ``max_tokens`` raise an error, or with ``over="null"`` have no batch and are thus reported."""
+    by = list(by or [])
+    if over == "raise":
+        _refuse_long(df, length_col, max_tokens)
+    length = F.greatest(F.coalesce(F.col(length_col), F.lit(1)), F.lit(1)).cast("long")
+    rows = df.withColumn("_len", length)
+    ranked = number_by_key(rows.where(F.col("_len") <= max_tokens), [idx], partition_by=[*by, "_len"], name="_rank")
+    # a struct of the group as the key, so that null groups are groups
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)], F.lit(0).alias("_"))
+    counts = rows.where(F.col("_len") <= max_tokens).groupBy(F.to_json(key).alias("_group"), "_len").agg(F.count("*").alias("_n"))
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, batch, held = [], 0, 0
+        for group, size, n in sorted(pdf.itertuples(index=False), key=lambda r: r[1]):
+            cap = max_tokens // size
+            if held >= cap:  # the open batch has no room for a row of this length
+                batch, held = batch + 1, 0
+            out.append((group, size, batch, cap - held))
+            full, held = divmod(held + n, cap)
+            batch += full
+            if held == 0:  # just filled: still the open one
+                batch, held = batch - 1, cap
+        return pd.DataFrame(out, columns=["_group", "_len", "_first", "_room"])
+
+    fills = counts.groupBy("_group").applyInPandas(fill, "_group string, _len long, _first long, _room long")
+    placed = join_small(ranked.withColumn("_group", F.to_json(key)), fills, ["_group", "_len"])
+    later = F.col("_rank") - F.col("_room")
+    batch = F.when(later < 0, F.col("_first")).otherwise(F.col("_first") + 1 + F.floor(later / F.floor(F.lit(max_tokens) / F.col("_len"))))
+    placed = placed.withColumn(name, batch.cast("long")).select(*df.columns, name)
+    if over == "raise":
+        return placed
+    return placed.unionByName(rows.where(F.col("_len") > max_tokens).withColumn(name, F.lit(None).cast("long")).select(*df.columns, name))

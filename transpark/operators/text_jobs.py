@@ -27,6 +27,16 @@ def add_word_counts(df: DataFrame, col: str) -> DataFrame:
     )
 
 
+def add_word_counter(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
+    """The words of a row with their numbers, as a map; nothing is exploded or shuffled."""
+    return df.withColumn(out or f"{col}_counter", T.word_counter(col))
+
+
+def word_counts(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
+    """P2 exploded: ``keys..., word, n``, a row for each distinct word of a row."""
+    return df.select(*keys, F.explode(T.word_counter(col)).alias("word", "n"))
+
+
 def score_diversity(df: DataFrame, col: str = "src", out: str = "ttr") -> DataFrame:
     """Type-token ratio (NULL for blank text)."""
     return df.withColumn(out, T.ttr(col))

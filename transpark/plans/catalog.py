@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from transpark.functions import text as T
 from transpark.operators import bleu as B
 from transpark.operators import select as S
+from transpark.operators import text_jobs as TJ
 from transpark.operators.numbering import dense_index, number_by_key
 from transpark.plans import oracle_sql as Q
 from transpark.session import materialize
@@ -65,6 +66,27 @@ def word_stats(spark, d):
     )
 
 
+@register(
+    "word_counts",
+    f"""SELECT doc_id, word, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest({Q.words('text')}) AS word FROM documents) GROUP BY doc_id, word""",
+)
+def word_counts(spark, d):
+    """P2 exploded: the number of every word of a document."""
+    return TJ.word_counts(table(spark, d, "documents"), "text", ["doc_id"])
+
+
+@register(
+    "word_counter",
+    f"""SELECT doc_id, coalesce(string_agg(word || '=' || n, ' ' ORDER BY word), '') AS counter FROM (
+          SELECT doc_id, word, count(*) FILTER (word IS NOT NULL) AS n FROM (
+            SELECT doc_id, unnest(CASE WHEN len({Q.words('text')}) = 0 THEN [NULL] ELSE {Q.words('text')} END) AS word FROM documents) GROUP BY doc_id, word) GROUP BY doc_id""",
+)
+def word_counter(spark, d):
+    """The counter of every document, as text."""
+    docs = TJ.add_word_counter(table(spark, d, "documents"), "text", "c")
+    return docs.select("doc_id", F.array_join(F.transform(F.map_entries("c"), lambda e: F.concat_ws("=", e["key"], e["value"])), " ").alias("counter"))
+
+
 # --- T1/T2: diversity selection ---------------------------------------------
 
 
@@ -450,7 +472,7 @@ def pad_to_batch_max(spark, d):
         WHERE len({Q.words('src')}) BETWEEN 2 AND 200 AND len({Q.words('tgt')}) BETWEEN 2 AND 200""",
 )
 def drop_invalid_size(spark, d):
-    from transpark.operators.text_jobs import drop_invalid_size as drop
+    drop = TJ.drop_invalid_size
 
     return drop(conversation_pairs(spark, d), ("src", "tgt"), 2, 200).select("conv_id", "turn")
 
@@ -474,10 +496,25 @@ def assign_batches(spark, d):
 )
 def token_budget_batches(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.size(T.words("text")).cast("long").alias("n_words"))
-    out = S.token_budget_batches(docs, "n_words", 4096, idx="doc_id", bucket_width=64)
+    out = S.token_budget_batches(docs, "n_words", 4096, idx="doc_id", bucket_width=64, over="single")
     return out.select("doc_id", "n_words", "bucket", "batch_in_bucket")
 
 
+@register(
+    "fill_token_budget",
+    f"""WITH RECURSIVE d AS (SELECT doc_id, lang, len({Q.words('text')})::BIGINT AS n_words FROM documents),
+        o AS (SELECT doc_id, lang, greatest(n_words, 1) AS n, row_number() OVER (PARTITION BY lang ORDER BY greatest(n_words, 1), doc_id) AS k FROM d WHERE n_words <= 4096),
+        r AS (SELECT doc_id, lang, k, 0::BIGINT AS batch_id, 1::BIGINT AS held FROM o WHERE k = 1
+              UNION ALL SELECT o.doc_id, o.lang, o.k, r.batch_id + CASE WHEN (r.held + 1) * o.n <= 4096 THEN 0 ELSE 1 END, CASE WHEN (r.held + 1) * o.n <= 4096 THEN r.held + 1 ELSE 1 END
+              FROM r JOIN o ON o.lang = r.lang AND o.k = r.k + 1)
+        SELECT d.doc_id, d.lang, n_words, batch_id FROM d LEFT JOIN r ON r.doc_id = d.doc_id""",
+)
+def fill_token_budget(spark, d):
+    """The exact filling by language; documents over the budget have no batch."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.size(T.words("text")).cast("long").alias("n_words"))
+    return S.fill_token_budget(docs, "n_words", 4096, idx="doc_id", by=["lang"], over="null")
+
+
 # --- S5/J4: generation logs -----------------------------------------------------------
 
 import uuid  # noqa: E402
@@ -568,7 +605,6 @@ def generation_log_files(spark, d):
 # --- P8-P13: text jobs -------------------------------------------------------------------
 
 from transpark.functions import rules as RL  # noqa: E402
-from transpark.operators import text_jobs as TJ  # noqa: E402
 
 
 def _sql_rules(x: str, rules) -> str:
@@ -798,6 +834,31 @@ def best_checkpoint(spark, d):
     return RN.best_checkpoint(_metric_log(spark, d), "run", "step", "value")
 
 
+@register(
+    "best_checkpoints",
+    f"""SELECT run, r AS rank, step, value FROM (
+          SELECT *, (row_number() OVER (PARTITION BY run ORDER BY value DESC, step))::INTEGER AS r FROM ({_LOG_SQL})) WHERE r <= 3""",
+)
+def best_checkpoints(spark, d):
+    """The three best steps of every run."""
+    return RN.best_checkpoints(_metric_log(spark, d), 3, "run", "step", "value")
+
+
+@register(
+    "early_stop_sparse",
+    f"""WITH l AS (SELECT run, step * step * 10 AS step, value, step AS k FROM ({_LOG_SQL})),
+        a AS (SELECT *, max(value) OVER (PARTITION BY run ORDER BY k) AS top FROM l),
+        f AS (SELECT run, value, min(k) AS first FROM l GROUP BY run, value),
+        s AS (SELECT a.run, min(a.k) AS stop FROM a JOIN f ON f.run = a.run AND f.value = a.top WHERE a.k - f.first >= 8 GROUP BY a.run),
+        b AS (SELECT l.*, s.stop, row_number() OVER (PARTITION BY l.run ORDER BY value DESC, k) AS r FROM l LEFT JOIN s USING (run) WHERE s.stop IS NULL OR k <= s.stop)
+        SELECT b.run, l.step AS stop_step, b.step AS best_step, b.value AS best_value FROM b LEFT JOIN l ON l.run = b.run AND l.k = b.stop WHERE r = 1""",
+)
+def early_stop_sparse(spark, d):
+    """A12 over steps that lie apart: validations are counted, not steps."""
+    log = _metric_log(spark, d).withColumn("step", F.col("step") * F.col("step") * 10)
+    return RN.early_stop_point(log, 8, "run", "step", "value").select("run", "stop_step", "best_step", "best_value")
+
+
 @register(
     "early_stop_point",
     f"""WITH l AS ({_LOG_SQL}),

@@ -8,6 +8,7 @@ F4 evaluate_runs        many runs' segments -> BLEU (corpus and batch mean/stdev
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from transpark.operators import runs as RN
 from transpark.operators import select as S
 from transpark.operators import udf as U
 from transpark.operators import vocab as V
-from transpark.session import materialize
+from transpark.session import get_text, materialize, put_text
 from transpark.sources.sinks import append_run_log
 
 
@@ -92,30 +93,57 @@ def iterate_back_translation(
     stop_eps: float | None = 0.0,
     batch_size: int = 32,
     bleu_batch: int = 32,
+    path: str | None = None,
 ):
     """round r uses ``make_fns(r, previous) = (forward, backward)``, where ``previous`` is the data of
     round r-1 (None at first): what trains or fits models on it goes there. Each round back-translates
-    both monolingual sides, writes the round's data under the checkpoint folder (lineage cut) and
-    scores the forward function on ``dev`` (``idx, src, tgt``) with mean batch BLEU; it stops when the
-    gain is below ``stop_eps`` (None: never). Returns (list of round datasets, list of dev scores)."""
+    both monolingual sides, writes the round's data (lineage cut) and scores the forward function on ``dev``
+    (``idx, src, tgt``) with mean batch BLEU; it stops when the gain is below ``stop_eps`` (None: never).
+    Returns (list of round datasets, list of dev scores).
+
+    With ``path`` (a shared folder) round r is kept there as the Parquet folder ``round<r>`` and, once it is
+    complete, the manifest ``round<r>.json`` with its score, rows and settings. A loop that starts again on the
+    folder reads finished rounds back and calls neither ``make_fns`` nor a function for them; what
+    an unfinished round left is written anew. Other settings than those of the manifest raise an error."""
     datasets, scores = [], []
+    spark = mono_src.sparkSession
+    settings = {"batch_size": batch_size, "bleu_batch": bleu_batch}
     for r in range(rounds):
-        fwd, bwd = make_fns(r, datasets[-1] if datasets else None)
-        a = back_translate(mono_tgt, bwd, text_col="text", batch_size=batch_size)  # tgt text -> synthetic src
-        b = back_translate(mono_src, fwd, text_col="text", batch_size=batch_size)  # src text -> synthetic tgt
-        b = b.select("idx", F.col("tgt").alias("src"), F.col("src").alias("tgt"), "split")
-        data = materialize(
-            a.withColumn("direction", F.lit("bt")).unionByName(b.withColumn("direction", F.lit("ft"))), f"round{r}"
-        )
-        datasets.append(data)
-        hyp = U.translate_corpus(dev.select("idx", "src", "tgt"), fwd, "src", "hyp", batch_size)
-        stats = B.segment_stats(hyp.select("idx", "hyp", F.col("tgt").alias("ref")), keys=["idx"])
-        scores.append(B.bleu_mean(stats, bleu_batch).collect()[0]["bleu_mean"])  # one row
+        folder = f"{path.rstrip('/')}/round{r}" if path else None
+        done = json.loads(get_text(spark, f"{folder}.json") or "null") if folder else None
+        if done and done["settings"] != settings:
+            raise ValueError(f"{folder}.json is of a loop with other settings: {done['settings']}")
+        if done:
+            datasets.append(spark.read.parquet(folder))
+            scores.append(done["score"])
+        else:
+            data, score = _bt_round(r, mono_src, mono_tgt, make_fns, datasets[-1] if datasets else None, dev, batch_size, bleu_batch, folder)
+            datasets.append(data)
+            scores.append(score)
+            if folder:
+                put_text(spark, f"{folder}.json", json.dumps({"round": r, "score": score, "rows": data.count(), "settings": settings}))
         if stop_eps is not None and r and scores[-1] - scores[-2] < stop_eps:
             break
     return datasets, scores
 
 
+def _bt_round(r: int, mono_src, mono_tgt, make_fns, previous, dev, batch_size: int, bleu_batch: int, folder: str | None) -> tuple[DataFrame, float]:
+    """The stored data of a round and its score."""
+    fwd, bwd = make_fns(r, previous)
+    a = back_translate(mono_tgt, bwd, text_col="text", batch_size=batch_size)  # tgt text -> synthetic src
+    b = back_translate(mono_src, fwd, text_col="text", batch_size=batch_size)  # src text -> synthetic tgt
+    b = b.select("idx", F.col("tgt").alias("src"), F.col("src").alias("tgt"), "split")
+    data = a.withColumn("direction", F.lit("bt")).unionByName(b.withColumn("direction", F.lit("ft")))
+    if folder:
+        data.write.mode("overwrite").parquet(folder)
+        data = data.sparkSession.read.parquet(folder)
+    else:
+        data = materialize(data, f"round{r}")
+    hyp = U.translate_corpus(dev.select("idx", "src", "tgt"), fwd, "src", "hyp", batch_size)
+    stats = B.segment_stats(hyp.select("idx", "hyp", F.col("tgt").alias("ref")), keys=["idx"])
+    return data, B.bleu_mean(stats, bleu_batch).collect()[0]["bleu_mean"]  # one row
+
+
 def evaluate_runs(
     segments: DataFrame, batch_size: int = 32, testset_of=None, make_scorer=None, log_path: str | None = None
 ) -> dict[str, DataFrame]:

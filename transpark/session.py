@@ -50,6 +50,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file with one content, complete under its name or not there at all."""
+    jvm = spark._jvm
+    goal = jvm.org.apache.hadoop.fs.Path(path)
+    fs = goal.getFileSystem(spark._jsc.hadoopConfiguration())
+    made = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(made, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    fs.delete(goal, False)
+    if not fs.rename(made, goal):
+        raise OSError(f"{made} could not be renamed to {goal}")
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """The content of a small file, None if there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    finally:
+        stream.close()
+
+
 _WRITTEN: list[str] = []  # intermediate tables of this process, for release()
 
 
