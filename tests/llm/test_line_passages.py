@@ -97,3 +97,45 @@ def test_runs_of_one_hash_and_other_bytes_stay(spark):
     wanted = keyed.select(F.col("_id").alias("doc_id"), F.col("_th").alias("th"), F.array(run).alias("wanted"))
     got = {r.doc_id: r.deduped for r in _without_runs(keyed, wanted, Scratch(spark, "test"), docs.schema).collect()}
     assert got == {1: "One two. Three four.", 2: "", 3: "Five six. Seven."}
+
+
+def test_cover_holds_the_same_lines():
+    import numpy as np
+
+    from transpark.llm.line_dedup import cover
+
+    rng = random.Random(4)
+    for _ in range(300):
+        found = [(p, p + rng.randint(1, 6)) for p in (rng.randrange(40) for _ in range(rng.randrange(25)))]
+        held = lambda rs: {i for a, b in rs for i in range(a, b)}
+        few = [found[i] for i in cover(*np.array(found, np.int64).reshape(-1, 2).T).tolist()]
+        assert held(few) == held(found) and all(held(few[:i] + few[i + 1 :]) != held(found) for i in range(len(few)))
+
+
+def test_runs_of_several_texts_are_those_of_each():
+    import numpy as np
+
+    from transpark.llm.line_dedup import run_hashes, runs
+
+    rng = random.Random(6)
+    texts = [[rng.choice([1, 2, 5, 11, 13, 45]) for _ in range(rng.randrange(9))] for _ in range(60)]
+    words = np.array([w for t in texts for w in t], np.int64)
+    sizes = [len(t) for t in texts]
+    first, last = runs(words, np.repeat(np.cumsum(sizes), sizes))
+    got, base = [], 0
+    want = []
+    for t in texts:
+        enough = lambda i, j: j - i >= 2 and sum(t[i:j]) >= LEAST_WORDS  # noqa: E731, B023
+        spans = {(i, i + 1) for i, w in enumerate(t) if w >= LONG_LINE}
+        spans |= {(i, next(j for j in range(i + 2, len(t) + 1) if enough(i, j))) for i in range(len(t)) if any(enough(i, j) for j in range(i + 2, len(t) + 1))}
+        spans |= {(next(i for i in range(j - 2, -1, -1) if enough(i, j)), j) for j in range(2, len(t) + 1) if any(enough(i, j) for i in range(j - 1))}
+        want += sorted((base + i, base + j) for i, j in spans)
+        base += len(t)
+    got = sorted(zip(first.tolist(), last.tolist()))
+    assert got == sorted(want)
+    hashes = np.array([rng.getrandbits(64) for _ in words], np.uint64)
+    twice = np.concatenate((hashes[:5], hashes, hashes[:5]))
+    n = len(hashes)
+    at = run_hashes(twice, np.array([0, 5, n + 5, 1]), np.array([4, 9, n + 9, 5]))
+    assert at[0] == at[1] == at[2] != at[3]
+    assert runs(np.zeros(0, np.int64), np.zeros(0, np.int64))[0].tolist() == []

@@ -25,17 +25,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from transpark.llm.common import Scratch, map_batches, small_batches, table
+from transpark.llm.common import Scratch, map_batches, mix64, small_batches, table
+from transpark.operators.common import join_small
 
 AVERAGE = 4  # lines between chunk boundaries, on average
 MOST_LINES = 32  # a chunk ends after as many
@@ -122,47 +123,58 @@ def lines(text: str) -> list[bytes]:
     return out
 
 
-def runs(parts: list[bytes]) -> list[tuple[int, int]]:
-    """(first line, line after the last) of the runs that count as passages."""
-    n = len(parts)
-    words = [p.count(b" ") + 1 for p in parts]
-    total = [0, *accumulate(words)]
-    out = [(i, i + 1) for i, w in enumerate(words) if w >= LONG_LINE]
-    j = 0
-    for i in range(n - 1):
-        j = max(j, i + 2)
-        while j <= n and total[j] - total[i] < LEAST_WORDS:
-            j += 1
-        if j > n:
-            break
-        out.append((i, j))
-    i, from_start = n, set(out)
-    for j in range(n, 1, -1):
-        i = min(i, j - 2)
-        while i >= 0 and total[j] - total[i] < LEAST_WORDS:
-            i -= 1
-        if i < 0:
-            break
-        if (i, j) not in from_start:
-            out.append((i, j))
-    return out
+def runs(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first line, line after the last) of the runs that count as passages, of the lines of several texts
+    one after the other: from their numbers of words, and the end of the text that each line belongs to."""
+    n = len(words)
+    total = np.concatenate(([0], np.cumsum(words)))
+    line = np.arange(n)
+    bounds = np.unique(ends)
+    text_start = np.concatenate(([0], bounds))[np.searchsorted(bounds, line, "right")]
+    after = np.maximum(np.searchsorted(total, total[:-1] + LEAST_WORDS), line + 2)
+    forward = after <= ends
+    stop = line + 1
+    before = np.minimum(np.searchsorted(total, total[1:] - LEAST_WORDS, "right") - 1, stop - 2)
+    backward = before >= text_start
+    long = words >= LONG_LINE
+    first = np.concatenate((line[forward], before[backward], line[long]))
+    last = np.concatenate((after[forward], stop[backward], stop[long]))
+    both = np.unique(first * (n + 1) + last)
+    return both // (n + 1), both % (n + 1)
+
+
+_BASE = 0x9E3779B97F4A7C15  # of the rolling hash, odd
+_INVERSE = pow(_BASE, -1, 2**64)
+
+
+def run_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A rolling hash over line hashes: of every run, the sum of its lines' hashes times powers of ``_BASE``."""
+    n = len(hashes)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, _BASE, np.uint64))))
+        inverse = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, _INVERSE, np.uint64))))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * power[:n])))
+        return mix64((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
 
 
 def _run_hashes(batch: pa.RecordBatch, bits: np.ndarray | None = None) -> dict:
     """Hashes of all runs; with ``bits`` the runs whose hashes they hold, with their places."""
-    out: dict[str, list] = {"doc_id": [], "th": [], "pos": [], "n_lines": [], "h": []}
-    for doc_id, th, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "th", "text"))):
-        parts = [p.strip() for p in lines(text)]
-        found = runs(parts)
-        hashes = [xxhash.xxh3_64_intdigest(b"\n".join(parts[i:j])) - 2**63 for i, j in found]
-        if bits is None:
-            out["h"] += hashes
-            continue
-        for (i, j), h in zip(found, hashes):
-            if bits[(h & (1 << FILTER_BITS) - 1) >> 3] >> (h & 7) & 1:
-                for k, v in zip(out, (doc_id, th, i, j - i, h)):
-                    out[k].append(v)
-    return {k: pa.array(v, {"pos": pa.int32(), "n_lines": pa.int32()}.get(k, pa.int64())) for k, v in out.items() if bits is not None or k == "h"}
+    parts = [[p.strip() for p in lines(t)] for t in batch.column("text").to_pylist()]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    flat = [p for x in parts for p in x]
+    words = np.fromiter((p.count(b" ") + 1 for p in flat), np.int64, len(flat))
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    first, last = runs(words, ends)
+    hashes = run_hashes(np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat)), first, last).view(np.int64)
+    if bits is None:
+        return {"h": hashes}
+    at = hashes & (1 << FILTER_BITS) - 1
+    there = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    first, last, hashes = first[there], last[there], hashes[there]
+    text = np.searchsorted(np.cumsum(sizes), first, "right")
+    place = first - (np.cumsum(sizes) - sizes)[text]
+    keys = {k: batch.column(k).take(pa.array(text)) for k in ("doc_id", "th")}
+    return keys | {"pos": place.astype(np.int32), "n_lines": (last - first).astype(np.int32), "h": hashes}
 
 
 def _filter(hashes: DataFrame) -> np.ndarray:
@@ -215,21 +227,54 @@ def _repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return _compared(found, "pos").select("doc_id", "th", "pos")
 
 
+def cover(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places of a few runs that hold the same lines as all of them: from the first line not held on,
+    always the run that reaches furthest."""
+    order = np.lexsort((-ends, starts))
+    reach = np.maximum.accumulate(ends[order])
+    order = order[np.concatenate((np.ones(min(1, len(order)), bool), reach[1:] > reach[:-1]))]  # the others lie inside one before
+    s, e = starts[order].tolist(), ends[order].tolist()
+    out, held, i, n = [], -1, 0, len(s)
+    while i < n:
+        line = max(held, s[i])  # the first line not held
+        while i + 1 < n and s[i + 1] <= line:
+            i += 1
+        out.append(i)
+        held = e[i]
+        i += 1
+    return order[out]
+
+
+def _covers(batch: pa.RecordBatch) -> dict:
+    found = batch.column("found")
+    row, flat = pc.list_parent_indices(found).to_numpy().astype(np.int64), pc.list_flatten(found)
+    pos, n_lines = (flat.field(k).to_numpy().astype(np.int64) for k in ("pos", "n_lines"))
+    apart = row * (int((pos + n_lines).max(initial=0)) + 1)  # the runs of a batch's texts on one line
+    few = pa.array(cover(apart + pos, apart + pos + n_lines))
+    keys = {k: batch.column(k).take(pa.array(row)).take(few) for k in ("doc_id", "th")}
+    return keys | {k: flat.field(k).take(few) for k in ("pos", "n_lines", "h", "n")}
+
+
 def _repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``doc_id, th, wanted`` (runs as ``pos, n_lines, h, n, is_first``) of the documents with repeated runs:
-    bare hashes are counted first, places move for runs alone that pass the bitmap of repeated hashes."""
+    """``doc_id, th, wanted`` (runs as ``pos, n_lines, h, n, is_first``) of the documents whose bytes are needed:
+    bare hashes are counted first, places move for runs alone that pass the bitmap of repeated hashes, and of
+    a document's repetitions as many runs are compared as hold all its repeated lines."""
     hashes = map_batches(docs, _run_hashes, "h long")
     repeated = scratch.write(hashes.groupBy("h").count().where("count > 1").select("h"), "repeated")
     bits = docs.sparkSession.sparkContext.broadcast(_filter(repeated))
     schema = "doc_id long, th long, pos int, n_lines int, h long"
     narrow = scratch.write(map_batches(docs, lambda b: _run_hashes(b, bits.value), schema), "runs")
     place = F.struct("doc_id", "th", "pos")
-    first = narrow.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
-    first = first.where("first <> last").select("h", "n", "first")
-    found = narrow.join(first, "h").withColumn("is_first", (place == F.col("first")).cast("int"))
-    overlaps = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("pos") < F.col("first.pos") + F.col("n_lines"))
-    found = found.where((F.col("is_first") == 1) | ~overlaps)
-    return found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "n_lines", "h", "n", "is_first")).alias("wanted"))
+    first = narrow.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos", "n_lines")).alias("first"), F.max(place).alias("last"))
+    first = scratch.write(first.where(F.struct("first.doc_id", "first.th", "first.pos") != F.col("last")).select("h", "n", "first"), "first")
+    found = narrow.join(first, "h")
+    at_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    later = found.where(~(at_first & (F.col("pos") < F.col("first.pos") + F.col("n_lines"))))
+    of_doc = later.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "n_lines", "h", "n")).alias("found"))
+    chosen = scratch.write(map_batches(of_doc, _covers, "doc_id long, th long, pos int, n_lines int, h long, n long"), "chosen")
+    needed = chosen.select("h").distinct().join(first, "h").select("first.*", "h", "n").withColumn("is_first", F.lit(1))
+    both = chosen.withColumn("is_first", F.lit(0)).unionByName(needed)
+    return both.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "n_lines", "h", "n", "is_first")).alias("wanted"))
 
 
 def _compared(found: DataFrame, *columns: str, equal: bool = True) -> DataFrame:
@@ -261,14 +306,26 @@ def _with_result(schema: StructType) -> str:
 
 
 def _without_runs(keyed: DataFrame, wanted: DataFrame, scratch: Scratch, schema: StructType) -> DataFrame:
-    """Documents without the lines of their repeated runs. Texts move once, to their runs; runs of one hash
+    """Documents without the lines of their repeated runs. Texts with wanted runs move once, to their runs,
+    the others not at all: a bitmap of the keys tells them apart where they are. Runs of one hash
     and different bytes, hardly ever any, are what is joined afterwards."""
-    wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("wanted").alias("_wanted"))
-    joined = scratch.write(keyed.join(wanted, ["_id", "_th"], "left"), "joined")
+    wanted = scratch.write(wanted.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("wanted").alias("_wanted")), "wanted")
+    key = F.xxhash64("_id", "_th")
+    bits = keyed.sparkSession.sparkContext.broadcast(_filter(wanted.select(key.alias("h"))))
+
+    @F.pandas_udf("boolean")
+    def asked(h: pd.Series) -> pd.Series:
+        at = h.to_numpy() & (1 << FILTER_BITS) - 1
+        return pd.Series((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    keyed = keyed.withColumn("_asked", asked(key))
+    names = [f.name for f in schema]
+    stay = keyed.where(~F.col("_asked")).select(*names, F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("deduped"))
+    joined = scratch.write(keyed.where("_asked").drop("_asked").join(wanted, ["_id", "_th"], "left"), "joined")
     bodies = map_batches(joined.where("_wanted is not null").select("_id", "_th", "text", "_wanted"), _run_bodies, "doc_id long, th long, pos int, n_lines int, h long, n long, is_first int, body binary")
     other = scratch.write(_compared(bodies, "pos", "n_lines", equal=False), "other")
     other = other.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("pos", "n_lines")).alias("_other"))
-    joined = joined.join(F.broadcast(other), ["_id", "_th"], "left").drop("_id", "_th")
+    joined = join_small(joined, other, ["_id", "_th"], "left").select(*names, "_wanted", "_other")
 
     def rebuild(batch: pa.RecordBatch) -> dict:
         n_removed, deduped = [], []
@@ -283,7 +340,7 @@ def _without_runs(keyed: DataFrame, wanted: DataFrame, scratch: Scratch, schema:
         keep = {c: batch.column(c) for c in batch.schema.names if c not in ("_wanted", "_other")}
         return keep | {"n_removed": n_removed, "deduped": pa.array(deduped, pa.string())}
 
-    return map_batches(joined, rebuild, _with_result(schema))
+    return map_batches(joined, rebuild, _with_result(schema)).unionByName(stay)
 
 
 def dedup_lines(docs: DataFrame, passages: bool = False) -> DataFrame:
