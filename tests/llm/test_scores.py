@@ -92,3 +92,18 @@ def test_disguised_words_are_learnt(spark):
     assert got[1] > 0.7 and got[4] > 0.5 and max(got[2], got[3]) < 0.3
 
 
+
+
+def test_sample_of_any_share(spark):
+    """The bounded sample is about as large as asked for, also where its share of the labels is tiny."""
+    from pyspark.sql import functions as F
+
+    from transpark.llm.quality import labelled_sample
+
+    docs = spark.range(400_000).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    for rows in (3000, 40):
+        assert 0.5 * rows < labelled_sample(docs, labels, "quality", rows).count() < 1.7 * rows
+    share = 5e-8  # as of 4 * 10^11 labels
+    chance = F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double") / float(1 << 53)
+    assert 0 < spark.range(200_000_000).where(chance < share).count() < 40

@@ -142,7 +142,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold_of("doc_id", FOLDS) != HELD_OUT)).distinct()
     share = min(1.0, rows / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else known
+    chance = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / float(1 << 53)  # of any share, however small
+    known = known.where(chance < share) if share < 1 else known
     # at most about SAMPLE_ROWS rows of two numbers: broadcast
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
 
