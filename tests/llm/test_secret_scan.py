@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import string
 from collections import Counter
 
 from helpers import EDGE, documents, edge_docs, no_docs
@@ -24,16 +25,36 @@ def base(text):
     return sorted(out)
 
 
+HEX, B36 = string.digits + "abcdef", string.digits + string.ascii_lowercase
+B32, B64 = string.ascii_uppercase + "234567", string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"
+
+
+def candidates(text, spans):
+    """(start, characters) of the parts outside the base spans, code point by code point."""
+    taken = set().union(*(range(s, e) for s, _, e in spans))
+    for m in re.finditer("[A-Za-z0-9+/_-]{20,}={0,2}", text):
+        at = m.start()
+        while at < m.end():
+            end = at
+            while end < m.end() and end not in taken:
+                end += 1
+            if len(text[at:end].rstrip("=")) >= 20:
+                yield at, text[at:end]
+            at = end + 1
+
+
 def added(text, spans):
     """The battery in plain Python."""
     tests = []
-    for m in re.finditer(ss.CANDIDATE, text):
-        v = m[0]
-        if not re.search("[0-9]|[a-z][A-Z]", v) or not re.search("[A-Za-z]", v) or any(m.start() < e and s < m.end() for s, _, e in spans):
+    for at, v in candidates(text, spans):
+        if not re.search("[0-9]|[a-z][A-Z]", v) or not re.search("[A-Za-z]", v):
             continue
-        b = 16 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", v) else 32 if re.fullmatch("[A-Z2-7]+=*", v) else 62 if re.fullmatch("[0-9A-Za-z]+", v) else 64
-        v = v.rstrip("=").replace("-", "+").replace("_", "/")
-        c = [ss._ALPHABETS[b].index(ch) for ch in (v.lower() if b == 16 else v)]
+        v, end = v.rstrip("=").replace("-", "+").replace("_", "/"), at + len(v)
+        one_case = v in (v.lower(), v.upper())
+        b = 16 if set(v.lower()) <= set(HEX) else 32 if one_case and set(v.upper()) <= set(B32) else 64
+        if b == 64 and v.isalnum() and end == at + len(v):
+            b = 36 if one_case else 62
+        c = [{16: HEX, 32: B32, 36: B36, 62: B64, 64: B64}[b].index(ch) for ch in (v.upper() if b == 32 else v.lower() if b < 62 else v)]
         n, mean = len(c), sum(c) / len(c)
         squares = sum(k * k for k in Counter(c).values())
         high = [2 * y >= b for y in c]
@@ -50,7 +71,7 @@ def added(text, spans):
         zt = (t - (squares - n) / (n * (n - 1))) / math.sqrt(2 * t * (1 - t) / (n * (n - 1)))
         d = sum(ch.isdigit() for ch in v) / n
         mix = 1 if d <= ss.TEXT_DIGITS else math.exp(-n * (d * math.log(d / ss.TEXT_DIGITS) + ((1 - d) * math.log((1 - d) / (1 - ss.TEXT_DIGITS)) if d < 1 else 0)))
-        tests.append((m.start(), m.end(), n, r, 2 * min(mix, tail(zt) / 2 if zt > 0 else 1)))
+        tests.append((at, end, n, r, 2 * min(mix, tail(zt) / 2 if zt > 0 else 1)))
     if not tests:
         return []
     weight = sum(x[2] for x in tests) / len(tests)
@@ -63,6 +84,10 @@ def named(spans):
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+def mixed(key, rng):
+    return "".join(rng.choice((c.lower(), c.upper())) for c in key)
+
+
 def check(spark, rows, tmp):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp}/documents.parquet")
     got = {r.doc_id: r for r in op4_secret_scan(spark, str(tmp)).collect()}
@@ -82,7 +107,8 @@ def test_sql_twin_on_planted_keys(spark, tmp_path):
     from transpark.llm.twins import SECRET_SCAN
 
     rng = random.Random(9)
-    keys = ["".join(rng.choice(ss._ALPHABETS[k]) for _ in range(n)) for k in (16, 32, 62, 64) for n in (20, 24, 33, 48, 64)]
+    keys = ["".join(rng.choice(ss._ALPHABETS[k]) for _ in range(n)) for k in (16, 32, 36, 62, 64) for n in (20, 24, 33, 48, 64)]
+    keys += [mixed(k, rng) if i % 2 else k.upper() if k.islower() else k.lower() for i, k in enumerate(keys)]
     rows = [*enumerate(HARD), *((100 + i, f"see {k} é and {k[::-1]}x9 or token={k}") for i, k in enumerate(keys))]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
@@ -107,6 +133,27 @@ def test_documents_with_planted_keys(spark, tmp_path):
     assert len(found & planted) > 0.8 * len(planted) and not found - planted
 
 
+def test_keys_of_all_alphabets_and_lengths(spark):
+    """Random keys without a name in front, among words: the longer ones are no harder to find."""
+    rng = random.Random(11)
+    one = lambda abc, n: "".join(rng.choice(abc) for _ in range(n))
+    kinds = {"base64": B64, "base62": B64[:62], "base36": B36, "upper36": B36.upper(), "base32": B32, "lower32": B32.lower(), "mixedhex": HEX + "ABCDEF" + string.digits}
+    rows = [(i, kind, n, f"see https://example.org/?k {one(abc, n - 2)}7x for more") for i, (kind, abc, n) in enumerate((k, a, n) for k, a in kinds.items() for n in (32, 64, 128) for _ in range(100))]
+    rows = [(i, k, n, t.replace("7x", "7a" if k == "mixedhex" else "7X" if k in ("base32", "upper36") else "7x")) for i, k, n, t in rows]
+    found = scan(spark.createDataFrame(rows, "doc_id long, kind string, n int, text string"), ["kind", "n"])
+    share = {(r.kind, r.n): r.share for r in found.selectExpr("kind", "n", "int(size(base) + size(added) > 0) AS hit").groupBy("kind", "n").agg({"hit": "avg"}).withColumnRenamed("avg(hit)", "share").collect()}
+    assert len(share) == 21 and min(share.values()) >= 0.95, share
+
+
+def test_parts_of_cut_candidates(spark):
+    """A base span in the middle of a longer token leaves what stands before and after it to the battery."""
+    rng = random.Random(2)
+    left, right = ("".join(rng.choice(B64[:62]) for _ in range(48)) for _ in range(2))
+    text = f"x {left}G{'0123456789abcdef' * 2}G{right} y"
+    got = scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(x.s, x.e) for x in got.base] == [(51, 83)] and [(x.s, x.e) for x in got.added] == [(2, 51), (83, 132)]
+
+
 def test_redaction_and_edge_rows(spark):
     assert scan(edge_docs(spark)).count() == len(EDGE) and scan(no_docs(spark)).count() == 0
     rows = [(1, "é token = 'abcdef123456' b", "x", "y", 25), (2, None, None, None, None), (3, "clean", "x", "y", 7), (4, f"token={'0123456789abcdef' * 2} z", None, "y", 0)]

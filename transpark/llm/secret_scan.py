@@ -1,9 +1,9 @@
 """Secret scans in DataFrame functions alone: fixed patterns, and a battery of randomness tests.
 
 Base spans are the matches of three fixed patterns. The battery looks at runs of at least ``LEAST``
-characters of the usual key alphabets that mix digits or cases and lie outside the base spans. Each
-has the encoding of the smallest alphabet that holds it (hex, base32, base62, base64), and is tested
-against being random in that alphabet: chi-squared uniformity of its characters, the runs of the
+characters of the usual key alphabets that mix digits or cases; of a run that base spans cut, at the parts
+outside them. Each has the encoding of the smallest alphabet that holds it (hex in any case, base32 and
+base36 in one case, base62, base64), and is tested against being random in that alphabet: chi-squared uniformity of its characters, the runs of the
 lower and the upper half of the alphabet, and the serial correlation of neighbours. The least of the
 three p-values, times three, must not fall below ``REJECT``. Against the other hypothesis, ordinary
 text, it has a p-value from its index of coincidence and from its share of digits. Weighted
@@ -11,7 +11,8 @@ Benjamini-Hochberg control at ``RATE`` over the candidates of a document, with w
 length, decides which of them are no text.
 
 Everything is one projection per document: nothing moves between tasks. Positions are code points,
-ends exclusive. A null text counts as empty; texts without a match have empty span lists.
+ends exclusive. A null text counts as empty; texts without a match have empty span lists. An empty table
+gives an empty one; repeated rows and ids are scanned each on its own; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -77,6 +78,7 @@ def _tail(z: str) -> str:
 _ALPHABETS = {
     16: "0123456789abcdef",
     32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    36: "0123456789abcdefghijklmnopqrstuvwxyz",
     62: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
@@ -88,11 +90,11 @@ def _battery(candidates: str) -> str:
     steps = [
         # encoding and characters
         """named_struct('s', x.s, 'e', x.e, 'v', translate(rtrim('=', x.v), '-_', '+/'), 'b',
-            CASE WHEN x.v RLIKE '^([0-9a-f]+|[0-9A-F]+)$' THEN 16 WHEN x.v RLIKE '^[A-Z2-7]+=*$' THEN 32
-                 WHEN x.v RLIKE '^[0-9A-Za-z]+$' THEN 62 ELSE 64 END)""",
+            CASE WHEN x.v RLIKE '^[0-9A-Fa-f]+$' THEN 16 WHEN x.v RLIKE '^([A-Z2-7]+|[a-z2-7]+)=*$' THEN 32
+                 WHEN x.v RLIKE '^([0-9A-Z]+|[0-9a-z]+)$' THEN 36 WHEN x.v RLIKE '^[0-9A-Za-z]+$' THEN 62 ELSE 64 END)""",
         f"""named_struct('s', x.s, 'e', x.e, 'b', x.b, 'n', char_length(x.v),
             'digits', char_length(regexp_replace(x.v, '[^0-9]', '')),
-            'c', transform(split(if(x.b = 16, lower(x.v), x.v), ''), ch -> instr({alphabet}, ch) - 1))""",
+            'c', transform(split(CASE WHEN x.b = 32 THEN upper(x.v) WHEN x.b < 62 THEN lower(x.v) ELSE x.v END, ''), ch -> instr({alphabet}, ch) - 1))""",
         """named_struct('s', x.s, 'e', x.e, 'b', x.b, 'n', CAST(x.n AS DOUBLE), 'digits', x.digits / x.n, 'c', x.c,
             'mean', aggregate(x.c, 0D, (a, y) -> a + y) / x.n,
             'squares', aggregate(transform(array_distinct(x.c), d -> size(filter(x.c, y -> y = d))), 0D, (a, y) -> a + CAST(y AS DOUBLE) * y),
@@ -118,6 +120,16 @@ def _battery(candidates: str) -> str:
     return sql
 
 
+def _outside(candidate: Column) -> Column:
+    """The parts of a candidate outside the spans of ``base`` that are long enough to be candidates."""
+    s, e = candidate["s"], candidate["e"]
+    part = lambda a, b: F.struct(a.alias("s"), F.lit(3).alias("k"), b.alias("e"), F.substring(candidate["v"], (a - s + 1).cast("int"), (b - a).cast("int")).alias("v"))
+    step = lambda acc, x: F.struct(F.greatest(acc["p"], x["e"]).alias("p"), F.when(x["s"] > acc["p"], F.concat(acc["a"], F.array(part(acc["p"], x["s"])))).otherwise(acc["a"]).alias("a"))
+    last = lambda acc: F.when(e > acc["p"], F.concat(acc["a"], F.array(part(acc["p"], e)))).otherwise(acc["a"])
+    cut = F.filter("base", lambda b: (s < b["e"]) & (b["s"] < e))
+    return F.aggregate(cut, F.struct(s.alias("p"), _none().alias("a")), step, last)
+
+
 def scan(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``doc_id`` (or ``columns``), ``base`` and ``added``: arrays of spans (start ``s``, kind ``k`` as an index
     of ``KINDS``, end ``e``, text ``v``) in order of start and kind."""
@@ -125,8 +137,9 @@ def scan(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     assign = F.filter(spans(text, ASSIGN, 0), lambda x: F.char_length(F.regexp_extract(x["v"], ASSIGN, 1)) >= 6)
     out = docs.select(*columns, text.alias("_text"), F.array_sort(F.concat(assign, spans(text, ACCESS, 1), spans(text, HEX, 2))).alias("base"))
-    mixed = F.filter(spans(F.col("_text"), CANDIDATE, 3), lambda x: x["v"].rlike("[0-9]|[a-z][A-Z]") & x["v"].rlike("[A-Za-z]"))
-    out = out.withColumn("_c", F.filter(mixed, lambda x: ~F.exists("base", lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"]))))
+    parts = F.flatten(F.transform(spans(F.col("_text"), CANDIDATE, 3), _outside))
+    mixed = F.filter(parts, lambda x: x["v"].rlike(f"^{CANDIDATE}$") & x["v"].rlike("[0-9]|[a-z][A-Z]") & x["v"].rlike("[A-Za-z]"))
+    out = out.withColumn("_c", mixed)
     out = out.withColumn("_t", F.when(F.size("_c") > 0, F.expr(_battery("_c"))).otherwise(F.array()))
     # weighted step-up: p over weight against rate * rank / candidates
     out = out.withColumn("_t", F.expr("transform(array(aggregate(_t, 0D, (a, x) -> a + x.n) / greatest(1, size(_t))), m -> transform(_t, x -> named_struct('s', x.s, 'e', x.e, 'r', x.r, 'q', x.p * m / x.n)))[0]"))

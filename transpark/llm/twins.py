@@ -47,7 +47,10 @@ def _spans(pattern: str, kind: int) -> str:
           SELECT doc_id, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS m FROM d)))"""
 
 
-_ALPHABET = "CASE b " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in ss._ALPHABETS.items()) + " END"
+#: Place of a character in the alphabet of b symbols, by its code point.
+_PLACE = """CASE WHEN b = 16 OR b = 36 THEN CASE WHEN ch <= '9' THEN ascii(ch) - 48 ELSE ascii(lower(ch)) - 87 END
+      WHEN b = 32 THEN CASE WHEN ch <= '7' THEN ascii(ch) - 24 ELSE ascii(upper(ch)) - 65 END
+      WHEN ch = '+' THEN 62 WHEN ch = '/' THEN 63 WHEN ch <= '9' THEN ascii(ch) + 4 WHEN ch <= 'Z' THEN ascii(ch) - 65 ELSE ascii(ch) - 71 END"""
 _KIND = "['assign', 'access', 'hex', 'random'][k + 1]"
 _LIST = f"string_agg({_KIND} || ':' || s || ':' || e, ',' ORDER BY s, k)"
 _TC, _TD = ss.TEXT_COINCIDENCE, ss.TEXT_DIGITS
@@ -57,16 +60,23 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS (
   SELECT * FROM ({_spans(ss.ASSIGN, 0)}) WHERE length(regexp_extract(v, '{ss.ASSIGN.replace("'", "''")}', 1)) >= 6
   UNION ALL {_spans(ss.ACCESS, 1)} UNION ALL {_spans(ss.HEX, 2)}),
+whole AS (SELECT row_number() OVER () AS c, * FROM ({_spans(ss.CANDIDATE, 3)})),
+cuts AS (SELECT c, b.s, b.e FROM whole w JOIN base b USING (doc_id) WHERE b.s < w.e AND w.s < b.e),
+starts AS (SELECT c, s AS p FROM whole UNION SELECT c, e FROM cuts),
+parts AS (
+  SELECT doc_id, p AS s, least(w.e, coalesce((SELECT min(x.s) FROM cuts x WHERE x.c = w.c AND x.s >= p), w.e)) AS e, w.s AS from_, v
+  FROM starts JOIN whole w USING (c) WHERE p < w.e AND NOT EXISTS (SELECT 1 FROM cuts x WHERE x.c = w.c AND x.s <= p AND p < x.e)),
 c0 AS (
-  SELECT * FROM ({_spans(ss.CANDIDATE, 3)}) c WHERE regexp_matches(v, '[0-9]|[a-z][A-Z]') AND regexp_matches(v, '[A-Za-z]')
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s < c.e AND c.s < b.e)),
+  SELECT * FROM (SELECT doc_id, s, e, substr(v, s - from_ + 1, e - s) AS v FROM parts)
+  WHERE regexp_matches(v, '[0-9]|[a-z][A-Z]') AND regexp_matches(v, '[A-Za-z]') AND length(rtrim(v, '=')) >= {ss.LEAST}),
 c1 AS (
   SELECT doc_id, s, e, translate(rtrim(v, '='), '-_', '+/') AS v,
-    CASE WHEN regexp_full_match(v, '[0-9a-f]+|[0-9A-F]+') THEN 16 WHEN regexp_full_match(v, '[A-Z2-7]+=*') THEN 32
-         WHEN regexp_full_match(v, '[0-9A-Za-z]+') THEN 62 ELSE 64 END AS b FROM c0),
+    CASE WHEN NOT regexp_matches(v, '[^0-9A-Fa-f]') THEN 16
+         WHEN NOT regexp_matches(rtrim(v, '='), '[^A-Za-z2-7]') AND (v = upper(v) OR v = lower(v)) THEN 32
+         WHEN NOT regexp_matches(v, '[^0-9A-Za-z]') THEN CASE WHEN v = upper(v) OR v = lower(v) THEN 36 ELSE 62 END ELSE 64 END AS b FROM c0),
 c2 AS (
   SELECT *, length(v)::DOUBLE AS n, length(regexp_replace(v, '[^0-9]', '', 'g')) / length(v)::DOUBLE AS digits,
-    list_transform(string_split(CASE WHEN b = 16 THEN lower(v) ELSE v END, ''), lambda ch: (instr({_ALPHABET}, ch) - 1)::DOUBLE) AS c FROM c1),
+    list_transform(string_split(v, ''), lambda ch: ({_PLACE})::DOUBLE) AS c FROM c1),
 c3 AS (
   SELECT *, list_avg(c) AS mean, list_sum(list_transform(list_distinct(c), lambda y: power(len(list_filter(c, lambda z: z = y)), 2))) AS squares,
     len(list_filter(c, lambda y: 2 * y >= b))::DOUBLE AS high,
