@@ -34,7 +34,7 @@ def test_odd_vectors(spark):
     rows = [(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, []), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (7, [1.0, 0.0]), (11, [-1.0, 0.0])]
     df = spark.createDataFrame([(i, v, "x", "x") for i, v in rows], "vec_id long, embedding array<float>, id string, component string")
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(df).where("vec_id is not null").collect())
-    assert got == [(i, 0, i, True) for i in (1, 2, 3, 4, 5, 6)] + [(7, 2, 7, True), (7, 2, 7, True), (8, 2, 7, False), (9, 0, 9, True), (11, 0, 11, True)]
+    assert got == [(i, 0, i, True) for i in (1, 2, 3, 4, 5, 6)] + [(7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 0, 9, True), (11, 0, 11, True)]
     alone = near_duplicate_vectors(df).where("vec_id is null").first()
     assert (alone.n_links, alone.component_id, alone.kept) == (0, None, False)
     assert near_duplicate_vectors(df.limit(0)).count() == 0
@@ -46,3 +46,34 @@ def test_documents_embeddings(spark):
     want = brute(np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64))
     got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicate_vectors(df).collect()}
     assert np.mean([got[i] == want[i] for i in want]) > 0.99
+
+
+def by_rows(rows, threshold=0.95):
+    """Links between ids over all pairs of rows."""
+    near = {i: set() for i, _ in rows}
+    for i, x in rows:
+        for j, y in rows:
+            if i != j and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= threshold:
+                near[i].add(j)
+    component = {i: i for i in near}
+    for _ in near:
+        component = {i: min([component[i], *(component[j] for j in near[i])]) for i in near}
+    return sorted((i, len(near[i]), component[i], component[i] == i) for i, _ in rows)
+
+
+def test_ids_on_several_vectors(spark):
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rng = np.random.default_rng(5)
+    many = [(int(rng.integers(60)), (c + 0.15 * rng.standard_normal(3)).tolist()) for c in rng.standard_normal((30, 3)) for _ in range(4)]
+    for rows in ([(3, a), (7, a), (7, b), (9, b)], [(20, a), (20, a)], [(5, a), (5, b)], [(5, a), (5, b), (5, a), (6, b), (1, b)], many):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+        assert sorted(map(tuple, near_duplicate_vectors(df, passes=8, block=16).collect())) == by_rows(rows), rows
+
+
+def test_double_precision(spark):
+    """Components beyond 32 bits, very large and very small ones."""
+    edge = 0.95 / np.sqrt(1 - 0.95**2)  # cosine with (1, 0) is 0.95
+    rows = [(1, [1e300, 0.0]), (2, [2e300, 0.0]), (3, [1e-310, 0.0]), (4, [0.0, 1e-60]), (5, [float(edge * (1 + 1e-9)), -1.0]), (6, [float(edge * (1 - 1e-9)), -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_duplicate_vectors(df).collect())
+    assert got == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 0, 4), (5, 4, 1), (6, 1, 1)]

@@ -32,9 +32,10 @@ WITH RECURSIVE v AS (
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
       WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
 r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
-k AS (SELECT a, count(*)::BIGINT AS n_links FROM l GROUP BY a)
-SELECT vec_id, coalesce(any_value(n_links), 0)::BIGINT AS n_links, min(r.b) AS component_id, vec_id = min(r.b) AS kept
-FROM embeddings JOIN r ON r.a = vec_id LEFT JOIN k ON k.a = vec_id GROUP BY vec_id"""
+k AS (SELECT a, count(DISTINCT b)::BIGINT AS n_links FROM l GROUP BY a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN k ON k.a = vec_id"""
 
 
 def _spans(pattern: str, kind: int) -> str:
