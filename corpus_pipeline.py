@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 return the columns of ``documents``:
 
 1. quality classifier: documents that the boosted trees, fitted on the labelled documents, reject go;
-2. line dedup: repeated multi-line chunks go from texts, and a document that consists of them goes;
+2. line dedup: repeated passages go from texts from their first to their last line, and a document that
+   consists of them goes;
 3. n-gram Jaccard join: one row of each group of near duplicates stays, that with the smallest id, and of
    rows with the same id and text one;
 4. secret scan: secrets are replaced by a mark;
@@ -37,7 +38,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = dedup_lines(docs.select(*COLUMNS))
+    out = dedup_lines(docs.select(*COLUMNS), passages=True)
     left = out.where((F.col("n_removed") == 0) | (F.trim("deduped") != ""))
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("deduped").cast("long")).otherwise(F.col("n_chars"))
     return left.select("doc_id", F.col("deduped").alias("text"), "lang", "source", n_chars.alias("n_chars"))
@@ -71,7 +72,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: Trained scores, content-defined chunks and components are beyond SQL; tests hold run() against a brute-force version.
+#: Trained scores, repeated passages and components are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
