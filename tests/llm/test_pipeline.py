@@ -1,7 +1,7 @@
 """The pipeline against a brute-force version, stage by stage, and its driver contract."""
 
 import corpus_pipeline as cp
-import test_line_dedup
+import test_line_passages
 import test_ngram_join
 from helpers import documents, no_docs
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ def test_stages(spark):
     assert one.exceptAll(docs).isEmpty() and one.columns == docs.columns
     assert one.join(bad, "doc_id").count() <= 2 and good.join(one, "doc_id", "left_anti").count() <= 2
     two = scratch.write(cp.line_dedup(spark, one, SF))
-    want = test_line_dedup.brute(rows_of(one))
+    want = test_line_passages.brute(rows_of(one))
     before = {str(d): t for d, t in rows_of(one)}
     assert sorted((str(d), t) for d, t in rows_of(two)) == [(d, t) for d, t in want if t.strip() or not before[d]]
     assert two.where("n_chars <> char_length(text)").count() == docs.where("n_chars <> char_length(text)").join(two, "doc_id").count()
