@@ -31,3 +31,18 @@ def test_word_counter(spark):
     assert got == {(k, w): n for k, t in enumerate(texts) for w, n in Counter((t or "").split()).items()}
     plan = J.add_word_counter(df, "text")._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Exchange" not in plan
+
+
+def test_word_counter_of_many_words(spark):
+    """The work on a text grows with its words, not with their square."""
+    import time
+
+    from transpark.operators import text_jobs as J
+
+    n = 30_000
+    text = " ".join(f"w{i % n}" for i in range(n + 7))
+    df = spark.createDataFrame([(1, text)], "k INT, text STRING")
+    start = time.monotonic()
+    counts = {r.word: r.n for r in J.word_counts(df, "text", ["k"]).collect()}
+    assert time.monotonic() - start < 20
+    assert len(counts) == n and sorted(w for w, c in counts.items() if c == 2) == sorted(f"w{i}" for i in range(7))

@@ -35,12 +35,19 @@ def word_counter(col) -> Column:
 
     def counted(s: Column) -> Column:
         every = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
-        starts = F.filter(every, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        numbers = F.transform(starts, lambda a, j: (F.coalesce(F.get(starts, j + 1), F.size(s)) - a).cast("long"))
+        return bound(F.filter(every, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))), lambda starts: runs(s, starts))
+
+    def runs(s: Column, starts: Column) -> Column:
+        ends = F.slice(F.concat(starts, F.array(F.size(s))), F.lit(2), F.size(starts))
+        numbers = F.zip_with(starts, ends, lambda a, b: (b - a).cast("long"))
         return F.map_from_arrays(F.transform(starts, lambda i: F.get(s, i)), numbers)
 
-    # by way of an array of one element, so that the sorted words are made once
-    return F.when(_c(col).isNotNull(), F.get(F.transform(F.array(ordered), counted), F.lit(0)))
+    # by way of an array of one element, so that the sorted words and the starts are made once for a text: a lambda
+    # makes an expression that it refers to anew for every element
+    def bound(value: Column, fn) -> Column:
+        return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+    return F.when(_c(col).isNotNull(), bound(ordered, counted))
 
 
 def ttr(col) -> Column:
