@@ -142,3 +142,29 @@ def test_lines_of_stored_files(spark):
             (R.tokenize(R.normalize("raw", lang), lang=lang) == F.col("tok")).cast("int").alias("t"), (R.detokenize("tok") == T.squeeze("raw")).cast("int").alias("d")
         ).agg(F.sum("t"), F.sum("d")).first()
         assert len(pairs) == 2000 and same[0] >= TOKENIZED[lang] and same[1] >= DETOKENIZED[lang], (raw, same)
+
+
+def test_fast_rules(spark):
+    """The fast forms of rules give what the plain rules give, in one pass over long words."""
+    import random
+    import time
+
+    from transpark.functions import rules as R
+
+    def plain(rules):
+        c = F.col("text")
+        for pattern, repl in rules:
+            c = F.regexp_replace(c, pattern, repl)
+        return c
+
+    rnd = random.Random(3)
+    parts = [*"aB1.,-'  \"s%/()\t\n", "Dr.", "No. 5", "e.g.", " p. 3", "z.B.", "𝐀", "𝟘", "ä", "\u0085", "　", "😀", "...", "U.S.", "@-@", R.KEPT]
+    df = spark.createDataFrame([(i, "".join(rnd.choices(parts, k=rnd.randrange(50)))) for i in range(4000)], "i INT, text STRING").cache()
+    for lang in ("en", "de", "fr"):
+        for rules in (R.normalize_rules(lang), R.tokenize_rules(lang), R.DETOKENIZE):
+            differ = df.where(~plain(rules).eqNullSafe(R.apply_rules("text", rules)))
+            assert differ.first() is None
+    long = spark.createDataFrame([("a" * 20_000 + " b.",)], "text STRING")
+    start = time.monotonic()
+    assert long.select(R.tokenize("text").alias("t")).first().t == "a" * 20_000 + " b ."
+    assert time.monotonic() - start < 20

@@ -163,10 +163,60 @@ def quoted(col) -> Column:
     return c
 
 
+def _near(mark: str, before: str, after: str = "") -> str:
+    """``(before)mark(after)`` looked for from its mark, which is rare, and not from every character. What comes
+    before is only looked at, and as it may not lie in the match before, a mark right after that is passed over.
+    (Java looks back by code points, not by halves of them, only if the pattern holds a character beyond 16 bits;
+    a letter and a digit of that kind stand in the classes below, to which they belong anyway.)"""
+    return rf"{mark}(?<!\G{mark})(?<={before}{mark}){after}"
+
+
+_ALNUM = r"[\p{L}\p{Nd}]"
+#: Rules in a form that Java's engine reads in one pass over a text, with the same results: the plain form of
+#: some tries all ways to divide a word, from every place in it. (RE2, which reads the plain form, has no look-around.)
+FAST = {
+    # runs of white space, but for the single blanks before ASCII, which stay as they are
+    (WS_RUN, " "): (rf"(?=[^!-~])(?! [!-~]){WS_RUN}", " "),
+    # the last period of a word, if a letter and then another period come before it, or a period and then a letter
+    (rf"([^ ]*\p{{L}}[^ ]*[.{KEPT}][^ ]*)\.", f"$1{KEPT}"): (rf"(?<![^ ])([^ \p{{L}}]*+\p{{L}}[^ .{KEPT}]*+[.{KEPT}][^ ]*)\.", f"$1{KEPT}"),
+    (rf"([^ ]*[.{KEPT}][^ ]*\p{{L}}[^ ]*)\.", f"$1{KEPT}"): (rf"(?<![^ ])([^ .{KEPT}]*+[.{KEPT}][^ \p{{L}}]*+\p{{L}}[^ ]*)\.", f"$1{KEPT}"),
+    (r"([^ .])\.( \p{Ll})", f"$1{KEPT}$2"): (r"\.(?<=[^ .]\.)(?= \p{Ll})", KEPT),
+    (r"([^ .])\.( |$)", "$1 .$2"): (r"\.(?<=[^ .]\.)(?= |$)", " ."),
+    (rf"({_ALNUM})-({_ALNUM})", "$1 @-@ $2"): (r"-(?<=[\p{L}\p{Nd}𐀀]-)" + rf"(?={_ALNUM})", " @-@ "),
+    (r"([^\p{Nd}]),", "$1 , "): (_near(",", r"[^\p{Nd}𝟘]"), " , "),
+    (r"([^\p{L}])'([^\p{L}])", "$1 ' $2"): (_near("'", r"[^\p{L}𐀀]", r"([^\p{L}])"), " ' $1"),
+    (r"([^\p{L}\p{Nd}])'([\p{L}])", "$1 ' $2"): (_near("'", r"[^\p{L}\p{Nd}𐀀]", r"([\p{L}])"), " ' $1"),
+    (r"([\p{L}])'([^\p{L}])", "$1 ' $2"): (_near("'", r"[\p{L}𐀀]", r"([^\p{L}])"), " ' $1"),
+    (r"([\p{L}])'([\p{L}])", "$1 '$2"): (_near("'", r"[\p{L}𐀀]", r"([\p{L}])"), " '$1"),
+    (r"([\p{Nd}])'(s)", "$1 '$2"): (_near("'", r"[\p{Nd}𝟘]", "(s)"), " '$1"),
+}
+#: Rules that come twice because their matches overlap: their fast forms only look around, so once does.
+ONCE = {(rf"({_ALNUM})-({_ALNUM})", "$1 @-@ $2"), (r"([^ .])\.( \p{Ll})", f"$1{KEPT}$2")}
+_WORDS_HEAD = r"(^|[^\p{L}\p{Nd}.,\-])("
+
+
+def fast(rule: tuple[str, str]) -> tuple[str, str]:
+    """A rule in its fast form."""
+    pattern, repl = rule
+    if pattern.startswith(_WORDS_HEAD):  # a list of words before a period: first whether a period is near
+        longest = max(map(len, pattern[len(_WORDS_HEAD) :].split(r")\.")[0].split("|")))
+        return pattern.replace(_WORDS_HEAD, _WORDS_HEAD[:-1] + rf"(?=[^ .]{{1,{longest}}}+\.)(", 1), repl
+    return FAST.get(rule, rule)
+
+
 def apply_rules(col, rules) -> Column:
-    c = _c(col)
-    for pattern, repl in rules:
-        c = F.regexp_replace(c, pattern, repl)
+    c, last = _c(col), None
+    for rule in map(tuple, rules):
+        if rule == last and rule in ONCE:
+            continue
+        pattern, repl = fast(rule)
+        if rule == (r"^ | $", "") and last == (WS_RUN, " "):
+            c = F.trim(c)  # one blank at most is left at an end
+        elif rule == (KEPT, "."):
+            c = F.replace(c, F.lit(KEPT), F.lit("."))
+        else:
+            c = F.regexp_replace(c, pattern, repl)
+        last = rule
     return c
 
 
