@@ -146,3 +146,17 @@ def test_a_loop_goes_on_where_it_stopped(spark, tmp_path):
     assert calls() == before
     with pytest.raises(ValueError):
         WF.iterate_back_translation(mono, mono, make_fns(0), dev, 3, batch_size=7, stop_eps=None, path=path)
+
+
+def test_a_round_has_one_copy_of_its_translations(spark, monkeypatch):
+    from transpark.operators import udf as U
+    from transpark.plans import workflows as WF
+
+    written, plain = [], WF.materialize
+    monkeypatch.setattr(WF, "materialize", lambda df, name="part", *a: written.append(name) or plain(df, name, *a))
+    mono = spark.createDataFrame([(i, f"a{i} b c d e") for i in range(40)], "idx LONG, text STRING")
+    dev = spark.createDataFrame([(i, "a b c d e", "e d c b a") for i in range(40)], "idx LONG, src STRING, tgt STRING")
+    fns = lambda r, previous: (U.reverse_words_translator, U.reverse_words_translator)
+    datasets, _ = WF.iterate_back_translation(mono, mono, fns, dev, rounds=2, stop_eps=None)
+    assert written == ["round0", "round1"]
+    assert [d.count() for d in datasets] == [80, 80]
