@@ -100,3 +100,21 @@ def test_session_settings_stay(spark):
     before = spark.conf.get(key)
     df = spark.createDataFrame([(0, "a b")], "idx LONG, src STRING")
     assert U.translate_corpus(df, U.reverse_words_translator).first().hyp == "b a" and spark.conf.get(key) == before
+
+
+def test_few_rows_are_objects_at_a_time():
+    """An Arrow batch is cut into slices of whole batches of the function."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"src": [str(i) for i in range(1000)]})
+    sizes = [p.num_rows for p in U._slices([batch], 100)]
+    assert sizes == [200] * 5 and sum(sizes) == 1000
+    assert [p.num_rows for p in U._slices([batch, batch], 700)] == [700, 300, 700, 300]
+    assert [p.num_rows for p in U._slices([batch], 32)] == [256, 256, 256, 232]
+
+
+def test_other_columns_stay(spark):
+    """Integers with nulls, dates and arrays pass as they are."""
+    df = spark.sql("SELECT * FROM VALUES (1L, 'a b', array(1, NULL)), (NULL, NULL, NULL) AS t(k, src, xs)")
+    got = sorted(tuple(r) for r in U.translate_corpus(df, U.reverse_words_translator).select("hyp", "k", "xs", "src").collect())
+    assert got == [("", None, None, None), ("b a", 1, [1, None], "a b")]

@@ -1,5 +1,6 @@
 """Pluggable batch functions (U1-U3): translation, teacher translation and
-learned segment scores run as ``mapInPandas`` jobs over Arrow batches.
+learned segment scores run as ``mapInArrow`` jobs. Only ``SLICE`` rows of an Arrow batch, and only the
+columns a function needs, are Python objects at a time.
 
 The user passes ``make_fn()``, called once per Python worker (it loads a model
 or opens a client), returning ``fn(list[str]) -> list[str]`` (or a scorer). A worker
@@ -18,6 +19,7 @@ import time
 from collections import OrderedDict
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -25,6 +27,7 @@ from pyspark.sql import types as T
 from transpark.functions.text import strip, unescape
 
 MODELS = 2  # a forward and a backward one
+SLICE = 256  # rows, or one batch of the function if that is larger
 _LOADED: OrderedDict[str, object] = OrderedDict()  # of this worker: what make_fn() returned, last used last
 
 
@@ -56,6 +59,22 @@ def _chunks(values: list, size: int):
         yield values[i : i + size]
 
 
+def _slices(batches, batch_size: int):
+    """Parts of Arrow batches, each a whole number of ``batch_size`` rows but for the last of a batch."""
+    rows = batch_size * max(1, SLICE // batch_size)
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def _texts(part: pa.RecordBatch, col: str) -> list[str]:
+    return ["" if t is None else t for t in part.column(col).to_pylist()]
+
+
+def _with_column(part: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*part.columns, values], names=[*part.schema.names, name])
+
+
 def _call_with_retries(fn, batch, retries: int, backoff: float):
     for attempt in range(retries + 1):
         try:
@@ -83,18 +102,17 @@ def translate_corpus(
 
     def run(batches):
         fn = loaded(name, make_fn, models)
-        for pdf in batches:
-            texts = ["" if t is None else t for t in pdf[src_col].tolist()]
+        for part in _slices(batches, batch_size):
             outs: list[str] = []
-            for chunk in _chunks(texts, batch_size):
+            for chunk in _chunks(_texts(part, src_col), batch_size):
                 got = list(_call_with_retries(fn, chunk, retries, backoff))
                 if len(got) != len(chunk):
                     raise ValueError(f"translation returned {len(got)} rows for {len(chunk)}")
                 outs.extend(got)
-            yield pdf.assign(**{out_col: outs})
+            yield _with_column(part, out_col, pa.array(outs, pa.string()))
 
     src = df.repartition(max_parallel) if max_parallel else df
-    return src.mapInPandas(run, schema)
+    return src.mapInArrow(run, schema)
 
 
 def teacher_translate(
@@ -129,17 +147,17 @@ def score_segments(
 
     def run(batches):
         scorer = loaded(name, make_scorer, models)
-        for pdf in batches:
-            cols = [["" if t is None else t for t in pdf[c].tolist()] for c in (src, hyp, ref)]
+        for part in _slices(batches, batch_size):
+            cols = [_texts(part, c) for c in (src, hyp, ref)]
             outs: list[float] = []
-            for i in range(0, len(pdf), batch_size):
+            for i in range(0, part.num_rows, batch_size):
                 got = list(scorer(*(c[i : i + batch_size] for c in cols)))
-                if len(got) != min(batch_size, len(pdf) - i):
+                if len(got) != min(batch_size, part.num_rows - i):
                     raise ValueError("scorer returned a different number of rows")
                 outs.extend(float(x) for x in got)
-            yield pdf.assign(**{out_col: outs})
+            yield _with_column(part, out_col, pa.array(outs, pa.float64()))
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 # --- deterministic stand-ins used by tests and the registered queries --------
