@@ -72,3 +72,14 @@ def test_pack_pad_unmask(spark):
     b = df.withColumn("batch", F.lit(0))
     padded = {r.idx: r.s for r in V.pad_to_batch_max(b, "s", "batch").collect()}
     assert padded[1] == [5, 1, 1, 1, 1]
+
+
+def test_lookup_moves_ids_as_longs(spark):
+    """Places and ids are one number an element, sorted as numbers; columns that nobody keeps do not travel."""
+    df = spark.createDataFrame([(1, ["b", "x", "a", "b"], "note"), (2, [], "n"), (3, None, None)], "k LONG, tok ARRAY<STRING>, note STRING")
+    vocab = spark.createDataFrame([("a", 1, 4), ("b", 1, 2147483647)], "token STRING, cnt LONG, id INT")
+    got = {r.k: r.ids for r in V.encode_ids(df, "tok", vocab, ["k"], unk=-7, keep=[]).collect()}
+    assert got == {1: [2147483647, -7, 4, 2147483647], 2: [], 3: []}
+    out = V.encode_ids(df, "tok", vocab, ["k"], keep=["note"])
+    assert out.columns == ["k", "note", "ids"] and {r.k: r.note for r in out.collect()} == {1: "note", 2: "n", 3: None}
+    assert "array_sort" not in V.encode_ids(df, "tok", vocab, ["k"], keep=[])._jdf.queryExecution().optimizedPlan().toString()

@@ -39,7 +39,10 @@ def build_vocab(df: DataFrame, tokens: str, threshold: int = 0, n: int | None =
     return spec.unionByName(body)
 
 
-def _lookup_by_row(df: DataFrame, arr: Column, vocab: DataFrame, on: str, value: str, default, key: list[str], out: str):
+_LOW = 1 << 32  # of a place and an id as one long: the id is below
+
+
+def _lookup_by_row(df: DataFrame, arr: Column, vocab: DataFrame, on: str, value: str, default, key: list[str], out: str, keep: list[str] | None = None):
     """Per-element lookup of ``arr`` in ``vocab`` (``token, id``) keeping element order.
 
     Elements are exploded, looked up in the broadcast vocabulary and collected per row before one
@@ -48,7 +51,7 @@ def _lookup_by_row(df: DataFrame, arr: Column, vocab: DataFrame, on: str, value:
     split by id: the frequent entries are broadcast, and only elements not found there are
     shuffle-joined with the rest, so frequent tokens never meet in one partition.
     """
-    rest = [c for c in df.columns if c not in key and c != out]
+    rest = [c for c in (df.columns if keep is None else keep) if c not in key and c != out]
     ex = df.select(*key, F.struct(F.lit(0).alias("_tp"), *rest).alias("_row"), F.posexplode_outer(arr).alias("_pos", on))
     ex = ex.withColumn("_row", F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_row")))
     side = materialize(vocab.select("token", "id"), "vocab")
@@ -62,22 +65,33 @@ def _lookup_by_row(df: DataFrame, arr: Column, vocab: DataFrame, on: str, value:
         rare = first.filter(~found).drop("_val").join(look(side.filter(~hot)), on, "left")
         hit = first.filter(found).unionByName(rare)
     val = F.coalesce(F.col("_val"), F.lit(default)) if default is not None else F.col("_val")
-    item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", val.alias("_v")))
-    packed = hit.groupBy(*key).agg(F.first("_row", ignorenulls=True).alias("_row"), F.array_sort(F.collect_list(item)).alias("_p"))
-    return packed.select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest], F.transform("_p", lambda s_: s_["_v"]).alias(out))
+    if value == "id" and default is not None:
+        # place and id as one long: eight bytes an element, sorted as numbers
+        item = F.col("_pos").cast("long") * _LOW + (val.cast("long") + (_LOW >> 1))
+        of_item = lambda x: (F.pmod(x, F.lit(_LOW)) - (_LOW >> 1)).cast("int")
+    else:
+        item = F.struct("_pos", val.alias("_v"))
+        of_item = lambda x: x["_v"]
+    items = F.collect_list(F.when(F.col("_pos").isNotNull(), item))
+    packed = hit.groupBy(*key).agg(F.first("_row", ignorenulls=True).alias("_row"), F.sort_array(items).alias("_p"))
+    return packed.select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest], F.transform("_p", of_item).alias(out))
 
 
-def encode_ids(df: DataFrame, tokens: str, vocab: DataFrame, key: list[str], out: str = "ids", unk: int = UNK) -> DataFrame:
-    """Tokens -> ids with ``<unk>`` for unknown tokens. ``key`` is a unique row key."""
+def encode_ids(
+    df: DataFrame, tokens: str, vocab: DataFrame, key: list[str], out: str = "ids", unk: int = UNK, keep: list[str] | None = None
+) -> DataFrame:
+    """Tokens -> ids with ``<unk>`` for unknown tokens. ``key`` is a unique row key; of the other columns
+    those of ``keep`` stay (None: all), and only they travel."""
     v = vocab.filter(~F.col("token").isin(*SPECIALS))
-    return _lookup_by_row(df, F.col(tokens), v, "token", "id", unk, key, out)
+    return _lookup_by_row(df, F.col(tokens), v, "token", "id", unk, key, out, keep)
 
 
 def decode_ids(
-    df: DataFrame, ids: str, vocab: DataFrame | None = None, key: list[str] | None = None, out: str = "text", skip_special: bool = True
+    df: DataFrame, ids: str, vocab: DataFrame | None = None, key: list[str] | None = None, out: str = "text", skip_special: bool = True,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Ids -> text. Without a vocabulary the ids themselves are joined by blanks; with one,
-    ``key`` is a unique row key."""
+    ``key`` is a unique row key, and of the other columns those of ``keep`` stay (None: all)."""
     arr = F.col(ids)
     if skip_special:
         arr = F.filter(arr, lambda i: i >= F.lit(len(SPECIALS)))
@@ -85,13 +99,13 @@ def decode_ids(
         return df.withColumn(out, F.array_join(F.transform(arr, lambda i: i.cast("string")), " "))
     if not key:
         raise ValueError("a unique row key is needed to decode with a vocabulary")
-    res = _lookup_by_row(df, arr, vocab, "id", "token", None, key, "_toks")
+    res = _lookup_by_row(df, arr, vocab, "id", "token", None, key, "_toks", keep)
     return res.withColumn(out, F.array_join("_toks", " ")).drop("_toks")
 
 
-def decode_labels(packed: DataFrame, vocab: DataFrame, key: list[str], col: str = "labels", out: str = "text") -> DataFrame:
+def decode_labels(packed: DataFrame, vocab: DataFrame, key: list[str], col: str = "labels", out: str = "text", keep: list[str] | None = None) -> DataFrame:
     """P6 + J3: the text that truncated, padded and masked label ids stand for."""
-    return decode_ids(unmask_labels(packed, col), col, vocab, key, out)
+    return decode_ids(unmask_labels(packed, col), col, vocab, key, out, keep=keep)
 
 
 def _fit(arr: Column, max_len: int, pad: int, eos: int | None) -> Column:

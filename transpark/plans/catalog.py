@@ -182,13 +182,10 @@ def diversity_select_splits(spark, d):
 
 def doc_pairs(spark, d) -> DataFrame:
     """hyp = the document with every 7th word left out, ref = the document; ``idx`` dense per language."""
-    docs = table(spark, d, "documents").select(
-        "doc_id",
-        "lang",
-        F.array_join(F.filter(T.words("text"), lambda w, i: i % 7 != 6), " ").alias("hyp"),
-        F.col("text").alias("ref"),
-    )
-    return dense_index(docs, ["doc_id"], partition_by=["lang"], name="idx")
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.col("text").alias("ref"))
+    docs = dense_index(docs, ["doc_id"], partition_by=["lang"], name="idx")  # one text goes through it
+    hyp = F.array_join(F.filter(T.words("ref"), lambda w, i: i % 7 != 6), " ")
+    return docs.select("doc_id", "lang", hyp.alias("hyp"), "ref", "idx")
 
 
 _DOC_PAIRS_SQL = f"""SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1)::BIGINT AS idx, doc_id,
@@ -368,7 +365,7 @@ _VOCAB_SQL = f"""v AS (SELECT token, (row_number() OVER (ORDER BY cnt DESC, toke
 def _encoded(spark, d) -> DataFrame:
     toks = _doc_tokens(spark, d)
     vocab = V.build_vocab(toks, "tok")
-    return V.encode_ids(toks, "tok", vocab, ["doc_id"]), vocab
+    return V.encode_ids(toks, "tok", vocab, ["doc_id"], keep=[]), vocab
 
 
 def _ids_text(c) -> Column:
@@ -398,7 +395,7 @@ def encode_ids(spark, d):
 )
 def decode_ids(spark, d):
     enc, vocab = _encoded(spark, d)
-    return V.decode_ids(enc, "ids", vocab, ["doc_id"], out="text").select("doc_id", "text")
+    return V.decode_ids(enc, "ids", vocab, ["doc_id"], out="text", keep=[]).select("doc_id", "text")
 
 
 def _fit_sql(x: str, max_len: int, pad: int) -> str:
@@ -443,7 +440,7 @@ def decode_labels(spark, d):
     """P4 -> P6 -> J3: the text of label ids that were cut to 128 places, padded and masked."""
     enc, vocab = _encoded(spark, d)
     packed = V.pack_examples(enc.withColumn("rids", F.reverse("ids")), "ids", "rids", max_len=128)
-    return V.decode_labels(packed.select("doc_id", "labels"), vocab, ["doc_id"]).select("doc_id", "text")
+    return V.decode_labels(packed.select("doc_id", "labels"), vocab, ["doc_id"], keep=[]).select("doc_id", "text")
 
 
 @register(
@@ -455,7 +452,7 @@ def decode_labels(spark, d):
 )
 def pad_to_batch_max(spark, d):
     enc, _ = _encoded(spark, d)
-    enc = dense_index(enc, ["doc_id"], name="idx")
+    enc = dense_index(materialize(enc, "encoded"), ["doc_id"], name="idx")
     b = S.assign_batches(enc, 16)
     padded = V.pad_to_batch_max(b, "ids", "batch_id", out="padded")
     return padded.select(
@@ -512,6 +509,7 @@ def token_budget_batches(spark, d):
 def fill_token_budget(spark, d):
     """The exact filling by language; documents over the budget have no batch."""
     docs = table(spark, d, "documents").select("doc_id", "lang", F.size(T.words("text")).cast("long").alias("n_words"))
+    docs = materialize(docs, "lengths")  # read several times below
     return S.fill_token_budget(docs, "n_words", 4096, idx="doc_id", by=["lang"], over="null")
 
 
