@@ -3,10 +3,12 @@ import os
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from conftest import GOLDEN_RUNS
 from test_text import _tok13a
+from transpark.functions.bleu13a import text_words, tokenize_13a, word_tokens
 from transpark.operators import bleu as B
 from transpark.sources.text_files import read_segments
 
@@ -141,3 +143,26 @@ def test_key_names_do_not_collide(spark):
     df = spark.createDataFrame([(0, 1, "a b c d", "a b c d")], "n INT, g INT, hyp STRING, ref STRING")
     row = B.corpus_bleu(B.segment_stats(df, keys=["n", "g"]), ["n"]).first()
     assert row.n == 0 and row.bleu == pytest.approx(100.0)
+
+
+def test_a_word_is_cut_once_and_texts_of_many_slices_count_alike(spark, monkeypatch):
+    """The words a task remembers give the tokens of the column form, in whatever slices texts are counted."""
+    rnd = random.Random(5)
+    bits = ["a", "B", "1", "9", ".", ",", "-", "'", "&amp;", "&lt;", "<skipped>", "(", "%", "é", "²", " ", "\n", "-\n", " ", "\x1c", "　", "😀"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 30))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, s STRING")
+    for r in df.select("s", tokenize_13a("s").alias("t")).collect():
+        assert [t for w in text_words(r.s) for t in word_tokens(w)] == r.t
+    pairs = [(texts[i], texts[i - 1] + " " + texts[i]) for i in range(len(texts))] + [(None, "a b"), ("a", None), (None, None)]
+    pairs.append(("x, y " * 60_000, "x, z " * 60_000))
+    for limit in (B.SLICE_BYTES, 64):
+        batch = pa.RecordBatch.from_pydict({"_hyp": pa.array([h or "" for h, _ in pairs]), "_ref": pa.array([r or "" for _, r in pairs])})
+        monkeypatch.setattr(B, "SLICE_BYTES", limit)
+        parts = list(B._slices(batch))
+        assert sum(p.num_rows for p in parts) == len(pairs) and (len(parts) > 100) == (limit == 64)
+    df = spark.createDataFrame([(i, h, r) for i, (h, r) in enumerate(pairs)], "idx LONG, hyp STRING, ref STRING")
+    stats = B.segment_stats(df)
+    assert "MapInArrow" in stats._jdf.queryExecution().executedPlan().toString()  # no array functions per token
+    for row in stats.collect():
+        m, t, h, r = _stats([tuple(x or "" for x in pairs[row.idx])])
+        assert [row.m1, row.m2, row.m3, row.m4] == m and [row.t1, row.t2, row.t3, row.t4] == t and (row.sys_len, row.ref_len) == (h, r)

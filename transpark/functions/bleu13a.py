@@ -7,10 +7,15 @@ rules, then split on whitespace.
 The first rule sets every symbol apart. The other three concern periods, commas
 and hyphens; none of their matches reaches over white space, so they are applied
 to the words that hold such a character, padded with blanks, and not to the text.
+
+``tokenize_13a`` is the column; ``text_words`` and ``word_tokens`` are the same rules for tasks that cut
+many texts: no match reaches over white space, so a word is cut once, however often it occurs.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,3 +54,27 @@ def tokenize_13a(col) -> Column:
         s = F.replace(s, F.lit(a), F.lit(b))
     s = F.regexp_replace(s, SYMBOL, " $0 ")
     return F.flatten(F.transform(words(s), _cut))
+
+
+_SYMBOL = re.compile(SYMBOL)
+_RULES = [(re.compile(pattern), repl.replace("$", "\\")) for pattern, repl in RULES_13A[1:]]
+
+
+def text_words(text: str) -> list[str]:
+    """The words of a segment, in which the tokens lie."""
+    s = text.rstrip().replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
+    for a, b in UNESCAPE_13A:
+        s = s.replace(a, b)
+    return s.split()
+
+
+def word_tokens(word: str) -> list[str]:
+    """The tokens of one of ``text_words``."""
+    out: list[str] = []
+    for part in _SYMBOL.sub(r" \g<0> ", word).split():
+        if "." in part or "," in part or "-" in part:
+            part = f" {part} "
+            for pattern, repl in _RULES:
+                part = pattern.sub(repl, part)
+        out.extend(part.split())
+    return out

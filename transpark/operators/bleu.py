@@ -4,51 +4,113 @@ Public definition: Papineni et al. (2002) with the sacreBLEU defaults
 (Post 2018): 13a tokens, case-sensitive, one reference, 4-grams,
 exponential smoothing of zero match counts, brevity penalty exp(1 - r/h).
 
-Plan: a segment is one row, and its statistics come from array functions on
-that row: the n-grams of both sides as 64-bit hashes (an n-gram's hash is made
-of the hash of its first n-1 tokens and of its last token), a set intersection,
-and a merge of what occurs more than once. No row is multiplied and nothing is
-shuffled below the sums of groups; the memory of a row is a few arrays of eight
-bytes a token. Two different n-grams would have to share 64 bits within one
-segment to be taken for one.
+Plan: a segment is one row, and its statistics come from a ``mapInArrow`` job over the pairs. A task numbers
+the tokens of a slice of texts (a word is cut into tokens once, not once for each place), the n-grams by
+the number of their first n-1 tokens and of their last token, and counts both sides of all segments of the slice
+at once. The numbers are exact: no two n-grams share one. No row is multiplied and nothing is shuffled below the
+sums of groups; a task holds a few arrays of eight bytes a token of a slice.
 """
 
 from __future__ import annotations
 
+import itertools
+from array import array
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from transpark.functions.bleu13a import tokenize_13a
+from transpark.functions.bleu13a import text_words, word_tokens
 
 ORDER = 4
-
-
-def _longer(shorter: Column, tokens: Column, n: int) -> Column:
-    """The hashes of all n-grams from those of the (n-1)-grams and of the tokens."""
-    starts = F.slice(shorter, F.lit(1), F.greatest(F.size(shorter) - 1, F.lit(0)))
-    return F.transform(starts, lambda x, i: F.xxhash64(x, F.get(tokens, i + (n - 1))))
-
-
-def _repeats(ordered: Column) -> Column:
-    """What is left of a sorted array without one copy of each element, still sorted."""
-    return F.filter(ordered, lambda x, i: x == F.get(ordered, i - 1))
-
-
-def _clipped(hyp: Column, ref: Column) -> Column:
-    """The sum over distinct elements of the smaller of their two numbers, by a merge: elements are
-    sorted with their side in the lowest bit, and one pass pairs those of both sides."""
-    own, side = F.lit(-2).cast("long"), F.lit(1).cast("long")
-    both = F.sort_array(F.concat(F.transform(hyp, lambda x: x.bitwiseAND(own)), F.transform(ref, lambda x: x.bitwiseOR(side))))
-
-    def step(acc: Column, x: Column) -> Column:
-        same, is_ref = x.bitwiseAND(own) == acc["x"], x.bitwiseAND(side) == 1
-        hit = is_ref & same & (acc["left"] > 0)
-        left = F.when(hit, acc["left"] - 1).when(is_ref, F.lit(0)).when(same, acc["left"] + 1).otherwise(F.lit(1))
-        return F.struct(x.bitwiseAND(own).alias("x"), left.alias("left"), (acc["m"] + F.when(hit, F.lit(1)).otherwise(F.lit(0))).alias("m"))
-
-    start = F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).alias("left"), F.lit(0).alias("m"))
-    merged = F.aggregate(both, start, step, lambda acc: acc["m"])
-    return F.when((F.size(hyp) > 0) & (F.size(ref) > 0), merged).otherwise(F.lit(0))
+SLICE_BYTES = 1 << 20  # of the texts counted at once, but for one that is longer alone
+WORD_CHARS = 1 << 25  # of the words a task remembers, 64 more for each
+
+
+class _Numbers:
+    """Numbers of words and of tokens, counted together. An alphanumeric word is its only token; ``code`` has the
+    token of every other word that is one token, or a negative number, by which ``first`` and ``size`` tell
+    where in ``flat`` its tokens are."""
+
+    def __init__(self):
+        count = itertools.count()
+        self.words, self.tokens = defaultdict(count.__next__), defaultdict(count.__next__)
+        self.code = np.arange(1 << 12)
+        self.flat, self.first, self.size = array("q"), array("q"), array("q")
+        self.chars = 0
+
+    def _learn(self, seen: int) -> None:
+        """What the words after the first ``seen`` ones are made of."""
+        new = list(itertools.islice(reversed(self.words), len(self.words) - seen))
+        self.chars += sum(map(len, new)) + 64 * len(new)
+        cut = {}
+        for word in new:
+            if not word.isalnum():
+                found = [self.words[t] if t.isalnum() else self.tokens[t] for t in word_tokens(word)]
+                cut[self.words[word]] = found[0] if len(found) == 1 else -1 - len(self.first)
+                if len(found) != 1:
+                    self.first.append(len(self.flat))
+                    self.size.append(len(found))
+                    self.flat.extend(found)
+        used = len(self.words) + len(self.tokens)
+        if used > len(self.code):
+            self.code = np.concatenate((self.code, np.arange(len(self.code), 2 * used)))
+        self.code[list(cut.keys())] = list(cut.values())
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the tokens of texts one after the other, and how many tokens each text has."""
+        seen, number = len(self.words), self.words.__getitem__
+        parts = [np.fromiter(map(number, words), np.int64, len(words)) for words in map(text_words, texts)]
+        self._learn(seen)
+        words = self.code[np.concatenate([np.zeros(0, np.int64), *parts])]
+        cut = np.flatnonzero(words < 0)
+        flat, first, size = (np.array(a, np.int64) for a in (self.flat, self.first, self.size))
+        n = np.ones(len(words), np.int64)
+        n[cut] = size[-1 - words[cut]]
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+        tokens = np.repeat(words, n)
+        place = np.repeat(first[-1 - words[cut]] - ends[cut], n[cut])
+        of_cut = np.flatnonzero(tokens < 0)
+        tokens[of_cut] = flat[place + of_cut]
+        return tokens, np.diff(ends[np.cumsum([0, *map(len, parts)])])
+
+
+def _matches(hyp: np.ndarray, hyp_len: np.ndarray, ref: np.ndarray, ref_len: np.ndarray) -> list[np.ndarray]:
+    """Per segment and order the sum over distinct n-grams of the smaller of their numbers on both sides."""
+    rows, tokens, lengths = len(hyp_len), np.concatenate((hyp, ref)), np.concatenate((hyp_len, ref_len))
+    row = np.repeat(np.tile(np.arange(rows), 2), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(tokens))  # tokens from here to the end of the text
+    width = int(tokens.max(initial=0)) + 1
+    gram, at, out = row.copy(), np.arange(len(tokens)), []
+    for n in range(1, ORDER + 1):
+        grams, of = np.unique(gram[at] * width + tokens[at + n - 1], return_inverse=True)
+        is_ref = at >= len(hyp)
+        both = np.minimum(*(np.bincount(of[side], minlength=len(grams)) for side in (~is_ref, is_ref)))
+        row_of = np.zeros(len(grams), np.int64)
+        row_of[of] = row[at]
+        out.append(np.bincount(row_of, weights=both, minlength=rows).astype(np.int64))
+        gram[at] = of
+        at = at[(both[of] > 0) & (left[at] > n)]  # what begins with an n-gram of one side is of one side
+    return out
+
+
+def _texts(col: pa.Array) -> list[str]:
+    try:
+        return col.to_pylist()
+    except UnicodeDecodeError:  # bytes that are no text, as the JVM reads them
+        return [b.decode("utf-8", "replace") for b in col.cast(pa.binary()).to_pylist()]
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    sizes = pc.binary_length(batch.column("_hyp")).to_numpy().astype(np.int64) + pc.binary_length(batch.column("_ref")).to_numpy()
+    at = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES)) + 1
+    for i, j in zip([0, *at.tolist()], [*at.tolist(), batch.num_rows]):
+        yield batch.slice(i, j - i)
 
 
 def segment_stats(df: DataFrame, hyp: str = "hyp", ref: str = "ref", keys: list[str] | None = None) -> DataFrame:
@@ -58,22 +120,23 @@ def segment_stats(df: DataFrame, hyp: str = "hyp", ref: str = "ref", keys: list[
     still count their reference length.
     """
     keys = list(keys or ["idx"])
-    tokens = {"_h": tokenize_13a(F.coalesce(F.col(hyp).cast("string"), F.lit(""))), "_r": tokenize_13a(F.coalesce(F.col(ref).cast("string"), F.lit("")))}
-    seg = df.select(*keys, *[F.transform(t, lambda x: F.xxhash64(x)).alias(f"{s}1") for s, t in tokens.items()])
-    for n in range(2, ORDER + 1):
-        seg = seg.select("*", *[_longer(F.col(f"{s}{n - 1}"), F.col(f"{s}1"), n).alias(f"{s}{n}") for s in tokens])
-    # matched once: the distinct n-grams of both sides; matched again: the same of what is left of both
-    sizes = [F.size(f"{s}1").alias(f"{s}_len") for s in tokens]
-    once = [F.size(F.array_intersect(f"_h{n}", f"_r{n}")).alias(f"_once{n}") for n in range(1, ORDER + 1)]
-    seg = seg.select(*keys, *sizes, *once, *[F.sort_array(f"{s}{n}").alias(f"{s}{n}") for s in tokens for n in range(1, ORDER + 1)])
-    seg = seg.select(*keys, *[f"{s}_len" for s in tokens], *[f"_once{n}" for n in range(1, ORDER + 1)], *[_repeats(F.col(f"{s}{n}")).alias(f"{s}{n}") for s in tokens for n in range(1, ORDER + 1)])
-    return seg.select(
-        *keys,
-        F.col("_h_len").cast("long").alias("sys_len"),
-        F.col("_r_len").cast("long").alias("ref_len"),
-        *[(F.col(f"_once{n}") + _clipped(F.col(f"_h{n}"), F.col(f"_r{n}"))).cast("long").alias(f"m{n}") for n in range(1, ORDER + 1)],
-        *[F.greatest(F.col("_h_len") - F.lit(n - 1), F.lit(0)).cast("long").alias(f"t{n}") for n in range(1, ORDER + 1)],
-    )
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    pairs = df.select(*keys, text(hyp).alias("_hyp"), text(ref).alias("_ref"))
+    schema = T.StructType([*pairs.schema.fields[: len(keys)], *[T.StructField(c, T.LongType()) for c in STAT_COLS]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Numbers()
+        for batch in batches:
+            for part in _slices(batch):
+                if numbers.chars > WORD_CHARS:
+                    numbers = _Numbers()
+                h, h_len = numbers.of(_texts(part.column("_hyp")))
+                r, r_len = numbers.of(_texts(part.column("_ref")))
+                totals = [np.maximum(h_len - n, 0) for n in range(ORDER)]
+                stats = [h_len, r_len, *_matches(h, h_len, r, r_len), *totals]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *map(pa.array, stats)], names=schema.names)
+
+    return pairs.mapInArrow(run, schema)
 
 
 STAT_COLS = ["sys_len", "ref_len", *[f"m{n}" for n in range(1, ORDER + 1)], *[f"t{n}" for n in range(1, ORDER + 1)]]
