@@ -94,6 +94,20 @@ def test_evaluation_with_a_scorer_and_a_log(spark, tmp_path):
     assert {r.run: r.ref_len for r in res["corpus"].collect()} == {"good": 160, "bad": 160}  # null hypotheses count
 
 
+def test_a_scorer_does_not_read_the_segments_again(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    segs = spark.createDataFrame([("r", i, "s", f"a b c d {i}", f"a b c d {i}") for i in range(40)], "run STRING, idx LONG, src STRING, ref STRING, hyp STRING")
+    res = WF.evaluate_runs(segs.mapInArrow(count, segs.schema), 32, make_scorer=U.overlap_scorer)
+    assert {r.metric: r["mean"] for r in res["scores"].collect()} == pytest.approx({"bleu": 100.0, "bleu_b32": 100.0, "score": 100.0})
+    assert seen.value == 40 and "seg_score" not in res["stats"].columns
+
+
 def test_prepare_corpus(spark):
     df = spark.createDataFrame([(0, "Hello, world — it's “fine”.", "Hallo Welt."), (1, "A-B test", "A-B Test")], "idx LONG, src STRING, tgt STRING")
     out, vocab = WF.prepare_corpus(df)

@@ -160,8 +160,11 @@ def evaluate_runs(
     -> model x (test set, metric) table with best flags; with ``log_path`` the scores are appended to
     that run log. ``testset_of`` maps a run name Column to (model, testset) Columns; default: model =
     run, testset = 'test'."""
-    stats = B.segment_stats(segments, keys=["run", "idx"])
-    stats = materialize(stats, "segstats")
+    # texts are read once for all statistics, the learned score included
+    learned = ["seg_score"] if make_scorer else []
+    scored = U.score_segments(segments, make_scorer).select("run", "idx", "hyp", "ref", "seg_score") if make_scorer else segments
+    scored = materialize(B.segment_stats(scored, keys=["run", "idx", *learned]), "segstats")
+    stats = scored.drop("seg_score")
     corpus = B.corpus_bleu(stats, ["run"])
     batch = B.bleu_mean_std(stats, batch_size, ["run"])
     model, testset = testset_of(F.col("run")) if testset_of else (F.col("run"), F.lit("test"))
@@ -171,7 +174,6 @@ def evaluate_runs(
     )
     out = {"stats": stats, "corpus": corpus, "batch": batch}
     if make_scorer:
-        scored = U.score_segments(segments, make_scorer).select("run", "seg_score")
         out["learned"] = RN.segment_score_summary(scored, by=["run"])
         long = long.unionByName(out["learned"].select(*row("score", F.col("score_mean"), F.col("score_std"))))
     long = long.select(model.alias("model"), testset.alias("testset"), "metric", "mean", "stdev")

@@ -11,7 +11,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transpark.session import materialize
+from transpark.session import TEXT_CODEC, materialize
 
 COPY_BUFFER = 4 << 20
 
@@ -71,7 +71,7 @@ def write_segments(df: DataFrame, path: str, text_export: bool | str = False, mo
     what was written, so that the input is evaluated once; ``"parts"`` leaves them as folders of part
     files, ``path/text/kind=<kind file>/run=<run>/part-*``, which tasks read in parallel."""
     columns = ["run", "idx", "src", "ref", "hyp"]
-    df.select(*columns).write.mode(mode).partitionBy("run").parquet(f"{path}/parquet")
+    df.select(*columns).write.mode(mode).option("compression", TEXT_CODEC).partitionBy("run").parquet(f"{path}/parquet")
     if not text_export:
         return
     spark = df.sparkSession

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from transpark.operators.common import join_small
-from transpark.session import materialize
+from transpark.session import TEXT_CODEC, materialize
 
 PART_FILE = r"/part-[0-9]+[^/]*$"
 
@@ -43,7 +43,7 @@ def read_lines(spark: SparkSession, path, strict_splitlines: bool = False, parts
     # numbers grow along a scan task, also across the pieces of a line
     raw = raw.select("*", F.monotonically_increasing_id().alias("_mid"))
     unit = F.regexp_replace("_path", PART_FILE, "") if parts_as_one else F.col("_path")
-    raw = materialize(raw.withColumn("file", unit), "lines")
+    raw = materialize(raw.withColumn("file", unit), "lines", TEXT_CODEC)
     blocks = raw.groupBy("file", "_path", "block").agg(F.min("_mid").alias("_m0"), F.count("*").alias("_n"))
     if strict_splitlines:
         raw, blocks = _without_open_ends(spark, raw, blocks)
