@@ -139,3 +139,28 @@ def test_runs_of_several_texts_are_those_of_each():
     at = run_hashes(twice, np.array([0, 5, n + 5, 1]), np.array([4, 9, n + 9, 5]))
     assert at[0] == at[1] == at[2] != at[3]
     assert runs(np.zeros(0, np.int64), np.zeros(0, np.int64))[0].tolist() == []
+
+
+def test_runs_are_stored_once_and_filtered_without_their_texts():
+    import numpy as np
+    import pyarrow as pa
+
+    from transpark.llm import line_dedup as L
+
+    rng = random.Random(11)
+    texts = ["one", " ".join(words(rng, n) + "." for n in (14, 9, 17, 3, 41)), "?!", "\n".join(words(rng, n) for n in (5, 10, 3, 12))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [7, 8, 9, 10], "th": [1, 2, 3, 4], "text": texts}).slice(1)
+    stored = pa.RecordBatch.from_pydict(L._run_hashes(batch))
+    assert stored.num_rows == 3 and "text" not in stored.schema.names
+    want = set()
+    for doc_id, text in zip((8, 9, 10), texts[1:]):
+        n = np.array([p.strip().count(b" ") + 1 for p in lines(text)])
+        first, last = L.runs(n, np.full(len(n), len(n)))
+        want |= {(doc_id, a, b - a) for a, b in zip(first.tolist(), last.tolist())}
+    held = L._held(stored, np.full(1 << L.FILTER_BITS - 3, 255, np.uint8))
+    got = [(d.as_py(), a, n) for d, a, n in zip(held["doc_id"], held["pos"].tolist(), held["n_lines"].tolist())]
+    assert len(got) == len(set(got)) and set(got) == want
+    some = np.zeros(1 << L.FILTER_BITS - 3, np.uint8)
+    at = int(held["h"][2]) & (1 << L.FILTER_BITS) - 1
+    some[at >> 3] |= 1 << (at & 7)
+    assert L._held(stored, some)["h"].tolist() == [held["h"][2]]

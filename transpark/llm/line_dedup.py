@@ -118,8 +118,15 @@ def lines(text: str) -> list[bytes]:
         if physical.isspace() and out:
             out[-1] += physical
             continue
-        for line in _LINE.findall(physical):
-            out.extend((line,) if len(line) <= 2 * WRAP or line.count(b" ") <= WRAP else _wrapped(line))
+        found = _LINE.findall(physical)
+        if len(physical) <= 2 * WRAP or physical.count(b" ") <= WRAP:
+            out += found
+            continue
+        for line in found:
+            if len(line) <= 2 * WRAP or line.count(b" ") <= WRAP:
+                out.append(line)
+            else:
+                out += _wrapped(line)
     return out
 
 
@@ -157,24 +164,37 @@ def run_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nd
         return mix64((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
 
 
-def _run_hashes(batch: pa.RecordBatch, bits: np.ndarray | None = None) -> dict:
-    """Hashes of all runs; with ``bits`` the runs whose hashes they hold, with their places."""
+def _run_hashes(batch: pa.RecordBatch) -> dict:
+    """The runs of every text, a row a text: first lines, numbers of lines and hashes, each as the bytes of
+    an array, which Spark stores without looking at every number."""
     parts = [[p.strip() for p in lines(t)] for t in batch.column("text").to_pylist()]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     flat = [p for x in parts for p in x]
     words = np.fromiter((p.count(b" ") + 1 for p in flat), np.int64, len(flat))
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    first, last = runs(words, ends)
+    stops = np.cumsum(sizes)
+    first, last = runs(words, np.repeat(stops, sizes))
     hashes = run_hashes(np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat)), first, last).view(np.int64)
-    if bits is None:
-        return {"h": hashes}
-    at = hashes & (1 << FILTER_BITS) - 1
+    bounds = np.concatenate(([0], np.searchsorted(first, stops)))
+    pos = (first - np.repeat(stops - sizes, np.diff(bounds))).astype(np.int32)
+    return {k: batch.column(k) for k in ("doc_id", "th")} | {
+        k: pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer((bounds * v.itemsize).astype(np.int32)), pa.py_buffer(v)])
+        for k, v in (("pos", pos), ("n_lines", (last - first).astype(np.int32)), ("h", hashes))
+    }
+
+
+def _numbers(column: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _held(batch: pa.RecordBatch, bits: np.ndarray) -> dict:
+    """Of the runs of a batch of texts, a row each, those whose hashes ``bits`` holds."""
+    h = _numbers(batch.column("h"), np.int64)
+    at = h & (1 << FILTER_BITS) - 1
     there = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-    first, last, hashes = first[there], last[there], hashes[there]
-    text = np.searchsorted(np.cumsum(sizes), first, "right")
-    place = first - (np.cumsum(sizes) - sizes)[text]
-    keys = {k: batch.column(k).take(pa.array(text)) for k in ("doc_id", "th")}
-    return keys | {"pos": place.astype(np.int32), "n_lines": (last - first).astype(np.int32), "h": hashes}
+    n_runs = pc.binary_length(batch.column("h")).to_numpy() // h.itemsize
+    text = pa.array(np.repeat(np.arange(batch.num_rows), n_runs)[there])
+    keys = {k: batch.column(k).take(text) for k in ("doc_id", "th")}
+    return keys | {k: _numbers(batch.column(k), np.int32)[there] for k in ("pos", "n_lines")} | {"h": h[there]}
 
 
 def _filter(hashes: DataFrame) -> np.ndarray:
@@ -195,14 +215,17 @@ def _filter(hashes: DataFrame) -> np.ndarray:
 
 
 def _run_bodies(batch: pa.RecordBatch) -> dict:
-    out: dict[str, list] = {"doc_id": [], "th": [], "pos": [], "n_lines": [], "h": [], "n": [], "is_first": [], "body": []}
-    for doc_id, th, text, wanted in zip(*(batch.column(k).to_pylist() for k in ("_id", "_th", "text", "_wanted"))):
-        parts = [p.strip() for p in lines(text)]
-        for w in wanted:
-            body = b"\n".join(parts[w["pos"] : w["pos"] + w["n_lines"]])
-            for k, v in zip(out, (doc_id, th, w["pos"], w["n_lines"], w["h"], w["n"], w["is_first"], body)):
-                out[k].append(v)
-    return {k: pa.array(v, {"pos": pa.int32(), "n_lines": pa.int32(), "is_first": pa.int32(), "body": pa.binary()}.get(k, pa.int64())) for k, v in out.items()}
+    wanted = batch.column("_wanted")
+    row, flat = pc.list_parent_indices(wanted), pc.list_flatten(wanted)
+    each = zip(row.to_pylist(), flat.field("pos").to_pylist(), flat.field("n_lines").to_pylist())
+    texts_ = batch.column("text").to_pylist()
+    bodies, now, parts = [], -1, []
+    for i, pos, n_lines in each:
+        if i != now:
+            now, parts = i, [p.strip() for p in lines(texts_[i])]
+        bodies.append(b"\n".join(parts[pos : pos + n_lines]))
+    out = {"doc_id": batch.column("_id").take(row), "th": batch.column("_th").take(row)}
+    return out | {k: flat.field(k) for k in ("pos", "n_lines", "h", "n", "is_first")} | {"body": pa.array(bodies, pa.binary())}
 
 
 def _occurrences(batch: pa.RecordBatch, with_bytes: bool) -> dict:
@@ -257,13 +280,15 @@ def _covers(batch: pa.RecordBatch) -> dict:
 
 def _repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc_id, th, wanted`` (runs as ``pos, n_lines, h, n, is_first``) of the documents whose bytes are needed:
-    bare hashes are counted first, places move for runs alone that pass the bitmap of repeated hashes, and of
+    texts are cut once and their runs stored, bare hashes are counted first, places move for runs alone that pass the bitmap of repeated hashes, and of
     a document's repetitions as many runs are compared as hold all its repeated lines."""
-    hashes = map_batches(docs, _run_hashes, "h long")
+    every = scratch.write(map_batches(docs, _run_hashes, "doc_id long, th long, pos binary, n_lines binary, h binary"), "every")
+    hashes = map_batches(every.select("h"), lambda b: {"h": _numbers(b.column("h"), np.int64)}, "h long")
     repeated = scratch.write(hashes.groupBy("h").count().where("count > 1").select("h"), "repeated")
     bits = docs.sparkSession.sparkContext.broadcast(_filter(repeated))
     schema = "doc_id long, th long, pos int, n_lines int, h long"
-    narrow = scratch.write(map_batches(docs, lambda b: _run_hashes(b, bits.value), schema), "runs")
+    narrow = scratch.write(map_batches(every, lambda b: _held(b, bits.value), schema), "runs")
+    scratch.drop(every, repeated)
     place = F.struct("doc_id", "th", "pos")
     first = narrow.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos", "n_lines")).alias("first"), F.max(place).alias("last"))
     first = scratch.write(first.where(F.struct("first.doc_id", "first.th", "first.pos") != F.col("last")).select("h", "n", "first"), "first")
@@ -329,12 +354,18 @@ def _without_runs(keyed: DataFrame, wanted: DataFrame, scratch: Scratch, schema:
 
     def rebuild(batch: pa.RecordBatch) -> dict:
         n_removed, deduped = [], []
-        for text, runs_, other_ in zip(*(batch.column(k).to_pylist() for k in ("text", "_wanted", "_other"))):
+        wanted_ = batch.column("_wanted")
+        later = pa.RecordBatch.from_arrays([pc.list_parent_indices(wanted_), *pc.list_flatten(wanted_).flatten()], ["row", *(f.name for f in wanted_.type.value_type)])
+        later = later.filter(pc.equal(later.column("is_first"), 0))
+        gone: dict[int, list[tuple[int, int]]] = {}
+        for i, pos, n_lines in zip(*(later.column(k).to_pylist() for k in ("row", "pos", "n_lines"))):
+            gone.setdefault(i, []).append((pos, n_lines))
+        for i, (text, other_) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("text", "_other")))):
             stay = {(o["pos"], o["n_lines"]) for o in other_ or ()}
             lost: set[int] = set()
-            for r in runs_ or ():
-                if not r["is_first"] and (r["pos"], r["n_lines"]) not in stay:
-                    lost.update(range(r["pos"], r["pos"] + r["n_lines"]))
+            for pos, n_lines in gone.get(i, ()):
+                if (pos, n_lines) not in stay:
+                    lost.update(range(pos, pos + n_lines))
             n_removed.append(len(lost))
             deduped.append(text if not lost else b"".join([p for i, p in enumerate(lines(text)) if i not in lost]).decode("utf-8", "surrogatepass"))
         keep = {c: batch.column(c) for c in batch.schema.names if c not in ("_wanted", "_other")}
