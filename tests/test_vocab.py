@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from transpark.functions.text import words
-from transpark.operators import common
+from transpark.operators import common, numbering
 from transpark.operators import vocab as V
 
 TEXTS = ["the cat sat on the mat", "the dog", "a cat and a dog", "", "zebra"]
@@ -83,3 +83,49 @@ def test_lookup_moves_ids_as_longs(spark):
     out = V.encode_ids(df, "tok", vocab, ["k"], keep=["note"])
     assert out.columns == ["k", "note", "ids"] and {r.k: r.note for r in out.collect()} == {1: "note", 2: "n", 3: None}
     assert "array_sort" not in V.encode_ids(df, "tok", vocab, ["k"], keep=[])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _both_ways(monkeypatch, make):
+    """The rows of ``make()`` with the whole vocabulary broadcast, and with two frequent entries apart from the rest."""
+    whole = make().collect()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(V, "HOT_ENTRIES", 2)
+    apart = make()
+    return sorted(map(str, whole)), sorted(map(str, apart.collect())), apart._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_frequent_elements_are_not_exploded(spark, monkeypatch):
+    """With a large vocabulary only elements that are not among its frequent entries become rows; keys may repeat or be
+    null, elements too."""
+    rows = [(1, ["b", "x", None, "a", "c", "b"], "n"), (1, ["c", "a"], "n"), (None, ["a", "d"], "m"), (2, [], None), (3, None, "o"), (4, ["d", "a", "d"], "")]
+    df = spark.createDataFrame(rows, "k LONG, tok ARRAY<STRING>, note STRING")
+    vocab = spark.createDataFrame([("a", 9, 4), ("b", 5, 5), ("c", 2, 6), ("d", 1, 7), (None, 1, 8)], "token STRING, cnt LONG, id INT")
+    whole, apart, plan = _both_ways(monkeypatch, lambda: V.encode_ids(df, "tok", vocab, ["k"], unk=-7))
+    assert whole == apart and len(apart) == 5
+    assert "posexplode" not in plan and "inline" in plan
+
+
+def test_rare_and_repeated_entries_decode_alike(spark, monkeypatch):
+    df = spark.createDataFrame([(1, [7, 4, 99, None, 6, 4]), (2, [5, 5]), (None, [6]), (3, None), (4, [99])], "k LONG, ids ARRAY<INT>")
+    vocab = spark.createDataFrame([("a", 9, 4), ("b", 5, 5), ("bb", 5, 5), ("c", 2, 6), ("d", 1, 7)], "token STRING, cnt LONG, id INT")
+    whole, apart, plan = _both_ways(monkeypatch, lambda: V.decode_ids(df, "ids", vocab, ["k"]).select("k", "text"))
+    assert whole == apart and "text='d a c a'" in str(apart) and "text='b bb b bb'" in str(apart)
+    assert "posexplode" not in plan
+
+
+def test_vocab_counts_before_rows_are_made(spark, monkeypatch):
+    """Tokens are counted batch by batch: what is grouped are sums of counts, not one row per token. Null tokens are one."""
+    plans = []
+    monkeypatch.setattr(V, "dense_index", lambda df, *a, **b: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or numbering.dense_index(df, *a, **b))
+    df = spark.createDataFrame([(["b", "a", "b", None],), (["b", None],), ([],), (None,)], "tok ARRAY<STRING>")
+    assert {r.token: r.cnt for r in V.build_vocab(df, "tok", specials=()).collect()} == {"a": 1, "b": 3, None: 2}
+    assert "MapInArrow" in plans[0] and "explode" not in plans[0]
+
+
+def test_words_cut_at_one_plain_character(spark):
+    """``str.split()`` over every whitespace character, without a pattern tried at every place."""
+    every = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
+    texts = [every, "".join(f"a{c}b{c}{c}" for c in every), " x​y é　\U0001f600 ", "", "one"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text STRING").select("text", words("text").alias("w"))
+    assert [r.w for r in df.collect()] == [*(t.split() for t in texts), None]
+    assert "split(translate(" in df._jdf.queryExecution().optimizedPlan().toString()

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 # whitespace, as a regex class that Java and RE2 read the same way.
 WS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 WS_RUN = WS + "+"
-# The same for Java alone, which tries the ranges of a class one by one: printable ASCII is told apart first.
-JAVA_WS_RUN = r"[[^!-~]&&" + WS + "]+"
+# The same characters but the blank, one by one.
+_OTHER_WS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 
 # Fixed value: the subword boundary marker of sentencepiece.
 PIECE_MARK = "▁"
@@ -26,8 +28,9 @@ def _c(col) -> Column:
 
 
 def words(col) -> Column:
-    """``str.split()``: split on runs of Unicode whitespace, no empty tokens."""
-    return F.array_remove(F.split(_c(col), JAVA_WS_RUN), "")
+    """``str.split()``: split on runs of Unicode whitespace, no empty tokens. All whitespace is made blanks first: Java
+    cuts at one plain character without trying a pattern at every place."""
+    return F.array_remove(F.split(F.translate(_c(col), _OTHER_WS, " " * len(_OTHER_WS)), " "), "")
 
 
 def word_counter(col) -> Column:
