@@ -26,7 +26,7 @@ BOS, PAD, EOS, UNK = 0, 1, 2, 3
 IGNORE = -100
 
 # Of a vocabulary too large to broadcast, the first entries (ids follow frequency) are still
-# broadcast, as far as their tokens have at most HOT_TOKEN_BYTES, so their size is bounded.
+# broadcast, as far as their tokens have at most HOT_TOKEN_BYTES, so their size is bounded (64 MB of tokens).
 HOT_ENTRIES = 262_144
 HOT_TOKEN_BYTES = 256
 
