@@ -174,3 +174,47 @@ def test_a_round_has_one_copy_of_its_translations(spark, monkeypatch):
     datasets, _ = WF.iterate_back_translation(mono, mono, fns, dev, rounds=2, stop_eps=None)
     assert written == ["round0", "round1"]
     assert [d.count() for d in datasets] == [80, 80]
+
+
+def _made_by(r):
+    """Models that leave out every third word (forward) and every fourth one (backward)."""
+    drop = lambda k: lambda: (lambda texts: [" ".join(w for i, w in enumerate(t.split()) if i % k != k - 1) for t in texts])
+    return drop(3 + r), drop(4 + r)
+
+
+def test_a_round_stores_a_text_and_its_translations_together(spark):
+    """Both sides translate the same texts: a round takes little more than the texts alone, not two copies and their translations."""
+    import random
+
+    rnd = random.Random(1)
+    rows = [(i, " ".join(f"{rnd.getrandbits(48):x}" for _ in range(200))) for i in range(300)]
+    mono = spark.createDataFrame(rows, "idx LONG, text STRING").coalesce(1)
+    dev = spark.createDataFrame([(i, "a b c d e", "e d c b a") for i in range(8)], "idx LONG, src STRING, tgt STRING")
+    datasets, _ = WF.iterate_back_translation(mono, mono, lambda r, _: _made_by(r), dev, 2, stop_eps=None)
+    files = {f for d in datasets for f in d.inputFiles()}
+    stored = sum(os.path.getsize(f.removeprefix("file:").replace("///", "/")) for f in files)
+    text = sum(len(t) for _, t in rows)
+    assert stored < 2 * 0.9 * text  # two rounds; hexadecimal digits alone are half their text, a copy of them as much again
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_rounds_hold_the_pairs_of_both_sides(spark, same):
+    """Repeated and null keys and null texts are rows like others, whether both sides are one corpus or two."""
+    tgt = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "g h i j"), (None, "k l m n"), (2, None)], "idx LONG, text STRING")
+    src = tgt if same else spark.createDataFrame([(7, "p q r s t u"), (7, None)], "idx LONG, text STRING")
+    dev = spark.createDataFrame([(i, "a b c d e", "e d c b a") for i in range(8)], "idx LONG, src STRING, tgt STRING")
+    datasets, _ = WF.iterate_back_translation(src, tgt, lambda r, _: _made_by(r), dev, 2, stop_eps=None)
+    for r, data in enumerate(datasets):
+        assert data.columns == ["idx", "src", "tgt", "split", "direction"]
+        fwd, bwd = (make() for make in _made_by(r))
+        wanted = [(i, bwd([t or ""])[0], t, "train", "bt") for i, t in tgt.collect()]
+        wanted += [(i, t, fwd([t or ""])[0], "train", "ft") for i, t in src.collect()]
+        assert sorted(map(repr, wanted)) == sorted(repr(tuple(x)) for x in data.collect())
+
+
+def test_carried_columns_stay_beside_their_pairs(spark):
+    mono = spark.createDataFrame([(i, f"w{i} v", i * 10) for i in range(5)], "idx LONG, text STRING, extra LONG")
+    out = WF.back_translate(mono, U.reverse_words_translator, carry=("extra",))
+    assert sorted(map(tuple, out.select("idx", "src", "extra").collect())) == [(i, f"v w{i}", i * 10) for i in range(5)]
+    with pytest.raises(ValueError):
+        WF.back_translate(mono, U.reverse_words_translator, base=_base(spark), carry=("extra",))
