@@ -261,3 +261,75 @@ def test_read_vocab_and_sinks(spark, tmpdir_path):
     ds = spark.createDataFrame([("d", "train", 0, "a", "b"), ("d", "test", 0, "c", "d")], "dataset STRING, split STRING, idx LONG, src STRING, tgt STRING")
     sinks.write_dataset(ds, os.path.join(tmpdir_path, "ds"))
     assert spark.read.parquet(os.path.join(tmpdir_path, "ds")).filter("split = 'test'").count() == 1
+
+
+def _tables(spark):
+    """Names of what is under the checkpoint folder, without the unique part."""
+    from transpark.session import checkpoint_dir
+
+    base = checkpoint_dir(spark).removeprefix("file:")
+    return sorted(n for n in os.listdir(base) if n.startswith("tp-"))
+
+
+def _documents(spark, folder):
+    rows = [(i, f"w{i} a b c d e f g\nh", "en" if i % 3 else "de", "s", 5) for i in range(90)]
+    spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG").write.parquet(f"{folder}/documents.parquet")
+
+
+def test_joined_parts_are_packed_and_used_up(spark, tmpdir_path, monkeypatch):
+    """A text that becomes one file is on disk once: its parts are compressed, and gone when they are copied."""
+    seen, plain = [], sinks.join_parts
+
+    def join(s, folder, target):
+        parts = [f"{folder}/{n}" for n in os.listdir(folder) if n.startswith("part-")]
+        packed = sum(map(os.path.getsize, parts))
+        plain(s, folder, target)
+        seen.append(packed / os.path.getsize(target))
+        assert not any(map(os.path.exists, parts))
+
+    monkeypatch.setattr(sinks, "join_parts", join)
+    rows = [("r", i, f"source {i} " * 50, f"reference {i} " * 50, f"ä  {i} " * 50) for i in range(400)]
+    segs = spark.createDataFrame(rows, "run STRING, idx LONG, src STRING, ref STRING, hyp STRING")
+    sinks.write_segments(segs, tmpdir_path, text_export=True)
+    assert len(seen) == 3 and max(seen) < 0.3
+    with open(f"{tmpdir_path}/r/hypothesis.hyp", encoding="utf-8") as f:
+        assert f.read() == "".join(f"{r[4]}\n" for r in rows)
+
+
+def test_intermediate_tables_of_a_step_go_with_it(spark):
+    from transpark import session
+
+    before, written = _tables(spark), list(session._WRITTEN)
+    with session.temporary(spark):
+        inner = session.materialize(spark.range(5), "inner")
+        with session.temporary(spark):
+            session.materialize(inner, "innermost")
+        kept = session.materialize(inner, "kept", shared=True)
+    assert kept.count() == 5
+    assert [n.split("-")[1] for n in _tables(spark) if n not in before] == ["kept"]
+    assert len(session._WRITTEN) == len(written) + 1
+
+
+def test_shuffle_files_go_with_their_write(spark):
+    import glob
+    import time
+
+    from transpark import session
+
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    found = lambda: set(glob.glob(f"{folder}/**/shuffle_*.data", recursive=True))
+    before, setting = found(), spark.conf.get(session._FREE_SHUFFLES, None)
+    session.materialize(spark.range(1000).repartitionByRange(8, "id"), "moved")
+    time.sleep(2)
+    assert not found() - before and spark.conf.get(session._FREE_SHUFFLES, None) == setting
+
+
+def test_read_back_segments_leave_no_scratch_files(spark, tmpdir_path):
+    from transpark.plans import catalog
+
+    _documents(spark, tmpdir_path)
+    before = _tables(spark)
+    rows = catalog.QUERIES["segments_round_trip"](spark, tmpdir_path).collect()
+    assert len(rows) == 90 and sorted(r.idx for r in rows if r.run == "de") == list(range(30))
+    assert {r.hyp for r in rows if r.src == "w4 a b c d e f g h"} == {"w4 a b c d e g h"}
+    assert {n.split("-")[1] for n in _tables(spark) if n not in before} <= {"lines", "side", "relaid"}

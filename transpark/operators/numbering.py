@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transpark.operators.common import join_small
-from transpark.session import materialize
+from transpark.session import TEXT_CODEC, materialize
 
 _MID_SHIFT = 33  # monotonically_increasing_id = partition index << 33 | row position
 
@@ -31,7 +31,7 @@ def _ranged(df: DataFrame, keys: list[Column], n: int) -> DataFrame:
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     pid = F.spark_partition_id()
     pos = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), _MID_SHIFT)
-    return materialize(ranged.select("*", pid.alias("_tp_pid"), pos.alias("_tp_pos")), "ranged")
+    return materialize(ranged.select("*", pid.alias("_tp_pid"), pos.alias("_tp_pos")), "ranged", TEXT_CODEC)
 
 
 def _join_groups(df: DataFrame, of_groups: DataFrame, part: list[str]) -> DataFrame:

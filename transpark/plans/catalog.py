@@ -20,7 +20,7 @@ from transpark.operators import select as S
 from transpark.operators import text_jobs as TJ
 from transpark.operators.numbering import dense_index, number_by_key
 from transpark.plans import oracle_sql as Q
-from transpark.session import materialize
+from transpark.session import delete, materialize, temporary
 from transpark.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -978,6 +978,15 @@ def evaluate_runs(spark, d):
     return res["table"].select("model", r6("test_bleu").alias("test_bleu"), r6("test_bleu_b32").alias("test_bleu_b32"))
 
 
+def _read_back(spark, out: str) -> DataFrame:
+    """The segments of an export's text files. ``read_segments`` stores the lines as it reads them, so the scratch files
+    go: the Parquet copy, which is not read back, before that and the texts after it."""
+    delete(spark, f"{out}/parquet")
+    back = _read_segments(spark, out)
+    delete(spark, out)
+    return back
+
+
 @register(
     "evaluate_runs_files",
     f"""{_BATCH_SCORES},
@@ -1124,12 +1133,13 @@ def read_lines_query(spark, d):
 )
 def segments_round_trip(spark, d):
     """K1 text export of per-language segment triples, read back with S4."""
-    segs = doc_pairs(spark, d).select(
-        F.col("lang").alias("run"), "idx", T.squeeze("ref").alias("src"), T.squeeze("ref").alias("ref"), "hyp"
-    )
     out = _scratch(spark, "segments")
-    K.write_segments(segs, out, text_export=True)
-    return _read_segments(spark, out)
+    with temporary(spark):
+        segs = doc_pairs(spark, d).select(
+            F.col("lang").alias("run"), "idx", T.squeeze("ref").alias("src"), T.squeeze("ref").alias("ref"), "hyp"
+        )
+        K.write_segments(segs, out, text_export=True)
+    return _read_back(spark, out)
 
 
 from transpark.sources.text_files import read_vocab as _read_vocab  # noqa: E402

@@ -1,19 +1,24 @@
 """Sinks (K1-K3). Parquet is the default. Text exports keep line order by range-partitioning on the line
 key and sorting inside each part; the parts, in name order, then become one plain file: joined by the file
 system itself where it can (``concat``, no byte moves), copied one after the other through a fixed buffer
-otherwise. The file gets its name by a rename at the end, so that an export that is cut off leaves none."""
+otherwise. Parts to be copied are written compressed and deleted as soon as they are copied, so that a text is not on
+disk twice. The file gets its name by a rename at the end, so that an export that is cut off leaves none."""
 
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transpark.session import TEXT_CODEC, materialize
+from transpark.session import TEXT_CODEC, delete, freed_shuffles, materialize
 
 COPY_BUFFER = 4 << 20
+JOINS = 4  # files that the driver copies together at a time
+
+CONCAT = "fs.capability.paths.concat"
 
 SEGMENT_FILES = {"hyp": "hypothesis.hyp", "ref": "reference.ref", "src": "source.src"}
 
@@ -34,14 +39,23 @@ def _children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def _parts_options(spark: SparkSession, path: str) -> dict[str, str]:
+    """How parts that become a file under ``path`` are written: plain where the file system joins them itself."""
+    p, fs = _path(spark, path)
+    return {} if fs.hasPathCapability(p, CONCAT) else {"compression": "lz4"}
+
+
 def join_parts(spark: SparkSession, folder: str, target: str) -> None:
-    """One plain file ``target`` of the ``part-*`` files of ``folder`` in name order, replacing what is there."""
+    """One plain file ``target`` of the ``part-*`` files of ``folder`` in name order, replacing what is there. The
+    parts are used up; compressed ones are unpacked."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     parts = [_path(spark, f"{folder}/{n}")[0] for n in _children(spark, folder) if n.startswith("part-")]
     goal, fs = _path(spark, target)
     fs.mkdirs(goal.getParent())
     made = jvm.org.apache.hadoop.fs.Path(goal.getParent(), f".{goal.getName()}.{uuid.uuid4().hex}")
-    if len(parts) > 1 and fs.hasPathCapability(goal, "fs.capability.paths.concat"):
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    packed = any(codecs.getCodec(p) is not None for p in parts)
+    if len(parts) > 1 and not packed and fs.hasPathCapability(goal, CONCAT):
         fs.rename(parts[0], made)
         rest = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(parts) - 1)
         for i, p in enumerate(parts[1:]):
@@ -50,9 +64,11 @@ def join_parts(spark: SparkSession, folder: str, target: str) -> None:
     else:
         out = fs.create(made, True)
         for p in parts:
-            part = fs.open(p)
+            part, codec = fs.open(p), codecs.getCodec(p)
+            part = codec.createInputStream(part) if codec is not None else part
             jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, COPY_BUFFER, False)
             part.close()
+            fs.delete(p, False)
         out.close()
     if fs.exists(goal):
         fs.delete(goal, True)
@@ -60,9 +76,10 @@ def join_parts(spark: SparkSession, folder: str, target: str) -> None:
         raise OSError(f"{made} could not be renamed to {goal}")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p, fs = _path(spark, path)
-    fs.delete(p, True)
+def _join_all(spark: SparkSession, targets: dict[str, str]) -> None:
+    """``join_parts`` of every folder to its target, ``JOINS`` at a time."""
+    with ThreadPoolExecutor(JOINS) as pool:
+        list(pool.map(lambda x: join_parts(spark, *x), targets.items()))
 
 
 def write_segments(df: DataFrame, path: str, text_export: bool | str = False, mode: str = "overwrite") -> None:
@@ -71,7 +88,8 @@ def write_segments(df: DataFrame, path: str, text_export: bool | str = False, mo
     what was written, so that the input is evaluated once; ``"parts"`` leaves them as folders of part
     files, ``path/text/kind=<kind file>/run=<run>/part-*``, which tasks read in parallel."""
     columns = ["run", "idx", "src", "ref", "hyp"]
-    df.select(*columns).write.mode(mode).option("compression", TEXT_CODEC).partitionBy("run").parquet(f"{path}/parquet")
+    with freed_shuffles(df.sparkSession):
+        df.select(*columns).write.mode(mode).option("compression", TEXT_CODEC).partitionBy("run").parquet(f"{path}/parquet")
     if not text_export:
         return
     spark = df.sparkSession
@@ -81,16 +99,20 @@ def write_segments(df: DataFrame, path: str, text_export: bool | str = False, mo
     ordered = stored.repartitionByRange(n, "run", "idx").select("run", "idx", F.inline(kinds))
     ordered = ordered.sortWithinPartitions("kind", "run", "idx").select("kind", "run", "value")
     out = f"{path}/text" if text_export == "parts" else f"{path}/_text-{uuid.uuid4().hex}"
-    ordered.write.mode(mode).partitionBy("kind", "run").text(out)
+    packed = {} if text_export == "parts" else _parts_options(spark, path)
+    with freed_shuffles(spark):
+        ordered.write.mode(mode).options(**packed).partitionBy("kind", "run").text(out)
     if text_export == "parts":
         return
+    targets = {}
     for kind in SEGMENT_FILES.values():
         for folder in _children(spark, f"{out}/kind={kind}"):
             run = unquote(folder.removeprefix("run="))
             if run == "parquet":
                 raise ValueError("a run named 'parquet' has no folder of its own")
-            join_parts(spark, f"{out}/kind={kind}/{folder}", f"{path}/{run}/{kind}")
-    _delete(spark, out)
+            targets[f"{out}/kind={kind}/{folder}"] = f"{path}/{run}/{kind}"
+    _join_all(spark, targets)
+    delete(spark, out)
 
 
 def append_run_log(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -113,10 +135,11 @@ def write_text_column(df: DataFrame, col: str, path: str, order_by: list[str], m
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = f"{path}.parts-{uuid.uuid4().hex}" if one_file else path
     ordered = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
-    ordered.select(one_line(col).alias("value")).write.mode(mode).text(out)
+    with freed_shuffles(spark):
+        ordered.select(one_line(col).alias("value")).write.mode(mode).options(**(_parts_options(spark, path) if one_file else {})).text(out)
     if one_file:
         join_parts(spark, out, path)
-        _delete(spark, out)
+        delete(spark, out)
 
 
 def export_dataset(df: DataFrame, path: str, src_lang: str, tgt_lang: str, base: DataFrame | None = None) -> None:
@@ -132,10 +155,14 @@ def export_dataset(df: DataFrame, path: str, src_lang: str, tgt_lang: str, base:
     sides = F.array(*[F.struct(F.lit(lang).alias("lang"), one_line(c).alias("value")) for c, lang in (("src", src_lang), ("tgt", tgt_lang))])
     ordered = rows.repartitionByRange(n, "split", "idx").select("split", "idx", F.inline(sides))
     out = f"{path.rstrip('/')}/_text-{uuid.uuid4().hex}"
-    ordered.sortWithinPartitions("split", "lang", "idx").select("split", "lang", "value").write.partitionBy("split", "lang").text(out)
+    ordered = ordered.sortWithinPartitions("split", "lang", "idx").select("split", "lang", "value")
+    with freed_shuffles(spark):
+        ordered.write.options(**_parts_options(spark, path)).partitionBy("split", "lang").text(out)
+    targets = {}
     for split in _children(spark, out):
         if split.startswith("split="):
             for lang in _children(spark, f"{out}/{split}"):
                 name = f"{unquote(split.removeprefix('split='))}.{unquote(lang.removeprefix('lang='))}"
-                join_parts(spark, f"{out}/{split}/{lang}", f"{path.rstrip('/')}/{name}")
-    _delete(spark, out)
+                targets[f"{out}/{split}/{lang}"] = f"{path.rstrip('/')}/{name}"
+    _join_all(spark, targets)
+    delete(spark, out)

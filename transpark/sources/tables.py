@@ -42,5 +42,5 @@ def read_table(spark: SparkSession, path: str, min_partitions: int | None = None
         return df
     key = (spark.sparkContext.applicationId, want, files)
     if key not in _RELAID:
-        _RELAID[key] = materialize(df.repartition(want), "relaid")
+        _RELAID[key] = materialize(df.repartition(want), "relaid", shared=True)
     return _RELAID[key]
