@@ -333,3 +333,13 @@ def test_read_back_segments_leave_no_scratch_files(spark, tmpdir_path):
     assert len(rows) == 90 and sorted(r.idx for r in rows if r.run == "de") == list(range(30))
     assert {r.hyp for r in rows if r.src == "w4 a b c d e f g h"} == {"w4 a b c d e g h"}
     assert {n.split("-")[1] for n in _tables(spark) if n not in before} <= {"lines", "side", "relaid"}
+
+
+def test_evaluated_files_leave_no_scratch_files(spark, tmpdir_path):
+    from transpark.plans import catalog
+
+    _documents(spark, tmpdir_path)
+    before = _tables(spark)
+    rows = catalog.QUERIES["evaluate_runs_files"](spark, tmpdir_path).collect()
+    assert sorted((r.model, r.metric) for r in rows) == [(m, s) for m in ("de", "en") for s in ("bleu", "bleu_b32", "score")]
+    assert {n.split("-")[1] for n in _tables(spark) if n not in before} <= {"lines", "segstats", "scores", "evallog", "side", "relaid"}
