@@ -343,3 +343,35 @@ def test_evaluated_files_leave_no_scratch_files(spark, tmpdir_path):
     rows = catalog.QUERIES["evaluate_runs_files"](spark, tmpdir_path).collect()
     assert sorted((r.model, r.metric) for r in rows) == [(m, s) for m in ("de", "en") for s in ("bleu", "bleu_b32", "score")]
     assert {n.split("-")[1] for n in _tables(spark) if n not in before} <= {"lines", "segstats", "scores", "evallog", "side", "relaid"}
+
+
+def test_all_hypotheses_and_the_best_one_agree(spark):
+    """The best hypothesis is the first of all; with and without the others the fold gives the same."""
+    from transpark.sources.genlog import parse_generation_log
+
+    lines = ["H-1\t-0.5\tb", "H-1\t-0.5\tc", "H-1\tx\tzz", "S-1\ts", "S-2\tno hypothesis", "H-3\tNaN\ta", "H-3\t1\tb", "H-4\tno body", "H-5\t?\ta", "H-5\t?\tb", "H-6\t0.0\ta", "H-6\t-1e9\tb"]
+    df = spark.createDataFrame([(x,) for x in lines], "value STRING")
+    best, every = (parse_generation_log(df, n_best=n) for n in (False, True))
+    plan = every._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_max(") == 2 and plan.count("partial_collect_list(") == 1  # texts of H lines are gathered once
+    assert sorted(map(str, best.collect())) == sorted(map(str, every.drop("hyps").collect()))
+    found = {r.id: [h.hyp for h in r.hyps] for r in every.collect()}
+    assert found[1] == ["c", "b", "zz"] and found[2] == [] and found[5] == ["b", "a"]
+
+
+def test_scratch_logs_are_packed(spark, tmpdir_path):
+    from transpark.plans import catalog
+    from transpark.session import checkpoint_dir
+
+    _documents(spark, tmpdir_path)
+    docs = spark.read.parquet(f"{tmpdir_path}/documents.parquet").withColumn("text", F.repeat("text", F.lit(40)))
+    docs.write.parquet(f"{tmpdir_path}/long/documents.parquet")
+    before = _tables(spark)
+    rows = {r.id: r for r in catalog.QUERIES["generation_log_files"](spark, f"{tmpdir_path}/long").collect()}
+    assert len(rows) == 90 and all(r.split == r.id % 3 and r.n_hyps == 2 and r.score == -0.25 for r in rows.values())
+    text = rows[1].hyp
+    assert rows[2].hyp == "second" and rows[1].src == "\u0085 ".join(text.split()) and rows[1].ref == " ".join(reversed(text.split()))
+    (new,) = (n for n in _tables(spark) if n not in before and n.startswith("tp-genlog-"))
+    base = checkpoint_dir(spark).removeprefix("file:")
+    stored = sum(os.path.getsize(f"{d}/{n}") for d, _, names in os.walk(f"{base}/{new}") for n in names if n.startswith("part-"))
+    assert stored < sum(len(r.src) + len(r.ref) + len(r.hyp) for r in rows.values()) / 4

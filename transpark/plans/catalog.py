@@ -594,7 +594,9 @@ def generation_log_files(spark, d):
         F.concat(F.lit("S-"), sid, F.lit("\t"), F.array_join(w, _ODD)),
     )
     out = _scratch(spark, "genlog")
-    docs.select((F.col("doc_id") % 3).alias("log"), F.explode(lines).alias("value")).write.partitionBy("log").text(out)
+    # documents are sorted by log as they are, not as the four texts that are made of each
+    docs = docs.withColumn("log", F.col("doc_id") % 3).sortWithinPartitions("log")
+    docs.select("log", F.array_join(lines, "\n").alias("value")).write.partitionBy("log").option("compression", "gzip").text(out)
     got = read_generation_log(spark, f"{out}/log=*", n_best=True)
     split = F.regexp_extract("log", "log=([0-9]+)", 1).cast("long")
     return got.select(split.alias("split"), "id", "src", "ref", "hyp", "score", F.size("hyps").cast("long").alias("n_hyps"))

@@ -32,13 +32,15 @@ def parse_generation_log(
     tagged = tagged.withColumn("id", F.col("id").try_cast("long"))
     score, text = F.regexp_extract("body", HYP_BODY, 1).try_cast("double"), F.regexp_extract("body", HYP_BODY, 2)
     line = F.when(F.col("tag") == "H", F.struct(score.alias("score"), text.alias("hyp")))
-    more = [F.sort_array(F.collect_list(line), asc=False).alias("hyps")] if n_best else []
+    # the first of all hypotheses is the best one: it is not gathered a second time
+    hyps = F.sort_array(F.collect_list(line), asc=False).alias("hyps") if n_best else F.max(line).alias("_best")
     folded = tagged.groupBy(*keys, "id").agg(
         F.max(F.when(F.col("tag") == "S", F.col("body"))).alias("src"),
         F.max(F.when(F.col("tag") == "T", F.col("body"))).alias("ref"),
-        F.max(line).alias("_best"),
-        *more,
+        hyps,
     )
+    if n_best:
+        folded = folded.withColumn("_best", F.get("hyps", F.lit(0)))
     return folded.select(*keys, "id", "src", "ref", "_best.hyp", "_best.score", *(["hyps"] if n_best else []))
 
 
