@@ -1088,11 +1088,10 @@ def iterate_back_translation(spark, d):
         model = _drop_every(2 if previous is None else 3 + n % 7)
         return model, model
 
-    datasets, scores = WF.iterate_back_translation(mono, mono, fit, dev.select("idx", "src", "tgt"), rounds=3, stop_eps=None)
-    out = None
-    for r, ds in enumerate(datasets):
-        part = ds.withColumn("round", F.lit(r)).withColumn("dev_bleu", r6(F.lit(float(scores[r]))))
-        out = part if out is None else out.unionByName(part)
+    dev = dev.select("idx", "src", "tgt")
+    out, scores = WF.iterate_back_translation(mono, mono, fit, dev, rounds=3, stop_eps=None, together=True)
+    score = F.get(F.array(*[F.lit(float(x)) for x in scores]), F.col("round"))
+    out = out.withColumn("dev_bleu", r6(score))
     return out.select("round", "direction", "split", "idx", "src", "tgt", "dev_bleu")
 
 
